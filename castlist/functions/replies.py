@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,30 +41,47 @@ def list_lines(reply: Column) -> Column:
     return F.filter(unnumbered, lambda x: x != "")
 
 
-def reply_names(reply: Column) -> Column:
-    """Names in a reply, in order; NULL if the reply cannot be understood.
+def with_reply_names(replies: DataFrame) -> DataFrame:
+    """Add ``names``, an array of the names in ``response`` in their order.
 
-    Tried in turn: the reply as a JSON object, the first flat JSON object in
-    it, the first names array in it, one name per line. A blank reply has no
-    names and is not an error. JSON holding nothing but strings is read by
-    Catalyst; only other JSON (numbers, nesting, escapes of the key, repeated
-    keys) goes through Python, which then sees just those replies.
+    NULL if the reply cannot be understood. Tried in turn: the reply as a JSON
+    object, the first flat JSON object in it, the first names array in it, one
+    name per line. A blank reply has no names and is not an error.
+
+    JSON with nothing but strings is read by Catalyst. Only replies with other
+    JSON (numbers, nesting, escaped or repeated keys) are handed to Python.
+    Each step is a column of its own, so that it is computed once.
     """
-    text = strip(reply)
-    flat = F.regexp_extract(text, FLAT_OBJECT, 0)
-    whole_names = _string_names(text)
-    flat_names = F.when(~text.startswith("{"), _string_names(flat))
-    unsure = whole_names.isNull() & flat_names.isNull() & (
-        text.contains('"names"') | text.contains("\\")
+    text = F.col("_text")
+    wanted = F.col("_object")
+    one_pair = (_occurrences(wanted, "{") == 1) & (_occurrences(wanted, "}") == 1)
+    steps = (
+        replies.withColumn("_text", strip(F.col("response")))
+        .withColumn("_flat", F.regexp_extract(text, FLAT_OBJECT, 0))
+        .withColumn("_object", F.when(text.startswith("{"), text).otherwise(F.col("_flat")))
+        .withColumn(
+            "_list",
+            F.try_variant_get(F.when(one_pair, F.try_parse_json(wanted)), "$.names", "variant"),
+        )
+        .withColumn("_strings", _string_items(F.col("_list")))
+    )
+    unsure = F.col("_strings").isNull() & (text.contains('"names"') | text.contains("\\"))
+    read = steps.withColumn(
+        "_other",
+        _decode_names(
+            F.when(unsure, text),
+            F.when(unsure, F.col("_flat")),
+            F.when(unsure, F.regexp_extract(text, NAMES_ARRAY, 1)),
+        ),
     )
-    json_names = _decode_names(
-        F.when(unsure, text),
-        F.when(unsure, flat),
-        F.when(unsure, F.regexp_extract(text, NAMES_ARRAY, 1)),
+    from_json = F.coalesce("_strings", "_other")
+    found = read.withColumn(
+        "_found", F.when(text != "", F.coalesce(from_json, list_lines(text)))
     )
-    listed = list_lines(text)
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(
-        F.coalesce(whole_names, flat_names, json_names, F.when(F.size(listed) > 0, listed))
+    understood = from_json.isNotNull() | (F.size("_found") > 0)
+    names = F.when(text == "", F.array().cast("array<string>")).when(understood, F.col("_found"))
+    return found.withColumn("names", names).drop(
+        "_text", "_flat", "_object", "_list", "_strings", "_other", "_found"
     )
 
 
@@ -94,19 +111,11 @@ def _starts_with_any(text: Column, prefixes: tuple[str, ...]) -> Column:
     return found
 
 
-def _string_names(candidate: Column) -> Column:
-    """The names of a JSON object that is sure to read the same in any parser.
-
-    NULL unless the text has exactly one pair of braces and a names list made
-    of strings and nulls. Empty strings and nulls are dropped.
-    """
-    parsed = F.try_parse_json(candidate)
-    names = F.try_variant_get(parsed, "$.names", "variant")
-    one_pair = (_occurrences(candidate, "{") == 1) & (_occurrences(candidate, "}") == 1)
-    all_strings = F.schema_of_variant(names).isin("ARRAY<STRING>", "ARRAY<VOID>")
+def _string_items(names: Column) -> Column:
+    """The non-empty strings of a JSON list of strings and nulls, else NULL."""
+    plain = F.schema_of_variant(names).isin("ARRAY<STRING>", "ARRAY<VOID>")
     return F.when(
-        one_pair & all_strings,
-        F.filter(F.try_variant_get(parsed, "$.names", "array<string>"), lambda n: n != ""),
+        plain, F.filter(F.try_variant_get(names, "$", "array<string>"), lambda n: n != "")
     )
 
 
@@ -129,8 +138,7 @@ def _listed_names(candidate: str | None, wrapped: bool) -> list[str] | None:
     return [str(item).encode("utf-8", "replace").decode("utf-8") for item in value if item]
 
 
-@F.arrow_udf(T.ArrayType(T.StringType()))
-def _decode_names(whole: pa.Array, flat: pa.Array, array: pa.Array) -> pa.Array:
+def _first_names(whole: pa.Array, flat: pa.Array, array: pa.Array) -> pa.Array:
     def first_readable(row):
         for candidate, wrapped in zip(row, (True, True, False)):
             names = _listed_names(candidate, wrapped)
@@ -140,3 +148,7 @@ def _decode_names(whole: pa.Array, flat: pa.Array, array: pa.Array) -> pa.Array:
 
     columns = (whole.to_pylist(), flat.to_pylist(), array.to_pylist())
     return pa.array((first_readable(row) for row in zip(*columns)), pa.list_(pa.string()))
+
+
+# Declared nondeterministic so that no filter is pushed below with a copy of the call.
+_decode_names = F.arrow_udf(_first_names, T.ArrayType(T.StringType())).asNondeterministic()

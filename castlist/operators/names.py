@@ -30,7 +30,7 @@ def parse_replies(responses: DataFrame) -> DataFrame:
 
     ``names`` is NULL where the request failed or its reply is unreadable.
     """
-    read = responses.withColumn("names", replies.reply_names(F.col("response")))
+    read = replies.with_reply_names(responses)
     unreadable = F.col("response").isNotNull() & F.col("names").isNull()
     return read.select(
         "doc_id",

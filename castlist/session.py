@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from pathlib import Path
+from uuid import uuid4
 from zipfile import ZipFile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,22 +43,24 @@ def ship_package(spark: SparkSession) -> SparkSession:
 
 
 def cut_lineage(df: DataFrame, path: str | None = None) -> DataFrame:
-    """Write a result down once and go on from the copy.
+    """Write a result down once, as a Parquet table, and go on from the copy.
 
-    With a path it becomes a Parquet table there; else a reliable checkpoint
-    in the folder the cluster names in ``spark.checkpoint.dir``. Only a local
-    session without that setting gets a temporary folder.
+    Without a path the table goes into the folder the cluster names in
+    ``spark.checkpoint.dir``; only a local session without that setting gets a
+    temporary folder. Unlike an eager checkpoint, which runs its plan a second
+    time to store it, this runs the plan once, so no request is made twice.
     """
     spark = df.sparkSession
-    if path is not None:
-        df.write.mode("overwrite").parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="castlist-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    target = path or f"{_shared_folder(spark)}/castlist-{uuid4().hex}"
+    df.write.mode("overwrite").parquet(target)
+    return spark.read.schema(df.schema).parquet(target)
+
+
+def _shared_folder(spark: SparkSession) -> str:
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and spark.sparkContext.master.startswith("local"):
+        folder = tempfile.mkdtemp(prefix="castlist-tables-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    if folder is None:
+        raise ValueError("set spark.checkpoint.dir to a shared folder")
+    return folder.rstrip("/")

@@ -154,14 +154,17 @@ def decode_bytes(data: bytes) -> tuple[str | None, str | None, str | None]:
     return None, None, "could not detect encoding"
 
 
-@F.arrow_udf(DECODED)
-def _decode_other(contents: pa.Array) -> pa.Array:
+def _decode_all(contents: pa.Array) -> pa.Array:
     kind = pa.struct([(name, pa.string()) for name in ("text", "encoding", "reason")])
     return pa.array(
         (None if data is None else decode_bytes(data) for data in contents.to_pylist()), kind
     )
 
 
+# Declared nondeterministic so that no filter is pushed below with a copy of the call.
+_decode_other = F.arrow_udf(_decode_all, DECODED).asNondeterministic()
+
+
 def _write_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         paths = batch.column("path").to_pylist()

@@ -91,7 +91,7 @@ EDITS_SQL = f"""{RANKED_SQL},
 
 
 def edited_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ranked(spark, sf_dir)
+    names = cut_lineage(ranked(spark, sf_dir))
     turn = F.col("rank") % 5
     name = F.col("name")
     replacement = (
@@ -188,7 +188,7 @@ MAPPINGS_SQL = f"""{RANKED_SQL},
 
 def stored_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mapping table as it would be stored after editing."""
-    names = ranked(spark, sf_dir)
+    names = cut_lineage(ranked(spark, sf_dir))
     following = names.select(
         "doc_id", (F.col("rank") - 1).alias("rank"), F.col("name").alias("next_name")
     )
