@@ -52,20 +52,22 @@ def dedupe_names(parsed: DataFrame) -> DataFrame:
     """Rows (doc_id, name, first_chunk, first_pos): distinct names of a document.
 
     First-seen order is (first_chunk, first_pos). Grouped by document and name
-    with partial aggregation, so a document of many chunks is spread out.
+    with partial aggregation, so a document of many chunks is spread out. The
+    two places are minimised as one number, which hash aggregation can hold.
     """
+    place = F.shiftleft(F.col("chunk_idx").cast("bigint"), 32) + F.col("pos")
     mentions = explode_items(
         parsed, ["doc_id", "chunk_idx"], F.col("names"), "pos", "raw"
     ).withColumn("name", strip(F.col("raw")))
     return (
         mentions.where(F.col("name") != "")
         .groupBy("doc_id", "name")
-        .agg(F.min(F.struct("chunk_idx", "pos")).alias("first"))
+        .agg(F.min(place).alias("first"))
         .select(
             "doc_id",
             "name",
-            F.col("first.chunk_idx").alias("first_chunk"),
-            F.col("first.pos").alias("first_pos"),
+            F.shiftright("first", 32).cast("int").alias("first_chunk"),
+            F.col("first").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("first_pos"),
         )
     )
 

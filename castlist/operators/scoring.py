@@ -52,11 +52,11 @@ def score_chunks(
     The result is not repeatable: write it down (see ``castlist.session``)
     before using it twice, and run without speculative execution.
     """
-    prompts = chunks.select("doc_id", "chunk_idx", prompt(F.col("chunk"), template).alias("prompt"))
     if partitions is not None:
-        prompts = prompts.repartition(partitions, "doc_id", "chunk_idx").sortWithinPartitions(
+        chunks = chunks.repartition(partitions, "doc_id", "chunk_idx").sortWithinPartitions(
             "doc_id", "chunk_idx"
         )
+    prompts = chunks.select("doc_id", "chunk_idx", prompt(F.col("chunk"), template).alias("prompt"))
     id_type = chunks.schema["doc_id"].dataType.simpleString()
 
     def call_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

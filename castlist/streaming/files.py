@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from castlist.sources.files import decode_files
 
+# Fixed value: the columns of Spark's binaryFile source.
+BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
+
 
 def stream_files(spark: SparkSession, path: str, **options: str) -> DataFrame:
     """Decoded files of a growing folder, as an unbounded table.
@@ -13,5 +16,6 @@ def stream_files(spark: SparkSession, path: str, **options: str) -> DataFrame:
     Decoding, layout repair, chunking, scoring and reply parsing keep no
     state between documents, so they apply to this table unchanged.
     """
-    arriving = spark.readStream.format("binaryFile").options(**options).load(path)
+    reader = spark.readStream.format("binaryFile").schema(BINARY_FILE)
+    arriving = reader.options(**options).load(path)
     return decode_files(arriving.select("path", "length", "content"))

@@ -1,0 +1,129 @@
+import json
+import re
+import time
+
+import pytest
+from pyspark.sql import functions as F
+
+from castlist.operators import scoring
+from castlist.plans.extract import extract_names
+
+
+def test_prompt_fills_every_slot(evaluate):
+    filled = evaluate(lambda c: scoring.prompt(c, "{a} {chunk_text} {chunk_text}"), "x{y}")
+    assert filled == "{a} x{y} x{y}"
+    assert evaluate(scoring.prompt, "第一").count("第一") == 1
+
+
+def chunk_table(spark, n, partitions=1):
+    rows = spark.range(0, n, 1, partitions)
+    return rows.select(
+        "id", F.lit(0).alias("chunk_idx"), F.col("id").cast("string").alias("chunk")
+    ).withColumnRenamed("id", "doc_id")
+
+
+def test_failures_are_rows_and_not_retried(spark, tmp_path):
+    log = str(tmp_path / "calls")
+
+    def make():
+        def fn(prompt):
+            with open(log, "a") as calls:
+                calls.write(prompt + "\n")
+            if prompt == "1":
+                raise TimeoutError("late")
+            return None if prompt == "2" else f"re {prompt}"
+
+        return fn
+
+    found = scoring.score_chunks(chunk_table(spark, 4), make, "{chunk_text}").collect()
+    assert [(r.response, r.error_class, r.error) for r in found] == [
+        ("re 0", None, None),
+        (None, "TimeoutError", "late"),
+        ("", None, None),
+        ("re 3", None, None),
+    ]
+    assert open(log).read().split() == ["0", "1", "2", "3"]
+
+
+def test_interval_is_between_starts(spark, tmp_path):
+    log = str(tmp_path / "starts")
+
+    def make():
+        def fn(prompt):
+            with open(log, "a") as starts:
+                starts.write(f"{time.monotonic()}\n")
+            time.sleep(0.15)
+            return ""
+
+        return fn
+
+    scoring.score_chunks(chunk_table(spark, 4), make, interval=0.3).collect()
+    starts = [float(line) for line in open(log)]
+    gaps = [b - a for a, b in zip(starts, starts[1:])]
+    assert all(0.29 <= gap < 0.44 for gap in gaps)
+
+
+def test_one_client_per_partition_in_document_order(spark, tmp_path):
+    log = str(tmp_path / "clients")
+
+    def make():
+        import uuid
+
+        client = uuid.uuid4().hex
+
+        def fn(prompt):
+            with open(log, "a") as calls:
+                calls.write(f"{client} {prompt}\n")
+            return ""
+
+        return fn
+
+    chunks = chunk_table(spark, 40, 1)
+    scoring.score_chunks(chunks, make, "{chunk_text}", partitions=4).collect()
+    seen: dict[str, list[int]] = {}
+    for line in open(log):
+        client, prompt = line.split()
+        seen.setdefault(client, []).append(int(prompt))
+    assert 1 < len(seen) <= 4
+    assert all(prompts == sorted(prompts) for prompts in seen.values())
+    assert sorted(sum(seen.values(), [])) == list(range(40))
+
+
+@pytest.mark.parametrize("partitions", [None, 1, 16])
+def test_whole_extraction(spark, docs_of, tmp_path, partitions):
+    log = str(tmp_path / "calls")
+
+    def make():
+        def fn(prompt):
+            with open(log, "a") as calls:
+                calls.write("x")
+            if "LIMIT" in prompt:
+                raise RuntimeError("Error code: 429")
+            if "FAIL" in prompt:
+                raise ValueError("broken")
+            return json.dumps({"names": re.findall("[A-Z][a-z]+", prompt)})
+
+        return fn
+
+    docs = docs_of(
+        "Bob saw Alice.\n\nAlice saw Bobby.",
+        "",
+        "FAIL",
+        "Ann.\n\nLIMIT",
+        "FAIL\n\nZoe and Zoe",
+    )
+    done = extract_names(docs, make, 17, "{chunk_text}", partitions=partitions)
+    outcome = {row.doc_id: (row.status, row.n_chunks, row.n_failed) for row in done.outcome.collect()}
+    assert outcome == {
+        0: ("ok", 2, 0),
+        1: ("ok", 0, 0),
+        2: ("failed", 1, 1),
+        3: ("rate_limited", 1, 1),
+        4: ("ok", 2, 1),
+    }
+    ranked = {tuple(row) for row in done.ranked.collect()}
+    assert ranked == {
+        (0, "Alice", 2, 1), (0, "Bob", 2, 2), (0, "Bobby", 1, 3), (4, "Zoe", 2, 1),
+    }
+    done.parsed.count()
+    assert len(open(log).read()) == done.responses.count()

@@ -1,0 +1,88 @@
+import random
+
+import pytest
+
+from castlist.operators import replacing
+
+MAPPINGS = "doc_id bigint, original string, replacement string, rank int"
+BROADCAST = pytest.mark.parametrize("limit", [1 << 20, 0])
+
+
+def apply(spark, docs, rows, limit):
+    applied = replacing.apply_replacements(docs, spark.createDataFrame(rows, MAPPINGS), limit)
+    texts = {row.doc_id: row for row in replacing.replaced_texts(applied).collect()}
+    counts = {}
+    for row in replacing.replacement_counts(applied).orderBy("doc_id", "step").collect():
+        counts.setdefault(row.doc_id, {})[row.original] = row.n
+    return texts, counts
+
+
+CASES = [
+    ("张三去了商店。张三买了东西。", [("张三", "李四")], "李四去了商店。李四买了东西。", [2]),
+    (
+        "张三丰是武林高手。张三是他的朋友。",
+        [("张三", "李四"), ("张三丰", "无忌爷爷")],
+        "无忌爷爷是武林高手。李四是他的朋友。",
+        [1, 1],
+    ),
+    ("小明和小明明都来了。", [("小明", "小红"), ("小明明", "大刚")], "小红和大刚都来了。", [1, 1]),
+    ("张三 李四", [("张三", "李四"), ("李四", "王五")], "王五 王五", [1, 2]),
+    ("张三 李四", [("李四", "王五"), ("张三", "李四")], "李四 王五", [1, 1]),
+    ("nothing here", [("张三", "李四")], "nothing here", [0]),
+    ("", [("张三", "李四")], "", [0]),
+    ("unchanged", [], "unchanged", []),
+    ("aaaa", [("aa", "a")], "aa", [2]),
+    ("🎉 ab", [("🎉", "x"), ("ab", "y")], "x y", [1, 1]),
+    ("a.b $1 \\E", [("a.b", "$0"), ("\\E", "\\1")], "$0 $1 \\1", [1, 1]),
+]
+
+
+@BROADCAST
+def test_cases(spark, docs_of, limit):
+    docs = docs_of(*(text for text, *_ in CASES))
+    rows = [
+        (i, original, replacement, rank)
+        for i, (_, pairs, *_) in enumerate(CASES)
+        for rank, (original, replacement) in enumerate(pairs)
+    ]
+    texts, counts = apply(spark, docs, rows, limit)
+    for i, (_, pairs, after, expected) in enumerate(CASES):
+        assert texts[i].text == after
+        assert (texts[i].n_names, texts[i].total) == (len(pairs), sum(expected))
+        assert list(counts.get(i, {}).values()) == expected
+
+
+@BROADCAST
+def test_random_chains(spark, docs_of, limit):
+    rng = random.Random(11)
+    texts = ["".join(rng.choices("ab张c ", k=rng.randint(0, 80))) for _ in range(200)]
+    rows, expected = [], []
+    for i, text in enumerate(texts):
+        names = list({"".join(rng.choices("ab张c", k=rng.randint(1, 3))) for _ in range(6)})
+        news = ["".join(rng.choices("ab张cX", k=rng.randint(0, 4))) for _ in names]
+        rows += [(i, a, b, rank) for rank, (a, b) in enumerate(zip(names, news), 1)]
+        order = sorted(range(len(names)), key=lambda k: -len(names[k]))
+        tally = {}
+        for k in order:
+            tally[names[k]] = text.count(names[k])
+            text = text.replace(names[k], news[k])
+        expected.append((text, tally))
+    rng.shuffle(rows)
+    found, counts = apply(spark, docs_of(*texts).repartition(4), rows, limit)
+    for i, (text, tally) in enumerate(expected):
+        assert found[i].text == text
+        assert list(counts[i].items()) == list(tally.items())
+
+
+@BROADCAST
+def test_empty_original_is_refused(spark, docs_of, limit):
+    with pytest.raises(Exception, match="non-empty original"):
+        apply(spark, docs_of("abc"), [(0, "", "x", 1)], limit)
+
+
+def test_summary(spark):
+    counts = spark.createDataFrame(
+        [(1, 1, "A", 2), (1, 2, "B", 0)], "doc_id bigint, step int, original string, n int"
+    )
+    assert tuple(replacing.replacement_summary(counts).first()) == (1, 2, 2)
+    assert [row.original for row in replacing.names_replaced(counts).collect()] == ["A"]
