@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from castlist.functions.text import strip
-from castlist.operators.skew import ROWS_PER_TASK, heavy_keys
+from castlist.operators.skew import ROWS_PER_TASK, heavy_keys, with_parts
 
-MAX_SPLITS = 1000
+MAX_SPLITS = 256
 
 
 def label(name: Column, occurrences: Column) -> Column:
@@ -61,6 +63,8 @@ def _rank_split(rows: DataFrame, heavy: dict) -> DataFrame:
     A number that never decreases along the order is cut at its approximate
     quantiles. Where the cuts fall affects only how even the ranges are: the
     rank is the place in the range plus the sizes of the ranges before it.
+    Both broadcast tables are bounded by the number of heavy documents times
+    MAX_SPLITS.
     """
     leading = F.rpad(F.substring(F.hex(F.encode("name", "UTF-8")), 1, 12), 12, "0")
     many = F.lit(32_000)  # above this the count alone decides, to stay in 63 bits
@@ -69,35 +73,40 @@ def _rank_split(rows: DataFrame, heavy: dict) -> DataFrame:
         - F.col("occurrences").cast("bigint") * F.lit(1 << 48)
     )
     placed = rows.withColumn("along", along)
-    cuts = {}
+    alike: dict[int, dict] = {}
     for doc_id, parts in heavy.items():
-        steps = min(parts, MAX_SPLITS)
-        cuts.setdefault(steps, []).append(doc_id)
-    range_no = F.lit(0)
-    for steps, doc_ids in cuts.items():
-        fractions = [i / steps for i in range(1, steps)]
-        found = (
-            placed.where(F.col("doc_id").isin(doc_ids))
+        splits = min(1 << (parts - 1).bit_length(), MAX_SPLITS)
+        alike.setdefault(splits, {})[doc_id] = parts
+    cuts = reduce(
+        DataFrame.unionByName,
+        (
+            with_parts(placed, "doc_id", group)
+            .where(F.col("parts") > 1)
             .groupBy("doc_id")
-            .agg(F.percentile_approx("along", fractions, 10_000).alias("cuts"))
-            .collect()
-        )
-        for row in found:
-            bounds = F.array(*(F.lit(c) for c in sorted(set(row["cuts"]))))
-            before = F.size(F.filter(bounds, lambda c: c < F.col("along")))
-            range_no = F.when(F.col("doc_id") == row["doc_id"], before).otherwise(range_no)
-    ranged = placed.withColumn("range_no", range_no)
-    sizes = ranged.groupBy("doc_id", "range_no").agg(F.count(F.lit(1)).alias("n"))
+            .agg(
+                F.percentile_approx("along", [i / splits for i in range(1, splits)]).alias("cuts")
+            )
+            for splits, group in alike.items()
+        ),
+    )
+    range_no = F.coalesce(F.size(F.filter("cuts", lambda c: c < F.col("along"))), F.lit(0))
+    ranged = (
+        placed.join(F.broadcast(cuts), "doc_id", "left")
+        .withColumn("is_split", F.col("cuts").isNotNull())
+        .withColumn("range_no", F.when(F.col("is_split"), range_no).otherwise(0))
+        .drop("cuts", "along")
+    )
+    sizes = (
+        ranged.where("is_split").groupBy("doc_id", "range_no").agg(F.count(F.lit(1)).alias("n"))
+    )
     before = Window.partitionBy("doc_id").orderBy("range_no").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    offsets = (
-        sizes.where(F.col("doc_id").isin(list(heavy)))
-        .withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
-        .select("doc_id", "range_no", "offset")
+    offsets = sizes.select(
+        "doc_id", "range_no", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")
     )
     local = ranged.withColumn("place", F.row_number().over(_in_order("doc_id", "range_no")))
-    return local.join(offsets, ["doc_id", "range_no"], "left").select(
+    return local.join(F.broadcast(offsets), ["doc_id", "range_no"], "left").select(
         "doc_id",
         "name",
         "occurrences",

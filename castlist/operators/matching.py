@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from castlist.operators.skew import parts_of
+from castlist.operators.skew import with_parts
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 ROW_OVERHEAD_BYTES = 64
@@ -72,19 +72,19 @@ def fold_items(
     do not depend on each other. Items without a document are ignored. String
     columns of the documents named in ``carry`` appear on each of their rows.
     """
-    parts = parts_of(F.col("doc_id"), heavy or {})
     item_types = {field.name: field.dataType for field in items.schema}
-    texts = docs.select(
+    texts = with_parts(docs.select("doc_id", "text", *carry), "doc_id", heavy or {}).select(
         "doc_id",
-        F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"),
+        F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
         F.lit(0).alias("kind"),
         "text",
         *carry,
         *(F.lit(None).cast(item_types[name]).alias(name) for name in columns),
     )
-    rows = items.select(
+    part = F.pmod(F.xxhash64(*columns), F.col("parts").cast("bigint")).cast("int")
+    rows = with_parts(items, "doc_id", heavy or {}).select(
         "doc_id",
-        F.pmod(F.xxhash64(*columns), parts.cast("bigint")).cast("int").alias("part"),
+        part.alias("part"),
         F.lit(1).alias("kind"),
         *(F.lit(None).cast("string").alias(name) for name in ("text", *carry)),
         *columns,

@@ -30,9 +30,12 @@ def heavy_keys(
     return {row[key]: -(-row["size"] // rows_per_task) for row in heavy.collect()}
 
 
-def parts_of(key: Column, heavy: dict) -> Column:
-    """Number of parts for a key: its entry in ``heavy``, else 1."""
+def with_parts(df: DataFrame, key: str, heavy: dict) -> DataFrame:
+    """Add ``parts``, the number of parts of each row's key (1 if it is light)."""
     if not heavy:
-        return F.lit(1)
-    entries = [F.lit(item) for pair in heavy.items() for item in pair]
-    return F.coalesce(F.try_element_at(F.create_map(*entries), key), F.lit(1)).cast("int")
+        return df.withColumn("parts", F.lit(1))
+    id_type = df.schema[key].dataType.simpleString()
+    listed = df.sparkSession.createDataFrame(list(heavy.items()), f"{key} {id_type}, parts int")
+    # at most MAX_HEAVY rows
+    joined = df.join(F.broadcast(listed), key, "left")
+    return joined.withColumn("parts", F.coalesce("parts", F.lit(1)))
