@@ -48,7 +48,7 @@ def with_item_lists(
     a document without any.
     """
     lists = items.groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.struct(*columns))).alias("items")
+        F.sort_array(F.collect_list(F.struct(*columns))).alias("items")
     )
     return docs.join(F.broadcast(lists), "doc_id", how)
 

@@ -103,12 +103,13 @@ def count_in_text(text: Column, names: Column) -> Column:
     return _count_all(text, names)
 
 
-def count_own_names(docs: DataFrame) -> DataFrame:
+def count_own_names(docs: DataFrame, top: int | None = None) -> DataFrame:
     """Rows (doc_id, name, occurrences, rank) from (doc_id, text, names).
 
     For names that were read off the row's own text: the array is no larger
     than the text, so counting and ranking happen inside the row, without a
-    shuffle. Order and rank are those of ``castlist.operators.mapping``.
+    shuffle. Order and rank are those of ``castlist.operators.mapping``; with
+    ``top``, only the first that many names of each document become rows.
     """
     named = docs.select("doc_id", "text", distinct_names(F.col("names")).alias("names"))
     counted = named.select(
@@ -117,7 +118,10 @@ def count_own_names(docs: DataFrame) -> DataFrame:
     pairs = F.zip_with(
         "names", "counts", lambda name, n: F.struct((-n).alias("minus_n"), name.alias("name"))
     )
-    return explode_items(counted, ["doc_id"], F.array_sort(pairs), "pos", "pair").select(
+    ordered = F.sort_array(pairs)
+    if top is not None:
+        ordered = F.slice(ordered, 1, top)
+    return explode_items(counted, ["doc_id"], ordered, "pos", "pair").select(
         "doc_id",
         F.col("pair.name").alias("name"),
         (-F.col("pair.minus_n")).alias("occurrences"),

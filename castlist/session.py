@@ -51,12 +51,13 @@ def cut_lineage(df: DataFrame, path: str | None = None) -> DataFrame:
     time to store it, this runs the plan once, so no request is made twice.
     """
     spark = df.sparkSession
-    target = path or f"{_shared_folder(spark)}/castlist-{uuid4().hex}"
+    target = path or f"{shared_folder(spark)}/castlist-{uuid4().hex}"
     df.write.mode("overwrite").parquet(target)
     return spark.read.schema(df.schema).parquet(target)
 
 
-def _shared_folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None and spark.sparkContext.master.startswith("local"):
         folder = tempfile.mkdtemp(prefix="castlist-tables-")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import posixpath
 import uuid
 from collections.abc import Iterator
 
@@ -25,9 +26,10 @@ def scan_files(spark: SparkSession, path: str | list[str], manifest: DataFrame |
                **options: str) -> DataFrame:
     """Rows (path, length, content), one per file under the path(s).
 
-    Spark's file source yields nothing for a zero-byte file. A manifest with a
-    ``path`` column, in the form Spark reports paths, brings those back as
-    empty content.
+    Spark's file source skips zero-byte files and names that start with a dot
+    or an underscore. A manifest with a ``path`` column, in the form Spark
+    reports paths, names the files wanted: those the source skipped are then
+    opened one by one in the tasks, and one that does not exist raises.
     """
     files = (
         spark.read.format("binaryFile").options(**options).load(path)
@@ -35,10 +37,11 @@ def scan_files(spark: SparkSession, path: str | list[str], manifest: DataFrame |
     )
     if manifest is None:
         return files
-    return manifest.select("path").join(files, "path", "left").select(
-        "path",
-        F.coalesce("length", F.lit(0)).alias("length"),
-        F.coalesce("content", F.lit(b"")).alias("content"),
+    wanted = manifest.select("path").join(files, "path", "left")
+    skipped = _read_files(F.when(F.col("length").isNull(), F.col("path")))
+    read = wanted.select("path", F.coalesce("content", skipped).alias("content"))
+    return read.select(
+        "path", F.octet_length("content").cast("bigint").alias("length"), "content"
     )
 
 
@@ -165,19 +168,41 @@ def _decode_all(contents: pa.Array) -> pa.Array:
 _decode_other = F.arrow_udf(_decode_all, DECODED).asNondeterministic()
 
 
+@F.arrow_udf(T.BinaryType())
+def _read_files(paths: pa.Array) -> pa.Array:
+    def content(path: str) -> bytes:
+        system, name = _locate(path)
+        with system.open_input_stream(name) as stream:
+            return stream.read()
+
+    return pa.array((None if p is None else content(p) for p in paths.to_pylist()), pa.binary())
+
+
+def _locate(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path as Spark writes it (unescaped), and the name there."""
+    scheme, found, rest = path.partition(":/")
+    if not found:
+        return fs.LocalFileSystem(), path
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    authority, _, name = rest.lstrip("/").partition("/")
+    system, root = fs.FileSystem.from_uri(f"{scheme}://{authority}/")
+    return system, posixpath.join(root, name)
+
+
 def _write_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         paths = batch.column("path").to_pylist()
         contents = batch.column("content").to_pylist()
         for path, data in zip(paths, contents):
-            if ":/" in path:
-                target, name = fs.FileSystem.from_uri(path)
-            else:
-                target, name = fs.LocalFileSystem(), path
-            unfinished = f"{name}.{uuid.uuid4().hex}.part"
-            with target.open_output_stream(unfinished) as stream:
+            system, name = _locate(path)
+            folder, base = posixpath.split(name)
+            system.create_dir(folder or ".")
+            # a name with an underscore is skipped by Spark, should it be left behind
+            unfinished = posixpath.join(folder, f"_{base}.{uuid.uuid4().hex}")
+            with system.open_output_stream(unfinished) as stream:
                 stream.write(data)
-            target.move(unfinished, name)
+            system.move(unfinished, name)
         yield pa.RecordBatch.from_arrays(
             [pa.array(paths, pa.string()), pa.array(map(len, contents), pa.int64())],
             ["path", "n_bytes"],

@@ -15,6 +15,7 @@ SAMPLES = {
     "only_bom.txt": (b"\xef\xbb\xbf", "", "utf-8-sig"),
     "le.txt": (b"\xff\xfe" + "中文🎉".encode("utf-16-le"), "中文🎉", "utf-16-le"),
     "be.txt": (b"\xfe\xff" + "中文".encode("utf-16-be"), "中文", "utf-16-be"),
+    "a b%20 #中.txt": (b"odd name", "odd name", "utf-8"),
     "gb.txt": ("中文内容测试".encode("gb18030"), "中文内容测试", "gb18030"),
     "gb4.txt": ("한é🎉".encode("gb18030"), "한é🎉", "gb18030"),
     "sjis.txt": (b"\x83\x65\x80", None, None),
@@ -57,6 +58,7 @@ def folder(tmp_path_factory):
     for name, (data, _, _) in SAMPLES.items():
         (path / name).write_bytes(data)
     (path / "empty.txt").write_bytes(b"")
+    (path / ".hidden.txt").write_bytes("藏".encode("gb18030"))
     return path
 
 
@@ -93,13 +95,24 @@ def test_split_into_loaded_and_quarantined(spark, folder):
     assert REASONS.keys() <= bad.keys()
 
 
-def test_empty_file_needs_the_manifest(spark, folder):
-    manifest = spark.createDataFrame(
-        [(f"file:{folder}/{name}",) for name in ("empty.txt", "plain.txt")], "path string"
-    )
+def manifest_of(spark, folder, *names):
+    return spark.createDataFrame([(f"file:{folder}/{name}",) for name in names], "path string")
+
+
+def test_files_the_source_skips_need_the_manifest(spark, folder):
+    manifest = manifest_of(spark, folder, "empty.txt", "plain.txt", ".hidden.txt")
     found = by_name(files.decode_files(files.scan_files(spark, str(folder), manifest)))
-    assert found.keys() == {"empty.txt", "plain.txt"}
-    assert (found["empty.txt"].text, found["empty.txt"].encoding) == ("", "utf-8")
+    assert {name: (row.text, row.encoding, row.length) for name, row in found.items()} == {
+        "empty.txt": ("", "utf-8", 0),
+        "plain.txt": ("plain", "utf-8", 5),
+        ".hidden.txt": ("藏", "gb18030", 2),
+    }
+
+
+def test_missing_file_of_the_manifest_raises(spark, folder):
+    manifest = manifest_of(spark, folder, "none.txt")
+    with pytest.raises(Exception, match="No such file"):
+        files.scan_files(spark, str(folder), manifest).collect()
 
 
 def test_missing_path_raises(spark, tmp_path):
@@ -172,6 +185,14 @@ def test_export(spark, tmp_path, limit):
     assert (tmp_path / "a_processed.txt").read_bytes() == b"\xef\xbb\xbfEve and Bob"
 
 
+def test_odd_names_come_back(spark, folder, tmp_path):
+    decoded = files.loaded(files.decode_files(files.scan_files(spark, str(folder))))
+    moved = F.replace("path", F.lit(str(folder)), F.lit(str(tmp_path)))
+    assert files.save_files(decoded.withColumn("path", moved)) == decoded.count()
+    again = by_name(files.scan_files(spark, str(tmp_path)))
+    assert bytes(again["a b%20 #中.txt"].content) == b"odd name"
+
+
 def test_streaming_scan(spark, folder, tmp_path):
     decoded = stream_files(spark, str(folder))
     query = (

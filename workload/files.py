@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from castlist.functions import text as texts
 from castlist.plans import normalize
+from castlist.session import shared_folder
 from castlist.sources import files
 from castlist.sources.tables import read_table
 from workload import documents, query
@@ -95,10 +98,11 @@ def decoded_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""
-    SELECT {PATH_SQL} AS path,
-           (strlen(text) + 1)::BIGINT AS length,
-           'could not detect encoding' AS reason
-    FROM documents WHERE doc_id % 6 = 5
+    WITH states AS (
+        SELECT {PATH_SQL} AS path, (strlen(text) + 1)::BIGINT AS length,
+               CASE doc_id % 6 WHEN 5 THEN 'could not detect encoding' END AS reason
+        FROM documents)
+    SELECT path, length, reason FROM states WHERE reason IS NOT NULL
     """
 )
 def quarantined_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,6 +146,30 @@ def encoded_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    """
+    SELECT doc_id, CASE doc_id % 2 WHEN 0 THEN 'utf-8-sig' ELSE 'utf-8' END AS encoding,
+           (strlen(text) + CASE doc_id % 2 WHEN 0 THEN 3 ELSE 0 END)::BIGINT AS length,
+           md5(text) AS text_md5
+    FROM documents
+    """
+)
+def scanned_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document saved to a file of its own, and the folder scanned again."""
+    folder = f"{shared_folder(spark)}/castlist-files-{uuid4().hex}"
+    name = F.concat(F.lit(f"{folder}/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    encoding = F.when(F.pmod("doc_id", F.lit(2)) == 0, "utf-8-sig").otherwise("utf-8")
+    docs = documents(spark, sf_dir)
+    files.save_files(docs.select(name.alias("path"), "text", encoding.alias("encoding")))
+    decoded = files.loaded(files.decode_files(files.scan_files(spark, folder)))
+    return decoded.select(
+        F.regexp_extract("path", r"(\d+)\.txt$", 1).cast("bigint").alias("doc_id"),
+        "encoding",
+        "length",
+        F.md5("text").alias("text_md5"),
+    )
+
+
 def suffixed_sql(path: str, suffix: str) -> str:
     """SQL for the suffix rule: the last dot splits, if it is inside the name."""
     name = f"regexp_replace({path}, '^.*/', '')"
