@@ -62,6 +62,7 @@ def fold_items(
     output: dict[str, str],
     heavy: dict | None = None,
     carry: tuple[str, ...] = (),
+    partitions: int | None = None,
 ) -> DataFrame:
     """Shuffled form: run ``fold(text, items)`` for every document.
 
@@ -89,9 +90,10 @@ def fold_items(
         *(F.lit(None).cast("string").alias(name) for name in ("text", *carry)),
         *columns,
     )
+    keys = ["doc_id", "part"]
     together = (
         texts.unionByName(rows)
-        .repartition("doc_id", "part")
+        .repartition(*([partitions, *keys] if partitions else keys))
         .sortWithinPartitions("doc_id", "part", "kind", *order)
     )
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -23,6 +24,7 @@ except ImportError:  # only a faster way for long texts with many names
 # Above this many character comparisons (names x text length) one pass of an
 # automaton beats one search per name.
 AUTOMATON_WORK = 200_000_000
+NAMES_AT_ONCE = 10_000
 
 
 def parse_replies(responses: DataFrame) -> DataFrame:
@@ -134,11 +136,14 @@ def count_occurrences(
     names: DataFrame,
     broadcast_bytes: int = matching.BROADCAST_BYTES,
     rows_per_task: int = ROWS_PER_TASK,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Rows (doc_id, name, occurrences) for distinct (doc_id, name) rows.
 
     Counted in the whole text of the document; zero counts are kept. Reads
-    ``names`` twice (once to measure it), so pass a stored table.
+    ``names`` twice (once to measure it), so pass a stored table. If the texts
+    must be shuffled, ``partitions`` is their number of partitions (default:
+    ``spark.sql.shuffle.partitions``).
     """
     items = names.select("doc_id", "name")
     if matching.fits_broadcast(items, broadcast_bytes):
@@ -153,7 +158,8 @@ def count_occurrences(
         return inline_structs(counted, ["doc_id"], pairs, "name")
 
     def count_each(text: str, rows: Iterator[tuple]) -> Iterator[tuple]:
-        return ((name, text.count(name)) for (name,) in rows)
+        while some := [name for (name,) in islice(rows, NAMES_AT_ONCE)]:
+            yield from zip(some, count_all(text, some))
 
     heavy = heavy_keys(items, "doc_id", rows_per_task)
     return matching.fold_items(
@@ -164,6 +170,7 @@ def count_occurrences(
         count_each,
         {"name": "string", "occurrences": "int"},
         heavy,
+        partitions=partitions,
     )
 
 

@@ -55,6 +55,7 @@ def apply_replacements(
     mappings: DataFrame,
     broadcast_bytes: int = matching.BROADCAST_BYTES,
     carry: tuple[str, ...] = (),
+    partitions: int | None = None,
 ) -> DataFrame:
     """Rows (doc_id, *carry, step, original, n, text) for documents and their mappings.
 
@@ -68,7 +69,8 @@ def apply_replacements(
 
     The steps of one document depend on each other and so run in one task, but
     as a stream. Reads ``mappings`` twice (once to measure it), so pass a
-    stored table.
+    stored table. If the texts must be shuffled, ``partitions`` is their number
+    of partitions (default: ``spark.sql.shuffle.partitions``).
     """
     items = mappings.select(
         "doc_id",
@@ -87,7 +89,7 @@ def apply_replacements(
         return replace_in_turn(text, ((row[2], row[3]) for row in rows))
 
     order = [F.col("minus_length"), F.col("rank")]
-    return matching.fold_items(docs, items, ORDER, order, fold, OUTPUT, carry=carry)
+    return matching.fold_items(docs, items, ORDER, order, fold, OUTPUT, carry=carry, partitions=partitions)
 
 
 def replaced_texts(applied: DataFrame) -> DataFrame:

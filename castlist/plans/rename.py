@@ -10,7 +10,10 @@ from castlist.operators import mapping, matching, replacing
 
 
 def export_documents(
-    docs: DataFrame, rows: DataFrame, broadcast_bytes: int = matching.BROADCAST_BYTES
+    docs: DataFrame,
+    rows: DataFrame,
+    broadcast_bytes: int = matching.BROADCAST_BYTES,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Rows (doc_id, path, encoding, text, n_names, total) to save.
 
@@ -20,6 +23,8 @@ def export_documents(
     matched with the mappings just once.
     """
     edited = mapping.edited_mappings(rows)
-    applied = replacing.apply_replacements(docs, edited, broadcast_bytes, ("path", "encoding"))
+    applied = replacing.apply_replacements(
+        docs, edited, broadcast_bytes, ("path", "encoding"), partitions
+    )
     renamed = replacing.replaced_texts(applied).where(F.col("n_names") > 0)
     return renamed.withColumn("path", processed_path(F.col("path")))
