@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from castlist.functions.text import strip
-from castlist.operators.skew import ROWS_PER_TASK, heavy_keys, with_parts
+from castlist.operators.skew import ROWS_PER_TASK, HeavyKeys, heavy_keys
 
-MAX_SPLITS = 256
+SPLITS = (2, 4, 8, 16, 32, 64, 128, 256)
 
 
 def label(name: Column, occurrences: Column) -> Column:
@@ -36,7 +34,7 @@ def rank_names(
         "doc_id", "name", F.coalesce("occurrences", F.lit(0)).cast("int").alias("occurrences")
     )
     heavy = heavy_keys(rows, "doc_id", rows_per_task)
-    if not heavy:
+    if heavy is None:
         return rows.withColumn("rank", F.row_number().over(_in_order("doc_id")))
     return _rank_split(rows, heavy)
 
@@ -57,14 +55,12 @@ def _in_order(*keys: str):
     return Window.partitionBy(*keys).orderBy(F.desc("occurrences"), F.asc("name"))
 
 
-def _rank_split(rows: DataFrame, heavy: dict) -> DataFrame:
+def _rank_split(rows: DataFrame, heavy: HeavyKeys) -> DataFrame:
     """Exact ranks, with each heavy document cut into ranges of the order.
 
     A number that never decreases along the order is cut at its approximate
     quantiles. Where the cuts fall affects only how even the ranges are: the
     rank is the place in the range plus the sizes of the ranges before it.
-    Both broadcast tables are bounded by the number of heavy documents times
-    MAX_SPLITS.
     """
     leading = F.rpad(F.substring(F.hex(F.encode("name", "UTF-8")), 1, 12), 12, "0")
     many = F.lit(32_000)  # above this the count alone decides, to stay in 63 bits
@@ -73,25 +69,25 @@ def _rank_split(rows: DataFrame, heavy: dict) -> DataFrame:
         - F.col("occurrences").cast("bigint") * F.lit(1 << 48)
     )
     placed = rows.withColumn("along", along)
-    alike: dict[int, dict] = {}
-    for doc_id, parts in heavy.items():
-        splits = min(1 << (parts - 1).bit_length(), MAX_SPLITS)
-        alike.setdefault(splits, {})[doc_id] = parts
-    cuts = reduce(
-        DataFrame.unionByName,
-        (
-            with_parts(placed, "doc_id", group)
-            .where(F.col("parts") > 1)
-            .groupBy("doc_id")
-            .agg(
-                F.percentile_approx("along", [i / splits for i in range(1, splits)]).alias("cuts")
+    # as many ranges as parts, rounded up to one of the powers of two in SPLITS
+    enough = F.least(F.col("parts"), F.lit(SPLITS[-1]))
+    splits = F.element_at(
+        F.filter(F.array(*(F.lit(n) for n in SPLITS)), lambda n: n >= enough), 1
+    )
+    grouped = placed.join(heavy.sided(heavy.table.select("doc_id", splits.alias("splits"))), "doc_id")
+    cuts = grouped.groupBy("doc_id").agg(
+        F.coalesce(
+            *(
+                F.percentile_approx(
+                    F.when(F.col("splits") == n, F.col("along")), [i / n for i in range(1, n)]
+                )
+                for n in SPLITS
             )
-            for splits, group in alike.items()
-        ),
+        ).alias("cuts")
     )
     range_no = F.coalesce(F.size(F.filter("cuts", lambda c: c < F.col("along"))), F.lit(0))
     ranged = (
-        placed.join(F.broadcast(cuts), "doc_id", "left")
+        placed.join(heavy.sided(cuts), "doc_id", "left")
         .withColumn("is_split", F.col("cuts").isNotNull())
         .withColumn("range_no", F.when(F.col("is_split"), range_no).otherwise(0))
         .drop("cuts", "along")
@@ -106,7 +102,7 @@ def _rank_split(rows: DataFrame, heavy: dict) -> DataFrame:
         "doc_id", "range_no", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")
     )
     local = ranged.withColumn("place", F.row_number().over(_in_order("doc_id", "range_no")))
-    return local.join(F.broadcast(offsets), ["doc_id", "range_no"], "left").select(
+    return local.join(heavy.sided(offsets), ["doc_id", "range_no"], "left").select(
         "doc_id",
         "name",
         "occurrences",

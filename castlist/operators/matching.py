@@ -2,9 +2,10 @@
 
 Texts are the bulk of a corpus, so they should not be shuffled without need.
 If all items together are small, which is measured, they are broadcast and
-the texts stay where they are. Else texts and items meet in one shuffle: the
-text arrives first, its items follow in order, and are handled one by one, so
-no document needs a list of its items in memory.
+the texts stay where they are. Else texts and lists of items are joined by
+document. No list is longer than a task can hold: the items of a document with
+more are either dealt out to several tasks, or, where their order matters,
+streamed past the text.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from castlist.operators.skew import with_parts
+from castlist.operators.skew import HeavyKeys, with_parts
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 ROW_OVERHEAD_BYTES = 64
@@ -40,17 +41,31 @@ def fits_broadcast(items: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
 
 
 def with_item_lists(
-    docs: DataFrame, items: DataFrame, columns: list[str], how: str = "left"
+    docs: DataFrame,
+    items: DataFrame,
+    columns: list[str],
+    small: bool,
+    how: str = "left",
+    heavy: HeavyKeys | None = None,
 ) -> DataFrame:
-    """The documents with their ``items``: broadcast form, only for items that fit.
+    """The documents with their ``items``, an array of structs sorted by the columns.
 
-    ``items`` is an array of structs sorted by the given columns, and NULL for
-    a document without any.
+    ``small`` items are broadcast. A document without items has NULL there.
+    With ``heavy`` a document of many items appears several times, each with a
+    share of them; use it only where items do not depend on each other.
     """
-    lists = items.groupBy("doc_id").agg(
+    part = F.pmod(F.xxhash64(*columns), F.col("parts").cast("bigint")).cast("int")
+    dealt = with_parts(items, "doc_id", heavy).withColumn("part", part)
+    lists = dealt.groupBy("doc_id", "part").agg(
         F.sort_array(F.collect_list(F.struct(*columns))).alias("items")
     )
-    return docs.join(F.broadcast(lists), "doc_id", how)
+    if heavy is None:
+        lists, keys = lists.drop("part"), ["doc_id"]
+    else:
+        numbers = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+        docs = with_parts(docs, "doc_id", heavy).withColumn("part", numbers).drop("parts")
+        keys = ["doc_id", "part"]
+    return docs.join(F.broadcast(lists) if small else lists, keys, how)
 
 
 def fold_items(
@@ -60,41 +75,33 @@ def fold_items(
     order: list[Column],
     fold: Fold,
     output: dict[str, str],
-    heavy: dict | None = None,
     carry: tuple[str, ...] = (),
-    partitions: int | None = None,
 ) -> DataFrame:
-    """Shuffled form: run ``fold(text, items)`` for every document.
-
-    ``fold`` gets the item columns as tuples, in the given order, as a stream,
-    and yields tuples for the ``output`` columns (name to "int" or "string").
-    With ``heavy`` (see ``heavy_keys``) the items of a heavy document are dealt
-    out to several tasks, each with a copy of the text; use it only where items
-    do not depend on each other. Items without a document are ignored. String
-    columns of the documents named in ``carry`` appear on each of their rows.
+    """Run ``fold(text, items)`` for every document, over a stream of its items.
+
+    ``fold`` gets the item columns as tuples, in the given order, and yields
+    tuples for the ``output`` columns (name to "int" or "string"). Items without
+    a document are ignored. String columns of the documents named in ``carry``
+    appear on each of their rows.
     """
     item_types = {field.name: field.dataType for field in items.schema}
-    texts = with_parts(docs.select("doc_id", "text", *carry), "doc_id", heavy or {}).select(
+    texts = docs.select(
         "doc_id",
-        F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
         F.lit(0).alias("kind"),
         "text",
         *carry,
         *(F.lit(None).cast(item_types[name]).alias(name) for name in columns),
     )
-    part = F.pmod(F.xxhash64(*columns), F.col("parts").cast("bigint")).cast("int")
-    rows = with_parts(items, "doc_id", heavy or {}).select(
+    rows = items.select(
         "doc_id",
-        part.alias("part"),
         F.lit(1).alias("kind"),
         *(F.lit(None).cast("string").alias(name) for name in ("text", *carry)),
         *columns,
     )
-    keys = ["doc_id", "part"]
     together = (
         texts.unionByName(rows)
-        .repartition(*([partitions, *keys] if partitions else keys))
-        .sortWithinPartitions("doc_id", "part", "kind", *order)
+        .repartition("doc_id")
+        .sortWithinPartitions("doc_id", "kind", *order)
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,11 +121,11 @@ def _fold_batches(
     output: dict[str, str],
 ) -> Iterator[pa.RecordBatch]:
     id_type = pa.null()
-    start = 4 + len(carry)
+    start = 3 + len(carry)
 
     def flat_rows() -> Iterator[tuple]:
         nonlocal id_type
-        names = ["doc_id", "part", "kind", "text", *carry, *columns]
+        names = ["doc_id", "kind", "text", *carry, *columns]
         for batch in batches:
             id_type = batch.schema.field("doc_id").type
             yield from zip(*(batch.column(name).to_pylist() for name in names))
@@ -130,9 +137,9 @@ def _fold_batches(
 
     pending: list[tuple] = []
     size = 0
-    for (doc_id, _), group in groupby(flat_rows(), key=itemgetter(0, 1)):
+    for doc_id, group in groupby(flat_rows(), key=itemgetter(0)):
         first = next(group)
-        kind, text, carried = first[2], first[3], first[4:start]
+        kind, text, carried = first[1], first[2], first[3:start]
         if kind != 0 or text is None:
             continue
         for row in fold(text, (row[start:] for row in group)):

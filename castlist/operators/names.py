@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import islice
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,8 +20,7 @@ except ImportError:  # only a faster way for long texts with many names
 
 # Above this many character comparisons (names x text length) one pass of an
 # automaton beats one search per name.
-AUTOMATON_WORK = 200_000_000
-NAMES_AT_ONCE = 10_000
+AUTOMATON_WORK = 200_000
 
 
 def parse_replies(responses: DataFrame) -> DataFrame:
@@ -136,42 +132,25 @@ def count_occurrences(
     names: DataFrame,
     broadcast_bytes: int = matching.BROADCAST_BYTES,
     rows_per_task: int = ROWS_PER_TASK,
-    partitions: int | None = None,
 ) -> DataFrame:
     """Rows (doc_id, name, occurrences) for distinct (doc_id, name) rows.
 
-    Counted in the whole text of the document; zero counts are kept. Reads
-    ``names`` twice (once to measure it), so pass a stored table. If the texts
-    must be shuffled, ``partitions`` is their number of partitions (default:
-    ``spark.sql.shuffle.partitions``).
+    Counted in the whole text of the document; zero counts are kept. ``names``
+    is measured first and so read more than once: pass a stored table.
     """
     items = names.select("doc_id", "name")
-    if matching.fits_broadcast(items, broadcast_bytes):
-        listed = matching.with_item_lists(docs.select("doc_id", "text"), items, ["name"], "inner")
-        lists = listed.select("doc_id", "text", F.col("items.name").alias("names"))
-        counted = lists.select(
-            "doc_id", "names", count_in_text(F.col("text"), F.col("names")).alias("counts")
-        )
-        pairs = F.zip_with(
-            "names", "counts", lambda name, n: F.struct(name.alias("name"), n.alias("occurrences"))
-        )
-        return inline_structs(counted, ["doc_id"], pairs, "name")
-
-    def count_each(text: str, rows: Iterator[tuple]) -> Iterator[tuple]:
-        while some := [name for (name,) in islice(rows, NAMES_AT_ONCE)]:
-            yield from zip(some, count_all(text, some))
-
-    heavy = heavy_keys(items, "doc_id", rows_per_task)
-    return matching.fold_items(
-        docs,
-        items,
-        ["name"],
-        [F.col("name")],
-        count_each,
-        {"name": "string", "occurrences": "int"},
-        heavy,
-        partitions=partitions,
+    small = matching.fits_broadcast(items, broadcast_bytes)
+    heavy = None if small else heavy_keys(items, "doc_id", rows_per_task)
+    texts = docs.select("doc_id", "text")
+    listed = matching.with_item_lists(texts, items, ["name"], small, "inner", heavy)
+    lists = listed.select("doc_id", "text", F.col("items.name").alias("names"))
+    counted = lists.select(
+        "doc_id", "names", count_in_text(F.col("text"), F.col("names")).alias("counts")
+    )
+    pairs = F.zip_with(
+        "names", "counts", lambda name, n: F.struct(name.alias("name"), n.alias("occurrences"))
     )
+    return inline_structs(counted, ["doc_id"], pairs, "name")
 
 
 def chunk_summary(parsed: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from castlist.operators import matching
 from castlist.operators.rows import inline_structs
+from castlist.operators.skew import ROWS_PER_TASK, heavy_keys
 
 
 def replace_in_turn(text: str, mappings: Iterable[tuple[str, str]]) -> Iterator[tuple]:
@@ -23,10 +24,12 @@ def replace_in_turn(text: str, mappings: Iterable[tuple[str, str]]) -> Iterator[
     for step, (original, replacement) in enumerate(mappings, 1):
         if not original:
             raise ValueError("a mapping needs a non-empty original")
-        n = text.count(original)
-        total += n
+        # counting and replacing in one search of the text
+        pieces = text.split(original)
+        n = len(pieces) - 1
         if n:
-            text = text.replace(original, replacement)
+            text = replacement.join(pieces)
+            total += n
         yield step, original, n, None
     yield step, None, total, text
 
@@ -54,8 +57,8 @@ def apply_replacements(
     docs: DataFrame,
     mappings: DataFrame,
     broadcast_bytes: int = matching.BROADCAST_BYTES,
+    rows_per_task: int = ROWS_PER_TASK,
     carry: tuple[str, ...] = (),
-    partitions: int | None = None,
 ) -> DataFrame:
     """Rows (doc_id, *carry, step, original, n, text) for documents and their mappings.
 
@@ -67,11 +70,12 @@ def apply_replacements(
     A document without mappings yields its text unchanged. ``carry`` names
     string columns of the documents to keep on their rows.
 
-    The steps of one document depend on each other and so run in one task, but
-    as a stream. Reads ``mappings`` twice (once to measure it), so pass a
-    stored table. If the texts must be shuffled, ``partitions`` is their number
-    of partitions (default: ``spark.sql.shuffle.partitions``).
+    The steps of one document depend on each other and so run in one task; if
+    a document has more than rows_per_task of them, they come as a stream.
+    ``mappings`` is measured first and so read more than once: pass a stored
+    table.
     """
+    texts = docs.select("doc_id", "text", *carry)
     items = mappings.select(
         "doc_id",
         (-F.char_length("original")).alias("minus_length"),
@@ -79,17 +83,16 @@ def apply_replacements(
         "original",
         "replacement",
     )
-    if matching.fits_broadcast(items, broadcast_bytes):
-        listed = matching.with_item_lists(docs.select("doc_id", "text", *carry), items, ORDER)
-        return inline_structs(
-            listed, ["doc_id", *carry], _replace_listed("text", "items"), "step"
-        )
+    small = matching.fits_broadcast(items, broadcast_bytes)
+    if not small and heavy_keys(items, "doc_id", rows_per_task) is not None:
 
-    def fold(text: str, rows: Iterator[tuple]) -> Iterator[tuple]:
-        return replace_in_turn(text, ((row[2], row[3]) for row in rows))
+        def fold(text: str, rows: Iterator[tuple]) -> Iterator[tuple]:
+            return replace_in_turn(text, ((row[2], row[3]) for row in rows))
 
-    order = [F.col("minus_length"), F.col("rank")]
-    return matching.fold_items(docs, items, ORDER, order, fold, OUTPUT, carry=carry, partitions=partitions)
+        order = [F.col("minus_length"), F.col("rank")]
+        return matching.fold_items(texts, items, ORDER, order, fold, OUTPUT, carry)
+    listed = matching.with_item_lists(texts, items, ORDER, small)
+    return inline_structs(listed, ["doc_id", *carry], _replace_listed("text", "items"), "step")
 
 
 def replaced_texts(applied: DataFrame) -> DataFrame:

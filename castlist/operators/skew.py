@@ -2,40 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key with more rows than one task should sort is split. At most MAX_HEAVY
-# keys are fetched: any key beyond the largest MAX_HEAVY holds less than one
-# part in MAX_HEAVY of all rows, so it needs no splitting.
+from castlist.session import cut_lineage
+
+# A key with more rows than one task should hold or sort is split into parts.
 ROWS_PER_TASK = 1_000_000
-MAX_HEAVY = 1000
+# Tables with an entry per heavy key are broadcast up to this many keys.
+BROADCAST_KEYS = 1000
+
+
+@dataclass(frozen=True)
+class HeavyKeys:
+    """A stored table (key, parts) of all keys that need splitting."""
+
+    table: DataFrame
+    count: int
+
+    def sided(self, per_key: DataFrame) -> DataFrame:
+        """A table bounded per heavy key, hinted for broadcast if the keys are few."""
+        return F.broadcast(per_key) if self.count <= BROADCAST_KEYS else per_key
 
 
-def heavy_keys(
-    df: DataFrame, key: str, rows_per_task: int = ROWS_PER_TASK, weight: Column | None = None
-) -> dict:
-    """{key: number of parts} for the heaviest keys; empty if all are light.
+def heavy_keys(df: DataFrame, key: str, rows_per_task: int = ROWS_PER_TASK) -> HeavyKeys | None:
+    """All keys with more than rows_per_task rows; None, as usual, if there are none.
 
-    One partially aggregated pass over the key column (and the weight).
+    One partially aggregated pass over the key column.
     """
-    size = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    heavy = (
-        df.groupBy(key)
-        .agg(size.alias("size"))
-        .where(F.col("size") > rows_per_task)
-        .orderBy(F.desc("size"))
-        .limit(MAX_HEAVY)
+    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("size"))
+    heavy = sizes.where(F.col("size") > rows_per_task).select(
+        key, F.ceil(F.col("size") / rows_per_task).cast("int").alias("parts")
     )
-    return {row[key]: -(-row["size"] // rows_per_task) for row in heavy.collect()}
+    table = cut_lineage(heavy)
+    count = table.count()
+    return HeavyKeys(table, count) if count else None
 
 
-def with_parts(df: DataFrame, key: str, heavy: dict) -> DataFrame:
+def with_parts(df: DataFrame, key: str, heavy: HeavyKeys | None) -> DataFrame:
     """Add ``parts``, the number of parts of each row's key (1 if it is light)."""
-    if not heavy:
+    if heavy is None:
         return df.withColumn("parts", F.lit(1))
-    id_type = df.schema[key].dataType.simpleString()
-    listed = df.sparkSession.createDataFrame(list(heavy.items()), f"{key} {id_type}, parts int")
-    # at most MAX_HEAVY rows
-    joined = df.join(F.broadcast(listed), key, "left")
+    joined = df.join(heavy.sided(heavy.table), key, "left")
     return joined.withColumn("parts", F.coalesce("parts", F.lit(1)))

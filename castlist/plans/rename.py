@@ -10,10 +10,7 @@ from castlist.operators import mapping, matching, replacing
 
 
 def export_documents(
-    docs: DataFrame,
-    rows: DataFrame,
-    broadcast_bytes: int = matching.BROADCAST_BYTES,
-    partitions: int | None = None,
+    docs: DataFrame, rows: DataFrame, broadcast_bytes: int = matching.BROADCAST_BYTES
 ) -> DataFrame:
     """Rows (doc_id, path, encoding, text, n_names, total) to save.
 
@@ -24,7 +21,7 @@ def export_documents(
     """
     edited = mapping.edited_mappings(rows)
     applied = replacing.apply_replacements(
-        docs, edited, broadcast_bytes, ("path", "encoding"), partitions
+        docs, edited, broadcast_bytes, carry=("path", "encoding")
     )
     renamed = replacing.replaced_texts(applied).where(F.col("n_names") > 0)
     return renamed.withColumn("path", processed_path(F.col("path")))

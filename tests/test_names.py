@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from castlist.operators import names
+from castlist.operators import names, skew
 from castlist.operators.skew import heavy_keys
 
 RESPONSES = "doc_id bigint, chunk_idx int, response string, error_class string, error string"
@@ -118,5 +118,13 @@ def test_summaries(spark):
 
 def test_heavy_keys(spark):
     df = spark.range(1000).select(F.when(F.col("id") < 400, 7).otherwise(F.col("id")).alias("k"))
-    assert heavy_keys(df, "k", 100) == {7: 4}
-    assert heavy_keys(df, "k") == {}
+    heavy = heavy_keys(df, "k", 100)
+    assert (heavy.count, [tuple(row) for row in heavy.table.collect()]) == (1, [(7, 4)])
+    assert heavy_keys(df, "k") is None
+
+
+def test_heavy_keys_may_be_too_many_to_broadcast(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(skew, "BROADCAST_KEYS", 0)
+    table = spark.createDataFrame([(d, n) for d, n, _ in NAMES], "doc_id bigint, name string")
+    counted = names.count_occurrences(docs_of(*TEXTS), table, 0, 1)
+    assert {tuple(row) for row in counted.collect()} == set(NAMES)

@@ -5,11 +5,12 @@ import pytest
 from castlist.operators import replacing
 
 MAPPINGS = "doc_id bigint, original string, replacement string, rank int"
-BROADCAST = pytest.mark.parametrize("limit", [1 << 20, 0])
+# broadcast, joined, streamed
+BROADCAST = pytest.mark.parametrize("limits", [(1 << 20, 10**6), (0, 10**6), (0, 1)])
 
 
-def apply(spark, docs, rows, limit):
-    applied = replacing.apply_replacements(docs, spark.createDataFrame(rows, MAPPINGS), limit)
+def apply(spark, docs, rows, limits):
+    applied = replacing.apply_replacements(docs, spark.createDataFrame(rows, MAPPINGS), *limits)
     texts = {row.doc_id: row for row in replacing.replaced_texts(applied).collect()}
     counts = {}
     for row in replacing.replacement_counts(applied).orderBy("doc_id", "step").collect():
@@ -38,14 +39,14 @@ CASES = [
 
 
 @BROADCAST
-def test_cases(spark, docs_of, limit):
+def test_cases(spark, docs_of, limits):
     docs = docs_of(*(text for text, *_ in CASES))
     rows = [
         (i, original, replacement, rank)
         for i, (_, pairs, *_) in enumerate(CASES)
         for rank, (original, replacement) in enumerate(pairs)
     ]
-    texts, counts = apply(spark, docs, rows, limit)
+    texts, counts = apply(spark, docs, rows, limits)
     for i, (_, pairs, after, expected) in enumerate(CASES):
         assert texts[i].text == after
         assert (texts[i].n_names, texts[i].total) == (len(pairs), sum(expected))
@@ -53,7 +54,7 @@ def test_cases(spark, docs_of, limit):
 
 
 @BROADCAST
-def test_random_chains(spark, docs_of, limit):
+def test_random_chains(spark, docs_of, limits):
     rng = random.Random(11)
     texts = ["".join(rng.choices("ab张c ", k=rng.randint(0, 80))) for _ in range(200)]
     rows, expected = [], []
@@ -68,16 +69,16 @@ def test_random_chains(spark, docs_of, limit):
             text = text.replace(names[k], news[k])
         expected.append((text, tally))
     rng.shuffle(rows)
-    found, counts = apply(spark, docs_of(*texts).repartition(4), rows, limit)
+    found, counts = apply(spark, docs_of(*texts).repartition(4), rows, limits)
     for i, (text, tally) in enumerate(expected):
         assert found[i].text == text
         assert list(counts[i].items()) == list(tally.items())
 
 
 @BROADCAST
-def test_empty_original_is_refused(spark, docs_of, limit):
+def test_empty_original_is_refused(spark, docs_of, limits):
     with pytest.raises(Exception, match="non-empty original"):
-        apply(spark, docs_of("abc"), [(0, "", "x", 1)], limit)
+        apply(spark, docs_of("abc"), [(0, "", "x", 1), (0, "a", "b", 2)], limits)
 
 
 def test_summary(spark):
