@@ -42,15 +42,13 @@ ORDER = ["minus_length", "rank", "original", "replacement"]
 
 
 @F.arrow_udf(T.ArrayType(STEP))
-def _replace_listed(texts: pa.Array, items: pa.Array) -> pa.Array:
+def _replace_listed(texts: pa.Array, originals: pa.Array, replacements: pa.Array) -> pa.Array:
     kind = pa.struct([(name, matching.ARROW_TYPES[type_]) for name, type_ in OUTPUT.items()])
-
-    def results(text: str, listed: list[dict] | None) -> list[tuple]:
-        pairs = ((m["original"], m["replacement"]) for m in listed or ())
-        return list(replace_in_turn(text, pairs))
-
-    rows = zip(texts.to_pylist(), items.to_pylist())
-    return pa.array((None if t is None else results(t, m) for t, m in rows), pa.list_(kind))
+    rows = zip(texts.to_pylist(), originals.to_pylist(), replacements.to_pylist())
+    return pa.array(
+        (None if t is None else list(replace_in_turn(t, zip(a or (), b or ()))) for t, a, b in rows),
+        pa.list_(kind),
+    )
 
 
 def apply_replacements(
@@ -92,7 +90,8 @@ def apply_replacements(
         order = [F.col("minus_length"), F.col("rank")]
         return matching.fold_items(texts, items, ORDER, order, fold, OUTPUT, carry)
     listed = matching.with_item_lists(texts, items, ORDER, small)
-    return inline_structs(listed, ["doc_id", *carry], _replace_listed("text", "items"), "step")
+    applied = _replace_listed("text", F.col("items.original"), F.col("items.replacement"))
+    return inline_structs(listed, ["doc_id", *carry], applied, "step")
 
 
 def replaced_texts(applied: DataFrame) -> DataFrame:
