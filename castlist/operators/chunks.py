@@ -101,7 +101,9 @@ def _cutter(max_bytes: int):
     def cut(sizes: pa.Array, runs: pa.Array, overlong: pa.Array) -> pa.Array:
         rows = zip(sizes.to_pylist(), runs.to_pylist(), overlong.to_pylist())
         kind = pa.struct([("first", pa.int32()), ("n", pa.int32()), ("piece", pa.string())])
-        return pa.array((pack(*row, max_bytes) for row in rows), pa.list_(kind))
+        return pa.array(
+            (None if row[0] is None else pack(*row, max_bytes) for row in rows), pa.list_(kind)
+        )
 
     return cut
 

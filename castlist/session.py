@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from functools import cache
 from pathlib import Path
 from uuid import uuid4
 from zipfile import ZipFile
@@ -45,10 +46,9 @@ def ship_package(spark: SparkSession) -> SparkSession:
 def cut_lineage(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write a result down once, as a Parquet table, and go on from the copy.
 
-    Without a path the table goes into the folder the cluster names in
-    ``spark.checkpoint.dir``; only a local session without that setting gets a
-    temporary folder. Unlike an eager checkpoint, which runs its plan a second
-    time to store it, this runs the plan once, so no request is made twice.
+    Without a path the table goes into ``shared_folder``. Unlike an eager
+    checkpoint, which runs its plan a second time to store it, this runs the
+    plan once, so no request is made twice. The caller removes the tables.
     """
     spark = df.sparkSession
     target = path or f"{shared_folder(spark)}/castlist-{uuid4().hex}"
@@ -57,11 +57,18 @@ def cut_lineage(df: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``."""
+    """The folder the cluster names in ``spark.checkpoint.dir``.
+
+    Only a local session without that setting gets a temporary folder.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None and spark.sparkContext.master.startswith("local"):
-        folder = tempfile.mkdtemp(prefix="castlist-tables-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = _temporary_folder()
     if folder is None:
         raise ValueError("set spark.checkpoint.dir to a shared folder")
     return folder.rstrip("/")
+
+
+@cache
+def _temporary_folder() -> str:
+    return tempfile.mkdtemp(prefix="castlist-tables-")

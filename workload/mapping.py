@@ -57,6 +57,18 @@ def ranked_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mappings.rank_names(names.unionByName(unseen), cut_lineage(counts))
 
 
+@query(
+    f"""
+    WITH {RANKED_SQL}
+    SELECT doc_id, name, occurrences, rank FROM ranked
+    """
+)
+def ranked_rows_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The form for documents with more names than one task should sort."""
+    counts = cut_lineage(ranked(spark, sf_dir).drop("rank"))
+    return mappings.rank_names(counts, rows_per_task=10)
+
+
 TOP_SQL = f"""
     WITH {RANKED_SQL}
     SELECT doc_id, name, occurrences, rank FROM ranked WHERE rank <= 3
@@ -254,6 +266,12 @@ def replaced_text_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replaced_rows(applied(spark, sf_dir, broadcast_bytes=0))
 
 
+@query(REPLACED_SQL)
+def replaced_text_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The form for documents with more mappings than one task should hold."""
+    return replaced_rows(applied(spark, sf_dir, broadcast_bytes=0, rows_per_task=10))
+
+
 @query(
     f"""
     WITH {MAPPINGS_SQL}

@@ -383,6 +383,14 @@ def name_counts_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return naming.count_occurrences(docs, stored_names(spark, sf_dir), broadcast_bytes=0)
 
 
+@query(f"WITH {OWN_COUNTS_SQL} SELECT doc_id, name, occurrences FROM counts")
+def name_counts_dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The form for documents with more names than one task should hold."""
+    docs = documents(spark, sf_dir)
+    names = stored_names(spark, sf_dir)
+    return naming.count_occurrences(docs, names, broadcast_bytes=0, rows_per_task=10)
+
+
 @query(
     f"""
     WITH {OWN_COUNTS_SQL}
