@@ -54,8 +54,6 @@ def is_indented(line: Column) -> Column:
 
 _title_start = re.compile(f"第[{NUMERALS}]+[{UNITS}]")
 _title_so_far = re.compile(f"第[{NUMERALS}]*")
-_line_ended = re.compile(f"[{ENDINGS}][{CLOSERS}]*$")
-_only_closers = re.compile(f"[{CLOSERS}]+")
 _indented = re.compile(f"[{INDENT}]{{2,}}\\S")
 _ASCII_WORD = frozenset("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
@@ -71,7 +69,7 @@ def repair_layout_text(text: str) -> str:
     gap = False  # blank line seen since the last text line
     ended = False  # the paragraph so far ends a sentence
     titled = False  # the paragraph so far is a chapter title
-    opening = ""  # its first characters, while they may still become a title
+    opening: str | None = ""  # its start, while it may still become a title
     last = ""  # its last character
     for raw in text.replace("\r\n", "\n").replace("\r", "\n").split("\n"):
         line = raw.strip(INDENT)
@@ -92,13 +90,16 @@ def repair_layout_text(text: str) -> str:
         else:
             if last in _ASCII_WORD and line[0] in _ASCII_WORD:
                 glue = " "
-            opening = (opening + glue + line).lstrip(WHITESPACE) if opening is not None else None
+            if opening is not None:
+                opening = (opening + glue + line).lstrip(WHITESPACE)
             out.append(glue + line)
         if opening is not None:
             titled = _title_start.match(opening) is not None
             if opening and not _title_so_far.fullmatch(opening):
                 opening = None  # decided for the rest of the paragraph
-        ended = bool(_line_ended.search(line)) or (ended and bool(_only_closers.fullmatch(line)))
+        # a line of nothing but closing marks leaves a sentence as ended as it was
+        spoken = line.rstrip(CLOSERS)
+        ended = spoken[-1] in ENDINGS if spoken else ended
         last = line[-1]
         gap = False
     return "".join(out)

@@ -24,7 +24,7 @@ AUTOMATON_WORK = 200_000
 
 
 def parse_replies(responses: DataFrame) -> DataFrame:
-    """Rows (doc_id, chunk_idx, names, error_class, error).
+    """Rows (doc_id, chunk_idx, response, names, error_class, error).
 
     ``names`` is NULL where the request failed or its reply is unreadable.
     """
@@ -33,6 +33,7 @@ def parse_replies(responses: DataFrame) -> DataFrame:
     return read.select(
         "doc_id",
         "chunk_idx",
+        "response",
         "names",
         F.when(unreadable, F.lit("ValueError")).otherwise(F.col("error_class")).alias("error_class"),
         F.when(unreadable, replies.unreadable_reply(F.col("response")))

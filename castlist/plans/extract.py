@@ -14,10 +14,13 @@ from castlist.session import cut_lineage
 
 @dataclass(frozen=True)
 class Extraction:
-    """What an extraction leaves: all tables are keyed by doc_id."""
+    """What an extraction leaves: all tables are keyed by doc_id.
 
-    responses: DataFrame
-    parsed: DataFrame
+    ``replies`` is stored: (doc_id, chunk_idx, response, names, error_class,
+    error), one row per chunk.
+    """
+
+    replies: DataFrame
     outcome: DataFrame
     ranked: DataFrame
 
@@ -29,21 +32,20 @@ def extract_names(
     template: str = scoring.DEFAULT_PROMPT,
     interval: float = 0.0,
     partitions: int | None = None,
-    responses_path: str | None = None,
+    replies_path: str | None = None,
     names_path: str | None = None,
 ) -> Extraction:
     """Run the whole extraction over (doc_id, text).
 
-    The replies are written down once, because they are expensive and may
-    differ when asked again; so are the distinct names, which are read several
-    times. ``ranked`` holds (doc_id, name, occurrences, rank) of the documents
+    The replies are written down once, with the names read from them, because
+    they are expensive and may differ when asked again; so are the distinct
+    names, which are read several times. ``ranked`` holds (doc_id, name, occurrences, rank) of the documents
     whose outcome is ok; a document without chunks has an ok outcome too.
     """
     chunked = chunks.split_into_chunks(docs, max_bytes)
     answered = scoring.score_chunks(chunked, make_fn, template, interval, partitions)
-    responses = cut_lineage(answered, responses_path)
-    parsed = names.parse_replies(responses)
-    ended = names.run_outcome(parsed)
+    replies = cut_lineage(names.parse_replies(answered), replies_path)
+    ended = names.run_outcome(replies)
     outcome = docs.select("doc_id").join(ended, "doc_id", "left").select(
         "doc_id",
         *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_chunks", "n_failed", "n_names")),
@@ -52,7 +54,7 @@ def extract_names(
         "details",
     )
     aborted = ended.where(F.col("status") == "rate_limited").select("doc_id")
-    distinct = names.dedupe_names(parsed).join(aborted, "doc_id", "left_anti")
+    distinct = names.dedupe_names(replies).join(aborted, "doc_id", "left_anti")
     found = cut_lineage(distinct, names_path)
     counted = names.count_occurrences(docs, found)
-    return Extraction(responses, parsed, outcome, mapping.rank_names(cut_lineage(counted)))
+    return Extraction(replies, outcome, mapping.rank_names(cut_lineage(counted)))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-def read_table(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
-    """A Parquet table, spread over all cores by ``key`` if it is small.
+def read_table(spark: SparkSession, path: str, *key: str) -> DataFrame:
+    """A Parquet table, spread over all cores by its unique ``key`` if it is small.
 
     A small file is read by a few tasks only, often by one, which is too slow
     for the text functions. A table with a scan partition for every core is
@@ -14,6 +14,6 @@ def read_table(spark: SparkSession, path: str, key: str | None = None) -> DataFr
     """
     table = spark.read.parquet(path)
     cores = spark.sparkContext.defaultParallelism
-    if key is None or table.rdd.getNumPartitions() >= cores:
+    if not key or table.rdd.getNumPartitions() >= cores:
         return table
-    return table.repartition(cores, key)
+    return table.repartition(cores, *key)

@@ -125,5 +125,4 @@ def test_whole_extraction(spark, docs_of, tmp_path, partitions):
     assert ranked == {
         (0, "Alice", 2, 1), (0, "Bob", 2, 2), (0, "Bobby", 1, 3), (4, "Zoe", 2, 1),
     }
-    done.parsed.count()
-    assert len(open(log).read()) == done.responses.count()
+    assert len(open(log).read()) == done.replies.count() == 6

@@ -41,7 +41,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns in the shape of chunks: (doc_id, chunk_idx, chunk)."""
-    table = read_table(spark, f"{sf_dir}/conversations.parquet", "conv_id")
+    table = read_table(spark, f"{sf_dir}/conversations.parquet", "conv_id", "turn")
     return table.selectExpr(
         "conv_id AS doc_id", "CAST(turn AS INT) AS chunk_idx", "text AS chunk"
     )
