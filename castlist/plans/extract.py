@@ -37,11 +37,15 @@ def extract_names(
 ) -> Extraction:
     """Run the whole extraction over (doc_id, text).
 
+    The requests are spread evenly over ``partitions`` (default:
+    ``spark.sql.shuffle.partitions``), so a long document does not hold one task.
     The replies are written down once, with the names read from them, because
     they are expensive and may differ when asked again; so are the distinct
     names, which are read several times. ``ranked`` holds (doc_id, name, occurrences, rank) of the documents
     whose outcome is ok; a document without chunks has an ok outcome too.
     """
+    if partitions is None:
+        partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chunked = chunks.split_into_chunks(docs, max_bytes)
     answered = scoring.score_chunks(chunked, make_fn, template, interval, partitions)
     replies = cut_lineage(names.parse_replies(answered), replies_path)
