@@ -1,15 +1,18 @@
 import pytest
 
 import __spark_entry__ as entry_points
+import workload
 from tests.oracle import differences
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES = entry_points.queries()
-ORACLES = entry_points.oracle_sql()
+QUERIES = workload.QUERIES
+ORACLES = workload.ORACLES
 
 
-def test_every_query_has_sql():
+def test_every_query_has_sql_and_is_registered():
     assert QUERIES.keys() == ORACLES.keys()
+    assert QUERIES.keys() <= entry_points.queries().keys()
+    assert ORACLES.keys() <= entry_points.oracle_sql().keys()
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
