@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from castlist.llm import chat, line_dedup, sharding
+import public_tokenizers
+
+from castlist.llm import bpe, chat, decontamination, line_dedup, sharding
 from castlist.llm.common import LOWER, SPACES, UPPER, read
 from castlist.session import ship_package
 
@@ -44,6 +46,68 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(docs, SHARDS, ["doc_id"])
 
 
+@query()
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of every document and the text they stand for."""
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = docs.select("doc_id", bpe.encode(F.col("text"), path, pattern).alias("ids"))
+    decoded = encoded.withColumn("decoded", bpe.decode(F.col("ids"), path, pattern))
+    return decoded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query(r"""
+WITH item_words AS (
+    SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                       '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM benchmark WHERE text IS NOT NULL
+), sized AS (
+    SELECT item_id, w, least(len(w), 10) AS n FROM item_words WHERE len(w) > 0
+), windows AS (
+    SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS k
+    FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM sized)
+), lengths AS (
+    SELECT DISTINCT n FROM windows
+), doc_words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM documents
+), places AS (
+    SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS k
+    FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM doc_words, lengths WHERE len(w) >= n)
+), found AS (
+    SELECT doc_id, item_id, i, places.n FROM places JOIN windows USING (k) WHERE places.n = windows.n
+), hit AS (
+    SELECT doc_id, count(DISTINCT p) AS n_hit
+    FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM found) GROUP BY doc_id
+), met AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+    FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id
+)
+SELECT doc_words.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc_words LEFT JOIN hit USING (doc_id) LEFT JOIN met USING (doc_id)
+""")
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which words of every document stand in a benchmark item."""
+    docs, items = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
+    found = decontamination.report(docs, items, window=10)
+    names = F.array_sort(F.transform("items", lambda i: i.cast("string")))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 @query(f"""
 WITH lines AS (
     SELECT doc_id, generate_subscripts(parts, 1) AS pos, unnest(parts) AS line
