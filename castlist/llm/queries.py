@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from castlist.llm import bpe, chat, decontamination, line_dedup, sharding
+from castlist.llm import bpe, chat, decontamination, line_dedup, sharding, simhash
 from castlist.llm.common import LOWER, SPACES, UPPER, read
 from castlist.session import ship_package
 
@@ -130,6 +130,14 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+@query()
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint of every document and the component it belongs to."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = simhash.near_groups(docs, size=3, radius=3)
+    return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+
+
 # Texts of a conversation that hold the marks of templates.
 MARKED_TURNS = [(-7, turn, role, r"\### Assistant: </turn> ok") for turn, role in enumerate(("user", "assistant"))]
 
