@@ -36,7 +36,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-KEPT = 200_000
+KEPT = 400_000
 LONG_PIECE = 64
 LONG_TEXT = 1 << 20
 
@@ -184,10 +184,10 @@ class Codec:
         return b"".join(parts)
 
     def decode(self, packed: bytes) -> bytes:
-        table, parts = self.encoder.tokens, []
+        token, parts = self.encoder.tokens.__getitem__, []
         for at in range(0, len(packed), 4 * LONG_TEXT):
             ids = np.frombuffer(packed[at : at + 4 * LONG_TEXT], "<u4").tolist()
-            parts.append(b"".join([table[i] for i in ids]))
+            parts.append(b"".join(map(token, ids)))
         return b"".join(parts)
 
 
@@ -202,7 +202,7 @@ def encode(text: Column, path: str, pattern: str) -> Column:
     @F.arrow_udf(BinaryType())
     def encoded(texts: pa.Array) -> pa.Array:
         codec = _codec(path, pattern)
-        return pa.array([codec.encode(t.as_py() or "") for t in texts], pa.binary())
+        return pa.array([codec.encode(t or "") for t in texts.to_pylist()], pa.binary())
 
     return encoded(text)
 
@@ -213,6 +213,6 @@ def decode(packed: Column, path: str, pattern: str) -> Column:
     @F.arrow_udf(BinaryType())
     def decoded(ids: pa.Array) -> pa.Array:
         codec = _codec(path, pattern)
-        return pa.array([codec.decode(i.as_py() or b"") for i in ids], pa.binary())
+        return pa.array([codec.decode(i or b"") for i in ids.to_pylist()], pa.binary())
 
     return decoded(packed)
