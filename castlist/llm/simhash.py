@@ -35,7 +35,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from castlist.llm.common import SPACES, lowered
@@ -43,13 +43,13 @@ from castlist.llm.components import components
 from castlist.session import cut_lineage
 
 SEED = 42
-SAMPLE = 2048
+SAMPLE = 1024
 CROWD = 8192
 SMALL = 8
 # Relative cost of sending a row to a value and of comparing two rows there.
 ROW_COST, PAIR_COST = 1.0, 0.02
 
-_HALVES = 1 << 16
+_STRIP = 255 << 8
 
 
 def shingle_hashes(text: bytes, size: int) -> np.ndarray:
@@ -78,19 +78,27 @@ def _planes(hashes: np.ndarray, planes: int) -> Iterator[np.ndarray]:
         yield x ^ (x >> np.uint64(31))
 
 
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each of the 64 bits, most significant first."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), _STRIP):
+        octets = hashes[at : at + _STRIP].astype(">u8").view(np.uint8).reshape(-1, 8)
+        bits = np.unpackbits(octets, axis=1)
+        # Sums of 255 bits fit a byte.
+        whole = len(bits) // 255 * 255
+        sums = bits[:whole].reshape(-1, 255, 64).sum(axis=1, dtype=np.uint8)
+        counts += sums.sum(axis=0, dtype=np.int64) + bits[whole:].sum(axis=0, dtype=np.uint8)
+    return counts
+
+
 def fingerprint(text: bytes, size: int, planes: int = 1, distinct: bool = False) -> bytes:
     """64 bits for each plane, most significant first."""
     hashes = shingle_hashes(text, size)
     if distinct:
         hashes = np.unique(hashes)
-    out = []
-    for plane in _planes(hashes, planes):
-        counts = np.zeros(64, np.int64)
-        for at in range(0, len(plane), _HALVES):
-            octets = plane[at : at + _HALVES].astype(">u8").view(np.uint8).reshape(-1, 8)
-            counts += np.unpackbits(octets, axis=1).sum(axis=0, dtype=np.int64)
-        out.append(np.packbits(2 * counts > len(plane)).tobytes())
-    return b"".join(out)
+    return b"".join(
+        np.packbits(2 * bit_counts(plane) > len(plane)).tobytes() for plane in _planes(hashes, planes)
+    )
 
 
 def fingerprints(docs: DataFrame, size: int, planes: int = 1, distinct: bool = False) -> DataFrame:
@@ -123,11 +131,14 @@ def group_bits(bits: np.ndarray, n_parts: int) -> list[list[int]]:
     free, parts = set(range(width)), []
     for i in range(n_parts):
         left = sorted(free)
-        members = [max(left, key=lambda b: related[b, left].sum())]
+        members = [left[int(related[np.ix_(left, left)].sum(axis=1).argmax())]]
+        affinity = related[members[0]].copy()
         free.remove(members[0])
         while len(members) < (width + i) // n_parts:
-            best = max(sorted(free), key=lambda b: related[b, members].sum())
+            left = sorted(free)
+            best = left[int(affinity[left].argmax())]
             members.append(best)
+            affinity += related[best]
             free.remove(best)
         parts.append(sorted(members))
     return parts
@@ -190,8 +201,8 @@ def plan(sample: list[bytes], n: int, units: int) -> list[tuple[list[int], int]]
 # ---- Probing ----------------------------------------------------------------------------
 
 
-def probe(groups: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
-    """(part, value, id, fp): a row for every value that a fingerprint is sent to."""
+def probe(groups: DataFrame, parts: list[tuple[list[int], int]], carried: int) -> DataFrame:
+    """(part, value, id, fp): a row for every value that a fingerprint is sent to, with the first ``carried`` bytes."""
     masks = []
     for part, u in parts:
         flips = [0]
@@ -206,7 +217,9 @@ def probe(groups: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
             for at in range(0, len(whole), step):
                 batch = whole.slice(at, step)
                 ids, fps = batch.column(0), batch.column(1)
-                bits = bits_of(fps.to_pylist()).astype(np.uint64)
+                whole_fps = fps.to_pylist()
+                bits = bits_of(whole_fps).astype(np.uint64)
+                fps = pa.array([fp[:carried] for fp in whole_fps], pa.binary())
                 for i, (part, _) in enumerate(parts):
                     own = (bits[:, part] << np.arange(len(part), dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
                     values = (own[:, None] ^ masks[i]).ravel().view(np.int64)
@@ -309,8 +322,11 @@ def compare(probes: DataFrame, keys: list[str], radius: int) -> DataFrame:
     return near.select(*keys, "id", "fp").mapInArrow(run, "a long, b long, distance int")
 
 
-def links(groups: DataFrame, radius: int, units: int) -> DataFrame:
-    """(a, b, distance) of rows (id, fp) with distinct fingerprints: links that connect what lies within the radius."""
+def links(groups: DataFrame, radius: int, units: int, compared: int) -> DataFrame:
+    """(a, b, distance) of rows (id, fp) with distinct fingerprints: links that connect what lies within the radius.
+
+    Distances are those of the first ``compared`` bytes of the fingerprints.
+    """
     groups = groups.where(F.col("id").isNotNull())
     n = groups.count()
     share = min(1.0, SAMPLE / max(n, 1))
@@ -318,7 +334,7 @@ def links(groups: DataFrame, radius: int, units: int) -> DataFrame:
     sample = [bytes(row.fp) for row in picked.select("fp").limit(2 * SAMPLE).collect()]
     if not sample:
         return groups.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0).alias("distance"))
-    probes = probe(groups, plan(sample, n, units))
+    probes = probe(groups, plan(sample, n, units), compared)
     keys = ["part", "value"]
     crowds = probes.groupBy(*keys).agg(F.count("*").alias("crowd")).where(F.col("crowd") > CROWD)
     crowds = cut_lineage(crowds)
@@ -344,25 +360,27 @@ def near_groups(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFrame:
     """(doc_id, fp, component_id): the smallest doc_id that links of at most ``radius`` bits lead to."""
     marks = cut_lineage(fingerprints(docs, size))
     groups = cut_lineage(marks.groupBy("fp").agg(F.min("doc_id").alias("id")))
-    found = components(links(groups, radius, radius + 1).select("a", "b"))
+    found = components(links(groups, radius, radius + 1, 8).select("a", "b"))
     named = groups.join(found, F.col("id") == F.col("node"), "left")
     named = named.select("fp", F.coalesce("component", "id").alias("component_id"))
     return marks.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def shingle_set(text: Column, size: int) -> Column:
-    """The distinct hashes of a text's shingles."""
-    words = F.filter(F.split(lowered(text), f"[{SPACES}]+"), lambda w: w != "")
-    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - size + 1, F.lit(1)))
-    hashes = F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(words, i, size), " ")))
-    return F.array_distinct(hashes)
+def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
+    """(doc_id, s): the distinct hashes of each text's shingles."""
+    words = F.filter(F.split(lowered(F.col("text")), f"[{SPACES}]+"), lambda w: w != "")
+    # The words are a column of their own, or every shingle would split the text again.
+    split = docs.select("doc_id", words.alias("words"))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("words") - size + 1, F.lit(1)))
+    hashes = F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice("words", i, size), " ")))
+    return split.select("doc_id", F.array_distinct(hashes).alias("s"))
 
 
 def similar(edges: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
     """The edges (a, b) whose documents share that part of their shingles (Jaccard), exactly."""
     ids = edges.select(F.col("a").alias("id")).unionAll(edges.select(F.col("b").alias("id"))).distinct()
     sets = docs.join(ids, F.col("doc_id") == F.col("id"), "left_semi")
-    sets = cut_lineage(sets.select("doc_id", shingle_set(F.col("text"), size).alias("s")))
+    sets = cut_lineage(shingle_sets(sets, size))
     left = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
@@ -371,21 +389,29 @@ def similar(edges: DataFrame, docs: DataFrame, size: int, similarity: float) ->
 
 
 def drop_near_duplicates(
-    docs: DataFrame, size: int = 5, similarity: float = 0.8, planes: int = 8, units: int = 32
+    docs: DataFrame,
+    size: int = 5,
+    similarity: float = 0.8,
+    planes: int = 12,
+    units: int = 48,
+    compared: int = 32,
 ) -> DataFrame:
     """The documents, all columns, without those that have a near copy with a smaller doc_id.
 
     Near copies share ``similarity`` of their distinct shingles of ``size`` words, and chains of
-    them are one group. The radius lies 3.5 standard deviations above the distance expected at that
-    similarity; what lies within it is compared by its shingles. doc_ids are distinct; rows without one stay.
+    them are one group. Fingerprints have 64 bits for each of the ``planes``, one unit for 16
+    bits. Those that meet are compared by the first ``compared`` bytes, at a radius that lies 3.5
+    standard deviations above the distance expected at that similarity; what lies within it is
+    compared by its shingles. doc_ids are distinct; rows without one stay.
     """
-    width = 64 * planes
+    width = 8 * compared
     differ = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
     radius = int(width * differ + 3.5 * math.sqrt(width * differ * (1 - differ))) + 1
-    marks = cut_lineage(fingerprints(docs, size, planes, distinct=True))
-    groups = cut_lineage(marks.where(F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("id")))
-    edges = cut_lineage(links(groups, radius, units).select("a", "b").distinct())
-    found = components(similar(edges, docs, size, similarity))
+    docs_named = docs.where(F.col("doc_id").isNotNull())
+    marks = cut_lineage(fingerprints(docs_named, size, planes, distinct=True))
+    groups = cut_lineage(marks.groupBy("fp").agg(F.min("doc_id").alias("id")))
+    edges = cut_lineage(links(groups, radius, units, compared).select("a", "b").distinct())
+    found = components(similar(edges, docs_named, size, similarity))
     named = groups.join(found, F.col("id") == F.col("node"), "left")
     named = named.select("fp", F.coalesce("component", "id").alias("_first"))
     later = marks.join(named, "fp").where(F.col("doc_id") != F.col("_first")).select(F.col("doc_id").alias("_doc"))
