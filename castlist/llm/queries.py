@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from castlist.llm import bpe, chat, decontamination, line_dedup, sharding, simhash
-from castlist.llm.common import LOWER, SPACES, UPPER, read
+from castlist.llm import bpe, chat, decontamination, language_id, line_dedup, sharding, simhash
+from castlist.llm.common import LOWER, SPACES, UPPER, read, remainder
 from castlist.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -138,6 +138,16 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+@query()
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from two thirds of them."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = remainder(F.col("doc_id"), 3) == 1
+    model = language_id.fit(docs.where(~held_out))
+    judged = language_id.predict(docs.select("doc_id", "text"), model)
+    return judged.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 # Texts of a conversation that hold the marks of templates.
 MARKED_TURNS = [(-7, turn, role, r"\### Assistant: </turn> ok") for turn, role in enumerate(("user", "assistant"))]
 
