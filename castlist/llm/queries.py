@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from castlist.llm import bpe, chat, decontamination, language_id, line_dedup, sharding, simhash
+from castlist.llm import bpe, chat, decontamination, language_id, line_dedup, quality, sharding, simhash
 from castlist.llm.common import LOWER, SPACES, UPPER, read, remainder
 from castlist.session import ship_package
 
@@ -138,6 +138,14 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+@query()
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base statistics of every document and whether it is kept."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    judged = quality.judge(docs)
+    return judged.select("doc_id", *quality.BASE, "base_failed", "kept")
+
+
 @query()
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from two thirds of them."""
