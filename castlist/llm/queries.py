@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from castlist.llm import bpe, chat, decontamination, language_id, line_dedup, quality, sharding, simhash
+from castlist.llm import bpe, chat, decontamination, language_id, line_dedup, lm, quality, sharding, simhash
 from castlist.llm.common import LOWER, SPACES, UPPER, read, remainder
 from castlist.session import ship_package
 
@@ -46,6 +46,17 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(docs, SHARDS, ["doc_id"])
 
 
+@query()
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scores of every document, by a model of four fifths of them and by their word frequencies."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = remainder(F.col("doc_id"), 5) == 1
+    scored = lm.score(docs, ~held_out, public_tokenizers.path("piece_bpe_32k.model"))
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 @query()
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of every document and the text they stand for."""
