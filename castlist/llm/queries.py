@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from castlist.llm import bpe, chat, decontamination, language_id, line_dedup, lm, quality, sharding, simhash
+from castlist.llm import bpe, chat, decontamination, language_id, line_dedup, lm, quality, sharding, simhash, suffix_dedup
 from castlist.llm.common import LOWER, SPACES, UPPER, read, remainder
 from castlist.session import ship_package
 
@@ -46,6 +46,20 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(docs, SHARDS, ["doc_id"])
 
 
+@query()
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What remains of every document without the strings of 50 bytes that stand in an earlier one."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = suffix_dedup.remove_repeats(docs)
+    return cut.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query()
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scores of every document, by a model of four fifths of them and by their word frequencies."""
