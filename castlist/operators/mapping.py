@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from castlist.functions.text import strip
 from castlist.operators.skew import ROWS_PER_TASK, HeavyKeys, heavy_keys
-
-SPLITS = (2, 4, 8, 16, 32, 64, 128, 256)
+from castlist.session import cut_lineage
 
 
 def label(name: Column, occurrences: Column) -> Column:
@@ -56,45 +55,19 @@ def _in_order(*keys: str):
 
 
 def _rank_split(rows: DataFrame, heavy: HeavyKeys) -> DataFrame:
-    """Exact ranks, with each heavy document cut into ranges of the order.
+    """Exact ranks, with the rows of heavy documents in ranges of their order.
 
-    A number that never decreases along the order is cut at its approximate
-    quantiles. Where the cuts fall affects only how even the ranges are: the
-    rank is the place in the range plus the sizes of the ranges before it.
+    The rows are range-partitioned by document, count and name. Where Spark's
+    sample puts the bounds affects only how even the ranges are, so the ranges
+    are stored once: the rank is the place in the range plus the sizes of the
+    document's ranges before it.
     """
-    leading = F.rpad(F.substring(F.hex(F.encode("name", "UTF-8")), 1, 12), 12, "0")
-    many = F.lit(32_000)  # above this the count alone decides, to stay in 63 bits
-    along = F.when(F.col("occurrences") >= many, -many.cast("bigint") * F.lit(1 << 48)).otherwise(
-        F.conv(leading, 16, 10).cast("bigint")
-        - F.col("occurrences").cast("bigint") * F.lit(1 << 48)
-    )
-    placed = rows.withColumn("along", along)
-    # as many ranges as parts, rounded up to one of the powers of two in SPLITS
-    enough = F.least(F.col("parts"), F.lit(SPLITS[-1]))
-    splits = F.element_at(
-        F.filter(F.array(*(F.lit(n) for n in SPLITS)), lambda n: n >= enough), 1
-    )
-    grouped = placed.join(heavy.sided(heavy.table.select("doc_id", splits.alias("splits"))), "doc_id")
-    cuts = grouped.groupBy("doc_id").agg(
-        F.coalesce(
-            *(
-                F.percentile_approx(
-                    F.when(F.col("splits") == n, F.col("along")), [i / n for i in range(1, n)]
-                )
-                for n in SPLITS
-            )
-        ).alias("cuts")
-    )
-    range_no = F.coalesce(F.size(F.filter("cuts", lambda c: c < F.col("along"))), F.lit(0))
-    ranged = (
-        placed.join(heavy.sided(cuts), "doc_id", "left")
-        .withColumn("is_split", F.col("cuts").isNotNull())
-        .withColumn("range_no", F.when(F.col("is_split"), range_no).otherwise(0))
-        .drop("cuts", "along")
-    )
-    sizes = (
-        ranged.where("is_split").groupBy("doc_id", "range_no").agg(F.count(F.lit(1)).alias("n"))
-    )
+    many = heavy.sided(heavy.table.select("doc_id"))
+    light = rows.join(many, "doc_id", "left_anti")
+    ranked = light.withColumn("rank", F.row_number().over(_in_order("doc_id")))
+    n_ranges = heavy.table.agg(F.sum("parts")).first()[0]
+    ranged = cut_lineage(in_ranges(rows.join(many, "doc_id", "left_semi"), n_ranges))
+    sizes = ranged.groupBy("doc_id", "range_no").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("doc_id").orderBy("range_no").rowsBetween(
         Window.unboundedPreceding, -1
     )
@@ -102,12 +75,16 @@ def _rank_split(rows: DataFrame, heavy: HeavyKeys) -> DataFrame:
         "doc_id", "range_no", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")
     )
     local = ranged.withColumn("place", F.row_number().over(_in_order("doc_id", "range_no")))
-    return local.join(heavy.sided(offsets), ["doc_id", "range_no"], "left").select(
-        "doc_id",
-        "name",
-        "occurrences",
-        (F.col("place") + F.coalesce("offset", F.lit(0))).cast("int").alias("rank"),
+    split = local.join(offsets, ["doc_id", "range_no"]).select(
+        "doc_id", "name", "occurrences", (F.col("place") + F.col("offset")).cast("int").alias("rank")
     )
+    return ranked.unionByName(split)
+
+
+def in_ranges(rows: DataFrame, n_ranges: int) -> DataFrame:
+    """The rows with ``range_no``, which never decreases along a document's order."""
+    ranged = rows.repartitionByRange(n_ranges, "doc_id", F.desc("occurrences"), F.asc("name"))
+    return ranged.withColumn("range_no", F.spark_partition_id())
 
 
 def name_rows(ranked: DataFrame) -> DataFrame:
@@ -145,9 +122,15 @@ def is_edited(original: Column, replacement: Column) -> Column:
 
 
 def edited_mappings(rows: DataFrame) -> DataFrame:
-    """Rows (doc_id, original, replacement, rank) to apply."""
-    return rows.where(is_edited(F.col("original"), F.col("replacement"))).select(
-        "doc_id", "original", strip(F.col("replacement")).alias("replacement"), "rank"
+    """Rows (doc_id, original, replacement, rank) to apply.
+
+    Where an original has several edited rows, the last one by rank gives the
+    replacement, at the place of the first.
+    """
+    edited = rows.where(is_edited(F.col("original"), F.col("replacement")))
+    last = F.max(F.struct("rank", strip(F.col("replacement")).alias("replacement")))
+    return edited.groupBy("doc_id", "original").agg(
+        last["replacement"].alias("replacement"), F.min("rank").alias("rank")
     )
 
 

@@ -47,24 +47,26 @@ def with_item_lists(
     small: bool,
     how: str = "left",
     heavy: HeavyKeys | None = None,
+    collect: Callable[[Column], Column] = F.collect_list,
 ) -> DataFrame:
     """The documents with their ``items``, an array of structs sorted by the columns.
 
     ``small`` items are broadcast. A document without items has NULL there.
     With ``heavy`` a document of many items appears several times, each with a
-    share of them; use it only where items do not depend on each other.
+    share of them; use it only where items do not depend on each other. Without,
+    the items are grouped by document alone, and the exchange for that serves
+    the join too. ``collect`` may be ``collect_set`` to drop repeated items;
+    equal items meet in one share.
     """
-    part = F.pmod(F.xxhash64(*columns), F.col("parts").cast("bigint")).cast("int")
-    dealt = with_parts(items, "doc_id", heavy).withColumn("part", part)
-    lists = dealt.groupBy("doc_id", "part").agg(
-        F.sort_array(F.collect_list(F.struct(*columns))).alias("items")
-    )
-    if heavy is None:
-        lists, keys = lists.drop("part"), ["doc_id"]
-    else:
+    keys, dealt = ["doc_id"], items
+    if heavy is not None:
+        keys = ["doc_id", "part"]
+        part = F.pmod(F.xxhash64(*columns), F.col("parts").cast("bigint")).cast("int")
+        dealt = with_parts(items, "doc_id", heavy).withColumn("part", part)
+    lists = dealt.groupBy(*keys).agg(F.sort_array(collect(F.struct(*columns))).alias("items"))
+    if heavy is not None:
         numbers = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
         docs = with_parts(docs, "doc_id", heavy).withColumn("part", numbers).drop("parts")
-        keys = ["doc_id", "part"]
     return docs.join(F.broadcast(lists) if small else lists, keys, how)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,15 +14,16 @@ from castlist.operators import matching
 from castlist.operators.rows import explode_items, inline_structs
 from castlist.operators.skew import ROWS_PER_TASK, heavy_keys
 
-try:
-    import ahocorasick
-except ImportError:  # only a faster way for long texts with many names
-    ahocorasick = None
 
 # Above this many character comparisons (names x text length) one pass of an
-# automaton beats one search per name.
+# automaton beats one search per name. Both give the same counts.
 AUTOMATON_WORK = 200_000
 
+# What a run says that ended without names.
+RATE_LIMIT_MESSAGE = "Rate limit exceeded. Please wait and retry."
+RATE_LIMIT_DETAILS = "Provider rate limit."
+FAILED_MESSAGE = ("All ", " chunk(s) failed")
+
 
 def parse_replies(responses: DataFrame) -> DataFrame:
     """Rows (doc_id, chunk_idx, response, names, error_class, error).
@@ -72,15 +74,20 @@ def dedupe_names(parsed: DataFrame) -> DataFrame:
 
 
 def count_all(text: str, names: list[str]) -> list[int]:
-    """Non-overlapping occurrences of every name, each counted on its own."""
-    if ahocorasick is None or len(names) * len(text) < AUTOMATON_WORK:
-        return [text.count(name) for name in names]
+    """Non-overlapping occurrences of every name, each counted on its own.
+
+    An empty or missing name occurs nowhere.
+    """
+    if len(names) * len(text) < AUTOMATON_WORK:
+        return [text.count(name) if name else 0 for name in names]
+    counts = dict.fromkeys(names, 0)
+    free_from = dict.fromkeys(names, 0)
     automaton = ahocorasick.Automaton()
-    for name in names:
+    for name in filter(None, counts):
         automaton.add_word(name, name)
+    if not len(automaton):
+        return [0] * len(names)
     automaton.make_automaton()
-    counts = dict.fromkeys(names, 0)
-    free_from = dict.fromkeys(names, 0)
     for end, name in automaton.iter(text):
         if end - len(name) + 1 >= free_from[name]:
             counts[name] += 1
@@ -134,16 +141,18 @@ def count_occurrences(
     broadcast_bytes: int = matching.BROADCAST_BYTES,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """Rows (doc_id, name, occurrences) for distinct (doc_id, name) rows.
+    """Rows (doc_id, name, occurrences) for rows (doc_id, name).
 
-    Counted in the whole text of the document; zero counts are kept. ``names``
-    is measured first and so read more than once: pass a stored table.
+    Names are stripped; empty and missing ones are dropped and repeated ones
+    counted once. Counted in the whole text of the document; zero counts are
+    kept. ``names`` is measured first and so read more than once: pass a stored
+    table.
     """
-    items = names.select("doc_id", "name")
+    items = names.select("doc_id", strip(F.col("name")).alias("name")).where(F.col("name") != "")
     small = matching.fits_broadcast(items, broadcast_bytes)
     heavy = None if small else heavy_keys(items, "doc_id", rows_per_task)
     texts = docs.select("doc_id", "text")
-    listed = matching.with_item_lists(texts, items, ["name"], small, "inner", heavy)
+    listed = matching.with_item_lists(texts, items, ["name"], small, "inner", heavy, F.collect_set)
     lists = listed.select("doc_id", "text", F.col("items.name").alias("names"))
     counted = lists.select(
         "doc_id", "names", count_in_text(F.col("text"), F.col("names")).alias("counts")
@@ -181,7 +190,7 @@ def run_outcome(parsed: DataFrame) -> DataFrame:
     totals = parsed.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n_chunks"),
         F.count_if(failed).alias("n_failed"),
-        F.coalesce(F.sum(F.size("names")), F.lit(0)).cast("bigint").alias("n_names"),
+        F.coalesce(F.sum(F.when(F.col("names").isNotNull(), F.size("names"))), F.lit(0)).cast("bigint").alias("n_names"),
         F.bool_or(limited).alias("rate_limited"),
         F.min(F.when(failed, F.struct("chunk_idx", "error")))["error"].alias("first_error"),
     )
@@ -196,13 +205,13 @@ def run_outcome(parsed: DataFrame) -> DataFrame:
         "n_failed",
         "n_names",
         "status",
-        F.when(F.col("status") == "rate_limited", "Rate limit exceeded. Please wait and retry.")
+        F.when(F.col("status") == "rate_limited", RATE_LIMIT_MESSAGE)
         .when(
             F.col("status") == "failed",
-            F.concat(F.lit("All "), F.col("n_failed").cast("string"), F.lit(" chunk(s) failed")),
+            F.concat(F.lit(FAILED_MESSAGE[0]), F.col("n_failed").cast("string"), F.lit(FAILED_MESSAGE[1])),
         )
         .alias("message"),
-        F.when(F.col("status") == "rate_limited", "Provider rate limit.")
+        F.when(F.col("status") == "rate_limited", RATE_LIMIT_DETAILS)
         .when(F.col("status") == "failed", F.col("first_error"))
         .alias("details"),
     )

@@ -57,19 +57,23 @@ def apply_replacements(
     broadcast_bytes: int = matching.BROADCAST_BYTES,
     rows_per_task: int = ROWS_PER_TASK,
     carry: tuple[str, ...] = (),
+    unmapped: bool = True,
 ) -> DataFrame:
     """Rows (doc_id, *carry, step, original, n, text) for documents and their mappings.
 
     ``mappings`` has unique (doc_id, original) with replacement and rank. They
     apply from the longest original (in code points) to the shortest, then by
-    rank; each step sees what the steps before it produced. A document yields
+    rank, original and replacement; each step sees what the steps before it produced. A document yields
     one row per mapping with its count (zeros included) and a closing row with
     ``original`` NULL, the new text, the total and the number of mappings.
-    A document without mappings yields its text unchanged. ``carry`` names
-    string columns of the documents to keep on their rows.
-
-    The steps of one document depend on each other and so run in one task; if
-    a document has more than rows_per_task of them, they come as a stream.
+    A document without mappings yields its text unchanged, which never leaves
+    the JVM, or with ``unmapped`` false nothing. A document whose text is NULL
+    yields nothing. ``carry`` names string columns of the documents to keep on
+    their rows.
+
+    The steps of one document depend on each other and so run in one task. Those
+    of a document with more than rows_per_task of them come as a stream; only
+    the texts of such documents are exchanged and sorted for that.
     ``mappings`` is measured first and so read more than once: pass a stored
     table.
     """
@@ -82,16 +86,44 @@ def apply_replacements(
         "replacement",
     )
     small = matching.fits_broadcast(items, broadcast_bytes)
-    if not small and heavy_keys(items, "doc_id", rows_per_task) is not None:
+    heavy = None if small else heavy_keys(items, "doc_id", rows_per_task)
+    if heavy is None:
+        return _replace_lists(texts, items, small, carry, unmapped)
+    many = heavy.sided(heavy.table.select("doc_id"))
+
+    def fold(text: str, rows: Iterator[tuple]) -> Iterator[tuple]:
+        return replace_in_turn(text, ((row[2], row[3]) for row in rows))
+
+    streamed = matching.fold_items(
+        texts.join(many, "doc_id", "left_semi"),
+        items.join(many, "doc_id", "left_semi"),
+        ORDER,
+        [F.col(name) for name in ORDER],
+        fold,
+        OUTPUT,
+        carry,
+    )
+    light = (table.join(many, "doc_id", "left_anti") for table in (texts, items))
+    return _replace_lists(*light, small, carry, unmapped).unionByName(streamed)
 
-        def fold(text: str, rows: Iterator[tuple]) -> Iterator[tuple]:
-            return replace_in_turn(text, ((row[2], row[3]) for row in rows))
 
-        order = [F.col("minus_length"), F.col("rank")]
-        return matching.fold_items(texts, items, ORDER, order, fold, OUTPUT, carry)
-    listed = matching.with_item_lists(texts, items, ORDER, small)
-    applied = _replace_listed("text", F.col("items.original"), F.col("items.replacement"))
-    return inline_structs(listed, ["doc_id", *carry], applied, "step")
+def _replace_lists(
+    texts: DataFrame, items: DataFrame, small: bool, carry: tuple[str, ...], unmapped: bool
+) -> DataFrame:
+    """The replacements of documents whose mappings fit a list."""
+    listed = matching.with_item_lists(texts, items, ORDER, small, "left" if unmapped else "inner")
+    mapped = F.col("items").isNotNull()
+    unchanged = F.struct(
+        F.lit(0).alias("step"),
+        F.lit(None).cast("string").alias("original"),
+        F.lit(0).alias("n"),
+        F.col("text").alias("text"),
+    )
+    applied = _replace_listed(
+        F.when(mapped, F.col("text")), F.col("items.original"), F.col("items.replacement")
+    )
+    steps = F.when(~mapped & F.col("text").isNotNull(), F.array(unchanged)).otherwise(applied)
+    return inline_structs(listed, ["doc_id", *carry], steps, "step")
 
 
 def replaced_texts(applied: DataFrame) -> DataFrame:

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from castlist.operators import chunks, mapping, names, scoring
 from castlist.session import cut_lineage
 
+# How many requests a task makes where the caller does not say into how many they are spread.
+REQUESTS_PER_TASK = 1000
+
 
 @dataclass(frozen=True)
 class Extraction:
@@ -37,15 +40,20 @@ def extract_names(
 ) -> Extraction:
     """Run the whole extraction over (doc_id, text).
 
-    The requests are spread evenly over ``partitions`` (default:
-    ``spark.sql.shuffle.partitions``), so a long document does not hold one task.
+    The requests are spread evenly over ``partitions``, so a long document does
+    not hold one task. The default is measured: one partition for every
+    ``REQUESTS_PER_TASK`` chunks that the bytes of all texts can fill. Pacing is
+    per partition, so pass ``partitions`` together with ``interval``.
     The replies are written down once, with the names read from them, because
     they are expensive and may differ when asked again; so are the distinct
     names, which are read several times. ``ranked`` holds (doc_id, name, occurrences, rank) of the documents
     whose outcome is ok; a document without chunks has an ok outcome too.
     """
     if partitions is None:
-        partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        if interval:
+            raise ValueError("an interval is per partition: pass partitions with it")
+        size = docs.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
+        partitions = size // (max_bytes * REQUESTS_PER_TASK) + 1
     chunked = chunks.split_into_chunks(docs, max_bytes)
     answered = scoring.score_chunks(chunked, make_fn, template, interval, partitions)
     replies = cut_lineage(names.parse_replies(answered), replies_path)

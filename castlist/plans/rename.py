@@ -19,9 +19,30 @@ def export_documents(
     the encoding it came in. Path and encoding travel with the text, which is
     matched with the mappings just once.
     """
+    return exported(replaced_documents(docs, rows, broadcast_bytes))
+
+
+def replaced_documents(
+    docs: DataFrame, rows: DataFrame, broadcast_bytes: int = matching.BROADCAST_BYTES
+) -> DataFrame:
+    """The replacement of all documents with an edited name.
+
+    Store it (see ``castlist.session.cut_lineage``) to take both the texts
+    (``exported``) and the counts per name (``exported_counts``) from one run.
+    """
     edited = mapping.edited_mappings(rows)
-    applied = replacing.apply_replacements(
-        docs, edited, broadcast_bytes, carry=("path", "encoding")
+    return replacing.apply_replacements(
+        docs, edited, broadcast_bytes, carry=("path", "encoding"), unmapped=False
     )
-    renamed = replacing.replaced_texts(applied).where(F.col("n_names") > 0)
-    return renamed.withColumn("path", processed_path(F.col("path")))
+
+
+def exported(applied: DataFrame) -> DataFrame:
+    """Rows (doc_id, path, encoding, text, n_names, total) to save."""
+    return replacing.replaced_texts(applied).withColumn("path", processed_path(F.col("path")))
+
+
+def exported_counts(applied: DataFrame) -> DataFrame:
+    """Rows (doc_id, path, step, original, n): how often each name of a file was replaced."""
+    counts = applied.where(F.col("original").isNotNull())
+    path = processed_path(F.col("path")).alias("path")
+    return counts.select("doc_id", path, "step", "original", "n")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 from functools import cache
 from pathlib import Path
@@ -48,14 +49,45 @@ def cut_lineage(df: DataFrame, path: str | None = None) -> DataFrame:
 
     Without a path the table goes into ``shared_folder``. Unlike an eager
     checkpoint, which runs its plan a second time to store it, this runs the
-    plan once, so no request is made twice. The caller removes the tables.
+    plan once, so no request is made twice. Tables without a path of their own
+    are removed by ``drop_stored``, at the latest when the session ends.
     """
     spark = df.sparkSession
-    target = path or f"{shared_folder(spark)}/castlist-{uuid4().hex}"
+    target = path or new_table(spark)
     df.write.mode("overwrite").parquet(target)
     return spark.read.schema(df.schema).parquet(target)
 
 
+# The tables in the shared folder that this process has stored, by application.
+_stored: dict[str, list[str]] = {}
+
+
+def new_table(spark: SparkSession, prefix: str = "castlist") -> str:
+    """A path for a new table or folder in the shared folder, to be removed by ``drop_stored``."""
+    target = f"{shared_folder(spark)}/{prefix}-{uuid4().hex}"
+    tables = _stored.setdefault(spark.sparkContext.applicationId, [])
+    if not tables:
+        atexit.register(_drop_quietly, spark)
+    tables.append(target)
+    return target
+
+
+def drop_stored(spark: SparkSession) -> int:
+    """Remove all tables stored without a path; results not yet taken that read them fail afterwards."""
+    tables = _stored.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for table in tables:
+        path = jvm.org.apache.hadoop.fs.Path(table)
+        path.getFileSystem(conf).delete(path, True)
+    return len(tables)
+
+
+def _drop_quietly(spark: SparkSession) -> None:
+    """At exit; a session that has stopped has nobody left to remove its tables."""
+    if spark.sparkContext._jsc is not None:
+        drop_stored(spark)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 

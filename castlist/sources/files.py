@@ -5,6 +5,7 @@ from __future__ import annotations
 import posixpath
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyarrow import fs
@@ -12,7 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from castlist.functions.text import line_count, size_kb
+from castlist.functions.text import line_count, profile_label, size_kb
+from castlist.operators.matching import fits_broadcast
 
 # Byte order marks with their labels, in the order they are
 # tested, and the encodings tried in turn on files without one.
@@ -29,7 +31,9 @@ def scan_files(spark: SparkSession, path: str | list[str], manifest: DataFrame |
     Spark's file source skips zero-byte files and names that start with a dot
     or an underscore. A manifest with a ``path`` column, in the form Spark
     reports paths, names the files wanted: those the source skipped are then
-    opened one by one in the tasks, and one that does not exist raises.
+    opened one by one in the tasks, and one that does not exist raises. A file
+    named twice comes once. If the manifest is small, which is measured, no
+    content is exchanged.
     """
     files = (
         spark.read.format("binaryFile").options(**options).load(path)
@@ -37,12 +41,15 @@ def scan_files(spark: SparkSession, path: str | list[str], manifest: DataFrame |
     )
     if manifest is None:
         return files
-    wanted = manifest.select("path").join(files, "path", "left")
-    skipped = _read_files(F.when(F.col("length").isNull(), F.col("path")))
-    read = wanted.select("path", F.coalesce("content", skipped).alias("content"))
-    return read.select(
-        "path", F.octet_length("content").cast("bigint").alias("length"), "content"
-    )
+    paths = manifest.select("path").distinct()
+    wanted = F.broadcast(paths) if fits_broadcast(paths) else paths
+    found = files.join(wanted, "path", "left_semi")
+    # Only paths meet here; the contents of the files are not read for it.
+    skipped = paths.join(files.select("path"), "path", "left_anti")
+    refuse_unknown_schemes(skipped)
+    read = skipped.select("path", _read_files(F.col("path")).alias("content"))
+    sized = read.select("path", F.octet_length("content").cast("bigint").alias("length"), "content")
+    return found.unionByName(sized)
 
 
 def decode_files(files: DataFrame) -> DataFrame:
@@ -91,13 +98,16 @@ def quarantined(decoded: DataFrame) -> DataFrame:
 
 
 def profile_files(decoded: DataFrame) -> DataFrame:
-    """Rows (path, size_kb, line_count, encoding)."""
-    return loaded(decoded).select(
+    """Rows (path, size_kb, line_count, encoding, label)."""
+    sized = loaded(decoded).select(
         "path",
         size_kb(F.col("length")).alias("size_kb"),
         line_count(F.col("text")).alias("line_count"),
         "encoding",
     )
+    name = F.regexp_extract("path", "([^/]*)$", 1)
+    label = profile_label(name, F.col("size_kb"), F.col("line_count"), F.col("encoding"))
+    return sized.withColumn("label", label)
 
 
 def encode_text(text: Column, encoding: Column) -> Column:
@@ -131,7 +141,9 @@ def save_files(texts: DataFrame) -> int:
 
     Runs in the tasks, on any file system Arrow knows. A file appears under
     its name only when it is complete, so lost and repeated tasks are harmless.
+    A path of another file system is refused before anything is written.
     """
+    refuse_unknown_schemes(texts)
     written = encoded(texts).mapInArrow(_write_files, "path string, n_bytes bigint")
     return written.agg(F.count("path")).first()[0]
 
@@ -178,16 +190,47 @@ def _read_files(paths: pa.Array) -> pa.Array:
     return pa.array((None if p is None else content(p) for p in paths.to_pylist()), pa.binary())
 
 
-def _locate(path: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a path as Spark writes it (unescaped), and the name there."""
+# Names under which Spark reports the file systems that Arrow knows.
+SCHEMES = {
+    "file": "file", "hdfs": "hdfs", "viewfs": "viewfs", "s3": "s3", "s3a": "s3", "s3n": "s3",
+    "gs": "gs", "gcs": "gs", "abfs": "abfs", "abfss": "abfss",
+}
+
+
+def split_path(path: str) -> tuple[str, str, str]:
+    """(scheme, authority, name) of a path as Spark writes it (unescaped)."""
     scheme, found, rest = path.partition(":/")
     if not found:
-        return fs.LocalFileSystem(), path
+        return "file", "", path
+    if not rest.startswith("/"):
+        return scheme, "", "/" + rest
+    authority, _, name = rest[1:].partition("/")
+    return scheme, authority, "/" + name.lstrip("/")
+
+
+@cache
+def _file_system(scheme: str, authority: str) -> tuple[fs.FileSystem, str]:
+    """A file system, made once in each process, and where its root lies in it."""
+    if scheme not in SCHEMES:
+        raise ValueError(f"no file system known for {scheme}:")
     if scheme == "file":
-        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
-    authority, _, name = rest.lstrip("/").partition("/")
-    system, root = fs.FileSystem.from_uri(f"{scheme}://{authority}/")
-    return system, posixpath.join(root, name)
+        return fs.LocalFileSystem(), "/"
+    return fs.FileSystem.from_uri(f"{SCHEMES[scheme]}://{authority}/")
+
+
+def _locate(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path, and the name there."""
+    scheme, authority, name = split_path(path)
+    system, root = _file_system(scheme, authority)
+    return system, posixpath.join(root, name.lstrip("/")) if name.startswith("/") else name
+
+
+def refuse_unknown_schemes(paths: DataFrame) -> None:
+    """Raise before any file is opened if a path is in a file system that cannot be reached."""
+    scheme = F.regexp_extract("path", r"^([^:/]+):/", 1).alias("scheme")
+    found = {row.scheme for row in paths.select(scheme).distinct().collect()} - {""}
+    if unknown := sorted(found - SCHEMES.keys()):
+        raise ValueError(f"no file system known for {', '.join(unknown)}")
 
 
 def _write_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

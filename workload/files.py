@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from uuid import uuid4
-
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from castlist.functions import text as texts
 from castlist.plans import normalize
-from castlist.session import shared_folder
+from castlist.session import new_table
 from castlist.sources import files
 from castlist.sources.tables import read_table
 from workload import documents, query
@@ -37,22 +37,36 @@ def file_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_bytes(doc_id: Column, text: Column) -> Column:
-    """The text as a file in one of six states, by document."""
+    """The text as a file in one of six states, by document.
+
+    In the fifth the whole text is in a legacy encoding: a short text of ASCII
+    only follows a half-width katakana, which no encoding before shift_jis reads.
+    """
     state = F.pmod(doc_id, F.lit(6))
     utf8 = F.encode(text, "UTF-8")
-    ascii_part = F.regexp_replace(text, "[^\\x00-\\x7F]", "")
     return (
         F.when(state == 0, utf8)
         .when(state == 1, F.concat(F.unhex(F.lit("EFBBBF")), utf8))
         .when(state == 2, F.concat(F.unhex(F.lit("FFFE")), F.encode(text, "UTF-16LE")))
         .when(state == 3, F.concat(F.unhex(F.lit("FEFF")), F.encode(text, "UTF-16BE")))
-        .when(state == 4, F.concat(F.unhex(F.lit("D6D0CEC4")), F.encode(ascii_part, "UTF-8")))
+        .when(state == 4, F.when(half_width(text), F.concat(F.unhex(F.lit("B131")), utf8)).otherwise(
+            gb18030(F.concat(F.lit("中文"), text))))
         .otherwise(F.concat(F.unhex(F.lit("FF")), utf8))
     )
 
 
+def half_width(text: Column) -> Column:
+    return text.rlike("^[\\x00-\\x7F]*\\z")
+
+
+@F.arrow_udf(T.BinaryType())
+def gb18030(texts: pa.Array) -> pa.Array:
+    return pa.array((None if t is None else t.encode("gb18030") for t in texts.to_pylist()), pa.binary())
+
+
+HALF_WIDTH_SQL = "regexp_full_match({text}, '[\\x00-\\x7F]*')"
 DECODED_SQL = """CASE doc_id % 6
-    WHEN 4 THEN '中文' || regexp_replace({text}, '[^\\x00-\\x7F]', '', 'g')
+    WHEN 4 THEN CASE WHEN regexp_full_match({text}, '[\\x00-\\x7F]*') THEN 'ｱ1' ELSE '中文' END || {text}
     WHEN 5 THEN NULL ELSE {text} END"""
 
 PATH_SQL = """'/corpus/' || source || '/' || CASE doc_id % 4
@@ -85,7 +99,9 @@ def raw_files(spark: SparkSession, sf_dir: str, text: Column | None = None) -> D
     f"""
     SELECT doc_id,
            CASE doc_id % 6 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'utf-8-sig' WHEN 2 THEN 'utf-16-le'
-                WHEN 3 THEN 'utf-16-be' WHEN 4 THEN 'gb18030' END AS encoding,
+                WHEN 3 THEN 'utf-16-be'
+                WHEN 4 THEN CASE WHEN {HALF_WIDTH_SQL.format(text="text")} THEN 'shift_jis' ELSE 'gb18030' END
+                END AS encoding,
            md5({DECODED_SQL.format(text="text")}) AS text_md5,
            CASE doc_id % 6 WHEN 5 THEN 'could not detect encoding' END AS reason
     FROM documents
@@ -156,7 +172,7 @@ def encoded_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def scanned_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document saved to a file of its own, and the folder scanned again."""
-    folder = f"{shared_folder(spark)}/castlist-files-{uuid4().hex}"
+    folder = new_table(spark, "castlist-files")
     name = F.concat(F.lit(f"{folder}/"), F.col("doc_id").cast("string"), F.lit(".txt"))
     encoding = F.when(F.pmod("doc_id", F.lit(2)) == 0, "utf-8-sig").otherwise("utf-8")
     docs = documents(spark, sf_dir)
