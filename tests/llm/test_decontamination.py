@@ -1,0 +1,85 @@
+import random
+import re
+
+import numpy as np
+import pytest
+
+from castlist.llm import decontamination as dec
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def words(text):
+    return WORD.findall("".join(c.lower() if c.isascii() else c for c in text or ""))
+
+
+def by_hand(docs, items, window):
+    out = {}
+    for doc, text in docs:
+        w, hit, met = words(text), set(), set()
+        for item, part in items:
+            v = words(part)
+            n = min(window, len(v))
+            for i in range(len(v) - n + 1) if n else ():
+                for j in range(len(w) - n + 1):
+                    if w[j : j + n] == v[i : i + n]:
+                        hit.update(range(j, j + n))
+                        met.add(item)
+        out[doc] = (len(w), len(hit), sorted(met))
+    return out
+
+
+def sample(seed):
+    rng = random.Random(seed)
+    bag = ["a", "B", "né", "x1", "9", "漢字", "so-so", "the"]
+    make = lambda n: " ".join(rng.choices(bag, k=n))
+    items = [(i, make(rng.randint(0, 14))) for i in range(12)] + [(50, None), (51, "..."), (52, "one")]
+    docs = [(i, make(rng.randint(0, 40)) + rng.choice(["", " ", "\n"]) + (rng.choice(items)[1] or "")) for i in range(40)]
+    return [*docs, (100, None), (101, ""), (102, make(3000))], items
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_equals_brute_force(spark, table, seed, monkeypatch):
+    docs, items = sample(seed)
+    monkeypatch.setattr(dec, "SHARD_BYTES", 300)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = dec.report(table(docs), bench, window=4).collect()
+    assert {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in found} == by_hand(docs, items, 4)
+    assert all(r.contaminated == (r.n_hit > 0) for r in found)
+
+
+def test_blocks_of_the_benchmark_add_up(spark, table, monkeypatch):
+    docs, items = sample(7)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(dec.blocks, "__defaults__", (40,))
+    found = dec.report(table(docs), bench, window=4).collect()
+    assert {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in found} == by_hand(docs, items, 4)
+
+
+def test_longest_matches(spark, table):
+    bench = spark.createDataFrame([(7, "zero one two three four five six")], "item_id long, text string")
+    docs = table([(1, "x ONE two, three four five y"), (2, "one two three"), (3, "two three four five six seven")])
+    found = {tuple(r) for r in dec.longest_matches(docs, bench, window=4).collect()}
+    assert found == {(7, 1, 1, 1, 5), (7, 2, 3, 0, 5)}
+
+
+def test_suffix_array_is_in_order():
+    rng = np.random.default_rng(1)
+    numbers = rng.integers(0, 4, 300)
+    array = dec.SuffixArray(numbers)
+    cut = lambda i: [*numbers[i : i + dec.DEPTH].tolist()]
+    keys = []
+    for i in array.positions:
+        key = cut(i)
+        # A break ends a suffix only as the smallest number; what follows still orders.
+        keys.append(key + [0] * (dec.DEPTH - len(key)))
+    assert keys == sorted(keys) and sorted(array.positions) == np.flatnonzero(numbers).tolist()
+
+
+def test_removal_keeps_columns_and_empty_tables(spark, table):
+    bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    docs = table([(1, "A b C", "en"), (2, "a b d", "en"), (None, None), (2, "a b d", "en")]).withColumnRenamed("source", "items")
+    kept = dec.remove_contaminated(docs, bench)
+    assert kept.columns == docs.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 2, 2]
+    assert dec.remove_contaminated(docs, bench.limit(0)).count() == 4
+    assert dec.report(table([]), bench).count() == 0
