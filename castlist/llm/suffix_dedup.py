@@ -126,6 +126,13 @@ def _strip(parts: list[bytes], at: list[tuple[int, int]], gram: int, owners: int
     return text, start, np.diff(np.append(first, len(places))), anchor
 
 
+def _runs(values: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Each run of equal values, none of which is negative, and where it lies."""
+    bounds = [*np.flatnonzero(np.diff(values, prepend=-1)).tolist(), len(values)]
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        yield int(values[a]), slice(a, b)
+
+
 class Block:
     """The texts of a block in a fixed order, and their stretches."""
 
@@ -156,10 +163,7 @@ class Block:
         return low < high
 
     def by_owner(self) -> Iterator[tuple[int, slice]]:
-        owner = self.anchors >> np.uint64(40)
-        edges = np.flatnonzero(np.diff(owner, prepend=np.uint64(1 << 63))) if len(owner) else []
-        for a, b in zip(edges, [*edges[1:], len(owner)], strict=True):
-            yield int(owner[a]), slice(int(a), int(b))
+        return _runs(self.anchors.astype(np.int64) >> 40)
 
     def shared(self, flags: dict[int, tuple[bytes, bytes]]) -> tuple[Stretches, dict[tuple[int, bytes], int], np.ndarray]:
         """The stretches to ask about, their different contents, and which content each has.
@@ -388,16 +392,14 @@ def remove_repeats(
             contents = [c for _, c in known]
             sizes = np.array([len(c) for c in contents], np.int64)
             order = np.argsort(anchors, kind="stable")
-            owner = anchors[order] >> 40
-            edges = np.flatnonzero(np.diff(owner, prepend=-1))
             compressor = zstandard.ZstdCompressor(level=1)
             number = table.column("block")[0].as_py()
-            for a, b in zip(edges, [*edges[1:], len(order)], strict=True):
-                part = order[a:b]
+            for owner, run in _runs(anchors[order] >> 40):
+                part = order[run]
                 head = np.stack([anchors[part], part, sizes[part], low[part], high[part]]).tobytes()
                 joined = b"".join([contents[i] for i in part.tolist()])
                 packed = [compressor.compress(head), compressor.compress(joined)]
-                rows.append((int(owner[a]), number, packed))
+                rows.append((owner, number, packed))
         schema = [("owner", pa.int32()), ("block", pa.int64()), ("question", pa.list_(pa.binary()))]
         return _table(rows, pa.schema(schema))
 
