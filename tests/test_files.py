@@ -206,3 +206,22 @@ def test_streaming_scan(spark, folder, tmp_path):
     found = by_name(spark.read.parquet(str(tmp_path / "out")))
     assert found["gb.txt"].text == "中文内容测试"
     assert found.keys() == SAMPLES.keys()
+
+
+@pytest.mark.parametrize(("path", "parts"), [
+    ("/a/b.txt", ("file", "", "/a/b.txt")),
+    ("file:/a/b.txt", ("file", "", "/a/b.txt")),
+    ("file:///a/b.txt", ("file", "", "/a/b.txt")),
+    ("hdfs:///novels/a.txt", ("hdfs", "", "/novels/a.txt")),
+    ("hdfs://host:9000/novels/a.txt", ("hdfs", "host:9000", "/novels/a.txt")),
+    ("s3a://bucket/x/a b.txt", ("s3a", "bucket", "/x/a b.txt")),
+])
+def test_paths_are_taken_apart(path, parts):
+    assert files.split_path(path) == parts
+
+
+def test_unknown_file_systems_are_refused_before_the_job(spark):
+    texts = spark.createDataFrame([("dbfs:/x/a.txt", "t", "utf-8")], "path string, text string, encoding string")
+    with pytest.raises(ValueError, match="dbfs"):
+        files.save_files(texts)
+    assert files.SCHEMES["s3a"] == files.SCHEMES["s3n"] == "s3"

@@ -95,3 +95,20 @@ def test_resets(spark):
     assert replacements(mapping.reset_row(rows, 1)) == ["x", ""]
     assert replacements(mapping.reset_row(rows, 5)) == ["x", "y"]
     assert replacements(mapping.reset_row(rows, -1)) == ["x", "y"]
+
+
+def test_equal_counts_with_a_long_prefix_fill_several_ranges(spark):
+    counts = spark.range(5000).select(
+        F.lit(1).alias("doc_id"), F.format_string("a long common prefix %06d", "id").alias("name"), F.lit(70_000).alias("occurrences")
+    )
+    sizes = [row["count"] for row in mapping.in_ranges(counts, 8).groupBy("range_no").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 2500
+    ranked = mapping.rank_names(counts, rows_per_task=700).orderBy("rank").collect()
+    assert [row.rank for row in ranked] == list(range(1, 5001))
+    assert [row.name for row in ranked] == sorted(row.name for row in ranked)
+
+
+def test_last_row_of_an_original_wins(spark):
+    rows = [(1, "A", "B", 1, 1), (1, "A", "C ", 1, 2), (1, "A", "A", 1, 3), (2, "A", "D", 1, 1), (1, "E", "", 1, 4)]
+    found = mapping.edited_mappings(spark.createDataFrame(rows, ROWS)).collect()
+    assert sorted(tuple(row) for row in found) == [(1, "A", "C", 1), (2, "A", "D", 1)]

@@ -128,3 +128,45 @@ def test_heavy_keys_may_be_too_many_to_broadcast(spark, docs_of, monkeypatch):
     table = spark.createDataFrame([(d, n) for d, n, _ in NAMES], "doc_id bigint, name string")
     counted = names.count_occurrences(docs_of(*TEXTS), table, 0, 1)
     assert {tuple(row) for row in counted.collect()} == set(NAMES)
+
+
+@pytest.mark.parametrize("limits", [(1 << 20, 10**6), (0, 10**6), (0, 1)])
+@pytest.mark.parametrize("work", [0, 200_000])
+def test_names_are_cleaned_before_they_are_counted(spark, docs_of, limits, work, monkeypatch):
+    monkeypatch.setattr(names, "AUTOMATON_WORK", work)
+    raw = [(0, " Alice "), (0, "Alice"), (0, " "), (0, ""), (0, None), (1, "Alice")]
+    table = spark.createDataFrame(raw, "doc_id bigint, name string")
+    counted = names.count_occurrences(docs_of("Alice met Alice", "nobody"), table, *limits)
+    assert sorted(tuple(row) for row in counted.collect()) == [(0, "Alice", 2), (1, "Alice", 0)]
+
+
+def test_both_counts_agree_on_empty_names(monkeypatch):
+    for work in (0, 10**9):
+        monkeypatch.setattr(names, "AUTOMATON_WORK", work)
+        assert names.count_all("abca", ["", "a", None]) == [0, 2, 0]
+        assert names.count_all("abca", [""]) == [0]
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_outcome_does_not_depend_on_a_setting(spark, ansi):
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        failed = outcome_of(spark, (None, "E", "x"), (None, "E", "y"))
+        rows = [(1, 0, None, "E", "x"), (1, 1, None, "E", "y")]
+        n_names = names.run_outcome(spark.createDataFrame(rows, PARSED)).first().n_names
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+    assert failed == ("failed", "All 2 chunk(s) failed", "x") and n_names == 0
+
+
+def test_joined_lists_exchange_each_side_once(spark, docs_of):
+    table = spark.createDataFrame([(0, "a")], "doc_id bigint, name string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        counted = names.count_occurrences(docs_of("a"), table, broadcast_bytes=0)
+        plan = counted._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange hashpartitioning") == 2

@@ -87,3 +87,27 @@ def test_summary(spark):
     )
     assert tuple(replacing.replacement_summary(counts).first()) == (1, 2, 2)
     assert [row.original for row in replacing.names_replaced(counts).collect()] == ["A"]
+
+
+@BROADCAST
+def test_equal_ranks_apply_in_one_order(spark, docs_of, limits):
+    rows = [(0, "b", "a", 1), (0, "a", "x", 1)]
+    texts, counts = apply(spark, docs_of("ab"), rows, limits)
+    assert (texts[0].text, texts[0].total) == ("xa", 2) and counts == {0: {"a": 1, "b": 1}}
+
+
+def test_only_heavy_documents_are_streamed(spark, docs_of):
+    rows = [(0, chr(97 + i), "x", i) for i in range(5)] + [(1, "a", "y", 0)]
+    table = spark.createDataFrame(rows, MAPPINGS)
+    applied = replacing.apply_replacements(docs_of("abc", "abc", "abc"), table, 0, 3)
+    plan = applied._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and "LeftAnti" in plan
+    texts = {row.doc_id: row.text for row in replacing.replaced_texts(applied).collect()}
+    assert texts == {0: "xxx", 1: "ybc", 2: "abc"}
+
+
+def test_without_unmapped_documents_the_join_is_inner(spark, docs_of):
+    table = spark.createDataFrame([(0, "a", "x", 0)], MAPPINGS)
+    applied = replacing.apply_replacements(docs_of("a", "b"), table, unmapped=False)
+    assert "LeftOuter" not in applied._jdf.queryExecution().optimizedPlan().toString()
+    assert [row.doc_id for row in replacing.replaced_texts(applied).collect()] == [0]

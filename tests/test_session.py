@@ -70,3 +70,15 @@ def test_ids_may_be_strings(spark, limits):
     applied = replacing.apply_replacements(docs, mapping.edited_mappings(rows), *limits)
     texts = {row.doc_id: row.text for row in replacing.replaced_texts(applied).collect()}
     assert texts == {"p/a": "Eve Eve Eve", "p/b": "Eve"}
+
+
+def test_a_run_leaves_nothing_behind(spark):
+    import os
+
+    session.drop_stored(spark)
+    folder = session.shared_folder(spark)
+    before = set(os.listdir(folder))
+    counts = spark.createDataFrame([(1, f"n{i}", 1) for i in range(20)], "doc_id bigint, name string, occurrences int")
+    assert mapping.rank_names(counts, rows_per_task=5).count() == 20
+    assert set(os.listdir(folder)) > before
+    assert session.drop_stored(spark) >= 2 and set(os.listdir(folder)) == before

@@ -27,13 +27,15 @@ from workload.layout import DECORATED_SQL, LAYOUT_SQL, decorated
     """
 )
 def file_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    kb = texts.size_kb(texts.byte_length(F.col("text")))
-    sized = docs.select("doc_id", kb.alias("size_kb"), texts.line_count("text").alias("line_count"))
-    label = texts.profile_label(
-        F.lit("doc"), F.col("size_kb"), F.col("line_count"), F.lit("utf-8")
+    content = F.encode("text", "UTF-8")
+    loaded = documents(spark, sf_dir).select(
+        F.concat(F.col("doc_id").cast("string"), F.lit("/doc")).alias("path"),
+        F.octet_length(content).cast("bigint").alias("length"),
+        content.alias("content"),
     )
-    return sized.withColumn("label", label)
+    profile = files.profile_files(files.decode_files(loaded))
+    number = F.substring_index("path", "/", 1).cast("bigint")
+    return profile.select(number.alias("doc_id"), "size_kb", "line_count", "label")
 
 
 def raw_bytes(doc_id: Column, text: Column) -> Column:
@@ -186,6 +188,33 @@ def scanned_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    """
+    WITH kept AS (SELECT doc_id, CASE doc_id % 10 WHEN 0 THEN '' ELSE text END AS text FROM documents
+                  WHERE doc_id % 10 <> 9)
+    SELECT doc_id, strlen(text)::BIGINT AS length, md5(text) AS text_md5 FROM kept
+    """
+)
+def manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files named by a manifest: some are empty, some have names that the source skips, some are not wanted."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(new_table(spark, "castlist-files"))
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    folder = system.makeQualified(path).toString()
+    form = F.pmod("doc_id", F.lit(10))
+    prefix = F.when(form == 1, "/_").when(form == 2, "/.").otherwise("/")
+    name = F.concat(F.lit(folder), prefix, F.col("doc_id").cast("string"), F.lit(".txt"))
+    text = F.when(form == 0, "").otherwise(F.col("text"))
+    docs = documents(spark, sf_dir).select("doc_id", name.alias("path"), text.alias("text"))
+    files.save_files(docs.withColumn("encoding", F.lit("utf-8")))
+    manifest = docs.where(form != 9).select("path")
+    decoded = files.loaded(files.decode_files(files.scan_files(spark, folder, manifest)))
+    return decoded.select(
+        F.regexp_extract("path", r"(\d+)\.txt$", 1).cast("bigint").alias("doc_id"),
+        "length",
+        F.md5("text").alias("text_md5"),
+    )
+
+
 def suffixed_sql(path: str, suffix: str) -> str:
     """SQL for the suffix rule: the last dot splits, if it is inside the name."""
     name = f"regexp_replace({path}, '^.*/', '')"

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from castlist.operators import mapping as mappings
 from castlist.operators import names as naming
 from castlist.operators import replacing
-from castlist.plans.rename import export_documents
+from castlist.plans.rename import export_documents, replaced_documents
+from castlist.plans.rename import exported_counts as rename_counts
 from castlist.session import cut_lineage
 from castlist.sources import files
 from castlist.sources.tables import read_table
@@ -143,6 +144,32 @@ def edited_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mappings.edited_mappings(edited_rows(spark, sf_dir))
 
 
+@query(
+    f"""
+    WITH {EDITS_SQL},
+    repeated AS (
+        SELECT * FROM rows
+        UNION ALL SELECT doc_id, original, original || ' again', occurrence_count, rank + 1000000
+        FROM rows WHERE rank % 3 = 0),
+    edited_again AS (
+        SELECT doc_id, original, trim(replacement) AS replacement, rank
+        FROM repeated WHERE trim(replacement) <> '' AND trim(replacement) <> original)
+    SELECT doc_id, original, arg_max(replacement, rank) AS replacement, min(rank) AS rank
+    FROM edited_again GROUP BY doc_id, original
+    """
+)
+def repeated_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table in which a third of the originals have a second row."""
+    rows = edited_rows(spark, sf_dir)
+    again = rows.where(F.col("rank") % 3 == 0).withColumns(
+        {
+            "replacement": F.concat("original", F.lit(" again")),
+            "rank": F.col("rank") + 1_000_000,
+        }
+    )
+    return mappings.edited_mappings(rows.unionByName(again))
+
+
 @query(
     f"""
     WITH {EDITS_SQL}
@@ -317,13 +344,33 @@ def names_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 )
 def exported_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    exported = export_documents(files_of(spark, sf_dir), stored_mappings(spark, sf_dir))
+    return files.encoded(exported).select("path", "encoding", F.md5("content").alias("content_md5"))
+
+
+@query(
+    f"""
+    WITH {MAPPINGS_SQL},
+    paths AS (SELECT doc_id, {PATH_SQL} AS path FROM documents),
+    edited AS (SELECT doc_id, original FROM mappings WHERE replacement <> original)
+    SELECT {suffixed_sql("path", "_processed")} AS path, (row_number() OVER (
+           PARTITION BY doc_id ORDER BY step))::INTEGER AS step, original, n::INTEGER AS n
+    FROM step_counts JOIN edited USING (doc_id, original) JOIN paths USING (doc_id)
+    """
+)
+def exported_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each name was replaced, from the run that also gives the texts."""
+    run = cut_lineage(replaced_documents(files_of(spark, sf_dir), stored_mappings(spark, sf_dir)))
+    return rename_counts(run).select("path", "step", "original", "n")
+
+
+def files_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as loaded files (doc_id, path, text, encoding)."""
     table = read_table(spark, f"{sf_dir}/documents.parquet", "doc_id")
     encoding = F.when(F.pmod("doc_id", F.lit(2)) == 0, "utf-8-sig").otherwise("gb18030")
-    docs = table.select(
+    return table.select(
         "doc_id",
         path_of(F.col("doc_id"), F.col("source")).alias("path"),
         "text",
         encoding.alias("encoding"),
     )
-    exported = export_documents(docs, stored_mappings(spark, sf_dir))
-    return files.encoded(exported).select("path", "encoding", F.md5("content").alias("content_md5"))

@@ -391,6 +391,32 @@ def name_counts_dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return naming.count_occurrences(docs, names, broadcast_bytes=0, rows_per_task=10)
 
 
+def raw_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The names as replies may give them: padded, repeated, blank and missing."""
+    names = stored_names(spark, sf_dir)
+    forms = F.array(
+        F.concat(F.lit("  "), "name", F.lit("\t")), F.col("name"), F.lit(" "), F.lit(""), F.lit(None)
+    )
+    return names.select("doc_id", F.explode(forms).alias("name"))
+
+
+@query(f"WITH {OWN_COUNTS_SQL} SELECT doc_id, name, occurrences FROM counts")
+def raw_name_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return naming.count_occurrences(documents(spark, sf_dir), raw_names(spark, sf_dir))
+
+
+@query(f"WITH {OWN_COUNTS_SQL} SELECT doc_id, name, occurrences FROM counts")
+def raw_name_counts_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return naming.count_occurrences(docs, raw_names(spark, sf_dir), broadcast_bytes=0)
+
+
+@query(f"WITH {OWN_COUNTS_SQL} SELECT doc_id, name, occurrences FROM counts")
+def raw_name_counts_dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, names = documents(spark, sf_dir), raw_names(spark, sf_dir)
+    return naming.count_occurrences(docs, names, broadcast_bytes=0, rows_per_task=10)
+
+
 @query(
     f"""
     WITH {OWN_COUNTS_SQL}
