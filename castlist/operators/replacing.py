@@ -111,7 +111,11 @@ def _replace_lists(
     texts: DataFrame, items: DataFrame, small: bool, carry: tuple[str, ...], unmapped: bool
 ) -> DataFrame:
     """The replacements of documents whose mappings fit a list."""
-    listed = matching.with_item_lists(texts, items, ORDER, small, "left" if unmapped else "inner")
+    if not unmapped:
+        listed = matching.with_item_lists(texts, items, ORDER, small, "inner")
+        applied = _replace_listed("text", F.col("items.original"), F.col("items.replacement"))
+        return inline_structs(listed, ["doc_id", *carry], applied, "step")
+    listed = matching.with_item_lists(texts, items, ORDER, small)
     mapped = F.col("items").isNotNull()
     unchanged = F.struct(
         F.lit(0).alias("step"),
