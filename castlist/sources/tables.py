@@ -5,15 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-def read_table(spark: SparkSession, path: str, *key: str) -> DataFrame:
-    """A Parquet table, spread over all cores by its unique ``key`` if it is small.
+def read_table(spark: SparkSession, path: str, *key: str, tasks: int | None = None) -> DataFrame:
+    """A Parquet table, as it is scanned, or spread over ``tasks`` by its unique ``key``.
 
-    A small file is read by a few tasks only, often by one, which is too slow
-    for the text functions. A table with a scan partition for every core is
-    left as it is, so nothing large is shuffled here.
+    A small file is read by a few tasks only, often by one, which is slow for
+    the text functions; whoever knows that a table is small may spread it.
     """
     table = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    if not key or table.rdd.getNumPartitions() >= cores:
-        return table
-    return table.repartition(cores, *key)
+    return table if tasks is None else table.repartition(tasks, *key)

@@ -12,6 +12,8 @@ from castlist.plans import normalize
 from castlist.session import new_table
 from castlist.sources import files
 from castlist.sources.tables import read_table
+
+import workload
 from workload import documents, query
 from workload.layout import DECORATED_SQL, LAYOUT_SQL, decorated
 
@@ -90,7 +92,7 @@ def path_of(doc_id: Column, source: Column) -> Column:
 
 def raw_files(spark: SparkSession, sf_dir: str, text: Column | None = None) -> DataFrame:
     """The documents as (doc_id, path, length, content) of files."""
-    table = read_table(spark, f"{sf_dir}/documents.parquet", "doc_id")
+    table = read_table(spark, f"{sf_dir}/documents.parquet", "doc_id", tasks=workload.TASKS)
     content = raw_bytes(F.col("doc_id"), F.col("text") if text is None else text)
     return table.select(
         "doc_id", path_of(F.col("doc_id"), F.col("source")).alias("path"), content.alias("content")

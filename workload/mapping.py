@@ -13,6 +13,8 @@ from castlist.plans.rename import exported_counts as rename_counts
 from castlist.session import cut_lineage
 from castlist.sources import files
 from castlist.sources.tables import read_table
+
+import workload
 from workload import documents, query
 from workload.files import PATH_SQL, path_of, suffixed_sql
 from workload.names import OWN_COUNTS_SQL, own_names, stored_names
@@ -366,7 +368,7 @@ def exported_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def files_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as loaded files (doc_id, path, text, encoding)."""
-    table = read_table(spark, f"{sf_dir}/documents.parquet", "doc_id")
+    table = read_table(spark, f"{sf_dir}/documents.parquet", "doc_id", tasks=workload.TASKS)
     encoding = F.when(F.pmod("doc_id", F.lit(2)) == 0, "utf-8-sig").otherwise("gb18030")
     return table.select(
         "doc_id",
