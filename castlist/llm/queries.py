@@ -46,7 +46,33 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(docs, SHARDS, ["doc_id"])
 
 
-@query()
+@query("""
+WITH bytes AS (
+    SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), windows AS (
+    SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS k
+    FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM bytes)
+), first AS (
+    SELECT k, min(doc_id) AS first_doc FROM windows GROUP BY k
+), gone AS (
+    SELECT doc_id, i FROM windows JOIN first USING (k) WHERE first_doc < doc_id
+), numbered AS (
+    SELECT doc_id, i, sum(CAST(new AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i) AS run
+    FROM (SELECT *, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50, true) AS new FROM gone)
+), spans AS (
+    SELECT doc_id, run, min(i) AS s, max(i) + 50 AS e FROM numbered GROUP BY doc_id, run
+), between_spans AS (
+    SELECT doc_id, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS p FROM spans
+), cut AS (
+    SELECT doc_id, count(*) AS n_spans, sum(e - s) AS n_removed, max(e) AS last_e,
+           string_agg(substr(h, 2 * p + 1, 2 * (s - p)), '' ORDER BY s) AS head
+    FROM between_spans JOIN bytes USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       coalesce(n_spans, 0) AS n_spans,
+       sha256(from_hex(coalesce(head, '') || substr(h, 2 * coalesce(last_e, 0) + 1))) AS kept_sha256
+FROM bytes LEFT JOIN cut USING (doc_id)
+""")
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What remains of every document without the strings of 50 bytes that stand in an earlier one."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")

@@ -9,8 +9,9 @@ a smaller doc_id. The strings are the windows of the whole texts. Equal windows
   each anchor, that it has it, and learns which are in two documents: one bit for each. Most are not, and their
   windows are done with.
 * The stretches of shared anchors go to the anchors' owners, each different one once for
-  a block, with the smallest doc_id. An anchor that ``CROWD`` blocks have is replaced by the finer anchors of the
-  windows' grams of ``FINE`` bytes, which have few different stretches each however many texts share a passage.
+  a block, with the smallest doc_id. An anchor that ``CROWD`` blocks have, or that has ``CROWD_IN_BLOCK`` stretches in one, is replaced
+  by the finer anchors of the windows' grams of ``FINE`` bytes, which have few different stretches each however many
+  texts share a passage.
 * An owner builds the suffix arrays of its anchors' stretches by linear grouping (``suffix_array``). Suffixes that
   share LENGTH bytes are neighbours; the smallest doc_id of such a run is the answer for its windows, and goes
   back to the blocks that asked.
@@ -28,7 +29,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -37,13 +37,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from castlist.llm.suffix_array import spread, suffix_arrays
-from castlist.session import cut_lineage, shared_folder
+from castlist.session import cut_lineage, new_table
 
 LENGTH = 50
-GRAM, FINE = 24, 46
+GRAM, FINE = 24, 48
 BLOCK_BYTES = 2 << 20
 OWNER_BYTES = 16 << 20
-CROWD = 64
+CROWD, CROWD_IN_BLOCK = 32, 16
 STRIP = 1 << 20
 BATCH_SYMBOLS = 1 << 17
 LAST_ID = (1 << 63) - 1
@@ -162,6 +162,10 @@ class Block:
         np.maximum.at(high, self.index, ids)
         return low < high
 
+    def crowded(self, most: int) -> np.ndarray:
+        """For each different anchor, whether the block has ``most`` stretches of it."""
+        return np.bincount(self.index, minlength=len(self.anchors)) >= most
+
     def by_owner(self) -> Iterator[tuple[int, slice]]:
         return _runs(self.anchors.astype(np.int64) >> 40)
 
@@ -203,19 +207,21 @@ class Block:
 
 
 def _flags(table: pa.Table, crowd: int) -> Iterator[tuple[int, bytes, bytes]]:
-    """For each block of an owner's rows (block, anchors, double): bits of its shared and its crowded anchors."""
-    rows = list(zip(*(table.column(c).to_pylist() for c in ("block", "anchors", "double")), strict=True))
-    lists, doubles = [], []
-    for _, packed, double in rows:
+    """For each block of an owner's rows (block, anchors, double, many): bits of its shared and its crowded anchors."""
+    rows = list(zip(*(table.column(c).to_pylist() for c in ("block", "anchors", "double", "many")), strict=True))
+    lists, doubles, manies = [], [], []
+    for _, packed, double, many in rows:
         low = np.frombuffer(packed, np.uint8).reshape(-1, 5).astype(np.uint64)
         lists.append((low << (np.uint64(8) * np.arange(5, dtype=np.uint64))).sum(axis=1, dtype=np.uint64))
-        doubles.append(np.unpackbits(np.frombuffer(double, np.uint8), count=len(low)).astype(bool))
+        for bits, kept in ((double, doubles), (many, manies)):
+            kept.append(np.unpackbits(np.frombuffer(bits, np.uint8), count=len(low)).astype(bool))
     values, index, times = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
     shared = times > 1
     np.logical_or.at(shared, index, np.concatenate(doubles))
     crowded = times >= crowd
+    np.logical_or.at(crowded, index, np.concatenate(manies))
     at = 0
-    for (block, _, _), values in zip(rows, lists, strict=True):
+    for (block, *_), values in zip(rows, lists, strict=True):
         own = index[at : at + len(values)]
         at += len(values)
         yield block, np.packbits(shared[own]).tobytes(), np.packbits(crowded[own]).tobytes()
@@ -344,7 +350,11 @@ def _read(messages: pa.Table) -> tuple[dict[int, tuple[bytes, bytes]], list[byte
 
 
 def remove_repeats(
-    docs: DataFrame, block_bytes: int = BLOCK_BYTES, owner_bytes: int = OWNER_BYTES, crowd: int = CROWD
+    docs: DataFrame,
+    block_bytes: int = BLOCK_BYTES,
+    owner_bytes: int = OWNER_BYTES,
+    crowd: int = CROWD,
+    crowd_in_block: int = CROWD_IN_BLOCK,
 ) -> DataFrame:
     """(doc_id, n_bytes, spans, kept) of documents (doc_id, text): the removed runs of bytes, and the rest joined."""
     spark = docs.sparkSession
@@ -352,13 +362,14 @@ def remove_repeats(
     n_blocks, owners = total // block_bytes + 1, total // owner_bytes + 1
     block = F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).alias("block")
     # A bucketed table, so that the three passes over the texts exchange them once.
-    name = f"texts_{uuid4().hex}"
+    path = new_table(spark, "texts")
+    name = path.rpartition("/")[2].replace("-", "_")
     files = min(n_blocks, MOST_FILES)
     (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", block)
         .repartition(files, "block")
         .write.bucketBy(files, "block")
-        .option("path", f"{shared_folder(spark)}/{name}")
+        .option("path", path)
         .option("compression", "zstd")
         .saveAsTable(name)
     )
@@ -366,13 +377,15 @@ def remove_repeats(
 
     def announce(table: pa.Table) -> pa.Table:
         own = Block(table, owners)
-        double = own.in_two_documents()
+        double, many = own.in_two_documents(), own.crowded(crowd_in_block)
         number = table.column("block")[0].as_py()
         rows = []
         for owner, part in own.by_owner():
             low = own.anchors[part].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-            rows.append((owner, number, low.tobytes(), np.packbits(double[part]).tobytes()))
-        schema = [("owner", pa.int32()), ("block", pa.int64()), ("anchors", pa.binary()), ("double", pa.binary())]
+            bits = [np.packbits(flags[part]).tobytes() for flags in (double, many)]
+            rows.append((owner, number, low.tobytes(), *bits))
+        schema = [("owner", pa.int32()), ("block", pa.int64())]
+        schema += [(name, pa.binary()) for name in ("anchors", "double", "many")]
         return _table(rows, pa.schema(schema))
 
     def decide(table: pa.Table) -> pa.Table:
@@ -444,7 +457,9 @@ def remove_repeats(
             rows.append((own.doc_ids[i], len(text), [{"start": a, "end": b} for a, b in edges], kept))
         return _table(rows, schema)
 
-    announced = texts.groupBy("block").applyInArrow(announce, "owner int, block long, anchors binary, double binary")
+    announced = texts.groupBy("block").applyInArrow(
+        announce, "owner int, block long, anchors binary, double binary, many binary"
+    )
     flags = cut_lineage(announced.groupBy("owner").applyInArrow(decide, MESSAGES))
     asked = texts.groupBy("block").cogroup(flags.groupBy("block"))
     asked = asked.applyInArrow(ask, "owner int, block long, question array<binary>")

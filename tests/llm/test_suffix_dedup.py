@@ -36,7 +36,8 @@ def texts(seed, n=50):
 
 
 @pytest.mark.parametrize(("seed", "limits"), [(1, {}), (2, {"block_bytes": 900, "owner_bytes": 2000}),
-                                             (3, {"block_bytes": 700, "owner_bytes": 900, "crowd": 2})])
+                                             (3, {"block_bytes": 700, "owner_bytes": 900, "crowd": 2}),
+                                             (4, {"crowd_in_block": 2})])
 def test_equals_brute_force(table, seed, limits):
     rows = texts(seed)
     found = dedup.remove_repeats(table(rows), **limits).collect()
