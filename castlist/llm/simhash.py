@@ -38,7 +38,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from castlist.llm.common import SPACES, lowered
 from castlist.llm.components import components
 from castlist.session import cut_lineage
 
@@ -48,6 +47,11 @@ CROWD = 8192
 SMALL = 8
 # Relative cost of sending a row to a value and of comparing two rows there.
 ROW_COST, PAIR_COST = 1.0, 0.02
+# Near copies: documents sampled for common shingles, and how many of these are kept.
+SPREAD, COMMON = 8192, 1 << 15
+# Up to FEW rows of a shingle are compared pair by pair; more in blocks of so many rows and hashes.
+FEW, BLOCK, BLOCK_HASHES, COLUMNS = 8, 256, 1 << 20, 4096
+PARITY = 4096
 
 _STRIP = 255 << 8
 
@@ -366,21 +370,216 @@ def near_groups(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFrame:
     return marks.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+# ---- Near copies by their shingles --------------------------------------------------------
+
+
+def _shingle_set(text: str | None, size: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, ascending."""
+    return np.unique(shingle_hashes((text or "").encode(), size)).view(np.int64)
+
+
+def _parities(s: np.ndarray) -> bytes:
+    """Whether the hashes that fall on each of ``PARITY`` places are odd in number.
+
+    Sets of which these differ in d places differ in at least d hashes.
+    """
+    places = (s & (PARITY - 1)).astype(np.int64)
+    return np.packbits((np.bincount(places, minlength=PARITY) & 1).astype(np.uint8)).tobytes()
+
+
+def may_be_near(distances: np.ndarray, hashes: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets with so many hashes together and parities at that distance can be near copies; never a wrong no."""
+    return distances * (1 + similarity) <= hashes * (1 - similarity) + 1e-6
+
+
+def _parity_words(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), PARITY // 64)
+
+
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
     """(doc_id, s): the distinct hashes of each text's shingles."""
-    words = F.filter(F.split(lowered(F.col("text")), f"[{SPACES}]+"), lambda w: w != "")
-    # The words are a column of their own, or every shingle would split the text again.
-    split = docs.select("doc_id", words.alias("words"))
-    starts = F.sequence(F.lit(1), F.greatest(F.size("words") - size + 1, F.lit(1)))
-    hashes = F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice("words", i, size), " ")))
-    return split.select("doc_id", F.array_distinct(hashes).alias("s"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                some = batch.slice(at, 256)
+                sets = [_shingle_set(t.as_py(), size) for t in some.column(1)]
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "s"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(run, "doc_id long, s array<long>")
+
+
+def common_shingles(docs: DataFrame, size: int) -> np.ndarray:
+    """Hashes of shingles that several documents of a sample have, the rarest first."""
+    share = min(1.0, SPREAD / max(docs.count(), 1))
+    picked = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
+    counts = shingle_sets(picked, size).select(F.explode("s").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    most = counts.where("n > 1").orderBy(F.desc("n"), "token").limit(COMMON).collect()
+    return np.array([row.token for row in reversed(most)], np.int64)
+
+
+def prefixes(docs: DataFrame, size: int, similarity: float, common: np.ndarray) -> DataFrame:
+    """(doc_id, digest, n, parity, prefix): of each shingle set, the last being those of its hashes that a near copy must share one of.
+
+    All sets are in one order: what is not in ``common`` by its hash, then what is, in that order.
+    Two sets that share t hashes have the first of these among their first n - t + 1.
+    """
+    order = np.argsort(common)
+
+    def head(s: np.ndarray) -> np.ndarray:
+        length = len(s) - math.ceil(similarity * len(s) - 1e-6) + 1 if len(s) else 0
+        if not len(common):
+            return s[:length]
+        place = np.minimum(np.searchsorted(common, s, sorter=order), len(common) - 1)
+        rank = np.where(common[order[place]] == s, order[place] + 1, 0)
+        return s[np.argsort(rank, kind="stable")[:length]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 1024):
+                some = batch.slice(at, 1024)
+                sets = [_shingle_set(t.as_py(), size) for t in some.column(1)]
+                columns = [
+                    some.column(0),
+                    pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+                    pa.array([len(s) for s in sets], pa.int32()),
+                    pa.array([_parities(s) for s in sets], pa.binary()),
+                    pa.array([head(s) for s in sets], pa.list_(pa.int64())),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "n", "parity", "prefix"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(run, "doc_id long, digest binary, n int, parity binary, prefix array<long>")
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each set on the left shares with each on the right."""
+    sides = []
+    shared = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    for sets in (left, right):
+        hashes = np.concatenate(sets)
+        rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        place = np.searchsorted(shared, hashes)
+        known = np.flatnonzero(shared[np.minimum(place, len(shared) - 1)] == hashes) if len(shared) else place[:0]
+        known = known[np.argsort(place[known], kind="stable")]
+        sides.append((len(sets), rows[known], place[known]))
+    out = np.zeros((len(left), len(right)), np.int64)
+    for at in range(0, len(shared), COLUMNS):
+        tiles = []
+        for n, rows, place in sides:
+            a, b = np.searchsorted(place, (at, at + COLUMNS))
+            tile = np.zeros((n, min(COLUMNS, len(shared) - at)), np.float32)
+            tile[rows[a:b], place[a:b] - at] = 1
+            tiles.append(tile)
+        out += (tiles[0] @ tiles[1].T).astype(np.int64)
+    return out
+
+
+def spanning(near: np.ndarray) -> list[tuple[int, int]]:
+    """Links (i, j) of a symmetric matrix that connect what all of its links do, fewer than its rows."""
+    waiting, out = np.ones(len(near), bool), []
+    for root in range(len(near)):
+        if not waiting[root]:
+            continue
+        waiting[root], stack = False, [root]
+        while stack:
+            i = stack.pop()
+            new = np.flatnonzero(near[i] & waiting).tolist()
+            waiting[new] = False
+            out += [(i, j) for j in new]
+            stack += new
+    return out
+
+
+def _sides(table: pa.Table) -> tuple[pa.Table, slice, slice]:
+    """The rows of a pair of blocks, the first block's before the other's; a block by itself is both."""
+    own, low = table.column("own").to_numpy(), table.column("low").to_numpy()
+    table = table.take(pa.array(np.argsort(own != low, kind="stable"))).combine_chunks()
+    n_left = int((own == low).sum())
+    return table, slice(0, n_left), slice(n_left if n_left < len(own) else 0, len(own))
+
+
+def _block_hopes(table: pa.Table, similarity: float) -> pa.Table:
+    """The rows that have another in their pair of blocks whose parities do not rule it out."""
+    table, first, other = _sides(table)
+    words, sizes = _parity_words(table.column("parity")), table.column("n").to_numpy().astype(np.int64)
+    hope = np.zeros(len(table), bool)
+    for i in range(first.start, first.stop):
+        near = may_be_near(_distances(words[i], words[other]), sizes[i] + sizes[other], similarity)
+        if other.start == 0:
+            near[i] = False
+        hope[other] |= near
+        hope[i] |= near.any()
+    return table.filter(pa.array(hope)).select(["low", "high", "own", "id"])
+
+
+def _block_links(table: pa.Table, similarity: float) -> pa.Table:
+    """(a, b): links that connect the near copies of one block, or those between two blocks."""
+    table, first, other = _sides(table)
+    ids = table.column("id").to_numpy()
+    sets = [s.values.to_numpy() for s in table.column("s")]
+    sizes = np.array([len(s) for s in sets], np.int64)
+    near = np.zeros((len(sets), len(sets)), bool)
+    if first.stop:
+        both = overlaps(sets[first], sets[other])
+        near[first, other] = both >= similarity * (sizes[first][:, None] + sizes[other][None] - both)
+    found = spanning(near | near.T)
+    return pa.table(
+        {"a": pa.array([ids[i] for i, _ in found], pa.int64()), "b": pa.array([ids[j] for _, j in found], pa.int64())}
+    )
 
 
-def similar(edges: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
+def crowd_hopes(crowded: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """(low, high, own, id): the rows of each pair of blocks to compare, of rows (token, crowd, id, n) of equal token.
+
+    A row's home is the most crowded of its tokens, with the magnitude of n. The rows of a home are dealt out in
+    blocks, and two blocks are compared, once, if they have a token in common and magnitudes that near copies can have.
+    Rows whose parities rule out every other row there are left out.
+    """
+    homes = crowded.groupBy("id").agg(F.max(F.struct("crowd", "token")).alias("top"), F.max("n").alias("n"))
+    # Sizes of near copies differ by a factor of at most 1 / similarity.
+    grade = F.floor(F.log("n") / (math.log(1 / similarity) + 0.01))
+    homes = cut_lineage(homes.select("id", F.col("top.token").alias("home"), grade.alias("grade"), F.col("n").cast("long").alias("n")))
+    width = homes.groupBy("home", "grade").agg(F.count("*").alias("rows"), F.sum("n").alias("n_all"))
+    n_blocks = F.ceil(F.greatest(F.col("rows") / BLOCK, F.col("n_all") / BLOCK_HASHES))
+    block = F.xxhash64("home", "grade", F.pmod(F.xxhash64("id"), n_blocks))
+    placed = cut_lineage(homes.join(width, ["home", "grade"]).select("id", "grade", block.alias("own")))
+    spread = cut_lineage(crowded.join(placed, "id").select("token", "grade", "own").distinct())
+    pairs = spread.select("token", F.col("own").alias("low"), F.col("grade").alias("g")).join(
+        spread.select("token", F.col("own").alias("high"), F.col("grade").alias("h")), "token"
+    )
+    pairs = pairs.where("low <= high and abs(g - h) <= 1").select("low", "high").distinct()
+    ends = cut_lineage(pairs.select("low", "high", F.explode(F.array_distinct(F.array("low", "high"))).alias("own")))
+    rows = placed.select("id", "own").join(sketches.select(F.col("doc_id").alias("id"), "n", "parity"), "id").join(ends, "own")
+    rows = rows.select("low", "high", "own", "id", "n", "parity").groupBy("low", "high")
+    return rows.applyInArrow(lambda table: _block_hopes(table, similarity), "low long, high long, own long, id long")
+
+
+def crowd_links(hopes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links that connect the near copies within each pair of blocks."""
+    rows = hopes.join(sets.select(F.col("doc_id").alias("id"), "s"), "id")
+    rows = rows.select("low", "high", "own", "id", "s").groupBy("low", "high")
+    return rows.applyInArrow(lambda table: _block_links(table, similarity), "a long, b long")
+
+
+def hopeful(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose parities do not rule them out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            distances = _distances(_parity_words(batch.column("pa")), _parity_words(batch.column("pb")))
+            near = may_be_near(distances, batch.column("hashes").to_numpy(), similarity)
+            yield batch.select(["a", "b"]).filter(pa.array(near))
+
+    left = sketches.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("parity").alias("pa"))
+    right = sketches.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb"))
+    both = pairs.join(left, "a").join(right, "b")
+    return both.select("a", "b", "pa", "pb", (F.col("na") + F.col("nb")).alias("hashes")).mapInArrow(run, "a long, b long")
+
+
+def similar(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The edges (a, b) whose documents share that part of their shingles (Jaccard), exactly."""
-    ids = edges.select(F.col("a").alias("id")).unionAll(edges.select(F.col("b").alias("id"))).distinct()
-    sets = docs.join(ids, F.col("doc_id") == F.col("id"), "left_semi")
-    sets = cut_lineage(shingle_sets(sets, size))
     left = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
@@ -388,31 +587,43 @@ def similar(edges: DataFrame, docs: DataFrame, size: int, similarity: float) ->
     return edges.join(left, "a").join(right, "b").where(both >= similarity * all_).select("a", "b")
 
 
-def drop_near_duplicates(
-    docs: DataFrame,
-    size: int = 5,
-    similarity: float = 0.8,
-    planes: int = 12,
-    units: int = 48,
-    compared: int = 32,
-) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """The documents, all columns, without those that have a near copy with a smaller doc_id.
 
     Near copies share ``similarity`` of their distinct shingles of ``size`` words, and chains of
-    them are one group. Fingerprints have 64 bits for each of the ``planes``, one unit for 16
-    bits. Those that meet are compared by the first ``compared`` bytes, at a radius that lies 3.5
-    standard deviations above the distance expected at that similarity; what lies within it is
-    compared by its shingles. doc_ids are distinct; rows without one stay.
+    them are one group. Documents of one shingle set are one row. Every pair of near copies shares one of its rarest
+    shingles (``prefixes``); pairs that do are compared by all their shingles, one by one where at most
+    ``FEW`` rows share it and otherwise in blocks. The sample of ``common_shingles`` decides which
+    shingles are tried, and so the cost, but any order finds every pair. doc_ids are distinct; rows without one stay.
     """
-    width = 8 * compared
-    differ = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
-    radius = int(width * differ + 3.5 * math.sqrt(width * differ * (1 - differ))) + 1
     docs_named = docs.where(F.col("doc_id").isNotNull())
-    marks = cut_lineage(fingerprints(docs_named, size, planes, distinct=True))
-    groups = cut_lineage(marks.groupBy("fp").agg(F.min("doc_id").alias("id")))
-    edges = cut_lineage(links(groups, radius, units, compared).select("a", "b").distinct())
-    found = components(similar(edges, docs_named, size, similarity))
+    marks = cut_lineage(prefixes(docs_named, size, similarity, common_shingles(docs_named, size)))
+    groups = cut_lineage(marks.groupBy("digest").agg(F.min("doc_id").alias("id")))
+    rows = marks.join(groups.select("id"), F.col("doc_id") == F.col("id"), "left_semi")
+    rows = rows.select(F.col("doc_id").alias("id"), "n", F.posexplode("prefix").alias("at", "token"))
+    counts = rows.groupBy("token").agg(F.count("*").alias("crowd")).where("crowd > 1")
+    met = cut_lineage(rows.join(counts, "token"))
+    few = met.where(F.col("crowd") <= FEW).select("token", "id", "n", "at")
+    pairs = few.select("token", *(F.col(c).alias(f"{c}_a") for c in ("id", "n", "at"))).join(
+        few.select("token", *(F.col(c).alias(f"{c}_b") for c in ("id", "n", "at"))), "token"
+    )
+    # What two sets can share from their first common hash on.
+    most = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    pairs = pairs.where("id_a < id_b").where(
+        most >= F.lit(similarity / (1 + similarity)) * (F.col("n_a") + F.col("n_b")) - 1e-6
+    )
+    sketches = marks.select("doc_id", "n", "parity")
+    pairs = pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    pairs = cut_lineage(hopeful(pairs, sketches, similarity))
+    crowded = met.where(F.col("crowd") > FEW).select("token", "crowd", "id", "n")
+    hopes = cut_lineage(crowd_hopes(crowded, sketches, similarity))
+    ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).unionAll(hopes.select("id"))
+    ids = cut_lineage(ids.distinct())
+    texts = docs_named.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sets = cut_lineage(shingle_sets(texts.join(ids, F.col("doc_id") == F.col("id"), "left_semi"), size))
+    near = similar(pairs, sets, similarity).unionAll(crowd_links(hopes, sets, similarity))
+    found = components(near)
     named = groups.join(found, F.col("id") == F.col("node"), "left")
-    named = named.select("fp", F.coalesce("component", "id").alias("_first"))
-    later = marks.join(named, "fp").where(F.col("doc_id") != F.col("_first")).select(F.col("doc_id").alias("_doc"))
+    named = named.select("digest", F.coalesce("component", "id").alias("_first"))
+    later = marks.join(named, "digest").where(F.col("doc_id") != F.col("_first")).select(F.col("doc_id").alias("_doc"))
     return docs.join(later, F.col("doc_id") == F.col("_doc"), "left_anti")

@@ -126,3 +126,32 @@ def test_components_of_a_chain_and_a_star(spark):
     found = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert found == {i: 0 for i in range(61)} | {i: 100 for i in range(100, 150)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def shingles_by_hand(text, size=5):
+    w = (text or "").lower().split()
+    return frozenset(" ".join(w[i : i + size]) for i in range(max(1, len(w) - size + 1))) if w else frozenset()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def test_near_copies_in_a_templated_group(table):
+    # Any two texts of the template have a Jaccard similarity just under 0.8; hidden among them are pairs just over it.
+    rng = random.Random(11)
+    template = [f"t{i}" for i in range(220)]
+    rows, expected = [], set()
+    for g in range(1200):
+        words = [*template, *(f"s{g}x{i}" for i in range(rng.randint(29, 30)))]
+        rows.append((2 * g, " ".join(words)))
+        if g % 20 == 0:
+            for i in rng.sample(range(1, 43), 5):
+                words[5 * i] = f"c{g}x{i}"
+            rows.append((2 * g + 1, " ".join(words)))
+            expected.add(2 * g + 1)
+    sets = {i: shingles_by_hand(t) for i, t in rows}
+    assert all(0.8 <= jaccard(sets[i - 1], sets[i]) < 0.9 for i in expected)
+    assert max(jaccard(sets[0], sets[i]) for i in sets if i > 1) < 0.8
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(table(rows)).collect()}
+    assert {i for i, _ in rows} - kept == expected
