@@ -10,8 +10,8 @@ row from then on. Fingerprints that differ in at most ``radius`` bits are found
   threshold u - 1: a row is sent to every value of the part that differs from its own in at most u - 1
   bits; a part without units is not probed. With ``units = radius + 1``
   two fingerprints within the radius must meet in some part, for if they differed
-  by more than the threshold in every part, they would differ in at least ``units`` bits. With fewer units those within
-  ``units - 1`` bits are found for certain and the others with the chance that one part agrees.
+  by more than the threshold in every part, they would differ in at least ``units`` bits. With fewer units only those within
+  ``units - 1`` bits are found for certain.
 * A dynamic programme picks the number of parts and the units of each by the estimated
   cost of probes and candidates; the estimate comes from a sample of ``SAMPLE``
   fingerprints. It decides about cost only, never about the result.
@@ -20,6 +20,8 @@ row from then on. Fingerprints that differ in at most ``radius`` bits are found
   no more than the rows. A value with more than ``CROWD`` rows is dealt out in blocks, and
   each pair of blocks is compared by itself; the forest of the whole is within their forests.
 
+Near copies (``drop_near_duplicates``) are not found by fingerprints but exactly, by their shingles.
+
 Defined results: words are ``[^\\x20\\x09-\\x0D]+`` after A-Z become a-z; a text of fewer words than
 a shingle has one shingle of all its words; one without words, as a null text, has fingerprint zero, which is
 linked like any other. Repeated rows share fingerprint and component. A row without doc_id takes

@@ -155,3 +155,21 @@ def test_near_copies_in_a_templated_group(table):
     assert max(jaccard(sets[0], sets[i]) for i in sets if i > 1) < 0.8
     kept = {r.doc_id for r in simhash.drop_near_duplicates(table(rows)).collect()}
     assert {i for i, _ in rows} - kept == expected
+
+
+@pytest.mark.parametrize(("few", "block", "spread"), [(8, 256, 8192), (2, 3, 20), (0, 4, 0)])
+def test_near_copies_equal_brute_force_whatever_the_plan(table, few, block, spread, monkeypatch):
+    for name, value in (("FEW", few), ("BLOCK", block), ("SPREAD", spread)):
+        monkeypatch.setattr(simhash, name, value)
+    rng = random.Random(12)
+    template, texts = [f"t{i}" for i in range(30)], [None, "", "one", "One", "two words"]
+    while len(texts) < 150:
+        words = rng.choice(texts[5:] or [""]).split() if rng.random() < 0.7 else [*template, *rng.choices("abcdefgh", k=rng.randint(5, 80))]
+        for _ in range(rng.randint(0, 2)):
+            words.insert(rng.randint(0, len(words)), f"n{rng.randrange(1000)}")
+        texts.append(" ".join(words))
+    sets = [shingles_by_hand(t) for t in texts]
+    near = [(i, j) for i, j in combinations(range(len(sets)), 2) if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(near) > 40
+    expected = [i for i, root in enumerate(roots(len(sets), near)) if root == i]
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(table(list(enumerate(texts)))).collect()) == expected
