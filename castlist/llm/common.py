@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,3 +30,8 @@ def remainder(doc_id: Column, divisor: int) -> Column:
 def wide_hash(value: Column) -> Column:
     """128 bits of a value, as two longs: XXH64 under two seeds."""
     return F.struct(F.xxhash64(value).alias("a"), F.xxhash64(F.lit(1), value).alias("b"))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it, inside lambdas too."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -9,7 +9,21 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from castlist.llm import bpe, chat, decontamination, language_id, line_dedup, lm, quality, sharding, simhash, suffix_dedup
+from castlist.llm import (
+    bpe,
+    chat,
+    decontamination,
+    divergence,
+    language_id,
+    lexical_search,
+    line_dedup,
+    lm,
+    quality,
+    secret_scan,
+    sharding,
+    simhash,
+    suffix_dedup,
+)
 from castlist.llm.common import LOWER, SPACES, UPPER, read, remainder
 from castlist.session import ship_package
 
@@ -248,3 +262,89 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("loss", 256).alias("loss_sha256"),
         "formatted_chars",
     )
+
+
+@query(r"""
+WITH split AS (
+    SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+    FROM documents
+), used AS (
+    SELECT d, lang, source, item, count(*) AS n FROM (SELECT d, lang, source, unnest(w) AS item FROM split) GROUP BY ALL
+), kept AS (
+    SELECT lang, item, CAST(sum(n) AS HUGEINT) AS lang_n FROM used GROUP BY lang, item HAVING count(*) >= 10
+), groups AS (
+    SELECT DISTINCT lang, source FROM split
+), grid AS (
+    SELECT lang, source, item, lang_n, CAST(coalesce(n, 0) AS HUGEINT) AS n
+    FROM groups JOIN kept USING (lang)
+    LEFT JOIN (SELECT lang, source, item, sum(n) AS n FROM used GROUP BY ALL) USING (lang, source, item)
+), totals AS (
+    SELECT *, sum(n) OVER own AS total, count(*) OVER own AS kinds, sum(lang_n) OVER own AS lang_total
+    FROM grid WINDOW own AS (PARTITION BY lang, source)
+), shares AS (
+    SELECT lang, source, item, n, CAST(1 + 1000000000 * (n + 2) // (total + 2 * kinds) AS HUGEINT) AS p,
+           CAST(1 + 1000000000 * (lang_n + 2) // (lang_total + 2 * kinds) AS HUGEINT) AS q
+    FROM totals
+), sums AS (
+    SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+    FROM shares a JOIN shares b ON a.lang = b.lang AND a.item = b.item AND a.source <> b.source GROUP BY ALL
+), pairs AS (
+    SELECT a.lang, a.source, b.source AS item, coalesce(sums.value, 0) AS value
+    FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN sums ON sums.lang = a.lang AND sums.source = a.source AND sums.item = b.source
+), every AS (
+    SELECT lang, source, 'pair' AS part, item, value FROM pairs
+    UNION ALL
+    SELECT lang, source, 'term', item, (p - q) * (p - q) // (p + q) FROM shares WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(place AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS place FROM every)
+WHERE part = 'pair' OR place <= 10
+""")
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far every source lies from the others of its language, and the terms that set it apart."""
+    return divergence.audit(read(spark, sf_dir, "documents"), min_docs=10, top=10)
+
+
+@query(r"""
+WITH item_terms AS (
+    SELECT DISTINCT item_id, unnest(regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+    FROM benchmark
+), docs AS (
+    SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+    FROM documents
+), totals AS (
+    SELECT count(*) FILTER (len(w) > 0) AS big_n, CAST(sum(len(w)) AS BIGINT) AS big_l FROM docs
+), sized AS (
+    SELECT doc_id, 100 - 50 + (50 * len(w) * big_n) // big_l AS m FROM docs, totals WHERE len(w) > 0
+), uses AS (
+    SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS t FROM docs) GROUP BY ALL
+), weighed AS (
+    SELECT t, CAST(floor(1000 * ln((2 * big_n + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight
+    FROM uses, totals GROUP BY t, big_n
+), scored AS (
+    SELECT item_id, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+    FROM uses JOIN item_terms USING (t) JOIN weighed USING (t) JOIN sized USING (doc_id) GROUP BY ALL
+)
+SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM scored WHERE score > 0)
+WHERE place <= 50
+""")
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 documents that answer every benchmark item best."""
+    return lexical_search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), top=50)
+
+
+@query()
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the secrets of every document stand."""
+    found = secret_scan.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = secret_scan.joined(secret_scan.known(F.col("spans")))
+    spans = secret_scan.joined(F.col("spans"))
+    return found.select("doc_id", *secret_scan.COUNTS, F.sha2(base, 256).alias("base_sha256"), spans.alias("spans"))
