@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from castlist.functions import replies
 from castlist.functions.text import strip
 from castlist.operators import matching
+from castlist.operators.asking import NOT_ASKED, NOT_ASKED_MESSAGE
 from castlist.operators.rows import explode_items, inline_structs
 from castlist.operators.skew import ROWS_PER_TASK, heavy_keys
 
@@ -23,6 +24,7 @@ AUTOMATON_WORK = 200_000
 RATE_LIMIT_MESSAGE = "Rate limit exceeded. Please wait and retry."
 RATE_LIMIT_DETAILS = "Provider rate limit."
 FAILED_MESSAGE = ("All ", " chunk(s) failed")
+STOPPED_MESSAGE = " chunk(s) not asked"
 
 
 def parse_replies(responses: DataFrame) -> DataFrame:
@@ -181,21 +183,25 @@ def mention_totals(counts: DataFrame) -> DataFrame:
 def run_outcome(parsed: DataFrame) -> DataFrame:
     """One row per document with chunks: how its extraction ended.
 
-    ``status`` is ``rate_limited`` if any chunk was, else ``failed`` if no
+    ``status`` is ``rate_limited`` if any chunk was, else ``stopped`` if some
+    were not asked since a refusal elsewhere had stopped the run, else ``failed`` if no
     name was found and some chunk failed, else ``ok``. ``message`` and
-    ``details`` are set for the first two.
+    ``details`` are set for all but the last. Chunks not asked are not failed ones.
     """
-    failed = F.col("error").isNotNull()
+    unasked = F.coalesce(F.col("error_class") == NOT_ASKED, F.lit(False))
+    failed = F.col("error").isNotNull() & ~unasked
     limited = failed & replies.is_rate_limit(F.col("error_class"), F.col("error"))
     totals = parsed.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n_chunks"),
         F.count_if(failed).alias("n_failed"),
         F.coalesce(F.sum(F.when(F.col("names").isNotNull(), F.size("names"))), F.lit(0)).cast("bigint").alias("n_names"),
         F.bool_or(limited).alias("rate_limited"),
+        F.count_if(unasked).alias("n_unasked"),
         F.min(F.when(failed, F.struct("chunk_idx", "error")))["error"].alias("first_error"),
     )
     status = (
         F.when(F.col("rate_limited"), "rate_limited")
+        .when(F.col("n_unasked") > 0, "stopped")
         .when((F.col("n_names") == 0) & (F.col("n_failed") > 0), "failed")
         .otherwise("ok")
     )
@@ -206,12 +212,14 @@ def run_outcome(parsed: DataFrame) -> DataFrame:
         "n_names",
         "status",
         F.when(F.col("status") == "rate_limited", RATE_LIMIT_MESSAGE)
+        .when(F.col("status") == "stopped", F.concat(F.col("n_unasked").cast("string"), F.lit(STOPPED_MESSAGE)))
         .when(
             F.col("status") == "failed",
             F.concat(F.lit(FAILED_MESSAGE[0]), F.col("n_failed").cast("string"), F.lit(FAILED_MESSAGE[1])),
         )
         .alias("message"),
         F.when(F.col("status") == "rate_limited", RATE_LIMIT_DETAILS)
+        .when(F.col("status") == "stopped", NOT_ASKED_MESSAGE)
         .when(F.col("status") == "failed", F.col("first_error"))
         .alias("details"),
     )

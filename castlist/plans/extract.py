@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from castlist.operators import chunks, mapping, names, scoring
+from castlist.operators import asking, chunks, mapping, names, scoring
 from castlist.session import cut_lineage
 
 # How many requests a task makes where the caller does not say into how many they are spread.
@@ -37,25 +37,31 @@ def extract_names(
     partitions: int | None = None,
     replies_path: str | None = None,
     names_path: str | None = None,
+    log: str | None = None,
 ) -> Extraction:
     """Run the whole extraction over (doc_id, text).
 
     The requests are spread evenly over ``partitions``, so a long document does
     not hold one task. The default is measured: one partition for every
     ``REQUESTS_PER_TASK`` chunks that the bytes of all texts can fill. Pacing is
-    per partition, so pass ``partitions`` together with ``interval``.
+    per partition, so pass ``partitions`` together with ``interval``. With a folder for
+    a ``log`` (see ``castlist.operators.asking``) the pace is that of the whole job, what an earlier run has logged is not
+    asked again, and the first refusal stops the run: documents it left unfinished have the outcome ``stopped``.
     The replies are written down once, with the names read from them, because
     they are expensive and may differ when asked again; so are the distinct
     names, which are read several times. ``ranked`` holds (doc_id, name, occurrences, rank) of the documents
     whose outcome is ok; a document without chunks has an ok outcome too.
     """
     if partitions is None:
-        if interval:
+        if interval and log is None:
             raise ValueError("an interval is per partition: pass partitions with it")
         size = docs.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
         partitions = size // (max_bytes * REQUESTS_PER_TASK) + 1
     chunked = chunks.split_into_chunks(docs, max_bytes)
-    answered = scoring.score_chunks(chunked, make_fn, template, interval, partitions)
+    if log is None:
+        answered = scoring.score_chunks(chunked, make_fn, template, interval, partitions)
+    else:
+        answered = asking.ask_chunks(chunked, make_fn, log, template, interval, partitions)
     replies = cut_lineage(names.parse_replies(answered), replies_path)
     ended = names.run_outcome(replies)
     outcome = docs.select("doc_id").join(ended, "doc_id", "left").select(
@@ -65,7 +71,7 @@ def extract_names(
         "message",
         "details",
     )
-    aborted = ended.where(F.col("status") == "rate_limited").select("doc_id")
+    aborted = ended.where(F.col("status").isin("rate_limited", "stopped")).select("doc_id")
     distinct = names.dedupe_names(replies).join(aborted, "doc_id", "left_anti")
     found = cut_lineage(distinct, names_path)
     counted = names.count_occurrences(docs, found)

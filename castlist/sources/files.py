@@ -183,7 +183,7 @@ _decode_other = F.arrow_udf(_decode_all, DECODED).asNondeterministic()
 @F.arrow_udf(T.BinaryType())
 def _read_files(paths: pa.Array) -> pa.Array:
     def content(path: str) -> bytes:
-        system, name = _locate(path)
+        system, name = locate(path)
         with system.open_input_stream(name) as stream:
             return stream.read()
 
@@ -218,7 +218,7 @@ def _file_system(scheme: str, authority: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(f"{SCHEMES[scheme]}://{authority}/")
 
 
-def _locate(path: str) -> tuple[fs.FileSystem, str]:
+def locate(path: str) -> tuple[fs.FileSystem, str]:
     """The file system of a path, and the name there."""
     scheme, authority, name = split_path(path)
     system, root = _file_system(scheme, authority)
@@ -238,7 +238,7 @@ def _write_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         paths = batch.column("path").to_pylist()
         contents = batch.column("content").to_pylist()
         for path, data in zip(paths, contents):
-            system, name = _locate(path)
+            system, name = locate(path)
             folder, base = posixpath.split(name)
             system.create_dir(folder or ".")
             # a name with an underscore is skipped by Spark, should it be left behind

@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from castlist.functions import replies
+from castlist.operators import asking, listed
 from castlist.operators import names as naming
 from castlist.operators import scoring
 from castlist.operators.rows import explode_items
 from castlist.plans.extract import extract_names
-from castlist.session import cut_lineage
+from castlist.session import cut_lineage, new_table
 from workload import NAME_PATTERN, documents, query, turns
 from workload.chunks import chunks_sql
 
@@ -33,8 +34,8 @@ def found_names(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(NAME_PATTERN), F.lit(0))
 
 
-def stand_in():
-    """A deterministic maker of answers in place of a model; some prompts fail.
+def stand_in(refuses: bool = True):
+    """A deterministic maker of answers in place of a model; some prompts fail, of these some are refused.
 
     Defined inside a function, so that it travels to the workers by value.
     """
@@ -47,9 +48,9 @@ def stand_in():
 
         def answer(prompt: str) -> str:
             size = len(prompt)
-            if size % 97 == 0:
+            if refuses and size % 97 == 0:
                 raise RateLimitError("slow down")
-            if size % 89 == 0:
+            if refuses and size % 89 == 0:
                 raise RuntimeError("Error code: 429 - quota")
             if size % 11 == 0:
                 raise TimeoutError("no answer in time")
@@ -466,3 +467,73 @@ def extracted_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def extraction_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction(spark, sf_dir).outcome
+
+
+# The stand-in when nothing is refused.
+PATIENT_SQL = answers_sql("turns").replace("size % 97 = 0 OR size % 89 = 0 OR size % 11 = 0", "size % 11 = 0").replace(
+    """CASE WHEN size % 97 = 0 THEN 'RateLimitError' WHEN size % 89 = 0 THEN 'RuntimeError'
+                 WHEN size % 11 = 0""", "CASE WHEN size % 11 = 0").replace(
+    """CASE WHEN size % 97 = 0 THEN 'slow down' WHEN size % 89 = 0
+                 THEN 'Error code: 429 - quota'
+                 WHEN size % 11 = 0""", "CASE WHEN size % 11 = 0")
+
+
+@query(f"WITH {TURNS_SQL}, {PATIENT_SQL} SELECT doc_id, chunk_idx, response, error_class, error FROM responses")
+def resumed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run that a refusal stops, and one with the same log that asks what was left."""
+    chunks, log = turns(spark, sf_dir), new_table(spark, "log")
+    cut_lineage(asking.ask_chunks(chunks, stand_in(), log, BARE_TEMPLATE, flush=1000))
+    return asking.ask_chunks(chunks, stand_in(refuses=False), log, BARE_TEMPLATE, flush=1000)
+
+
+LISTED_SQL = f"""listed AS (
+        SELECT DISTINCT unnest({found_sql("text")}) AS name FROM benchmark),
+    counts AS (
+        SELECT doc_id, name, ((length(text) - length(replace(text, name, ''))) / length(name))
+               ::INTEGER AS occurrences
+        FROM documents JOIN listed ON contains(text, name))"""
+
+
+def listed_names_of_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The names in all benchmark items, padded and repeated as they come."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    names = items.select(F.explode(found_names(F.col("text"))).alias("name"))
+    return names.unionAll(names.select(F.concat(F.lit(" "), "name", F.lit("\t")).alias("name")))
+
+
+@query(f"WITH {LISTED_SQL} SELECT doc_id, name, occurrences FROM counts")
+def listed_name_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One list of names, counted in all documents."""
+    return listed.count_listed(documents(spark, sf_dir), listed_names_of_items(spark, sf_dir))
+
+
+@query(f"WITH {LISTED_SQL} SELECT doc_id, name, occurrences FROM counts")
+def listed_name_counts_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for a list in several blocks."""
+    return listed.count_listed(documents(spark, sf_dir), listed_names_of_items(spark, sf_dir), block_bytes=500)
+
+
+@query(
+    f"""
+    WITH {LISTED_SQL}
+    SELECT name, count(*) AS n_docs, sum(occurrences)::BIGINT AS occurrences FROM counts GROUP BY name
+    """
+)
+def listed_name_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listed.listed_totals(listed.count_listed(documents(spark, sf_dir), listed_names_of_items(spark, sf_dir)))
+
+
+CORPUS_LISTED_SQL = LISTED_SQL.replace("FROM benchmark", "FROM documents")
+
+
+@query(
+    f"""
+    WITH {CORPUS_LISTED_SQL}
+    SELECT name, count(*) AS n_docs, sum(occurrences)::BIGINT AS occurrences FROM counts GROUP BY name
+    """
+)
+def corpus_name_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The names of all documents, counted in all documents, also where they stand inside other words."""
+    docs = documents(spark, sf_dir)
+    names = docs.select(F.explode(found_names(F.col("text"))).alias("name"))
+    return listed.listed_totals(listed.count_listed(docs, names))
