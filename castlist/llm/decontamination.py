@@ -4,34 +4,41 @@ The documents of a task are taken in shards. The words of a shard, as numbers, f
 sequence with a break after every document, and its suffix array holds the
 positions in the order of the next words, ``DEPTH`` of them, with which a comparison ends. Every suffix
 of the benchmark that can begin a forbidden window is searched in each shard by bisection, all
-of them at once. The bounds of its range for the window are where it occurs; from
-the range the match is followed word by word for its full length.
+of them at once; the bounds of its range are where its window occurs. Occurrences that follow each other in both texts are
+one match, so the matches are the longest verbatim ones, each with its place in the item and in the document.
+What is reported and removed follows from them.
 
 The words of the benchmark are numbered; every other word is a break, since no match
 runs across it, and suffixes that start at a break are left out of the arrays. Words are found
-by a 64-bit hash, and every occurrence is compared with the item byte by byte before it
+by a 64-bit hash, and every word of a match is compared with the item byte by byte before it
 counts.
 
-Documents are not shuffled: each is judged where it was read. The benchmark goes to the
-tasks in blocks of at most ``BLOCK_BYTES`` of text; a larger benchmark takes more
-passes over the documents and is never held as a whole, and the passes are added up.
+Documents are not shuffled: each is judged where it was read, by itself. Items of one text are one, with all their
+ids. Tasks write the benchmark into files of about ``BLOCK_BYTES`` in the shared folder, and the tasks that judge read them one by one for
+each shard, so the benchmark is nowhere held as a whole and the answer is the same however many blocks it has.
 
 Defined results: words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after A-Z become a-z. A window is ``window``
 consecutive words of an item; an item of fewer, but not none, is one window. A null text
-has no words. Repeated items and documents each count. Empty tables give no matches. Further
-columns of the documents are kept.
+has no words. Repeated items and documents each count, ids may be null, repeated and of any type. Empty tables give no
+matches. Further columns of the documents are kept, whatever their names. An item with over two million different words
+raises.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+
+from castlist.session import new_table
+from castlist.sources import shared
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
@@ -89,13 +96,12 @@ def words_of(texts: list[bytes]) -> Words:
 
 
 class Benchmark:
-    """A block of items: their words as numbers from 1, and the suffixes to search."""
+    """A block of different texts: their words as numbers from 1, and the suffixes to search."""
 
-    def __init__(self, items: list[tuple[int, str | None]], window: int = WINDOW):
+    def __init__(self, texts: list[str], window: int = WINDOW):
         if window > DEPTH:
             raise ValueError(f"a window has at most {DEPTH} words")
-        self.ids = [item for item, _ in items]
-        words = words_of([(text or "").encode() for _, text in items])
+        words = words_of([text.encode() for text in texts])
         self.vocabulary = np.unique(words.hashes)
         if len(self.vocabulary) + 2 >= 1 << WIDTH:
             raise ValueError("too many different words in a block")
@@ -103,22 +109,16 @@ class Benchmark:
             bytes(words.data[a:b]) for a, b in zip(words.starts, words.ends, strict=True)
         ]
         numbers = np.searchsorted(self.vocabulary, words.hashes) + 1
-        owner, at, need = [], [], []
-        for item, (first, end) in enumerate(zip(words.firsts[:-1], words.firsts[1:], strict=True)):
-            n = min(window, int(end - first))
-            for start in range(first, end - n + 1) if n else ():
-                owner.append(item)
-                at.append(start)
-                need.append(n)
-        self.owner = np.array(owner, np.int64)
-        self.at = np.array(at, np.int64)
-        self.need = np.array(need, np.int64)
+        sizes = np.diff(words.firsts)
         self.first_word = words.firsts[:-1]
-        self.ends = words.firsts[1:][self.owner] if len(owner) else self.at
+        # How many words a window of each text has, and where all windows begin.
+        self.needs = np.minimum(sizes, window)
+        windows = np.where(sizes > 0, sizes - self.needs + 1, 0)
+        self.owner = np.repeat(np.arange(len(texts)), windows)
+        self.at = np.arange(len(self.owner)) - np.repeat(np.cumsum(windows) - windows - self.first_word, windows)
         padded = np.concatenate((numbers, np.zeros(DEPTH, np.int64)))
-        columns = self.at[:, None] + np.arange(DEPTH)
-        used = np.arange(DEPTH) < self.need[:, None]
-        values = padded[columns]
+        used = np.arange(DEPTH) < self.needs[self.owner][:, None]
+        values = padded[self.at[:, None] + np.arange(DEPTH)]
         self.lower = _packed(np.where(used, values, 0))
         self.upper = _packed(np.where(used, values, (1 << WIDTH) - 1))
 
@@ -175,15 +175,17 @@ class SuffixArray:
 
 @dataclass
 class Matches:
-    """Occurrences of windows in a shard: which suffix of the benchmark, at which word, how long."""
+    """The longest matches in a shard: which item and text, the first word in each, and how many words."""
 
-    suffix: np.ndarray
+    item: np.ndarray
+    item_word: np.ndarray
+    text: np.ndarray
     word: np.ndarray
     length: np.ndarray
 
 
-def search(words: Words, bench: Benchmark, full_length: bool = False) -> Matches:
-    """All verified occurrences of the benchmark's windows in the texts of a shard."""
+def search(words: Words, bench: Benchmark) -> Matches:
+    """All verified matches of at least a window between the benchmark and the texts of a shard."""
     numbers = bench.numbers(words.hashes)
     # A break between texts, so that nothing matches across them.
     n_texts = len(words.firsts) - 1
@@ -196,106 +198,115 @@ def search(words: Words, bench: Benchmark, full_length: bool = False) -> Matches
     suffix = np.repeat(np.arange(len(counts)), counts)
     ranks = np.arange(len(suffix)) - np.repeat(np.cumsum(counts) - counts, counts) + low[suffix]
     found = array.positions[ranks]
-    text_of = np.searchsorted(words.firsts[1:] + np.arange(n_texts), found, side="right")
-    word = found - text_of
-    keep, lengths = [], []
-    for i, (s, w) in enumerate(zip(suffix.tolist(), word.tolist(), strict=True)):
-        need, limit = int(bench.need[s]), int(bench.ends[s] - bench.at[s])
-        last = int(words.firsts[text_of[i] + 1])
-        most = min(limit, last - w) if full_length else need
-        size = 0
-        while size < most and bench.words[bench.at[s] + size] == words.data[
-            words.starts[w + size] : words.ends[w + size]
-        ].tobytes():
-            size += 1
-        if size >= need:
-            keep.append(i)
-            lengths.append(size)
-    return Matches(suffix[keep], word[keep], np.array(lengths, np.int64))
-
-
-def shards(batches: Iterator[pa.RecordBatch], limit: int = SHARD_BYTES) -> Iterator[tuple[list[int], list[bytes]]]:
-    """(ids, texts) of consecutive documents with ``limit`` bytes of text, or of one longer document."""
-    ids, texts, size = [], [], 0
-    for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            data = (text.as_py() or "").encode()
-            if texts and size + len(data) > limit:
-                yield ids, texts
-                ids, texts, size = [], [], 0
-            ids.append(doc)
-            texts.append(data)
-            size += len(data)
-    if texts:
-        yield ids, texts
-
-
-def blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[int, str | None]]]:
-    """The benchmark in blocks, each collected by itself."""
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n = total // block_bytes + 1
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    for i in range(n):
-        yield [tuple(row) for row in (items if n == 1 else items.where(part == i)).collect()]
-
-
-HITS = "row long, n_words long, spans array<struct<start:long,end:long>>, items array<long>"
-
-
-def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(row, n_words, spans, items) of every document of (row, text): the hit words as spans, and the items met."""
-    passes = []
-    for block in blocks(items):
-        bench = Benchmark(block, window)
-
-        def run(batches: Iterator[pa.RecordBatch], bench: Benchmark = bench) -> Iterator[pa.RecordBatch]:
-            for ids, texts in shards(batches):
-                yield _hits(ids, texts, bench)
-
-        passes.append(docs.select("row", "text").mapInArrow(run, HITS))
-    if len(passes) == 1:
-        return passes[0]
-    return (
-        reduce(DataFrame.unionAll, passes)
-        .groupBy("row")
-        .agg(
-            F.max("n_words").alias("n_words"),
-            F.flatten(F.collect_list("spans")).alias("spans"),
-            F.flatten(F.collect_list("items")).alias("items"),
-        )
-    )
-
-
-def _hits(ids: list[int], texts: list[bytes], bench: Benchmark) -> pa.RecordBatch:
-    words = words_of(texts)
-    spans: list[list] = [[] for _ in ids]
-    met: list[set] = [set() for _ in ids]
-    matches = search(words, bench)
-    place = np.searchsorted(words.firsts[1:], matches.word, side="right")
-    for s, w, n, doc in zip(
-        matches.suffix.tolist(), matches.word.tolist(), matches.length.tolist(), place.tolist(), strict=True
-    ):
-        start = w - int(words.firsts[doc])
-        spans[doc].append({"start": start, "end": start + n})
-        met[doc].add(bench.ids[bench.owner[s]])
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(ids, pa.int64()),
-            pa.array(np.diff(words.firsts), pa.int64()),
-            pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-            pa.array([sorted(m, key=lambda i: (i is None, i)) for m in met], pa.list_(pa.int64())),
-        ],
-        ["row", "n_words", "spans", "items"],
-    )
+    text = np.searchsorted(words.firsts[1:] + np.arange(n_texts), found, side="right")
+    item, at, word = bench.owner[suffix], bench.at[suffix], found - text
+    # Windows that follow each other in both texts are one match.
+    order = np.lexsort((word, word - at, item))
+    item, at, text, word = item[order], at[order], text[order], word[order]
+    new = np.ones(len(word), bool)
+    new[1:] = (item[1:] != item[:-1]) | (text[1:] != text[:-1])
+    new[1:] |= (np.diff(word) != 1) | (np.diff(at) != 1)
+    first = np.flatnonzero(new)
+    length = np.diff(np.append(first, len(word))) + bench.needs[item[first]] - 1
+    rows = []
+    for i, a, t, w, n in zip(*(c.tolist() for c in (item[first], at[first], text[first], word[first], length)), strict=True):
+        rows += [(i, a + k, t, w + k, size) for k, size in _same(words, bench, a, w, n, int(bench.needs[i]))]
+    columns = [np.array(c, np.int64) for c in zip(*rows, strict=True)] or [np.zeros(0, np.int64)] * 5
+    return Matches(columns[0], columns[1] - bench.first_word[columns[0]], columns[2], columns[3] - words.firsts[columns[2]], columns[4])
+
+
+def _same(words: Words, bench: Benchmark, at: int, word: int, n: int, need: int) -> Iterator[tuple[int, int]]:
+    """(start, words) of the parts of a match whose bytes are equal, of those that hold a window."""
+    start = 0
+    for k in range(n + 1):
+        if k < n and bench.words[at + k] == words.data[words.starts[word + k] : words.ends[word + k]].tobytes():
+            continue
+        if k - start >= need:
+            yield start, k - start
+        start = k + 1
+
+
+def shards(texts: pa.Array, limit: int = SHARD_BYTES) -> Iterator[list[bytes]]:
+    """Consecutive texts with ``limit`` bytes in all, or one longer text."""
+    held, size = [], 0
+    for text in texts:
+        data = (text.as_py() or "").encode()
+        if held and size + len(data) > limit:
+            yield held
+            held, size = [], 0
+        held.append(data)
+        size += len(data)
+    if held:
+        yield held
+
+
+# ---- The corpus -------------------------------------------------------------------------
+
+
+def store_blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[str]:
+    """Files of the different texts of (item_id, text), each with its ids; empty texts are left out."""
+    folder = new_table(items.sparkSession, "benchmark")
+    texts = items.where(F.octet_length("text") > 0).groupBy("text").agg(F.collect_list(F.struct("item_id")).alias("ids"))
+    total = items.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    block = F.pmod(F.xxhash64("text"), F.lit(total // block_bytes + 1)).alias("block")
+
+    def store(table: pa.Table) -> pa.Table:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as stream:
+            stream.write_table(table)
+        path = f"{folder}/{table.column('block')[0].as_py()}.arrow"
+        shared.put(path, sink.getvalue().to_pybytes())
+        return pa.table({"path": [path]})
+
+    written = texts.select("text", "ids", block).groupBy("block").applyInArrow(store, "path string")
+    return sorted(row.path for row in written.collect())
+
+
+@lru_cache(maxsize=1)
+def load_block(path: str, window: int) -> tuple[Benchmark, list[list]]:
+    """The texts of a file, ready to search, and their ids; a worker keeps the last one."""
+    table = pa.ipc.open_stream(shared.read(path)).read_all()
+    ids = [[row["item_id"] for row in rows] for rows in table.column("ids").to_pylist()]
+    return Benchmark(table.column("text").to_pylist(), window), ids
+
+
+def longest_matches(text: Column, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> Column:
+    """A struct of a text's ``n_words`` and its ``matches``, an array of (item_id, item_word, word, length).
+
+    Each is a verbatim match of at least a window with an item that cannot be made longer, from the first word of each.
+    """
+    paths = store_blocks(items, block_bytes)
+    one = T.StructType().add("item_id", items.schema["item_id"].dataType)
+    for name in ("item_word", "word", "length"):
+        one = one.add(name, "long")
+
+    def judge(texts: pa.Array) -> pa.Array:
+        sizes: list[int] = []
+        rows: list[list[dict]] = []
+        for shard in shards(texts):
+            words = words_of(shard)
+            found: list[list[dict]] = [[] for _ in shard]
+            for path in paths:
+                bench, ids = load_block(path, window)
+                m = search(words, bench)
+                for item, a, t, w, n in zip(*(c.tolist() for c in (m.item, m.item_word, m.text, m.word, m.length)), strict=True):
+                    found[t] += [{"item_id": one_id, "item_word": a, "word": w, "length": n} for one_id in ids[item]]
+            sizes += np.diff(words.firsts).tolist()
+            rows += found
+        kind = pa.list_(pa.struct([("item_id", item_type), *((name, pa.int64()) for name in ("item_word", "word", "length"))]))
+        return pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(rows, kind)], ["n_words", "matches"])
+
+    item_type = to_arrow_type(items.schema["item_id"].dataType)
+    result = T.StructType().add("n_words", "long").add("matches", T.ArrayType(one))
+    # Declared nondeterministic so that no filter is pushed below with a copy of the call.
+    return F.arrow_udf(judge, result).asNondeterministic()(text)
 
 
 def n_covered(spans: Column) -> Column:
-    """How many words lie in at least one of the spans."""
-    ordered = F.array_sort(spans)
+    """How many words lie in at least one of the spans (start, end)."""
     start = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
     return F.aggregate(
-        ordered,
+        F.array_sort(spans),
         start,
         lambda acc, s: F.struct(
             F.greatest(acc["end"], s["end"]).alias("end"),
@@ -305,62 +316,32 @@ def n_covered(spans: Column) -> Column:
     )
 
 
-def report(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Per document: doc_id, n_words, spans, items (distinct, ascending), n_hit, contaminated."""
-    hits = find_hits(docs.select(F.col("doc_id").cast("long").alias("row"), "text"), items, window)
-    return hits.select(
-        F.col("row").alias("doc_id"),
-        "n_words",
-        "spans",
-        F.array_sort(F.array_distinct("items")).alias("items"),
-        n_covered(F.col("spans")).alias("n_hit"),
-        (F.size("spans") > 0).alias("contaminated"),
-    )
-
+def report(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Per document, all columns but ``text``: n_words, matches, spans, items (distinct, ascending), n_hit, longest, contaminated.
 
-def longest_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(item_id, item_word, doc_id, doc_word, n_words): each maximal verbatim match of at least a window, with its places."""
-    passes = []
-    for block in blocks(items):
-        bench = Benchmark(block, window)
-
-        def run(batches: Iterator[pa.RecordBatch], bench: Benchmark = bench) -> Iterator[pa.RecordBatch]:
-            for ids, texts in shards(batches):
-                words = words_of(texts)
-                found = search(words, bench, full_length=True)
-                place = np.searchsorted(words.firsts[1:], found.word, side="right")
-                rows: dict[tuple, tuple] = {}
-                for s, w, n, doc in zip(
-                    found.suffix.tolist(), found.word.tolist(), found.length.tolist(), place.tolist(), strict=True
-                ):
-                    # The same end in both texts is the same match; the earliest start is the longest.
-                    item = int(bench.owner[s])
-                    key = (item, int(bench.at[s]) + n, doc, w + n)
-                    if key not in rows or rows[key][3] < n:
-                        rows[key] = (s, doc, w, n)
-                out = [
-                    (
-                        bench.ids[int(bench.owner[s])],
-                        int(bench.at[s] - bench.first_word[int(bench.owner[s])]),
-                        ids[doc],
-                        w - int(words.firsts[doc]),
-                        n,
-                    )
-                    for s, doc, w, n in rows.values()
-                ]
-                names = ["item_id", "item_word", "doc_id", "doc_word", "n_words"]
-                columns = list(zip(*out, strict=True)) or [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
-
-        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        passes.append(
-            texts.mapInArrow(run, "item_id long, item_word long, doc_id long, doc_word long, n_words long")
-        )
-    return reduce(DataFrame.unionAll, passes)
+    ``spans`` are the words of the matches, ``longest`` is the length of the longest match. Columns of these names are replaced.
+    """
+    made = ("n_words", "matches", "spans", "items", "n_hit", "longest", "contaminated")
+    kept = [c for c in docs.columns if c not in ("text", *made)]
+    # The other columns travel in one, so that no name can clash.
+    row = F.struct(*kept, F.lit(0).alias("_")).alias("row")
+    found = docs.select(row, longest_matches(F.col("text"), items, window, block_bytes).alias("found"))
+    matches = F.array_sort("found.matches")
+    spans = F.transform(matches, lambda m: F.struct(m["word"].alias("start"), (m["word"] + m["length"]).alias("end")))
+    return found.select(
+        *(F.col("row")[c].alias(c) for c in kept),
+        "found.n_words",
+        matches.alias("matches"),
+        spans.alias("spans"),
+        F.array_sort(F.array_distinct(F.transform(matches, lambda m: m["item_id"]))).alias("items"),
+        n_covered(spans).alias("n_hit"),
+        F.coalesce(F.array_max(F.transform(matches, lambda m: m["length"])), F.lit(0)).cast("long").alias("longest"),
+        (F.size(matches) > 0).alias("contaminated"),
+    )
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents, all columns, without those that hold a window of an item."""
-    names = docs.columns
-    hits = report(docs, items, window).where("contaminated").select(F.col("doc_id").alias("_doc")).distinct()
-    return docs.join(hits, F.col("doc_id").eqNullSafe(F.col("_doc")), "left_anti").select(*names)
+    """The documents, all columns, without those that hold a window of an item; each row is judged by itself."""
+    found = docs.select(F.struct(*docs.columns).alias("row"), longest_matches(F.col("text"), items, window).alias("found"))
+    clean = found.where(F.size("found.matches") == 0)
+    return clean.select(*(F.col("row")[c].alias(c) for c in docs.columns))

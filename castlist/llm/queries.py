@@ -134,7 +134,7 @@ WITH item_words AS (
 ), sized AS (
     SELECT item_id, w, least(len(w), 10) AS n FROM item_words WHERE len(w) > 0
 ), windows AS (
-    SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS k
+    SELECT item_id, n, i AS a, array_to_string(w[i:i + n - 1], ' ') AS k
     FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM sized)
 ), lengths AS (
     SELECT DISTINCT n FROM windows
@@ -146,23 +146,39 @@ WITH item_words AS (
     SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS k
     FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM doc_words, lengths WHERE len(w) >= n)
 ), found AS (
-    SELECT doc_id, item_id, i, places.n FROM places JOIN windows USING (k) WHERE places.n = windows.n
+    SELECT doc_id, item_id, a, i, places.n FROM places JOIN windows USING (k) WHERE places.n = windows.n
 ), hit AS (
     SELECT doc_id, count(DISTINCT p) AS n_hit
     FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM found) GROUP BY doc_id
 ), met AS (
     SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
     FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id
+), diagonals AS (
+    SELECT *, i - row_number() OVER (PARTITION BY doc_id, item_id, i - a ORDER BY i) AS island FROM found
+), matches AS (
+    SELECT doc_id, item_id, min(a) - 1 AS item_word, min(i) - 1 AS word, count(*) + n - 1 AS length
+    FROM diagonals GROUP BY doc_id, item_id, n, i - a, island
+), longest AS (
+    SELECT doc_id, count(*) AS n_matches, max(length) AS longest,
+           sha256(string_agg(CAST(item_id AS VARCHAR) || ':' || item_word || ':' || word || ':' || length, ','
+                             ORDER BY CAST(item_id AS VARCHAR), item_word, word)) AS matches_sha256
+    FROM matches GROUP BY doc_id
 )
 SELECT doc_words.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM doc_words LEFT JOIN hit USING (doc_id) LEFT JOIN met USING (doc_id)
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+       coalesce(n_matches, 0) AS n_matches, coalesce(longest, 0) AS longest,
+       coalesce(matches_sha256, sha256('')) AS matches_sha256
+FROM doc_words LEFT JOIN hit USING (doc_id) LEFT JOIN met USING (doc_id) LEFT JOIN longest USING (doc_id)
 """)
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which words of every document stand in a benchmark item."""
-    docs, items = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
+    """Which words of every document stand in a benchmark item, and the longest matches with their places."""
+    docs, items = read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark")
     found = decontamination.report(docs, items, window=10)
     names = F.array_sort(F.transform("items", lambda i: i.cast("string")))
+    ordered = F.array_sort(
+        F.transform("matches", lambda m: F.struct(m["item_id"].cast("string").alias("item"), m["item_word"], m["word"], m["length"]))
+    )
+    places = F.transform(ordered, lambda m: F.concat_ws(":", m["item"], m["item_word"], m["word"], m["length"]))
     return found.select(
         "doc_id",
         "n_words",
@@ -170,6 +186,9 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
         "contaminated",
+        F.size("matches").cast("long").alias("n_matches"),
+        "longest",
+        F.sha2(F.array_join(places, ","), 256).alias("matches_sha256"),
     )
 
 

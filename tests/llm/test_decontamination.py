@@ -48,19 +48,73 @@ def test_equals_brute_force(spark, table, seed, monkeypatch):
     assert all(r.contaminated == (r.n_hit > 0) for r in found)
 
 
-def test_blocks_of_the_benchmark_add_up(spark, table, monkeypatch):
+def longest_by_hand(text, items, window):
+    """Every verbatim match of at least a window that cannot be made longer, by comparing all places."""
+    w, out = words(text), []
+    for item, part in items:
+        v = words(part)
+        need = min(window, len(v))
+        for i in range(len(v)):
+            for j in range(len(w)):
+                if w[j] != v[i] or (i and j and w[j - 1] == v[i - 1]):
+                    continue
+                n = 0
+                while i + n < len(v) and j + n < len(w) and v[i + n] == w[j + n]:
+                    n += 1
+                if n >= need:
+                    out.append((item, i, j, n))
+    return sorted(out, key=repr)
+
+
+def matches_of(rows):
+    return sorted(sorted((tuple(m) for m in r.matches), key=repr) for r in rows)
+
+
+@pytest.mark.parametrize("block_bytes", [30, dec.BLOCK_BYTES])
+@pytest.mark.parametrize("seed", range(3))
+def test_longest_matches_equal_brute_force(spark, table, seed, block_bytes):
+    docs, items = sample(seed)
+    items += [(3, items[4][1]), (None, items[4][1])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = dec.report(table(docs), bench, 4, block_bytes).collect()
+    assert matches_of(found) == sorted(longest_by_hand(t, items, 4) for _, t in docs)
+    assert all(r.longest == max([m.length for m in r.matches], default=0) for r in found)
+
+
+@pytest.mark.parametrize("block_bytes", [40, dec.BLOCK_BYTES])
+def test_each_row_is_judged_by_itself_in_any_number_of_blocks(spark, block_bytes):
     docs, items = sample(7)
+    rows = [(rng_id, text) for rng_id, (_, text) in zip([None, None, "5", "5"] * 20, docs)]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    monkeypatch.setattr(dec.blocks, "__defaults__", (40,))
-    found = dec.report(table(docs), bench, window=4).collect()
-    assert {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in found} == by_hand(docs, items, 4)
+    made = spark.createDataFrame(rows, "doc_id string, text string")
+    found = dec.report(made, bench, 4, block_bytes).collect()
+    wanted = [by_hand([(0, text)], items, 4)[0] for _, text in rows]
+    assert sorted((r.n_words, r.n_hit, r["items"]) for r in found) == sorted(wanted)
+    assert sorted((r.doc_id or "") for r in found) == sorted((i or "") for i, _ in rows)
 
 
-def test_longest_matches(spark, table):
-    bench = spark.createDataFrame([(7, "zero one two three four five six")], "item_id long, text string")
+def test_longest_match_and_its_places(spark, table):
+    bench = spark.createDataFrame([("seven", "zero one two three four five six")], "item_id string, text string")
     docs = table([(1, "x ONE two, three four five y"), (2, "one two three"), (3, "two three four five six seven")])
-    found = {tuple(r) for r in dec.longest_matches(docs, bench, window=4).collect()}
-    assert found == {(7, 1, 1, 1, 5), (7, 2, 3, 0, 5)}
+    found = {r.doc_id: [tuple(m) for m in r.matches] for r in dec.report(docs, bench, window=4).collect()}
+    assert found == {1: [("seven", 1, 1, 5)], 2: [], 3: [("seven", 2, 0, 5)]}
+
+
+def test_words_that_only_share_a_hash_do_not_match(spark, monkeypatch):
+    """All hashes of a length equal: only the bytes tell."""
+    real = dec.words_of
+
+    def colliding(texts):
+        found = real(texts)
+        found.hashes[:] = (found.ends - found.starts).astype(np.uint64)
+        return found
+
+    monkeypatch.setattr(dec, "words_of", colliding)
+    items = ["aa bb cc dd ee", "ff gg"]
+    texts = [b"aa bb cc xx aa bb cc dd", b"bb cc dd ee ff gg", b"gg ff", b""]
+    m = dec.search(dec.words_of(texts), dec.Benchmark(items, 3))
+    rows = sorted(zip(m.item.tolist(), m.item_word.tolist(), m.text.tolist(), m.word.tolist(), m.length.tolist()))
+    assert rows == [(0, 0, 0, 0, 3), (0, 0, 0, 4, 4), (0, 1, 1, 0, 4), (1, 0, 1, 4, 2)]
 
 
 def test_suffix_array_is_in_order():
@@ -83,3 +137,13 @@ def test_removal_keeps_columns_and_empty_tables(spark, table):
     assert kept.columns == docs.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 2, 2]
     assert dec.remove_contaminated(docs, bench.limit(0)).count() == 4
     assert dec.report(table([]), bench).count() == 0
+    clash = spark.createDataFrame([(1, "a b c", 5, 6, "x"), (1, "d", 7, 8, "y")], "doc_id int, text string, row int, found int, _doc string")
+    assert [tuple(r) for r in dec.remove_contaminated(clash, bench).collect()] == [(1, "d", 7, 8, "y")]
+    report = dec.report(clash, bench)
+    assert report.columns[:4] == ["doc_id", "row", "found", "_doc"] and report.where("contaminated").count() == 1
+
+
+def test_very_long_text(spark, table):
+    bench = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
+    found = dec.report(table([(1, "word " * 1_000_000 + "one two three " + "x" * 1_000_000)]), bench).first()
+    assert (found.n_words, found.n_hit, found.longest) == (1_000_004, 3, 3)

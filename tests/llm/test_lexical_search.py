@@ -1,0 +1,106 @@
+import math
+import random
+import re
+from collections import Counter
+
+import pytest
+
+from castlist.llm import lexical_search as ls
+
+TERM = re.compile(ls.TERM)
+
+
+def terms(text):
+    return TERM.findall("".join(c.lower() if c.isascii() else c for c in text or ""))
+
+
+def by_hand(docs, items, top):
+    split = [(i, Counter(terms(t))) for i, t in docs]
+    n_docs, total = sum(bool(c) for _, c in split), sum(c.total() for _, c in split)
+    df = Counter(t for _, c in split for t in c)
+    out = []
+    for item, text in items:
+        scored = []
+        for doc, c in split:
+            m = 50 + 50 * c.total() * n_docs // total if total else 0
+            score = sum(
+                math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * (10**9 * c[t] // (1000 * c[t] + 20 * m))
+                for t in set(terms(text)) if c[t]
+            )
+            if score > 0:
+                scored.append((-score, doc is None, doc))
+        out += [(item, k + 1, doc, -s) for k, (s, _, doc) in enumerate(sorted(scored)[:top])]
+    return sorted(out, key=repr)
+
+
+def sample(seed, n=120):
+    rng = random.Random(seed)
+    bag = ["a", "B2", "né", "É", "漢字", "the", "the", "the", "rare" , "x" * 40, "7", "ab", "b"]
+    make = lambda k: rng.choice([" ", "--", "\n", "_"]).join(rng.choices(bag, k=k))
+    docs = [(i, rng.choice([make(rng.randint(0, 30)), make(3), None, "", "..."])) for i in range(n)]
+    items = [(i, make(rng.randint(0, 8))) for i in range(12)] + [(50, None), (51, ""), (52, "nowhere at all"), (53, "the the THE")]
+    return [*docs, (None, "rare rare"), (n, "a rare ab")], items
+
+
+def found(spark, docs, items, top=5, kinds=("bigint", "bigint")):
+    table = spark.createDataFrame(docs, f"doc_id {kinds[0]}, text string")
+    bench = spark.createDataFrame(items, f"item_id {kinds[1]}, text string")
+    return sorted(map(tuple, ls.search(table.repartition(5), bench, top).collect()), key=repr)
+
+
+@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("top", [1, 5, 1000])
+def test_equals_brute_force(spark, seed, top):
+    docs, items = sample(seed)
+    assert found(spark, docs, items, top) == by_hand(docs, items, top)
+
+
+def test_blocks_of_items_give_the_same(spark, monkeypatch):
+    docs, items = sample(9)
+    whole = found(spark, docs, items)
+    monkeypatch.setattr(ls, "BLOCK_ITEMS", 3)
+    assert found(spark, docs, items) == whole == by_hand(docs, items, 5)
+
+
+def test_pieces_of_long_texts(monkeypatch):
+    block = ls.Block.of([(0, ["ab", "b", "longterm"])])
+    line = ls.plain(b"ab b longterm AB,b;" * 9 + b"xlongterm longtermx" + b"y" * 50)
+    whole = block.counts(line)
+    monkeypatch.setattr(ls, "PIECE", 5)
+    assert block.counts(line) == whole == {0: 18, 1: 18, 2: 9} and b"".join(p[1:] for p in ls.pieces(line)) == line[1:]
+
+
+def test_a_task_keeps_what_can_still_rank(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(ls, "CELLS", 8)
+    best, rows = ls.Best(3, 4), []
+    for k in range(40):
+        scores = rng.integers(0, 6, (10, 3))
+        ids = [int(i) if i % 7 else None for i in rng.permutation(10) + 10 * k]
+        best.add(scores, pa.array(ids, pa.int64()))
+        rows += [(i, -int(scores[r, i]), ids[r] is None, ids[r]) for r in range(10) for i in range(3) if scores[r, i] > 0]
+    held = best.prune()
+    got = list(zip(*(held.column(c).to_pylist() for c in ("item", "score", "doc_id"))))
+    wanted = [[(i, -s, d) for j, s, _, d in sorted(rows, key=lambda r: (r[:3], r[3] or 0)) if j == i][:4] for i in range(3)]
+    assert got == sum(wanted, [])
+
+
+def test_text_ids_repeated_rows_and_repeated_items(spark):
+    docs = [("x", "one two"), ("x", "one two"), ("y", "three"), (None, "two")]
+    rows = found(spark, docs, [("i", "two"), ("i", "two"), (None, "three")], 5, ("string", "string"))
+    assert sorted((r[0] or "", r[1], r[2] or "") for r in rows) == [
+        ("", 1, "y"), ("i", 1, ""), ("i", 1, ""), ("i", 2, "x"), ("i", 2, "x"), ("i", 3, "x"), ("i", 3, "x")
+    ]
+
+
+def test_empty_tables_clashing_columns_and_long_text(spark):
+    assert found(spark, [], [(1, "a")]) == found(spark, [(1, "a")], []) == found(spark, [(1, None)], [(1, "a")]) == []
+    docs = spark.createDataFrame(
+        [(1, "needle " + "hay " * 1_300_000, 5, 6), (2, "hay", 5, 6), (3, "straw", 1, 2)], "doc_id int, text string, item int, score int"
+    )
+    items = spark.createDataFrame([(7, "Needle", "x")], "item_id int, text string, terms string")
+    row = ls.search(docs, items).collect()
+    assert [(r.item_id, r["rank"], r.doc_id) for r in row] == [(7, 1, 1)]

@@ -8,9 +8,9 @@ from tests.oracle import differences
 SF_DIR = "/root/testdata/sf0.001"
 
 
-def test_all_ten_and_the_pipeline_are_registered():
+def test_all_thirteen_and_the_pipeline_are_registered():
     names = entry_points.queries().keys()
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert queries.QUERIES.keys() <= names and "pipeline" in names
     assert queries.ORACLES.keys() <= entry_points.oracle_sql().keys()
 
