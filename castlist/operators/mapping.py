@@ -9,6 +9,9 @@ from castlist.functions.text import strip
 from castlist.operators.skew import ROWS_PER_TASK, HeavyKeys, heavy_keys
 from castlist.session import cut_lineage
 
+# A range of a heavy document's rows has at least as many: fewer are not worth a task and a file.
+LEAST_RANGE = 1000
+
 
 def label(name: Column, occurrences: Column) -> Column:
     """How a row is shown: ``name (count)``."""
@@ -35,7 +38,7 @@ def rank_names(
     heavy = heavy_keys(rows, "doc_id", rows_per_task)
     if heavy is None:
         return rows.withColumn("rank", F.row_number().over(_in_order("doc_id")))
-    return _rank_split(rows, heavy)
+    return _rank_split(rows, heavy, rows_per_task)
 
 
 def top_names(counts: DataFrame, k: int) -> DataFrame:
@@ -54,18 +57,19 @@ def _in_order(*keys: str):
     return Window.partitionBy(*keys).orderBy(F.desc("occurrences"), F.asc("name"))
 
 
-def _rank_split(rows: DataFrame, heavy: HeavyKeys) -> DataFrame:
+def _rank_split(rows: DataFrame, heavy: HeavyKeys, rows_per_task: int) -> DataFrame:
     """Exact ranks, with the rows of heavy documents in ranges of their order.
 
-    The rows are range-partitioned by document, count and name. Where Spark's
-    sample puts the bounds affects only how even the ranges are, so the ranges
-    are stored once: the rank is the place in the range plus the sizes of the
+    The rows are range-partitioned by document, count and name, into as many ranges as the rows of all heavy documents
+    fill; several documents may share one. Where Spark's sample puts the bounds affects only how even the ranges are,
+    so the ranges are stored once: the rank is the place in the range plus the sizes of the
     document's ranges before it.
     """
     many = heavy.sided(heavy.table.select("doc_id"))
     light = rows.join(many, "doc_id", "left_anti")
     ranked = light.withColumn("rank", F.row_number().over(_in_order("doc_id")))
-    n_ranges = heavy.table.agg(F.sum("parts")).first()[0]
+    total = heavy.table.agg(F.sum("size")).first()[0]
+    n_ranges = -(-total // max(rows_per_task, LEAST_RANGE))
     ranged = cut_lineage(in_ranges(rows.join(many, "doc_id", "left_semi"), n_ranges))
     sizes = ranged.groupBy("doc_id", "range_no").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("doc_id").orderBy("range_no").rowsBetween(

@@ -17,7 +17,7 @@ BROADCAST_KEYS = 1000
 
 @dataclass(frozen=True)
 class HeavyKeys:
-    """A stored table (key, parts) of all keys that need splitting."""
+    """A stored table (key, size, parts) of all keys that need splitting; size is the number of rows."""
 
     table: DataFrame
     count: int
@@ -34,7 +34,7 @@ def heavy_keys(df: DataFrame, key: str, rows_per_task: int = ROWS_PER_TASK) -> H
     """
     sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("size"))
     heavy = sizes.where(F.col("size") > rows_per_task).select(
-        key, F.ceil(F.col("size") / rows_per_task).cast("int").alias("parts")
+        key, "size", F.ceil(F.col("size") / rows_per_task).cast("int").alias("parts")
     )
     table = cut_lineage(heavy)
     count = table.count()
@@ -45,5 +45,5 @@ def with_parts(df: DataFrame, key: str, heavy: HeavyKeys | None) -> DataFrame:
     """Add ``parts``, the number of parts of each row's key (1 if it is light)."""
     if heavy is None:
         return df.withColumn("parts", F.lit(1))
-    joined = df.join(heavy.sided(heavy.table), key, "left")
+    joined = df.join(heavy.sided(heavy.table.select(key, "parts")), key, "left")
     return joined.withColumn("parts", F.coalesce("parts", F.lit(1)))
