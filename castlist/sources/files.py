@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import posixpath
-import uuid
+import json
 from collections.abc import Iterator
-from functools import cache
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from castlist.functions.text import line_count, profile_label, size_kb
-from castlist.operators.matching import fits_broadcast
+from castlist.session import new_table
+from castlist.sources import shared
+from castlist.sources.datasource import Files, read_batches
 
 # Byte order marks with their labels, in the order they are
 # tested, and the encodings tried in turn on files without one.
@@ -29,27 +28,42 @@ def scan_files(spark: SparkSession, path: str | list[str], manifest: DataFrame |
     """Rows (path, length, content), one per file under the path(s).
 
     Spark's file source skips zero-byte files and names that start with a dot
-    or an underscore. A manifest with a ``path`` column, in the form Spark
-    reports paths, names the files wanted: those the source skipped are then
-    opened one by one in the tasks, and one that does not exist raises. A file
-    named twice comes once. If the manifest is small, which is measured, no
-    content is exchanged.
+    or an underscore; ``read_files`` has them. A manifest with a ``path`` column, in the form Spark
+    reports paths, names the files wanted, wherever they are: they are dealt out to tasks and opened there one by one,
+    and one that does not exist raises. A file named twice comes once. The manifest is read once.
     """
-    files = (
-        spark.read.format("binaryFile").options(**options).load(path)
-        .select("path", "length", "content")
-    )
     if manifest is None:
-        return files
-    paths = manifest.select("path").distinct()
-    wanted = F.broadcast(paths) if fits_broadcast(paths) else paths
-    found = files.join(wanted, "path", "left_semi")
-    # Only paths meet here; the contents of the files are not read for it.
-    skipped = paths.join(files.select("path"), "path", "left_anti")
-    refuse_unknown_schemes(skipped)
-    read = skipped.select("path", _read_files(F.col("path")).alias("content"))
-    sized = read.select("path", F.octet_length("content").cast("bigint").alias("length"), "content")
-    return found.unionByName(sized)
+        return (
+            spark.read.format("binaryFile").options(**options).load(path)
+            .select("path", "length", "content")
+        )
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from read_batches(path for batch in batches for path in batch.column(0).to_pylist())
+
+    # The exchange of the paths deals them out, in a number of parts that Spark does not merge; contents are never exchanged.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    paths = manifest.select("path").where(F.col("path").isNotNull()).repartition(parts, "path").distinct()
+    return paths.mapInArrow(read, "path string, length bigint, content binary")
+
+
+def read_files(
+    spark: SparkSession, path: str | list[str], recursive: bool = False, hidden: bool = False, content: bool = True
+) -> DataFrame:
+    """Rows (path, length, content), one per file under the path(s), empty files and, with ``hidden``, hidden ones too.
+
+    A path is a file, a folder or a pattern. Without ``content`` the files are not opened and content is NULL.
+    """
+    spark.dataSource.register(Files)
+    paths = [path] if isinstance(path, str) else path
+    wanted = {"recursive": recursive, "hidden": hidden, "content": content}
+    options = {name: str(value).lower() for name, value in wanted.items()}
+    return spark.read.format(Files.name()).options(paths=json.dumps([qualified(spark, p) for p in paths]), **options).load()
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with the file system that Spark takes it to be in, in the form Spark reports paths."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
 
 
 def decode_files(files: DataFrame) -> DataFrame:
@@ -139,13 +153,16 @@ def save_table(texts: DataFrame, folder: str) -> None:
 def save_files(texts: DataFrame) -> int:
     """Write every text to its own file and return their number.
 
-    Runs in the tasks, on any file system Arrow knows. A file appears under
-    its name only when it is complete, so lost and repeated tasks are harmless.
-    A path of another file system is refused before anything is written.
+    Runs in the tasks, on any file system Arrow knows, and runs the plan of the texts once. The files appear together
+    after the last task (see ``castlist.sources.datasource``); if any cannot be written, none appears. Of several
+    texts for one path one is kept.
     """
-    refuse_unknown_schemes(texts)
-    written = encoded(texts).mapInArrow(_write_files, "path string, n_bytes bigint")
-    return written.agg(F.count("path")).first()[0]
+    spark = texts.sparkSession
+    spark.dataSource.register(Files)
+    staging = new_table(spark, "staging")
+    rows = encoded(texts).select("path", "content")
+    rows.write.format(Files.name()).option("staging", staging).mode("append").save()
+    return int(shared.read(f"{staging}/total"))
 
 
 def _has_mark(content: Column, mark: str) -> Column:
@@ -178,75 +195,3 @@ def _decode_all(contents: pa.Array) -> pa.Array:
 
 # Declared nondeterministic so that no filter is pushed below with a copy of the call.
 _decode_other = F.arrow_udf(_decode_all, DECODED).asNondeterministic()
-
-
-@F.arrow_udf(T.BinaryType())
-def _read_files(paths: pa.Array) -> pa.Array:
-    def content(path: str) -> bytes:
-        system, name = locate(path)
-        with system.open_input_stream(name) as stream:
-            return stream.read()
-
-    return pa.array((None if p is None else content(p) for p in paths.to_pylist()), pa.binary())
-
-
-# Names under which Spark reports the file systems that Arrow knows.
-SCHEMES = {
-    "file": "file", "hdfs": "hdfs", "viewfs": "viewfs", "s3": "s3", "s3a": "s3", "s3n": "s3",
-    "gs": "gs", "gcs": "gs", "abfs": "abfs", "abfss": "abfss",
-}
-
-
-def split_path(path: str) -> tuple[str, str, str]:
-    """(scheme, authority, name) of a path as Spark writes it (unescaped)."""
-    scheme, found, rest = path.partition(":/")
-    if not found:
-        return "file", "", path
-    if not rest.startswith("/"):
-        return scheme, "", "/" + rest
-    authority, _, name = rest[1:].partition("/")
-    return scheme, authority, "/" + name.lstrip("/")
-
-
-@cache
-def _file_system(scheme: str, authority: str) -> tuple[fs.FileSystem, str]:
-    """A file system, made once in each process, and where its root lies in it."""
-    if scheme not in SCHEMES:
-        raise ValueError(f"no file system known for {scheme}:")
-    if scheme == "file":
-        return fs.LocalFileSystem(), "/"
-    return fs.FileSystem.from_uri(f"{SCHEMES[scheme]}://{authority}/")
-
-
-def locate(path: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a path, and the name there."""
-    scheme, authority, name = split_path(path)
-    system, root = _file_system(scheme, authority)
-    return system, posixpath.join(root, name.lstrip("/")) if name.startswith("/") else name
-
-
-def refuse_unknown_schemes(paths: DataFrame) -> None:
-    """Raise before any file is opened if a path is in a file system that cannot be reached."""
-    scheme = F.regexp_extract("path", r"^([^:/]+):/", 1).alias("scheme")
-    found = {row.scheme for row in paths.select(scheme).distinct().collect()} - {""}
-    if unknown := sorted(found - SCHEMES.keys()):
-        raise ValueError(f"no file system known for {', '.join(unknown)}")
-
-
-def _write_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        paths = batch.column("path").to_pylist()
-        contents = batch.column("content").to_pylist()
-        for path, data in zip(paths, contents):
-            system, name = locate(path)
-            folder, base = posixpath.split(name)
-            system.create_dir(folder or ".")
-            # a name with an underscore is skipped by Spark, should it be left behind
-            unfinished = posixpath.join(folder, f"_{base}.{uuid.uuid4().hex}")
-            with system.open_output_stream(unfinished) as stream:
-                stream.write(data)
-            system.move(unfinished, name)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(paths, pa.string()), pa.array(map(len, contents), pa.int64())],
-            ["path", "n_bytes"],
-        )

@@ -14,7 +14,7 @@ import uuid
 
 from pyarrow import fs
 
-from castlist.sources.files import locate, split_path
+from castlist.sources.paths import locate, split_path
 
 
 def read(path: str) -> bytes | None:

@@ -1,11 +1,12 @@
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from castlist.plans.normalize import normalize_files
 from castlist.plans.rename import export_documents
-from castlist.sources import files
+from castlist.sources import datasource, files, paths
 from castlist.streaming.files import stream_files
 
 SAMPLES = {
@@ -217,11 +218,110 @@ def test_streaming_scan(spark, folder, tmp_path):
     ("s3a://bucket/x/a b.txt", ("s3a", "bucket", "/x/a b.txt")),
 ])
 def test_paths_are_taken_apart(path, parts):
-    assert files.split_path(path) == parts
+    assert paths.split_path(path) == parts
 
 
-def test_unknown_file_systems_are_refused_before_the_job(spark):
-    texts = spark.createDataFrame([("dbfs:/x/a.txt", "t", "utf-8")], "path string, text string, encoding string")
-    with pytest.raises(ValueError, match="dbfs"):
+def left_in(folder):
+    """What stays once the tasks that were still running have given up."""
+    for _ in range(50):
+        if not folder.exists() or not list(folder.iterdir()):
+            return []
+        time.sleep(0.1)
+    return list(folder.iterdir())
+
+
+def test_a_path_that_cannot_be_reached_lets_nothing_appear(spark, tmp_path):
+    rows = [(f"{tmp_path}/out/{i}.txt", "t", "utf-8") for i in range(40)] + [("dbfs:/x/a.txt", "t", "utf-8")]
+    texts = spark.createDataFrame(rows, "path string, text string, encoding string").repartition(8)
+    with pytest.raises(Exception, match="no file system known for dbfs"):
         files.save_files(texts)
-    assert files.SCHEMES["s3a"] == files.SCHEMES["s3n"] == "s3"
+    assert left_in(tmp_path / "out") == []
+    assert paths.SCHEMES["s3a"] == paths.SCHEMES["s3n"] == "s3"
+
+
+def test_saving_runs_its_input_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        seen.add(1)
+        return text
+
+    rows = [(f"{tmp_path}/out/{i}.txt", f"text {i}", "utf-8") for i in range(50)]
+    texts = spark.createDataFrame(rows, "path string, text string, encoding string")
+    assert files.save_files(texts.withColumn("text", counted.asNondeterministic()("text"))) == 50
+    assert seen.value == 50
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == sorted(f"{i}.txt" for i in range(50))
+
+
+def test_nothing_to_save(spark):
+    assert files.save_files(spark.createDataFrame([], "path string, text string, encoding string")) == 0
+
+
+def test_a_failing_task_leaves_nothing(spark, tmp_path):
+    rows = [(f"{tmp_path}/out/{i}.txt", "t" * 10, "utf-8") for i in range(40)]
+    texts = spark.createDataFrame(rows, "path string, text string, encoding string").repartition(4, "path")
+    bad = texts.withColumn("text", F.when(F.col("path").endswith("/7.txt"), F.raise_error(F.lit("broken"))).otherwise(F.col("text")))
+    with pytest.raises(Exception, match="broken"):
+        files.save_files(bad)
+    assert left_in(tmp_path / "out") == []
+
+
+def names_read(df):
+    return sorted(os.path.basename(r.path) for r in df.collect())
+
+
+def test_reading_with_empty_and_hidden_files(spark, folder, tmp_path):
+    every = {*SAMPLES, "empty.txt"}
+    found = files.read_files(spark, str(folder))
+    assert set(names_read(found)) == every
+    spark_s = {r.path: (r.length, bytes(r.content)) for r in files.scan_files(spark, str(folder)).collect()}
+    own = {r.path: (r.length, bytes(r.content)) for r in found.collect()}
+    assert spark_s.items() <= own.items() and own.keys() - spark_s.keys() == {f"file:{folder}/empty.txt"}
+    assert set(names_read(files.read_files(spark, f"file://{folder}", hidden=True))) == {*every, ".hidden.txt"}
+    sizes = files.read_files(spark, str(folder), content=False).collect()
+    assert {(r.path, r.length) for r in sizes} == {(p, n) for p, (n, _) in own.items()} and not any(r.content for r in sizes)
+
+
+def test_reading_patterns_folders_and_lists(spark, tmp_path):
+    for name in ("a/1.txt", "a/2.dat", "a/b/3.txt", "c/4.txt", "_x/5.txt", "c/z.txt.gz"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    read = lambda *p, **o: names_read(files.read_files(spark, [f"{tmp_path}/{x}" for x in p], **o))
+    assert read("a") == ["1.txt", "2.dat"] and read("a", recursive=True) == ["1.txt", "2.dat", "3.txt"]
+    assert read("*/*.txt") == ["1.txt", "4.txt"] and read("a/1.txt", "c") == ["1.txt", "4.txt", "z.txt.gz"]
+    assert read("", recursive=True) == ["1.txt", "2.dat", "3.txt", "4.txt", "z.txt.gz"]
+    assert read("a", "a/1.txt") == ["1.txt", "2.dat"] and read("a/n*") == []
+    packed = files.read_files(spark, f"{tmp_path}/c/z.txt.gz").first()
+    assert bytes(packed.content) == b"c/z.txt.gz"
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        files.read_files(spark, f"{tmp_path}/none").collect()
+
+
+def test_shares_and_batches_are_bounded(tmp_path, monkeypatch):
+    import json
+
+    for i in range(10):
+        (tmp_path / f"{i}.txt").write_bytes(b"x" * (1 if i else 50))
+    monkeypatch.setattr(datasource, "TASK_BYTES", 4)
+    reader = datasource.FileReader({"paths": json.dumps([f"file:{tmp_path}"])})
+    shares = reader.partitions()
+    assert [len(s.paths) for s in shares] == [1, 4, 4, 1]
+    monkeypatch.setattr(datasource, "BATCH_BYTES", 3)
+    batches = list(datasource.read_batches(p for s in shares for p in s.paths))
+    assert [b.num_rows for b in batches] == [1, 3, 3, 3] and sum(b.num_rows for b in batches) == 10
+    assert list(datasource.read_batches(iter(()))) == []
+
+
+def test_manifest_is_read_once_and_in_many_tasks(spark, folder):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(path):
+        seen.add(1)
+        return path
+
+    manifest = manifest_of(spark, folder, "empty.txt", "plain.txt", "plain.txt").union(spark.createDataFrame([(None,)], "path string"))
+    manifest = manifest.withColumn("path", counted.asNondeterministic()("path"))
+    found = files.scan_files(spark, str(folder), manifest)
+    assert names_read(found) == ["empty.txt", "plain.txt"] and seen.value == 4

@@ -181,7 +181,7 @@ def scanned_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoding = F.when(F.pmod("doc_id", F.lit(2)) == 0, "utf-8-sig").otherwise("utf-8")
     docs = documents(spark, sf_dir)
     files.save_files(docs.select(name.alias("path"), "text", encoding.alias("encoding")))
-    decoded = files.loaded(files.decode_files(files.scan_files(spark, folder)))
+    decoded = files.loaded(files.decode_files(files.read_files(spark, folder)))
     return decoded.select(
         F.regexp_extract("path", r"(\d+)\.txt$", 1).cast("bigint").alias("doc_id"),
         "encoding",
@@ -199,9 +199,7 @@ def scanned_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files named by a manifest: some are empty, some have names that the source skips, some are not wanted."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(new_table(spark, "castlist-files"))
-    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    folder = system.makeQualified(path).toString()
+    folder = files.qualified(spark, new_table(spark, "castlist-files"))
     form = F.pmod("doc_id", F.lit(10))
     prefix = F.when(form == 1, "/_").when(form == 2, "/.").otherwise("/")
     name = F.concat(F.lit(folder), prefix, F.col("doc_id").cast("string"), F.lit(".txt"))
