@@ -48,7 +48,7 @@ def split_into_chunks(docs: DataFrame, max_bytes: int = CHUNK_MAX_BYTES) -> Data
     stays in the JVM except for overlong sentences. No shuffle.
     """
     units = docs.select(
-        "doc_id", _units(splitting.paragraphs(F.col("text")), max_bytes).alias("units")
+        "doc_id", units_of(splitting.paragraphs(F.col("text")), max_bytes).alias("units")
     )
     sized = units.select(
         "doc_id",
@@ -63,12 +63,12 @@ def split_into_chunks(docs: DataFrame, max_bytes: int = CHUNK_MAX_BYTES) -> Data
     cut = sized.select(
         "doc_id", "units", _cutter(max_bytes)("sizes", "runs", "overlong").alias("cuts")
     )
-    chunks = F.transform("cuts", lambda c: _assemble(F.col("units"), c))
+    chunks = F.transform("cuts", lambda c: assemble(F.col("units"), c))
     rows = explode_items(cut, ["doc_id"], chunks, "chunk_idx", "chunk")
     return rows.withColumn("n_bytes", F.octet_length("chunk"))
 
 
-def _units(paragraphs: Column, max_bytes: int) -> Column:
+def units_of(paragraphs: Column, max_bytes: int) -> Column:
     """The smallest things to pack: paragraphs, or sentences of a long one.
 
     ``run`` is -1 for paragraphs, which may share a chunk, and the position of
@@ -88,7 +88,7 @@ def _unit(text: Column, run: Column) -> Column:
     return F.struct(text.alias("text"), run.cast("int").alias("run"))
 
 
-def _assemble(units: Column, cut: Column) -> Column:
+def assemble(units: Column, cut: Column) -> Column:
     members = F.transform(F.slice(units, cut["first"] + 1, cut["n"]), lambda u: u["text"])
     joined = F.when(
         F.element_at(units, cut["first"] + 1)["run"] < 0, F.array_join(members, SEPARATOR)
