@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import batched
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,23 +16,80 @@ from castlist.operators.rows import inline_structs
 from castlist.operators.skew import ROWS_PER_TASK, heavy_keys
 
 
+# From this many character comparisons on (mappings x text length) an automaton is asked first what can occur; so many
+# mappings at once, and as long as it does not read more than that share of the characters that single searches would.
+AUTOMATON_WORK = 2_000_000
+BATCH = 50_000
+WORTH = 1 / 20
+
+
+class Occurring:
+    """Which originals can occur in a text that changes: a superset, kept up to date from what is new.
+
+    An original that occurs was there from the start, or holds a character of a replacement or the seam it left; so after each
+    replacement only its surroundings are read again, as far as the longest original reaches.
+    """
+
+    def __init__(self, text: str, mappings: tuple[tuple[str, str], ...]):
+        self.automaton = ahocorasick.Automaton()
+        originals = {original for original, _ in mappings if original}
+        for original in originals:
+            self.automaton.add_word(original, original)
+        self.reach = max(map(len, originals), default=1) - 1
+        self.left = len(text) * len(mappings) * WORTH
+        self.names: set[str] = set()
+        if originals:
+            self.automaton.make_automaton()
+            self._read(text)
+
+    def _read(self, text: str) -> None:
+        self.left -= len(text)
+        self.names.update(original for _, original in self.automaton.iter(text))
+
+    def look_again(self, text: str, pieces: list[str], replacement: str) -> bool:
+        """Read what is new in a text joined from pieces; False if that is no longer worth it."""
+        windows: list[list[int]] = []
+        at = 0
+        for piece in pieces[:-1]:
+            at += len(piece)
+            low, high = max(0, at - self.reach), at + len(replacement) + self.reach
+            if windows and low <= windows[-1][1]:
+                windows[-1][1] = high
+            else:
+                windows.append([low, high])
+            at += len(replacement)
+        if 2 * sum(high - low for low, high in windows) > len(text):
+            windows = [[0, len(text)]]
+        for low, high in windows:
+            self._read(text[low:high])
+        return self.left > 0
+
+
 def replace_in_turn(text: str, mappings: Iterable[tuple[str, str]]) -> Iterator[tuple]:
     """Apply mappings one after the other, each on the result so far.
 
     Yields (step, original, n, None) for each, then (number of steps, None,
-    total, text).
+    total, text). Mappings that cannot occur are not searched for.
     """
     step = total = 0
-    for step, (original, replacement) in enumerate(mappings, 1):
-        if not original:
-            raise ValueError("a mapping needs a non-empty original")
-        # counting and replacing in one search of the text
-        pieces = text.split(original)
-        n = len(pieces) - 1
-        if n:
-            text = replacement.join(pieces)
-            total += n
-        yield step, original, n, None
+    for batch in batched(mappings, BATCH):
+        occurring = Occurring(text, batch) if len(batch) * len(text) >= AUTOMATON_WORK else None
+        for original, replacement in batch:
+            step += 1
+            if not original:
+                raise ValueError("a mapping needs a non-empty original")
+            if occurring is not None and original not in occurring.names:
+                yield step, original, 0, None
+                continue
+            # counting and replacing in one search of the text
+            pieces = text.split(original)
+            n = len(pieces) - 1
+            if n:
+                text = replacement.join(pieces)
+                total += n
+                if occurring is not None and not occurring.look_again(text, pieces, replacement):
+                    occurring = None
+            yield step, original, n, None
     yield step, None, total, text
 
 

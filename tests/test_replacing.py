@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -111,3 +112,65 @@ def test_without_unmapped_documents_the_join_is_inner(spark, docs_of):
     applied = replacing.apply_replacements(docs_of("a", "b"), table, unmapped=False)
     assert "LeftOuter" not in applied._jdf.queryExecution().optimizedPlan().toString()
     assert [row.doc_id for row in replacing.replaced_texts(applied).collect()] == [0]
+
+
+def fold(text, mappings):
+    """Every mapping searched for, one after the other."""
+    rows = []
+    for original, replacement in mappings:
+        rows.append((original, text.count(original)))
+        text = text.replace(original, replacement)
+    return text, rows
+
+
+def in_turn(text, mappings):
+    *steps, closing = replacing.replace_in_turn(text, mappings)
+    assert [s[0] for s in steps] == list(range(1, len(mappings) + 1)) and closing[:2] == (len(mappings), None)
+    assert closing[2] == sum(s[2] for s in steps)
+    return closing[3], [s[1:3] for s in steps]
+
+
+@pytest.mark.parametrize("worth", [1 / 20, 100, 0])
+@pytest.mark.parametrize("batch", [3, 50_000])
+def test_skipping_what_cannot_occur_changes_nothing(monkeypatch, worth, batch):
+    monkeypatch.setattr(replacing, "AUTOMATON_WORK", 0)
+    monkeypatch.setattr(replacing, "WORTH", worth)
+    monkeypatch.setattr(replacing, "BATCH", batch)
+    rng = random.Random(5)
+    word = lambda most: "".join(rng.choices("ab🎉", k=rng.randint(1, most)))
+    for _ in range(300):
+        # Replacements make new originals: by themselves, with what stands next to them, and by leaving nothing between.
+        mappings = [(word(4), rng.choice(["", word(5), word(1)])) for _ in range(rng.randint(0, 12))]
+        text = word(60) if rng.random() < 0.9 else ""
+        assert in_turn(text, mappings) == fold(text, mappings)
+
+
+def test_chains_over_seams(monkeypatch):
+    monkeypatch.setattr(replacing, "AUTOMATON_WORK", 0)
+    monkeypatch.setattr(replacing, "WORTH", 100)
+    text = "xAByCz" * 20
+    mappings = [("AB", ""), ("xy", "P"), ("PC", "Q"), ("Qz", "AB"), ("ABAB", "R"), ("AB", "S"), ("RRRRRRRRRR", "end"), ("none", "x")]
+    assert in_turn(text, mappings) == fold(text, mappings) == ("end", [("AB", 20), ("xy", 20), ("PC", 20), ("Qz", 20), ("ABAB", 10), ("AB", 0), ("RRRRRRRRRR", 1), ("none", 0)])
+
+
+def test_an_empty_original_is_refused_at_its_step():
+    steps = replacing.replace_in_turn("a" * 3_000_000, [("a", "b"), ("", "x")])
+    assert next(steps)[2] == 3_000_000
+    with pytest.raises(ValueError, match="non-empty"):
+        next(steps)
+
+
+def test_long_chains_are_five_times_faster():
+    rng = random.Random(6)
+    names = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)).title() for _ in range(10_000)]
+    text = " ".join(rng.choice(["word", "other", "place", rng.choice(names[:200])]) for _ in range(170_000))
+    mappings = [(name, name[::-1]) for name in names]
+    assert len(text) > 1_000_000
+
+    def seconds(run):
+        start = time.perf_counter()
+        found = run(text, mappings)
+        return time.perf_counter() - start, found
+
+    (slow, wanted), (fast, found) = seconds(fold), seconds(in_turn)
+    assert found == wanted and 5 * fast < slow, (fast, slow)
