@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from castlist.functions import splitting
 from castlist.functions.text import byte_length
 from castlist.operators import chunks as chunking
+from castlist.operators import long_chunks, segments
 from castlist.operators.rows import explode_items
 from workload import documents, query
 
@@ -194,3 +195,10 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def small_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spaced_documents(spark, sf_dir)
     return chunk_rows(chunking.split_into_chunks(docs, SMALL_CHUNK_BYTES))
+
+
+@query(f"WITH {chunks_sql(SMALL_CHUNK_BYTES)} {CHUNK_ROWS_SQL}")
+def segment_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The form for texts longer than a cell, on texts cut every 997 characters."""
+    cut = segments.cut_into_segments(spaced_documents(spark, sf_dir), 997)
+    return chunk_rows(long_chunks.chunk_segments(cut, SMALL_CHUNK_BYTES))

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from castlist.functions import layout
 from castlist.functions.text import unix_newlines
+from castlist.operators import segments
+from castlist.operators.long_layout import repair_segments
 from castlist.operators.rows import explode_items
 from castlist.plans.normalize import normalize_documents
 from workload import documents, query
@@ -205,3 +207,18 @@ def layout_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repaired.select(
         "doc_id", F.char_length("text").alias("n_chars"), F.md5("text").alias("text_md5")
     )
+
+
+@query(
+    f"""
+    WITH {DRESSED_SQL}, repaired AS (SELECT doc_id, {LAYOUT_SQL} AS text FROM dressed)
+    SELECT doc_id, length(text)::INTEGER AS n_chars, md5(text) AS text_md5 FROM repaired
+    """
+)
+def layout_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The form for texts longer than a cell, on texts cut every 997 characters."""
+    cut = segments.cut_into_segments(dressed_documents(spark, sf_dir), 997)
+    repaired = segments.joined_segments(repair_segments(cut))
+    return repaired.select(
+        "doc_id", F.char_length("text").alias("n_chars"), F.md5("text").alias("text_md5")
+    )

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from castlist.operators import mapping as mappings
 from castlist.operators import names as naming
 from castlist.operators import replacing
+from castlist.plans.incremental import export_changed
 from castlist.plans.rename import export_documents, replaced_documents
 from castlist.plans.rename import exported_counts as rename_counts
-from castlist.session import cut_lineage
+from castlist.session import cut_lineage, new_table
 from castlist.sources import files
 from castlist.sources.tables import read_table
 
@@ -376,3 +377,32 @@ def files_of(spark: SparkSession, sf_dir: str) -> DataFrame:
         "text",
         encoding.alias("encoding"),
     )
+
+
+# The mappings after a second round of edits, in every seventh document.
+EDITED_AGAIN_SQL = MAPPINGS_SQL.replace(
+    "CASE rank % 3 WHEN 1 THEN", "CASE WHEN doc_id % 7 = 0 AND rank = 1 THEN name || ' I' WHEN rank % 3 = 1 THEN"
+).replace("WHEN 2 THEN name", "WHEN rank % 3 = 2 THEN name")
+
+
+@query(
+    f"""
+    WITH {EDITED_AGAIN_SQL}
+    SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 2 ELSE 1 END AS run, md5(result.text) AS text_md5
+    FROM folded WHERE steps IS NOT NULL
+    """
+)
+def reexported_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An export, and another after some edits, which writes the files of the edited documents alone."""
+    folder = new_table(spark, "castlist-export")
+    name = F.concat(F.lit(f"{folder}/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    docs = files_of(spark, sf_dir).withColumns({"path": name, "encoding": F.lit("utf-8")})
+    rows = stored_mappings(spark, sf_dir)
+    export_changed(docs, rows, folder)
+    edited = F.when(
+        (F.col("doc_id") % 7 == 0) & (F.col("rank") == 1), F.concat("original", F.lit(" I"))
+    ).otherwise(F.col("replacement"))
+    done = export_changed(docs, cut_lineage(rows.withColumn("replacement", edited)), folder)
+    number = F.regexp_extract("path", r"(\d+)_processed\.txt$", 1).cast("bigint")
+    texts = files.read_files(spark, folder).select(number.alias("doc_id"), F.md5("content").alias("text_md5"))
+    return done.manifest.select("doc_id", "run").join(texts, "doc_id")
