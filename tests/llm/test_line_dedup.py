@@ -1,3 +1,4 @@
+import time
 from collections import Counter
 
 import pytest
@@ -43,3 +44,26 @@ def test_other_columns_and_empty_tables(table):
     row = line_dedup.drop_frequent_lines(docs, 1, 1).first()
     assert (row.text, row.n_dropped, row.key) == ("", 1, "y")
     assert line_dedup.drop_frequent_lines(table([])).count() == 0
+
+
+def test_clashing_columns_are_kept(spark):
+    docs = spark.createDataFrame(
+        [(1, "a\nb", 5, "h", "d", 7), (2, "a", 6, "i", "e", 8)],
+        "doc_id int, text string, dropped int, text_hash string, row string, gone_id int",
+    )
+    found = line_dedup.drop_frequent_lines(docs, 2, 1)
+    assert found.columns == [*docs.columns, "n_lines", "n_dropped"]
+    assert sorted(map(tuple, found.collect())) == [(1, "b", 5, "h", "d", 7, 2, 1), (2, "", 6, "i", "e", 8, 1, 1)]
+
+
+def test_time_is_linear_in_the_lines_of_a_text(spark, table):
+    def seconds(n):
+        text = "\n".join(f"line number {i}" for i in range(n))
+        docs = table([(1, text), (2, text)])
+        start = time.perf_counter()
+        assert line_dedup.drop_frequent_lines(docs, 2, 1).where("n_dropped = n_lines").count() == 2
+        return time.perf_counter() - start
+
+    seconds(1000)
+    small, large = min(seconds(20_000) for _ in range(2)), min(seconds(40_000) for _ in range(2))
+    assert large <= 2.3 * small + 0.2, (small, large)
