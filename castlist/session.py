@@ -72,8 +72,19 @@ def new_table(spark: SparkSession, prefix: str = "castlist") -> str:
     return target
 
 
+# The entries in the catalogue that go with the stored tables, by application.
+_named: dict[str, list[str]] = {}
+
+
+def forget_later(spark: SparkSession, name: str) -> None:
+    """Take a table out of the catalogue when the stored tables are dropped, at the latest when the process ends."""
+    _named.setdefault(spark.sparkContext.applicationId, []).append(name)
+
+
 def drop_stored(spark: SparkSession) -> int:
     """Remove all tables stored without a path; results not yet taken that read them fail afterwards."""
+    for name in _named.pop(spark.sparkContext.applicationId, []):
+        spark.sql(f"DROP TABLE IF EXISTS `{name}`")
     tables = _stored.pop(spark.sparkContext.applicationId, [])
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for table in tables:
