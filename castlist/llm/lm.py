@@ -17,8 +17,9 @@ all tasks with their scores; of a document's other words only hashes go out to m
 many documents is a join key. The table of piece probabilities is as long as the vocabulary.
 
 Defined results: a null text is an empty one, of the end alone; rows are scored each by itself,
-repeated or not; with no training documents counts are 0 and the base uses N = V = 0. Words
-meet their counts by 64-bit hashes. The vocabulary file is read on every executor at ``path``.
+whatever ids repeat or are null, since what belongs to a row meets by its number; with no training documents counts are 0
+and the base uses N = V = 0. Words meet their counts by 128-bit hashes. Further columns are kept, one with the name of a
+result column is replaced. The vocabulary file is read on every executor at ``path``.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from castlist.llm.common import SPACES, lowered
+from castlist.llm.common import SPACES, lowered, wide_hash
 from castlist.session import cut_lineage
 
 MARK = "▁"
@@ -44,7 +45,11 @@ ROUNDS = 2
 PRIOR = 0.1
 ZIPF_SHIFT = 100
 FREQUENT = 100_000
+# The expected uses of pieces in words up to this long are summed as probabilities, which are not too small there.
+SHORT, TINY = 24, 1e-250
+# The seeds of Spark's xxhash64 of a word, and of 1 and a word.
 SEED = 42
+SECOND_SEED = xxhash.xxh64_intdigest((1).to_bytes(4, "little"), SEED)
 _NONE = -math.inf
 
 
@@ -139,12 +144,33 @@ def expected_uses(words: Vocabulary, scores: list[float], word: str, times: floa
             uses[i] += share
 
 
+def short_uses(words: Vocabulary, chances: list[float], word: str, times: float, uses: list[float]) -> bool:
+    """``expected_uses`` by probabilities; False, and nothing added, if these would be too small or the word is spelled in bytes."""
+    marked = MARK + word
+    if not words.characters.issuperset(marked):
+        return False
+    alpha = [1.0] + [0.0] * len(marked)
+    edges = []
+    for e, (size, i) in words.automaton.iter(marked):
+        alpha[e + 1] += alpha[e + 1 - size] * chances[i]
+        edges.append((e + 1 - size, e + 1, i))
+    if alpha[-1] < TINY:
+        return False
+    beta = [0.0] * len(marked) + [1.0]
+    share = times / alpha[-1]
+    for start, end, i in reversed(edges):
+        after = chances[i] * beta[end]
+        beta[start] += after
+        uses[i] += share * alpha[start] * after
+    return True
+
+
 # ---- The corpus -------------------------------------------------------------------------
 
 
 def corpus_words(docs: DataFrame, training: Column) -> DataFrame:
     """(word, uses, known): every different word, how often it occurs, and how often in training documents."""
-    split = F.split(lowered(F.col("text")), f"[{SPACES}]+")
+    split = F.split(lowered(F.coalesce("text", F.lit(""))), f"[{SPACES}]+")
     tokens = docs.select(training.alias("_training"), F.explode(split).alias("word")).where("word <> ''")
     return tokens.groupBy("word").agg(
         F.count("*").alias("uses"), F.count_if("_training").alias("known")
@@ -159,11 +185,12 @@ def fit(words: DataFrame, n_texts: int, path: str, rounds: int = ROUNDS) -> np.n
         given = scores.tolist()
 
         def run(batches: Iterator[pa.RecordBatch], given: list[float] = given) -> Iterator[pa.RecordBatch]:
-            pieces = vocabulary(path)
+            pieces, chances = vocabulary(path), np.exp(given).tolist()
             uses = [0.0] * pieces.size
             for batch in batches:
                 for word, times in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    expected_uses(pieces, given, word, times, uses)
+                    if len(word) > SHORT or not short_uses(pieces, chances, word, times, uses):
+                        expected_uses(pieces, given, word, times, uses)
             found = np.flatnonzero(uses)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(found, pa.int32()), pa.array(np.array(uses)[found], pa.float64())], ["piece", "uses"]
@@ -179,7 +206,7 @@ def fit(words: DataFrame, n_texts: int, path: str, rounds: int = ROUNDS) -> np.n
 
 
 def scored_words(words: DataFrame, scores: np.ndarray, path: str) -> DataFrame:
-    """(word, hash, uses, known, score): the words with the base-10 logarithm of their probability."""
+    """(word, a, b, uses, known, score): the words, hashed, with the base-10 logarithm of their probability."""
     given = scores.tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,8 +215,8 @@ def scored_words(words: DataFrame, scores: np.ndarray, path: str) -> DataFrame:
             found = [word_score(pieces, given, w) / math.log(10) for w in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], [*batch.schema.names, "score"])
 
-    rows = words.select("word", F.xxhash64("word").alias("hash"), "uses", "known")
-    return rows.mapInArrow(run, "word string, hash long, uses long, known long, score double")
+    rows = words.select("word", wide_hash(F.col("word")).alias("hash"), "uses", "known").select("word", "hash.*", "uses", "known")
+    return rows.mapInArrow(run, "word string, a long, b long, uses long, known long, score double")
 
 
 def frequent_words(words: DataFrame, most: int = FREQUENT) -> dict[bytes, tuple[int, float]]:
@@ -208,16 +235,20 @@ def frequent_words(words: DataFrame, most: int = FREQUENT) -> dict[bytes, tuple[
     return {row.word.encode(): (row.known, row.score) for row in rows}
 
 
-_FIRST = "doc_id long, n_tokens long, n_known long, base double, score double, rare array<struct<hash:long,n:int>>"
+_MADE = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
+_FIRST = "row {}, n_tokens long, n_known long, base double, score double, rare array<struct<a:long,b:long,n:int>>"
+
+
+def _signed(digest: int) -> int:
+    return digest - (digest >> 63 << 64)
 
 
 def score(docs: DataFrame, training: Column, path: str, rounds: int = ROUNDS) -> DataFrame:
-    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of documents (doc_id, text).
+    """All columns but ``text`` of documents with a text, and n_tokens, n_known, train_tokens, base_score, score.
 
     ``training`` says which of them the counts and the model are learned from. The base is the
     score of the words' own frequencies, with one half added to each count.
     """
-    docs = docs.withColumn("text", F.coalesce(F.col("text"), F.lit("")))
     counted = cut_lineage(corpus_words(docs, training))
     n_texts = docs.where(training).count()
     n, distinct = counted.agg(
@@ -238,39 +269,42 @@ def score(docs: DataFrame, training: Column, path: str, rounds: int = ROUNDS) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for text in batch.column(1):
                 uses = Counter(text.as_py().encode().lower().split())
                 known, base, value, rare = int(n_texts > 0), end_base, end_score, []
                 for word, times in uses.items():
                     found = frequent.get(word)
                     if found is None:
-                        digest = xxhash.xxh64_intdigest(word, SEED)
-                        rare.append({"hash": digest - (digest >> 63 << 64), "n": times})
+                        digests = (xxhash.xxh64_intdigest(word, seed) for seed in (SEED, SECOND_SEED))
+                        rare.append((*map(_signed, digests), times))
                     else:
                         known += times if found[0] else 0
                         base += times * found[1]
                         value += times * found[2]
-                rows.append((doc, uses.total() + 1, known, base, value, rare))
-            columns = list(zip(*rows, strict=True)) or [[]] * 6
-            pairs = pa.list_(pa.struct([("hash", pa.int64()), ("n", pa.int32())]))
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pairs]
+                rows.append((uses.total() + 1, known, base, value, rare))
+            columns = list(zip(*rows, strict=True)) or [[]] * 5
+            triples = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int32())]))
+            types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), triples]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, types, strict=True)],
-                ["doc_id", "n_tokens", "n_known", "base", "score", "rare"],
+                [batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))],
+                ["row", "n_tokens", "n_known", "base", "score", "rare"],
             )
 
-    first = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _FIRST)
-    first = cut_lineage(first)
-    rare = first.select("doc_id", F.inline("rare")).join(words.select("hash", "known", "score"), "hash")
-    rest = rare.groupBy("doc_id").agg(
+    # The other columns travel in one, so that no name can clash.
+    kept = [c for c in docs.columns if c not in ("text", *_MADE)]
+    given = docs.select(F.struct(*kept, F.lit(0).alias("_")).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    first = given.mapInArrow(run, _FIRST.format(given.schema["row"].dataType.simpleString()))
+    first = cut_lineage(first.withColumn("number", F.monotonically_increasing_id()))
+    rare = first.select("number", F.inline("rare")).join(words.select("a", "b", "known", "score"), ["a", "b"])
+    rest = rare.groupBy("number").agg(
         F.sum(F.when(F.col("known") > 0, F.col("n")).otherwise(0)).alias("more_known"),
         F.sum(F.col("n") * F.log10((F.col("known") + 0.5) / base_total)).alias("more_base"),
         F.sum(F.col("n") * F.col("score")).alias("more_score"),
     )
-    joined = first.drop("rare").join(rest.withColumnRenamed("doc_id", "_doc"), F.col("doc_id") == F.col("_doc"), "left")
+    joined = first.drop("rare").join(rest, "number", "left")
     plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
     return joined.select(
-        "doc_id",
+        *(F.col("row")[c].alias(c) for c in kept),
         "n_tokens",
         plus("n_known", "more_known").alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),

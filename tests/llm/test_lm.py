@@ -3,11 +3,14 @@ import zlib
 from collections import Counter
 from functools import cache
 
+import numpy as np
 import public_tokenizers as vocabularies
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from castlist.llm import lm
+from castlist.llm.common import wide_hash
 
 PATH = vocabularies.path("piece_bpe_32k.model")
 
@@ -93,3 +96,40 @@ def test_without_training_or_rows(table):
     row = lm.score(table([(1, "a b")]).select("doc_id", "text"), F.lit(False), PATH, 1).first()
     assert (row.n_tokens, row.n_known, row.train_tokens) == (3, 0, 0) and math.isfinite(row.score)
     assert lm.score(table([]).select("doc_id", "text"), F.lit(True), PATH, 1).count() == 0
+
+
+def test_uses_by_probabilities_are_those_by_logarithms(pieces):
+    scores = lm.first_scores(PATH)
+    for word in ("erthndly", "a", "mañana", "x" * lm.SHORT, "thththth"):
+        fast, slow = [0.0] * pieces.size, [0.0] * pieces.size
+        assert lm.short_uses(pieces, np.exp(scores).tolist(), word, 3, fast)
+        lm.expected_uses(pieces, scores.tolist(), word, 3, slow)
+        assert fast == pytest.approx(slow, rel=1e-9, abs=1e-12)
+    none = [0.0] * pieces.size
+    assert not lm.short_uses(pieces, [1e-200] * pieces.size, "abcdefghijkl", 1, none) and not any(none)
+
+
+def test_hashes_in_tasks_are_sparks(spark):
+    words = ["the", "né", "", "x" * 50]
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select(wide_hash(F.col("w")).alias("h")).collect()
+    for word, row in zip(words, rows, strict=True):
+        digests = [lm._signed(xxhash.xxh64_intdigest(word.encode(), seed)) for seed in (lm.SEED, lm.SECOND_SEED)]
+        assert [row.h.a, row.h.b] == digests
+
+
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_rows_of_one_id_or_none_are_scored_each_by_itself(spark, most, monkeypatch):
+    monkeypatch.setattr(lm.frequent_words, "__defaults__", (most,))
+    rows = [("1", "alpha beta", 5, "r"), ("1", "alpha beta", 6, "s"), (None, "alpha beta", 7, None), (None, None, 8, "t")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, number int, row string")
+    found = lm.score(docs, F.lit(True), PATH, 1)
+    assert found.columns == ["doc_id", "number", "row", *lm._MADE]
+    found = found.collect()
+    assert sorted((r.doc_id or "", r.number, r.row or "") for r in found) == [("", 7, ""), ("", 8, "t"), ("1", 5, "r"), ("1", 6, "s")]
+    full = [r for r in found if r.number != 8]
+    assert {(r.n_tokens, r.n_known) for r in full} == {(3, 3)} and len({round(r.score, 9) for r in full}) == 1
+
+
+def test_a_very_long_word_and_text(table):
+    found = lm.score(table([(1, "x" * 200_000 + " " + "word " * 400_000)]).select("doc_id", "text"), F.lit(True), PATH, 1).first()
+    assert found.n_tokens == 400_002 and math.isfinite(found.score)
