@@ -75,21 +75,22 @@ def assign(
     spread: int = 1,
     spread_by: Sequence[str] = (),
 ) -> DataFrame:
-    """The rows with the columns ``slot`` and ``shard``; nothing is shuffled."""
+    """The rows with the columns ``slot`` and ``shard``, which replace any of these names; nothing is shuffled."""
     table = df.sparkSession.createDataFrame(
         [(i, shards[owner]) for i, owner in enumerate(lookup_table(shards, slots).tolist())],
-        "_slot int, _shard string",
+        "place int, owner string",
     )
     slot = slot_of(keys, slots)
     if spread > 1:
         slot = F.pmod(slot + F.pmod(F.xxhash64(*spread_by), F.lit(spread)), F.lit(slots))
-    placed = df.drop("slot", "shard").withColumn("slot", slot.cast("int"))
-    placed = placed.join(F.broadcast(table), placed["slot"] == table["_slot"])
-    return placed.withColumn("shard", F.col("_shard")).drop("_slot", "_shard")
+    kept = [c for c in df.columns if c not in ("slot", "shard")]
+    # The other columns travel in one, so that no name can clash.
+    placed = df.select(F.struct(*kept).alias("row"), slot.cast("int").alias("slot"))
+    placed = placed.join(F.broadcast(table), F.col("slot") == F.col("place"))
+    return placed.select(*(F.col("row")[c].alias(c) for c in kept), "slot", F.col("owner").alias("shard"))
 
 
 def write_shards(assigned: DataFrame, path: str, files_per_shard: int = 1) -> None:
     """One folder of Parquet files for every shard; ``files_per_shard`` bounds the load of a task."""
     part = F.pmod(F.xxhash64("slot", F.monotonically_increasing_id()), F.lit(files_per_shard))
-    dealt = assigned.withColumn("_part", part).repartition("shard", "_part").drop("_part")
-    dealt.write.partitionBy("shard").parquet(path)
+    assigned.repartition("shard", part).write.partitionBy("shard").parquet(path)
