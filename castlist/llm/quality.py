@@ -7,10 +7,12 @@ rules with fewer than 10 words or with over a fifth of its words in repeated win
 The others are judged by a vector of five transformed statistics: log of the number of words, log of the mean
 word length, and the square roots of the shares of symbols, repeated lines and repeated words.
 For every language and source the location and scatter are estimated by the
-minimum covariance determinant: starting from the rows nearest to the medians, scaled by the median
-deviations, the ``SHARE`` of the rows with the smallest Mahalanobis distances gives a new mean and
-covariance, ``STEPS`` times over; every such step lowers the determinant. The scatter is widened by
-``CONSISTENT``, what a normal distribution loses by the selection, and rows whose squared distance
+minimum covariance determinant, the scatter of the ``SHARE`` of the rows that lie nearest by Mahalanobis distance. Steps that
+take a new mean and covariance from the rows nearest by the old ones lower the determinant, so they are taken
+from several starts (``STARTS``): medians with median deviations, all rows, and the lower and the upper half by
+the statistic whose standard deviation exceeds its median deviation most, which tells two clusters apart. After ``FIRST_STEPS``
+the start of least determinant goes on alone until no group's determinant falls any more (at most ``MOST_STEPS``). The scatter is
+widened by ``CONSISTENT``, what a normal distribution loses by the selection, and rows whose squared distance
 exceeds ``CUTOFF`` are rejected.
 
 ``FLOOR`` is added to the standard deviation of each statistic, since most texts have no symbols or
@@ -18,12 +20,13 @@ repeats at all, and a scatter of zero would reject every text that has one.
 
 A group of fewer than ``LEAST`` rows is judged by the estimate of all rows. Every step is two
 partial aggregations into a row for each group, so a group that holds a third of all rows costs no
-more than others, and the estimates meet the rows in a join that Spark broadcasts if it is small.
+more than others. The estimates are counted: up to ``BROADCAST_GROUPS`` groups they are broadcast to the rows, beyond that rows and
+estimates meet by group and a salt, so rows of a group are never exchanged to one task.
 Quantiles are those of ``percentile_approx``, whose error is 1 in 10,000 of the rows.
 
 Defined results: a null text has no words and fails; null languages and sources are groups of their own; repeated rows
-each count; tables without rows give none. Further columns are kept; one with the name of a result column is
-replaced.
+each count; tables without rows give none. Further columns are kept, whatever their names; only one with the name of a result
+column is replaced.
 """
 
 from __future__ import annotations
@@ -38,7 +41,11 @@ from castlist.session import cut_lineage
 
 SYMBOLS = "#*$%&|<>"
 LEAST_WORDS, MOST_REPEATED = 10, 20
-SHARE, STEPS, LEAST = 0.75, 6, 50
+SHARE, LEAST = 0.75, 50
+FIRST_STEPS, MOST_STEPS = 2, 20
+# A determinant falls if its logarithm does by more than this, beyond the error of the quantiles.
+RESTS = 1e-3
+BROADCAST_GROUPS, SALTS = 100_000, 32
 FLOOR = (0.4, 0.15, 0.05, 0.15, 0.12)
 # Of chi-squared variables: what one in a million of five degrees of freedom exceeds; SHARE over the
 # distribution function of seven degrees at the SHARE quantile of five.
@@ -118,102 +125,147 @@ def vectors(statistics: DataFrame) -> DataFrame:
 
 # The group of all rows; the others are JSON objects.
 EVERYTHING = "all"
+# The estimates that are improved side by side have these marks behind the names of their columns.
+STARTS = ("_middle", "_every", "_low", "_high")
+PAIRS = [(i, j) for i in range(DIMENSIONS) for j in range(i + 1)]
 
 
-def squared_distance() -> Column:
+def names_of(mark: str = "") -> list[str]:
+    """The columns of an estimate: its centre and the factors of its scatter."""
+    return [f"m{i}{mark}" for i in range(DIMENSIONS)] + [f"l{i}_{j}{mark}" for i, j in PAIRS]
+
+
+def squared_distance(mark: str = "") -> Column:
     """Mahalanobis distance, squared, of x0.. from the centre m0.. by the factors l0_0, l1_0, .. of the scatter."""
     solved: list[Column] = []
     for i in range(DIMENSIONS):
-        rest = F.col(f"x{i}") - F.col(f"m{i}")
+        rest = F.col(f"x{i}") - F.col(f"m{i}{mark}")
         for k in range(i):
-            rest = rest - F.col(f"l{i}_{k}") * solved[k]
-        solved.append(rest / F.col(f"l{i}_{i}"))
+            rest = rest - F.col(f"l{i}_{k}{mark}") * solved[k]
+        solved.append(rest / F.col(f"l{i}_{i}{mark}"))
     return reduce(lambda total, z: total + z * z, solved, F.lit(0.0))
 
 
-def with_factors(estimates: DataFrame) -> DataFrame:
+def with_factors(estimates: DataFrame, mark: str = "") -> DataFrame:
     """The estimates with Cholesky factors l0_0, l1_0, .. of the scatter s0_0, s1_0, .., column by column."""
     for j in range(DIMENSIONS):
         rest = {}
         for i in range(j, DIMENSIONS):
-            rest[i] = F.col(f"s{i}_{j}")
+            rest[i] = F.col(f"s{i}_{j}{mark}")
             for k in range(j):
-                rest[i] = rest[i] - F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}")
-        estimates = estimates.withColumn(f"l{j}_{j}", F.sqrt(F.greatest(rest[j], F.lit(1e-9))))
-        estimates = estimates.withColumns({f"l{i}_{j}": rest[i] / F.col(f"l{j}_{j}") for i in rest if i > j})
+                rest[i] = rest[i] - F.col(f"l{i}_{k}{mark}") * F.col(f"l{j}_{k}{mark}")
+        estimates = estimates.withColumn(f"l{j}_{j}{mark}", F.sqrt(F.greatest(rest[j], F.lit(1e-9))))
+        estimates = estimates.withColumns({f"l{i}_{j}{mark}": rest[i] / F.col(f"l{j}_{j}{mark}") for i in rest if i > j})
     return estimates
 
 
-def _medians(rows: DataFrame) -> DataFrame:
-    """(g, size, m0.., l..): medians, and median deviations as a diagonal scatter, of each group."""
-    middle = rows.groupBy("g").agg(
-        F.count("*").alias("size"), *[F.percentile_approx(x, 0.5, 10000).alias(f"m{i}") for i, x in enumerate(VECTOR)]
-    )
-    apart = [F.abs(F.col(x) - F.col(f"m{i}")) for i, x in enumerate(VECTOR)]
-    spread = rows.join(middle, "g").groupBy("g").agg(
+def log_determinant(mark: str = "") -> Column:
+    return reduce(lambda total, c: total + c, [2 * F.ln(f"l{i}_{i}{mark}") for i in range(DIMENSIONS)])
+
+
+def with_estimates(rows: DataFrame, estimates: DataFrame, how: str = "inner") -> DataFrame:
+    """Rows of (g, ..) with the estimates, stored, of their group."""
+    if estimates.count() <= BROADCAST_GROUPS:
+        return rows.join(F.broadcast(estimates), "g", how)
+    salted = rows.withColumn("salt", F.floor(F.rand(1) * SALTS).cast("int"))
+    copies = estimates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, ["g", "salt"], how).drop("salt")
+
+
+def _sums(rows: DataFrame, chosen: dict[str, Column]) -> DataFrame:
+    """(g, size, m.., l..) for each mark: mean and widened covariance of the rows chosen for it."""
+    sums = []
+    for mark, taken in chosen.items():
+        sums += [F.avg(F.when(taken, F.col(x))).alias(f"m{i}{mark}") for i, x in enumerate(VECTOR)]
+        sums += [F.avg(F.when(taken, F.col(f"x{i}") * F.col(f"x{j}"))).alias(f"p{i}_{j}{mark}") for i, j in PAIRS]
+    found = rows.groupBy("g").agg(F.first("size").alias("size"), *sums)
+    for mark in chosen:
+        scatter = {
+            f"s{i}_{j}{mark}": CONSISTENT * (F.col(f"p{i}_{j}{mark}") - F.col(f"m{i}{mark}") * F.col(f"m{j}{mark}"))
+            + F.lit(FLOOR[i] ** 2 if i == j else 0.0)
+            for i, j in PAIRS
+        }
+        found = with_factors(found.withColumns(scatter), mark)
+    return found.select("g", "size", *(c for mark in chosen for c in names_of(mark)))
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """(g, size, m.., l..) for each of STARTS."""
+    middle = cut_lineage(rows.groupBy("g").agg(
+        F.count("*").alias("size"),
+        *[F.percentile_approx(x, 0.5, 10000).alias(f"m{i}_middle") for i, x in enumerate(VECTOR)],
+        *[F.stddev_pop(x).alias(f"sd{i}") for i, x in enumerate(VECTOR)],
+    ))
+    apart = [F.abs(F.col(x) - F.col(f"m{i}_middle")) for i, x in enumerate(VECTOR)]
+    spread = with_estimates(rows, middle).groupBy("g").agg(
         *[F.percentile_approx(d, 0.5, 10000).alias(f"d{i}") for i, d in enumerate(apart)]
     )
-    factors = [
-        ((1.4826 * F.col(f"d{i}") + FLOOR[i]) if i == j else F.lit(0.0)).alias(f"l{i}_{j}")
-        for i in range(DIMENSIONS)
-        for j in range(i + 1)
-    ]
-    return middle.join(spread, "g").select("g", "size", *[f"m{i}" for i in range(DIMENSIONS)], *factors)
-
-
-def _concentrate(rows: DataFrame, estimates: DataFrame) -> DataFrame:
-    """New estimates of each group from the rows that lie nearest by the old ones."""
-    far = rows.join(estimates, "g").select("g", "size", *VECTOR, squared_distance().alias("far"))
-    bounds = far.groupBy("g").agg(F.percentile_approx("far", SHARE, 10000).alias("bound"))
-    near = far.join(bounds, "g").where(F.col("far") <= F.col("bound"))
-    pairs = [(i, j) for i in range(DIMENSIONS) for j in range(i + 1)]
-    sums = near.groupBy("g").agg(
-        F.first("size").alias("size"),
-        *[F.avg(x).alias(f"m{i}") for i, x in enumerate(VECTOR)],
-        *[F.avg(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}_{j}") for i, j in pairs],
+    scale = [1.4826 * F.col(f"d{i}") + FLOOR[i] for i in range(DIMENSIONS)]
+    factors = [(scale[i] if i == j else F.lit(0.0)).alias(f"l{i}_{j}_middle") for i, j in PAIRS]
+    excess = [F.col(f"sd{i}") / scale[i] for i in range(DIMENSIONS)]
+    axis = F.array_position(F.array(*excess), F.greatest(*excess)).cast("int").alias("axis")
+    middle = cut_lineage(
+        middle.join(spread, "g").select("g", "size", *(f"m{i}_middle" for i in range(DIMENSIONS)), *factors, axis)
     )
-    scatter = [
-        (
-            CONSISTENT * (F.col(f"p{i}_{j}") - F.col(f"m{i}") * F.col(f"m{j}"))
-            + F.lit(FLOOR[i] ** 2 if i == j else 0.0)
-        ).alias(f"s{i}_{j}")
-        for i, j in pairs
-    ]
-    columns = [f"m{i}" for i in range(DIMENSIONS)]
-    factored = with_factors(sums.select("g", "size", *columns, *scatter))
-    return factored.select("g", "size", *columns, *[f"l{i}_{j}" for i, j in pairs])
+    placed = with_estimates(rows, middle)
+    value, bound = (F.element_at(F.array(*c), F.col("axis")) for c in (VECTOR, [f"m{i}_middle" for i in range(DIMENSIONS)]))
+    halves = {"_every": F.lit(True), "_low": value <= bound, "_high": value >= bound}
+    others = _sums(placed, halves).drop("size")
+    return cut_lineage(middle.drop("axis").join(others, "g"))
 
 
-def estimate(rows: DataFrame, steps: int = STEPS) -> DataFrame:
+def _concentrate(rows: DataFrame, estimates: DataFrame, marks: tuple[str, ...]) -> DataFrame:
+    """New estimates of each group, for each mark from the rows that lie nearest by the old ones."""
+    far = with_estimates(rows, estimates).select("g", "size", *VECTOR, *(squared_distance(m).alias(f"far{m}") for m in marks))
+    bounds = cut_lineage(
+        far.groupBy("g").agg(*[F.percentile_approx(f"far{m}", SHARE, 10000).alias(f"bound{m}") for m in marks])
+    )
+    return _sums(with_estimates(far, bounds), {m: F.col(f"far{m}") <= F.col(f"bound{m}") for m in marks})
+
+
+def estimate(rows: DataFrame) -> DataFrame:
     """(g, size, m0.., l..): the minimum covariance determinant estimate of each group of (g, x0..)."""
-    estimates = cut_lineage(_medians(rows))
-    for _ in range(steps):
-        estimates = cut_lineage(_concentrate(rows, estimates))
-    return estimates
+    estimates = _starts(rows)
+    for _ in range(FIRST_STEPS):
+        estimates = cut_lineage(_concentrate(rows, estimates, STARTS))
+    choice = [
+        F.struct(log_determinant(m).alias("det"), *(F.col(c).alias(n) for c, n in zip(names_of(m), names_of(), strict=True)))
+        for m in STARTS
+    ]
+    best = cut_lineage(estimates.select("g", "size", F.least(*choice).alias("best")).select("g", "size", "best.*"))
+    for _ in range(MOST_STEPS):
+        new = _concentrate(rows, best, ("",)).withColumn("det", log_determinant())
+        both = new.join(best.select("g", F.col("det").alias("was"), *(F.col(c).alias(f"old_{c}") for c in names_of())), "g")
+        # What does not fall stays as it is.
+        falls = F.col("det") < F.col("was") - RESTS
+        kept = {c: F.when(falls, F.col(c)).otherwise(F.col(f"old_{c}")) for c in names_of()}
+        kept |= {"falls": falls, "det": F.when(falls, F.col("det")).otherwise(F.col("was"))}
+        best = cut_lineage(both.withColumns(kept).select("g", "size", "det", *names_of(), "falls"))
+        if best.where("falls").isEmpty():
+            break
+        best = best.drop("falls")
+    return best.select("g", "size", *names_of())
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """The documents, all columns but ``text``, with BASE, base_failed, distance (squared, null if failed) and kept."""
-    kept = [c for c in docs.columns if c not in ("text", "distance", "kept", "g", *VECTOR)]
-    measured = vectors(base_statistics(docs))
-    own = F.to_json(F.struct("lang", "source"))
-    measured = cut_lineage(measured.select(*[c for c in measured.columns if c != "text"], own.alias("g")))
+    made = (*BASE, "base_failed", "distance", "kept")
+    kept = [c for c in docs.columns if c not in ("text", *made)]
+    # The other columns travel in one, so that no name can clash.
+    own = F.to_json(F.struct("lang", "source")).alias("g")
+    given = docs.select(F.struct(*kept).alias("row"), own, "text")
+    measured = cut_lineage(vectors(base_statistics(given)).drop("text"))
     sound = measured.where(~F.col("base_failed")).select(
         F.explode(F.array("g", F.lit(EVERYTHING))).alias("g"), *VECTOR
     )
     estimates = estimate(sound)
     own_estimates = estimates.where((F.col("g") != EVERYTHING) & (F.col("size") >= LEAST))
-    all_rows = estimates.where(F.col("g") == EVERYTHING)
-    names = [c for c in estimates.columns if c not in ("g", "size")]
-    groups = estimates.where(F.col("g") != EVERYTHING).select("g")
-    few = groups.join(own_estimates, "g", "left_anti")
-    few = few.withColumn("_all", F.lit(EVERYTHING)).join(
-        all_rows.select(F.col("g").alias("_all"), *names), "_all"
-    )
-    used = cut_lineage(own_estimates.select("g", *names).unionByName(few.select("g", *names)))
-    placed = measured.join(used, "g", "left").withColumn(
+    all_rows = estimates.where(F.col("g") == EVERYTHING).select(F.lit(True).alias("few"), *names_of())
+    few = estimates.where((F.col("g") != EVERYTHING) & (F.col("size") < LEAST)).select("g", F.lit(True).alias("few"))
+    few = few.join(F.broadcast(all_rows), "few").drop("few")
+    used = cut_lineage(own_estimates.select("g", *names_of()).unionByName(few))
+    placed = with_estimates(measured, used, "left").withColumn(
         "distance", F.when(~F.col("base_failed"), squared_distance())
     )
     verdict = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= CUTOFF)
-    base = [c for c in (*BASE, "base_failed") if c not in kept]
-    return placed.withColumn("kept", verdict).select(*kept, *base, "distance", "kept")
+    return placed.select(*(F.col("row")[c].alias(c) for c in kept), *BASE, "base_failed", "distance", verdict.alias("kept"))
