@@ -19,6 +19,8 @@ NAMES_ARRAY = rf"\"names\"{WS}*:{WS}*(\[[^\]]*\])"
 SKIPPED_LINE_STARTS = ("{", "[", "```", "#", "-", "*")
 LONGEST_NAME_LINE = 50
 QUOTED_REPLY_LENGTH = 200
+# Fixed value: what is said of a reply without readable names.
+UNREADABLE_MESSAGE = "Could not extract names from response: "
 
 
 def list_lines(reply: Column) -> Column:
@@ -88,7 +90,7 @@ def with_reply_names(replies: DataFrame) -> DataFrame:
 def unreadable_reply(reply: Column) -> Column:
     """Error text for a reply without readable names."""
     return F.concat(
-        F.lit("Could not extract names from response: "),
+        F.lit(UNREADABLE_MESSAGE),
         F.substring(strip(reply), 1, QUOTED_REPLY_LENGTH),
     )
 
