@@ -45,20 +45,17 @@ def lookup_table(shards: Sequence[str], slots: int = SLOTS) -> np.ndarray:
         raise ValueError("shards need distinct names")
     if not is_prime(slots) or slots < len(shards):
         raise ValueError("slots must be a prime number, no less than the shards")
-    orders = [
-        (offset + np.arange(slots, dtype=np.int64) * step) % slots
-        for offset, step in (preference(shard, slots) for shard in shards)
-    ]
-    owner = np.full(slots, -1, np.int32)
-    place = [0] * len(shards)
+    # Of each order only the next slot is kept, so memory does not grow with shards times slots.
+    following = [list(preference(shard, slots)) for shard in shards]
+    owner = [-1] * slots
     for turn in range(slots):
         shard = turn % len(shards)
-        order, at = orders[shard], place[shard]
-        while owner[order[at]] >= 0:
-            at += 1
-        owner[order[at]] = shard
-        place[shard] = at + 1
-    return owner
+        slot, step = following[shard]
+        while owner[slot] >= 0:
+            slot = (slot + step) % slots
+        owner[slot] = shard
+        following[shard][0] = (slot + step) % slots
+    return np.array(owner, np.int32)
 
 
 def slot_of(keys: Sequence[str | Column], slots: int) -> Column:
