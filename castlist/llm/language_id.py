@@ -6,8 +6,8 @@ document's probabilities are the means over all its positions. Whole texts are r
 text is cut into windows, the last of which may be shorter.
 
 Training is by backpropagation through time in numpy, with Adam, on windows of a bounded
-sample: ``PER_LANGUAGE`` documents of each language, those with the smallest hash
-of their id, and ``WINDOWS`` windows of each, spread over the text. The model is a
+sample: ``PER_LANGUAGE`` documents of each language, those with the smallest hashes
+of id and text, each row by itself, and ``WINDOWS`` windows of each, spread over the text. The model is a
 few thousand numbers. Inference is narrow: no row is exchanged.
 
 Defined results: a text without a letter, and a null text, is ``und`` with score 0; documents
@@ -22,7 +22,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
@@ -176,33 +177,32 @@ def sample_windows(texts: list[str], labels: list[int], window: int = WINDOW, mo
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     """A model of the languages of the documents (doc_id, text, lang); None if there are none."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(_HAS_LETTER))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = usable.select("doc_id", "lang", F.row_number().over(order).alias("n"))
-    picked = picked.where(F.col("n") <= per_language).select("doc_id", F.col("lang").alias("_lang"))
-    texts = usable.join(F.broadcast(picked), "doc_id").where(F.col("lang") == F.col("_lang"))
+    # A row is picked by itself, whatever ids repeat: the first rows by id, then by text. Spark cuts each task's
+    # rows to the first places before it exchanges them, and only hashes are exchanged.
+    key = ["lang", F.xxhash64("doc_id").alias("a"), F.xxhash64("text").alias("b"), F.xxhash64(F.lit(1), "text").alias("c")]
+    order = Window.partitionBy("lang").orderBy("a", "b", "c")
+    picked = usable.select(*key).withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
+    # Equal rows are one, counted; so the table has per_language rows of each language at most.
+    picked = picked.groupBy("lang", "a", "b", "c").agg(F.count("*").alias("n"))
+    texts = usable.select(*key, "text").join(F.broadcast(picked), ["lang", "a", "b", "c"])
+    pieces = texts.groupBy("lang", "a", "b", "c").agg(F.first("n").alias("n"), F.first("text").alias("text"))
     # Bounded: per_language documents of each language, a few windows of each.
-    pieces = texts.select("lang", "doc_id", "text").mapInArrow(_cut, "lang string, doc_id long, window binary")
-    rows = sorted((row.lang, row.doc_id, bytes(row.window)) for row in pieces.collect())
+    cut = pieces.select("lang", "a", "b", "n", "text").mapInArrow(_cut, "lang string, a long, b long, n long, window binary")
+    rows = sorted((row.lang, row.a, row.b, bytes(row.window), row.n) for row in cut.collect())
     if not rows:
         return None
-    languages = sorted({lang for lang, _, _ in rows})
-    data = np.frombuffer(b"".join(w for _, _, w in rows), np.uint8).reshape(len(rows), WINDOW)
-    labels = np.array([languages.index(lang) for lang, _, _ in rows], np.int64)
+    languages = sorted({lang for lang, *_ in rows})
+    times = [row[-1] for row in rows]
+    data = np.frombuffer(b"".join(w for *_, w, _ in rows), np.uint8).reshape(len(rows), WINDOW).repeat(times, axis=0)
+    labels = np.repeat([languages.index(lang) for lang, *_ in rows], times)
     return train(data, labels, languages)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        langs, docs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        data, owners = sample_windows(batch.column(2).to_pylist(), list(range(len(langs))))
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([langs[i] for i in owners], pa.string()),
-                pa.array([docs[i] for i in owners], pa.int64()),
-                pa.array([w.tobytes() for w in data], pa.binary()),
-            ],
-            ["lang", "doc_id", "window"],
-        )
+        data, owners = sample_windows(batch.column("text").to_pylist(), list(range(len(batch))))
+        windows = pa.array([w.tobytes() for w in data], pa.binary())
+        yield batch.drop_columns(["text"]).take(pa.array(owners)).append_column("window", windows)
 
 
 def document_probabilities(model: Model, texts: list[bytes]) -> np.ndarray:
@@ -228,22 +228,18 @@ def document_probabilities(model: Model, texts: list[bytes]) -> np.ndarray:
     return sums / np.maximum(lengths, 1)[:, None]
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The documents with lang_pred and score, from their text alone."""
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    rows = docs.select(*kept, F.col("text").alias("_text"), F.coalesce(F.col("text").rlike(_HAS_LETTER), F.lit(False)).alias("_letter"))
+def judge(model: Model | None, text: Column) -> Column:
+    """A struct (lang_pred, score) of a text."""
     if model is None:
-        return docs.select(*kept, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    result = "struct<lang_pred:string,score:double>"
+        return F.struct(F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
 
-    @F.arrow_udf(result)
-    def judge(texts: pa.Array, letters: pa.Array) -> pa.Array:
+    @F.arrow_udf("struct<lang_pred:string,score:double>")
+    def judged(texts: pa.Array, letters: pa.Array) -> pa.Array:
         names, scores = [], []
-        raw = [(t or "").encode() for t in texts.to_pylist()]
         shown = letters.to_pylist()
-        for at, until in _strips(raw):
-            pooled = document_probabilities(model, raw[at:until])
-            for k, row in enumerate(pooled):
+        for at, until in _strips(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+            raw = [(t or "").encode() for t in texts.slice(at, until - at).to_pylist()]
+            for k, row in enumerate(document_probabilities(model, raw)):
                 best = int(row.argmax())
                 names.append(model.languages[best] if shown[at + k] else UNKNOWN)
                 scores.append(min(1.0, float(row[best])) if shown[at + k] else 0.0)
@@ -251,24 +247,31 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             [pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"]
         )
 
-    judged = rows.withColumn("_judged", judge("_text", "_letter"))
-    return judged.select(*kept, "_judged.lang_pred", "_judged.score")
+    return judged(text, F.coalesce(text.rlike(_HAS_LETTER), F.lit(False)))
+
+
+def predict(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The documents with lang_pred and score, from their text alone; columns of these names are replaced."""
+    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    # The other columns travel in one, so that no name can clash.
+    judged = docs.select(F.struct(*kept).alias("row"), judge(model, F.col("text")).alias("judged"))
+    return judged.select(*(F.col("row")[c].alias(c) for c in kept), "judged.lang_pred", "judged.score")
 
 
-def _strips(raw: list[bytes], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def _strips(sizes: list[int], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Bounds of runs of texts with about ``limit`` bytes."""
     first, size = 0, 0
-    for i, text in enumerate(raw):
-        size += len(text)
+    for i, n in enumerate(sizes):
+        size += n
         if size >= limit:
             yield first, i + 1
             first, size = i + 1, 0
-    if first < len(raw):
-        yield first, len(raw)
+    if first < len(sizes):
+        yield first, len(sizes)
 
 
 def keep_identified(docs: DataFrame, model: Model | None, least: float = 0.35) -> DataFrame:
-    """The documents, all columns, without those of no language or with a score below ``least``."""
-    judged = predict(docs.select("*", F.col("text").alias("_kept")).drop("lang_pred", "score"), model)
-    sure = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)
-    return judged.where(sure).select(*docs.columns)
+    """The documents, all columns as they are, without those of no language or with a score below ``least``."""
+    judged = docs.select(F.struct(*docs.columns).alias("row"), judge(model, F.col("text")).alias("judged"))
+    sure = judged.where((F.col("judged.lang_pred") != UNKNOWN) & (F.col("judged.score") >= least))
+    return sure.select(*(F.col("row")[c].alias(c) for c in docs.columns))

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 
@@ -58,6 +60,49 @@ def test_predictions_nulls_and_clashing_columns(table, model):
     assert lid.predict(table([]), model).count() == 0
 
 
+def naive_network(model, text):
+    """The label probabilities of each byte of a window, one number at a time."""
+    gate = lambda x: min(max(x / 4 + 0.5, 0), 1)
+    hidden, states = model.states.shape[2], []
+    for d in (0, 1):
+        h, own = [0.0] * hidden, {}
+        for t in range(len(text)) if d == 0 else range(len(text) - 1, -1, -1):
+            x, u = model.inputs[d][text[t]], model.states[d]
+            dot = lambda row, v: sum(float(a) * b for a, b in zip(row, v))
+            update = [gate(float(x[i]) + dot(u[i], h)) for i in range(hidden)]
+            kept = [gate(float(x[hidden + i]) + dot(u[hidden + i], h)) * h[i] for i in range(hidden)]
+            new = [math.tanh(float(x[2 * hidden + i]) + dot(u[2 * hidden + i], kept)) for i in range(hidden)]
+            h = [(1 - z) * a + z * b for z, a, b in zip(update, h, new)]
+            own[t] = h
+        states.append(own)
+    out = []
+    for t in range(len(text)):
+        scores = [math.exp(sum(float(a) * b for a, b in zip(row, [*states[0][t], *states[1][t], 1.0]))) for row in model.output]
+        out.append([s / sum(scores) for s in scores])
+    return out
+
+
+def test_pooled_probabilities_equal_a_naive_network(model):
+    for text in (b"a", b"abcd efgh", b"ab" * 40 + b"gh" * 35, "né 漢字".encode() * 9):
+        windows = [text[i : i + lid.WINDOW] for i in range(0, len(text), lid.WINDOW)]
+        rows = [row for w in windows for row in naive_network(model, w)]
+        wanted = np.mean(rows, axis=0)
+        assert np.allclose(lid.document_probabilities(model, [text])[0], wanted, atol=1e-4)
+
+
+def test_learning_is_bounded_whatever_ids_repeat(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(lid, "train", lambda data, labels, languages: seen.append((len(data), languages)))
+    rows = [(7, f"text number {i} with letters " * 30, "en") for i in range(300)] + [(None, "same text " * 90, "de")] * 300
+    lid.fit(spark.createDataFrame(rows, "doc_id int, text string, lang string"), per_language=20)
+    assert seen == [(2 * 20 * lid.WINDOWS, ["de", "en"])]
+
+
+def test_columns_named_like_the_result_are_kept(spark, model):
+    docs = spark.createDataFrame([(1, "abcd abcd", 7.5, "mine", "row")], "doc_id int, text string, score double, lang_pred string, judged string")
+    assert [tuple(r) for r in lid.keep_identified(docs, model).collect()] == [(1, "abcd abcd", 7.5, "mine", "row")]
+
+
 def test_nothing_to_learn_from(table):
     docs = table([(1, "abc", None), (2, "12", "en"), (3, None, "en")])
     assert lid.fit(docs) is None
