@@ -53,7 +53,13 @@ ROW_COST, PAIR_COST = 1.0, 0.02
 SPREAD, COMMON = 8192, 1 << 15
 # Up to FEW rows of a shingle are compared pair by pair; more in blocks of so many rows and hashes.
 FEW, BLOCK, BLOCK_HASHES, COLUMNS = 8, 256, 1 << 20, 4096
-PARITY = 4096
+# So many blocks are compared with one in a task; so many rows' ids are broadcast.
+TOGETHER, BROADCAST_IDS = 16, 2_000_000
+# Parities of a set have a number of places that grows with it, between these.
+LEAST_PLACES, MOST_PLACES = 512, 1 << 12
+# Of a shingle's hash the first 48 bits travel. Two shingles that share them are taken for one where rows meet, and told
+# apart where they are compared.
+_TOKEN = np.int64(-1 << 16)
 
 _STRIP = 255 << 8
 
@@ -381,12 +387,22 @@ def _shingle_set(text: str | None, size: int) -> np.ndarray:
 
 
 def _parities(s: np.ndarray) -> bytes:
-    """Whether the hashes that fall on each of ``PARITY`` places are odd in number.
+    """Whether the hashes that fall on each place, by their last bits, are odd in number; there are about four places for a hash.
 
-    Sets of which these differ in d places differ in at least d hashes.
+    Sets of which these differ in d places differ in at least d hashes. Halves of the places laid over each
+    other are the parities for half as many.
     """
-    places = (s & (PARITY - 1)).astype(np.int64)
-    return np.packbits((np.bincount(places, minlength=PARITY) & 1).astype(np.uint8)).tobytes()
+    n = min(max(LEAST_PLACES, 1 << (4 * len(s) - 1).bit_length()), MOST_PLACES) if len(s) else LEAST_PLACES
+    return np.packbits((np.bincount((s & (n - 1)).astype(np.int64), minlength=n) & 1).astype(np.uint8)).tobytes()
+
+
+def _folded(parity: bytes, size: int) -> np.ndarray:
+    """Parities as words of 64 bits, for so many bytes of places."""
+    words = np.frombuffer(parity, np.uint64)
+    while 8 * len(words) > size:
+        half = len(words) // 2
+        words = words[:half] ^ words[half:]
+    return words
 
 
 def may_be_near(distances: np.ndarray, hashes: np.ndarray, similarity: float) -> np.ndarray:
@@ -394,8 +410,23 @@ def may_be_near(distances: np.ndarray, hashes: np.ndarray, similarity: float) ->
     return distances * (1 + similarity) <= hashes * (1 - similarity) + 1e-6
 
 
-def _parity_words(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), PARITY // 64)
+def _parity_words(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """A row of words for each set, all for the fewest places that any has."""
+    rows = column.to_pylist()
+    size = min(map(len, rows), default=LEAST_PLACES // 8)
+    return np.array([_folded(row, size) for row in rows], np.uint64).reshape(len(rows), size // 8)
+
+
+def _pair_distances(left: pa.Array, right: pa.Array) -> np.ndarray:
+    """In how many places the parities of each pair differ, for the fewer places of the two."""
+    out = np.zeros(len(left), np.int64)
+    pairs = list(zip(left.to_pylist(), right.to_pylist(), strict=True))
+    sizes = np.array([min(len(a), len(b)) for a, b in pairs], np.int64)
+    for size in np.unique(sizes):
+        chosen = np.flatnonzero(sizes == size)
+        a, b = (np.array([_folded(pairs[i][k], size) for i in chosen], np.uint64) for k in (0, 1))
+        out[chosen] = _distances(a, b)
+    return out
 
 
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -422,7 +453,7 @@ def common_shingles(docs: DataFrame, size: int) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, size: int, similarity: float, common: np.ndarray) -> DataFrame:
-    """(doc_id, digest, n, parity, prefix): of each shingle set, the last being those of its hashes that a near copy must share one of.
+    """(doc_id, digest, n, parity, prefix): of each shingle set, the last being n and those of its hashes that a near copy must share one of.
 
     All sets are in one order: what is not in ``common`` by its hash, then what is, in that order.
     Two sets that share t hashes have the first of these among their first n - t + 1.
@@ -447,7 +478,7 @@ def prefixes(docs: DataFrame, size: int, similarity: float, common: np.ndarray)
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                     pa.array([len(s) for s in sets], pa.int32()),
                     pa.array([_parities(s) for s in sets], pa.binary()),
-                    pa.array([head(s) for s in sets], pa.list_(pa.int64())),
+                    pa.array([np.concatenate(([len(s)], head(s) & _TOKEN)) for s in sets], pa.list_(pa.int64())),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "n", "parity", "prefix"])
 
@@ -503,17 +534,28 @@ def _sides(table: pa.Table) -> tuple[pa.Table, slice, slice]:
 
 
 def _block_hopes(table: pa.Table, similarity: float) -> pa.Table:
-    """The rows that have another in their pair of blocks whose parities do not rule it out."""
-    table, first, other = _sides(table)
+    """(low, high, own, id): of rows of a block (high NULL) and of those it is to be compared with, those whose parities leave hope."""
+    table = table.combine_chunks()
+    own, high = table.column("own").to_numpy(), table.column("high").to_numpy(zero_copy_only=False)
     words, sizes = _parity_words(table.column("parity")), table.column("n").to_numpy().astype(np.int64)
-    hope = np.zeros(len(table), bool)
-    for i in range(first.start, first.stop):
-        near = may_be_near(_distances(words[i], words[other]), sizes[i] + sizes[other], similarity)
-        if other.start == 0:
-            near[i] = False
-        hope[other] |= near
-        hope[i] |= near.any()
-    return table.filter(pa.array(hope)).select(["low", "high", "own", "id"])
+    ids, first = table.column("id").to_numpy(), np.flatnonzero(np.isnan(high))
+    low = table.column("low")[0].as_py()
+    rows: list[tuple[int, int, int]] = []
+    for block in np.unique(own[~np.isnan(high)]).tolist():
+        other = np.flatnonzero((own == block) & ~np.isnan(high))
+        hope_first, hope_other = np.zeros(len(first), bool), np.zeros(len(other), bool)
+        for k, i in enumerate(first):
+            near = may_be_near(_distances(words[i], words[other]), sizes[i] + sizes[other], similarity)
+            near &= ids[other] != ids[i]
+            hope_first[k] = near.any()
+            hope_other |= near
+        if block == low:
+            hope_first[:] = False
+        rows += [(block, low, i) for i in ids[first[hope_first]].tolist()]
+        rows += [(block, block, i) for i in ids[other[hope_other]].tolist()]
+    columns = list(zip(*rows, strict=True)) or [[]] * 3
+    names = {"low": pa.array([low] * len(rows), pa.int64())}
+    return pa.table(names | {n: pa.array(c, pa.int64()) for n, c in zip(("high", "own", "id"), columns, strict=True)})
 
 
 def _block_links(table: pa.Table, similarity: float) -> pa.Table:
@@ -552,9 +594,14 @@ def crowd_hopes(crowded: DataFrame, sketches: DataFrame, similarity: float) -> D
         spread.select("token", F.col("own").alias("high"), F.col("grade").alias("h")), "token"
     )
     pairs = pairs.where("low <= high and abs(g - h) <= 1").select("low", "high").distinct()
-    ends = cut_lineage(pairs.select("low", "high", F.explode(F.array_distinct(F.array("low", "high"))).alias("own")))
+    # A block meets several others in one task, so that its rows are sent once for these.
+    width = pairs.groupBy("low").agg(F.ceil(F.count("*") / TOGETHER).alias("parts"))
+    dealt = cut_lineage(pairs.join(width, "low").select("low", "high", F.pmod(F.xxhash64("high"), F.col("parts")).alias("part")))
+    ends = dealt.select("low", "part", "high", F.col("high").alias("own")).unionAll(
+        dealt.select("low", "part", F.lit(None).cast("long"), F.col("low").alias("own")).distinct()
+    )
     rows = placed.select("id", "own").join(sketches.select(F.col("doc_id").alias("id"), "n", "parity"), "id").join(ends, "own")
-    rows = rows.select("low", "high", "own", "id", "n", "parity").groupBy("low", "high")
+    rows = rows.select("low", "part", "high", "own", "id", "n", "parity").groupBy("low", "part")
     return rows.applyInArrow(lambda table: _block_hopes(table, similarity), "low long, high long, own long, id long")
 
 
@@ -570,7 +617,7 @@ def hopeful(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            distances = _distances(_parity_words(batch.column("pa")), _parity_words(batch.column("pb")))
+            distances = _pair_distances(batch.column("pa"), batch.column("pb"))
             near = may_be_near(distances, batch.column("hashes").to_numpy(), similarity)
             yield batch.select(["a", "b"]).filter(pa.array(near))
 
@@ -589,6 +636,11 @@ def similar(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return edges.join(left, "a").join(right, "b").where(both >= similarity * all_).select("a", "b")
 
 
+def _listed(ids: DataFrame, most: int) -> DataFrame:
+    """A stored table of ids, to be broadcast if it has no more than ``most`` rows."""
+    return F.broadcast(ids) if ids.count() <= most else ids
+
+
 def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """The documents, all columns, without those that have a near copy with a smaller doc_id.
 
@@ -596,15 +648,22 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8
     them are one group. Documents of one shingle set are one row. Every pair of near copies shares one of its rarest
     shingles (``prefixes``); pairs that do are compared by all their shingles, one by one where at most
     ``FEW`` rows share it and otherwise in blocks. The sample of ``common_shingles`` decides which
-    shingles are tried, and so the cost, but any order finds every pair. doc_ids are distinct; rows without one stay.
+    shingles are tried, and so the cost, but any order finds every pair. Rows without a doc_id stay; rows of one doc_id are one
+    document, and stay or go together.
     """
     docs_named = docs.where(F.col("doc_id").isNotNull())
     marks = cut_lineage(prefixes(docs_named, size, similarity, common_shingles(docs_named, size)))
     groups = cut_lineage(marks.groupBy("digest").agg(F.min("doc_id").alias("id")))
-    rows = marks.join(groups.select("id"), F.col("doc_id") == F.col("id"), "left_semi")
-    rows = rows.select(F.col("doc_id").alias("id"), "n", F.posexplode("prefix").alias("at", "token"))
+    later = marks.select("doc_id", "digest").join(groups, "digest").where("doc_id <> id").select(F.col("doc_id").alias("id"))
+    later = cut_lineage(later)
+    # Both uses of these rows read the same columns, so that Spark exchanges them once.
+    firsts = marks.select("doc_id", "prefix").join(_listed(later, BROADCAST_IDS), F.col("doc_id") == F.col("id"), "left_anti")
+    rows = firsts.select(F.col("doc_id").alias("id"), F.get("prefix", F.lit(0)).alias("n"), F.posexplode("prefix").alias("at", "token"))
+    rows = rows.where("at > 0").select("token", "id", F.expr("n << 32 | (at - 1)").alias("place"))
     counts = rows.groupBy("token").agg(F.count("*").alias("crowd")).where("crowd > 1")
-    met = cut_lineage(rows.join(counts, "token"))
+    met = cut_lineage(rows.join(counts, "token").select(
+        "token", "id", F.expr("int(place >> 32)").alias("n"), F.expr("int(place & 4294967295)").alias("at"), "crowd"
+    ))
     few = met.where(F.col("crowd") <= FEW).select("token", "id", "n", "at")
     pairs = few.select("token", *(F.col(c).alias(f"{c}_a") for c in ("id", "n", "at"))).join(
         few.select("token", *(F.col(c).alias(f"{c}_b") for c in ("id", "n", "at"))), "token"
@@ -627,5 +686,7 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8
     found = components(near)
     named = groups.join(found, F.col("id") == F.col("node"), "left")
     named = named.select("digest", F.coalesce("component", "id").alias("_first"))
-    later = marks.join(named, "digest").where(F.col("doc_id") != F.col("_first")).select(F.col("doc_id").alias("_doc"))
-    return docs.join(later, F.col("doc_id") == F.col("_doc"), "left_anti")
+    later = marks.join(named, "digest").where(F.col("doc_id") != F.col("_first")).select(F.col("doc_id").alias("later"))
+    # The columns travel in one, so that no name can clash.
+    kept = docs.select(F.struct(*docs.columns).alias("row")).join(later, F.col("row.doc_id") == F.col("later"), "left_anti")
+    return kept.select(*(F.col("row")[c].alias(c) for c in docs.columns))
