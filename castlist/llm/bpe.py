@@ -36,7 +36,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-KEPT = 400_000
+KEPT = 200_000
 LONG_PIECE = 64
 LONG_TEXT = 1 << 20
 

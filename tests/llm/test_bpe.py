@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import public_tokenizers as vocabularies
@@ -5,7 +6,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from castlist.llm import bpe
+from castlist.llm import bpe, queries
 
 PATTERN = vocabularies.PATTERN
 
@@ -67,3 +68,17 @@ def test_columns(table, corpus):
     for row in out:
         assert bytes(row.packed) == exact.encode(row.text or "") and bytes(row.back) == (row.text or "").encode()
     assert table([]).select(bpe.encode(F.col("text"), path, PATTERN)).count() == 0
+
+
+def test_query_equals_tiktoken_on_every_document(spark):
+    folder = "/root/testdata/sf0.001"
+    ranks = bpe.read_ranks(vocabularies.path("byte_bpe_50k.tiktoken"))
+    exact = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    found = {r.doc_id: r for r in queries.QUERIES["op4_byte_bpe"](spark, folder).collect()}
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
+    assert len(found) == len(docs) == 200
+    for doc in docs:
+        own, row = exact.encode_ordinary(doc.text or ""), found[doc.doc_id]
+        packed = b"".join(i.to_bytes(4, "little") for i in own)
+        assert (row.n_tokens, row.ids_sha256) == (len(own), hashlib.sha256(packed).hexdigest())
+        assert row.decoded_sha256 == hashlib.sha256((doc.text or "").encode()).hexdigest()
