@@ -8,6 +8,10 @@ each batch after it has noted them in a list in the ``staging`` folder; only the
 tasks have succeeded, the driver goes through their lists and gives the files their names. If one fails, or a path is in
 a file system that cannot be reached, it leaves a mark at which tasks still running give up, and removes what any list names, so
 nothing appears.
+
+Files longer than a cell are read as segments by ``castlist_segments``: rows (path, seg_idx, text) for the operators on segments, cut at a
+number of bytes and moved to the next character, so that tasks read parts of one file side by side. They are written by the same writer with
+the option ``segments``: rows of one path that follow each other go to one file, as a stream.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ import json
 import posixpath
 import re
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -97,7 +101,7 @@ def _matches(parts: list[str], pattern: list[str], recursive: bool) -> bool:
 
 
 class Files(DataSource):
-    """Options for reading: paths (a JSON list), recursive, hidden, content; for writing: staging."""
+    """Options for reading: paths (a JSON list), recursive, hidden, content; for writing: staging, segments."""
 
     @classmethod
     def name(cls) -> str:
@@ -110,7 +114,7 @@ class Files(DataSource):
         return FileReader(dict(self.options))
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
-        return FileWriter(self.options["staging"])
+        return FileWriter(self.options["staging"], self.options.get("segments", "false") == "true")
 
 
 @dataclass
@@ -141,6 +145,74 @@ class FileReader(DataSourceReader):
         return read_batches(iter(partition.paths), self.content)
 
 
+class Segments(DataSource):
+    """Options: paths (a JSON list), recursive, hidden, size."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "castlist_segments"
+
+    def schema(self) -> str:
+        return "path string, seg_idx int, text string, reason string"
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return SegmentReader(dict(self.options))
+
+
+@dataclass
+class Stretch(InputPartition):
+    """Segments of a file, from the first up to the end."""
+
+    path: str
+    length: int
+    first: int
+    end: int
+
+
+# The bytes of the mark that files may begin with, and the most that a character has after its first byte.
+UTF8_MARK, MOST_AFTER = b"\xef\xbb\xbf", 3
+
+
+class SegmentReader(DataSourceReader):
+    def __init__(self, options: dict[str, str]):
+        self.listed = FileReader(options)
+        self.size = int(options["size"])
+
+    def partitions(self) -> Sequence[InputPartition]:
+        step = max(1, TASK_BYTES // self.size)
+        files = sorted({f for path in self.listed.paths for f in list_files(path, **self.listed.wanted)})
+        counts = [(path, n, max(1, -(-n // self.size))) for path, n in files]
+        return [Stretch(path, n, k, min(k + step, count)) for path, n, count in counts for k in range(0, count, step)]
+
+    def read(self, partition: Stretch) -> Iterator[pa.RecordBatch]:
+        system, name = locate(partition.path)
+        with system.open_input_file(name) as file:
+            for k in range(partition.first, partition.end):
+                text, reason = segment_text(file.read_at, partition.length, self.size, k)
+                columns = [[partition.path], [k], [text], [reason]]
+                kinds = (pa.string(), pa.int32(), pa.string(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["path", "seg_idx", "text", "reason"])
+
+
+def segment_text(read_at: Callable[[int, int], bytes], length: int, size: int, k: int) -> tuple[str | None, str | None]:
+    """(text, reason) of segment k of a UTF-8 file: its characters are those that begin within its bytes."""
+    start, end = min(k * size, length), min((k + 1) * size, length)
+    # Bytes of a character that has begun before belong to the segment before; what goes on behind the end belongs to this one.
+    data = read_at(min(end + MOST_AFTER, length) - start, start)
+    first = last = 0
+    while k and first < min(MOST_AFTER, len(data)) and data[first] & 0xC0 == 0x80:
+        first += 1
+    last = end - start
+    while last < len(data) and data[last] & 0xC0 == 0x80:
+        last += 1
+    if k == 0 and data.startswith(UTF8_MARK):
+        first = len(UTF8_MARK)
+    try:
+        return data[min(first, last) : last].decode(), None
+    except UnicodeDecodeError:
+        return None, "not valid as utf-8"
+
+
 @dataclass
 class Staged(WriterCommitMessage):
     """A task's lists of unfinished files, and how many files there are."""
@@ -154,10 +226,12 @@ class Aborted(Exception):
 
 
 class FileWriter(DataSourceArrowWriter):
-    def __init__(self, staging: str):
-        self.staging = staging
+    def __init__(self, staging: str, segments: bool = False):
+        self.staging, self.segments = staging, segments
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        if self.segments:
+            return self._write_segments(iterator)
         mark, lists, files = uuid.uuid4().hex, [], 0
         for batch in iterator:
             paths = batch.column("path").to_pylist()
@@ -174,6 +248,29 @@ class FileWriter(DataSourceArrowWriter):
         self._go_on(lists)
         return Staged(lists, files)
 
+    def _write_segments(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        """Rows of one path, which follow each other, into one file."""
+        mark, lists, now, stream = uuid.uuid4().hex, [], None, None
+        try:
+            for batch in iterator:
+                self._go_on(lists)
+                for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+                    if stream is None or path != now:
+                        if stream is not None:
+                            stream.close()
+                        now, unfinished = path, f"{_hidden(path)}.{mark}.{len(lists)}"
+                        lists.append(f"{self.staging}/{mark}-{len(lists)}.json")
+                        shared.put(lists[-1], json.dumps((unfinished, path)).encode())
+                        system, name = locate(unfinished)
+                        system.create_dir(posixpath.dirname(name) or ".")
+                        stream = system.open_output_stream(name, compression=None)
+                    stream.write(content.as_buffer() if content.is_valid else b"")
+        finally:
+            if stream is not None:
+                stream.close()
+        self._go_on(lists)
+        return Staged(lists, len(lists))
+
     def _go_on(self, lists: list[str]) -> None:
         if shared.exists(f"{self.staging}/aborted"):
             for listed in lists:

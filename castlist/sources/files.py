@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from castlist.functions.text import line_count, profile_label, size_kb
 from castlist.session import new_table
 from castlist.sources import shared
-from castlist.sources.datasource import Files, read_batches
+from castlist.sources.datasource import Files, Segments, read_batches
 
 # Byte order marks with their labels, in the order they are
 # tested, and the encodings tried in turn on files without one.
@@ -60,6 +60,28 @@ def read_files(
     return spark.read.format(Files.name()).options(paths=json.dumps([qualified(spark, p) for p in paths]), **options).load()
 
 
+def read_segments(
+    spark: SparkSession, path: str | list[str], size: int = 16 << 20, recursive: bool = False, hidden: bool = False
+) -> DataFrame:
+    """Rows (path, seg_idx, text, reason): UTF-8 files of any length in segments of about ``size`` bytes, whole characters each.
+
+    A mark at the beginning is dropped. Where a segment is not valid UTF-8, text is NULL and ``reason`` says so.
+    """
+    spark.dataSource.register(Segments)
+    paths = [path] if isinstance(path, str) else path
+    options = {"recursive": str(recursive).lower(), "hidden": str(hidden).lower(), "size": str(size)}
+    return spark.read.format(Segments.name()).options(paths=json.dumps([qualified(spark, p) for p in paths]), **options).load()
+
+
+def save_segments(segments: DataFrame) -> int:
+    """Write the texts (path, seg_idx, text) of each path, in order, to one UTF-8 file of any length; return the number of files.
+
+    A file is written by one task, as a stream.
+    """
+    ordered = segments.repartition("path").sortWithinPartitions("path", "seg_idx")
+    return _save(ordered.select("path", F.encode("text", "UTF-8").alias("content")), segments="true")
+
+
 def qualified(spark: SparkSession, path: str) -> str:
     """A path with the file system that Spark takes it to be in, in the form Spark reports paths."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -157,11 +179,14 @@ def save_files(texts: DataFrame) -> int:
     after the last task (see ``castlist.sources.datasource``); if any cannot be written, none appears. Of several
     texts for one path one is kept.
     """
-    spark = texts.sparkSession
+    return _save(encoded(texts).select("path", "content"))
+
+
+def _save(rows: DataFrame, **options: str) -> int:
+    spark = rows.sparkSession
     spark.dataSource.register(Files)
     staging = new_table(spark, "staging")
-    rows = encoded(texts).select("path", "content")
-    rows.write.format(Files.name()).option("staging", staging).mode("append").save()
+    rows.write.format(Files.name()).options(staging=staging, **options).mode("append").save()
     return int(shared.read(f"{staging}/total"))
 
 

@@ -1,9 +1,11 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from castlist.functions import layout
 from castlist.operators import chunks, long_chunks, long_layout, segments
+from castlist.sources import datasource, files
 from tests.test_layout import GOLDENS
 
 PIECES = [
@@ -126,3 +128,48 @@ def test_a_chunk_over_many_segments(spark):
     rows = segment_rows(spark, [["a\n", "\nb", "\n", "\n", "c\n\n", "", "d", "e"]])
     assert chunked(long_chunks.chunk_segments(rows, 100)) == {0: [(0, "a\n\nb\n\nc\n\nde")]}
     assert chunked(long_chunks.chunk_segments(rows, 5)) == {0: [(0, "a\n\nb"), (1, "c"), (2, "de")]}
+
+
+def test_files_in_segments_and_back(spark, tmp_path):
+    rng = random.Random(4)
+    made = {f"{i}.txt": "".join(rng.choices("aé漢🎉\n", k=rng.choice([0, 1, 7, 300]))) for i in range(12)}
+    (tmp_path / "in").mkdir()
+    for name, text in made.items():
+        (tmp_path / "in" / name).write_bytes(b"\xef\xbb\xbf" * (name < "3") + text.encode())
+    for size in (1, 2, 5, 64, 1 << 20):
+        rows = files.read_segments(spark, str(tmp_path / "in"), size)
+        found = {}
+        for r in rows.collect():
+            assert r.reason is None
+            found.setdefault(r.path.rpartition("/")[2], []).append((r.seg_idx, r.text))
+        assert {name: "".join(t for _, t in sorted(parts)) for name, parts in found.items()} == made
+    out = files.read_segments(spark, str(tmp_path / "in"), 5)
+    moved = out.withColumn("path", F.replace("path", F.lit("/in/"), F.lit("/out/")))
+    assert files.save_segments(moved) == len(made)
+    assert {p.name: p.read_text() for p in (tmp_path / "out").iterdir()} == made
+
+
+def test_long_files_are_dealt_out(tmp_path, monkeypatch):
+    (tmp_path / "a.txt").write_bytes(b"x" * 100)
+    (tmp_path / "b.txt").write_bytes(b"")
+    monkeypatch.setattr(datasource, "TASK_BYTES", 30)
+    reader = datasource.SegmentReader({"paths": f'["file:{tmp_path}"]', "size": "10"})
+    parts = [(p.path[-5:], p.first, p.end) for p in reader.partitions()]
+    assert parts == [("a.txt", 0, 3), ("a.txt", 3, 6), ("a.txt", 6, 9), ("a.txt", 9, 10), ("b.txt", 0, 1)]
+    assert [b.num_rows for p in reader.partitions() for b in reader.read(p)] == [1] * 11
+
+
+def test_bytes_that_are_not_utf8(spark, tmp_path):
+    (tmp_path / "bad.txt").write_bytes(b"good" + b"\xff\xfe" + b"good")
+    rows = {r.seg_idx: (r.text, r.reason) for r in files.read_segments(spark, str(tmp_path), 4).collect()}
+    assert rows == {0: ("good", None), 1: (None, "not valid as utf-8"), 2: ("od", None)}
+
+
+def test_layout_of_files_longer_than_a_cell_may_be(spark, tmp_path):
+    text = "第一章 开始\r\n\r\n　　他走了\n过来。\n" * 40
+    (tmp_path / "long.txt").write_bytes(text.encode())
+    rows = files.read_segments(spark, str(tmp_path), 37).withColumnRenamed("path", "doc_id")
+    repaired = long_layout.repair_segments(rows.select("doc_id", "seg_idx", "text"))
+    saved = repaired.withColumn("path", F.concat("doc_id", F.lit(".fixed")))
+    assert files.save_segments(saved) == 1
+    assert (tmp_path / "long.txt.fixed").read_text() == layout.repair_layout_text(text)

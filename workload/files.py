@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from castlist.functions import text as texts
+from castlist.operators import segments
 from castlist.plans import normalize
 from castlist.session import new_table
 from castlist.sources import files
@@ -215,6 +216,26 @@ def manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    """
+    SELECT doc_id, greatest(1, (strlen(text) + 999) // 1000)::BIGINT AS n_segments, md5(text) AS text_md5
+    FROM documents
+    """
+)
+def segment_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document streamed to a file from pieces of 997 characters, and read again in segments of 1,000 bytes."""
+    folder = new_table(spark, "castlist-files")
+    cut = segments.cut_into_segments(documents(spark, sf_dir), 997)
+    name = F.concat(F.lit(f"{folder}/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    files.save_segments(cut.select(name.alias("path"), "seg_idx", "text"))
+    read = files.read_segments(spark, folder, 1000)
+    number = F.regexp_extract("path", r"(\d+)\.txt$", 1).cast("bigint")
+    rows = read.select(number.alias("doc_id"), "seg_idx", "text")
+    counts = rows.groupBy("doc_id").agg(F.count("*").alias("n_segments"))
+    texts = segments.joined_segments(rows).select("doc_id", F.md5("text").alias("text_md5"))
+    return counts.join(texts, "doc_id")
+
+
 def suffixed_sql(path: str, suffix: str) -> str:
     """SQL for the suffix rule: the last dot splits, if it is inside the name."""
     name = f"regexp_replace({path}, '^.*/', '')"
