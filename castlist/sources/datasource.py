@@ -160,13 +160,10 @@ class Segments(DataSource):
 
 
 @dataclass
-class Stretch(InputPartition):
-    """Segments of a file, from the first up to the end."""
+class Stretches(InputPartition):
+    """The segments of a task: (path, length of the file, first segment, end)."""
 
-    path: str
-    length: int
-    first: int
-    end: int
+    parts: list[tuple[str, int, int, int]]
 
 
 # The bytes of the mark that files may begin with, and the most that a character has after its first byte.
@@ -180,18 +177,39 @@ class SegmentReader(DataSourceReader):
 
     def partitions(self) -> Sequence[InputPartition]:
         step = max(1, TASK_BYTES // self.size)
-        files = sorted({f for path in self.listed.paths for f in list_files(path, **self.listed.wanted)})
-        counts = [(path, n, max(1, -(-n // self.size))) for path, n in files]
-        return [Stretch(path, n, k, min(k + step, count)) for path, n, count in counts for k in range(0, count, step)]
+        shares, held = [Stretches([])], 0
+        for path, length in sorted({f for path in self.listed.paths for f in list_files(path, **self.listed.wanted)}):
+            count = max(1, -(-length // self.size))
+            for first in range(0, count, step):
+                end = min(first + step, count)
+                n = min(end * self.size, length) - first * self.size
+                if shares[-1].parts and (held + n > TASK_BYTES or len(shares[-1].parts) >= TASK_FILES):
+                    shares.append(Stretches([]))
+                    held = 0
+                shares[-1].parts.append((path, length, first, end))
+                held += n
+        return shares
+
+    def read(self, partition: Stretches) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        held = 0
+        for path, length, first, end in partition.parts:
+            system, name = locate(path)
+            with system.open_input_file(name) as file:
+                for k in range(first, end):
+                    rows.append((path, k, *segment_text(file.read_at, length, self.size, k)))
+                    held += self.size
+                    if held >= BATCH_BYTES:
+                        yield _segments(rows)
+                        rows, held = [], 0
+        if rows:
+            yield _segments(rows)
+
 
-    def read(self, partition: Stretch) -> Iterator[pa.RecordBatch]:
-        system, name = locate(partition.path)
-        with system.open_input_file(name) as file:
-            for k in range(partition.first, partition.end):
-                text, reason = segment_text(file.read_at, partition.length, self.size, k)
-                columns = [[partition.path], [k], [text], [reason]]
-                kinds = (pa.string(), pa.int32(), pa.string(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["path", "seg_idx", "text", "reason"])
+def _segments(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int32(), pa.string(), pa.string())
+    columns = [pa.array(c, t) for c, t in zip(zip(*rows), kinds)]
+    return pa.RecordBatch.from_arrays(columns, ["path", "seg_idx", "text", "reason"])
 
 
 def segment_text(read_at: Callable[[int, int], bytes], length: int, size: int, k: int) -> tuple[str | None, str | None]:
@@ -280,9 +298,8 @@ class FileWriter(DataSourceArrowWriter):
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         staged = [message for message in messages if message is not None]
         with ThreadPoolExecutor(MOVERS) as movers:
-            for listed in (name for message in staged for name in message.lists):
-                for _ in movers.map(_move, _pairs(listed)):
-                    pass
+            for _ in movers.map(_move, (name for message in staged for name in message.lists)):
+                pass
         shared.put(f"{self.staging}/total", str(sum(message.files for message in staged)).encode())
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
@@ -301,9 +318,10 @@ def _pairs(listed: str) -> list[tuple[str, str]]:
     return [tuple(json.loads(line)) for line in (shared.read(listed) or b"").decode().split("\n") if line]
 
 
-def _move(pair: tuple[str, str]) -> None:
-    system, unfinished = locate(pair[0])
-    system.move(unfinished, locate(pair[1])[1])
+def _move(listed: str) -> None:
+    for unfinished, path in _pairs(listed):
+        system, name = locate(unfinished)
+        system.move(name, locate(path)[1])
 
 
 def _remove(listed: str) -> None:

@@ -154,9 +154,10 @@ def test_long_files_are_dealt_out(tmp_path, monkeypatch):
     (tmp_path / "b.txt").write_bytes(b"")
     monkeypatch.setattr(datasource, "TASK_BYTES", 30)
     reader = datasource.SegmentReader({"paths": f'["file:{tmp_path}"]', "size": "10"})
-    parts = [(p.path[-5:], p.first, p.end) for p in reader.partitions()]
-    assert parts == [("a.txt", 0, 3), ("a.txt", 3, 6), ("a.txt", 6, 9), ("a.txt", 9, 10), ("b.txt", 0, 1)]
-    assert [b.num_rows for p in reader.partitions() for b in reader.read(p)] == [1] * 11
+    parts = [[(path[-5:], first, end) for path, _, first, end in p.parts] for p in reader.partitions()]
+    assert parts == [[("a.txt", 0, 3)], [("a.txt", 3, 6)], [("a.txt", 6, 9)], [("a.txt", 9, 10), ("b.txt", 0, 1)]]
+    monkeypatch.setattr(datasource, "BATCH_BYTES", 20)
+    assert [b.num_rows for p in reader.partitions() for b in reader.read(p)] == [2, 1, 2, 1, 2, 1, 2]
 
 
 def test_bytes_that_are_not_utf8(spark, tmp_path):
