@@ -13,7 +13,7 @@ Texts are first split by a pattern; every piece is encoded for itself:
   its longest prefix among the tokens. No position dies twice, so the work is
   linear in the piece.
 
-Encodings of short pieces are kept in each Python worker, in two generations of ``KEPT`` pieces:
+Encodings of short pieces are kept in each Python worker, in two generations of ``kept`` pieces (about 250 bytes each):
 when the younger is full it becomes the older, and what is met again moves to the younger.
 Encoding is a Column function from text to the ids as little-endian unsigned
 32-bit integers, decoding one from those to bytes; both are narrow. A null text
@@ -36,7 +36,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-KEPT = 200_000
+KEPT = 400_000
 LONG_PIECE = 64
 LONG_TEXT = 1 << 20
 
@@ -49,8 +49,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Encoder:
     """Encodes pieces of bytes by the ranks of a vocabulary that holds every single byte."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], kept: int = KEPT):
+        self.ranks, self.kept = ranks, kept
         self.tokens = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
@@ -106,8 +106,8 @@ class Encoder:
                 before, right = right + 1, inner_right
 
     def _judge(self, left: int, right: int) -> bool:
-        """``_seam_holds``, kept for up to ``KEPT`` pairs."""
-        if len(self.judged) >= KEPT:
+        """``_seam_holds``, remembered for up to ``kept`` pairs."""
+        if len(self.judged) >= self.kept:
             self.judged.clear()
         answer = self.judged[left << 32 | right] = self._seam_holds(left, right)
         return answer
@@ -149,9 +149,9 @@ class Encoder:
 class Pieces(dict):
     """From the text of a piece to its packed ids."""
 
-    def __init__(self, encoder: Encoder):
+    def __init__(self, encoder: Encoder, kept: int):
         super().__init__()
-        self.encoder = encoder
+        self.encoder, self.kept = encoder, kept
         self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
@@ -159,7 +159,7 @@ class Pieces(dict):
         if packed is None:
             packed = array("I", self.encoder.encode(piece.encode())).tobytes()
         if len(piece) <= LONG_PIECE:
-            if len(self) >= KEPT:
+            if len(self) >= self.kept:
                 self.older = dict(self)
                 self.clear()
             self[piece] = packed
@@ -169,10 +169,10 @@ class Pieces(dict):
 class Codec:
     """Encodes and decodes whole texts."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, kept: int = KEPT):
         self.split = regex.compile(pattern)
-        self.encoder = Encoder(read_ranks(path))
-        self.pieces = Pieces(self.encoder)
+        self.encoder = Encoder(read_ranks(path), kept)
+        self.pieces = Pieces(self.encoder, kept)
 
     def encode(self, text: str) -> bytes:
         look = self.pieces.__getitem__
@@ -192,27 +192,27 @@ class Codec:
 
 
 @cache
-def _codec(path: str, pattern: str) -> Codec:
-    return Codec(path, pattern)
+def _codec(path: str, pattern: str, kept: int) -> Codec:
+    return Codec(path, pattern, kept)
 
 
-def encode(text: Column, path: str, pattern: str) -> Column:
-    """The packed ids of a text."""
+def encode(text: Column, path: str, pattern: str, kept: int = KEPT) -> Column:
+    """The packed ids of a text; ``kept`` trades memory of the workers for time."""
 
     @F.arrow_udf(BinaryType())
     def encoded(texts: pa.Array) -> pa.Array:
-        codec = _codec(path, pattern)
+        codec = _codec(path, pattern, kept)
         return pa.array([codec.encode(t or "") for t in texts.to_pylist()], pa.binary())
 
     return encoded(text)
 
 
-def decode(packed: Column, path: str, pattern: str) -> Column:
+def decode(packed: Column, path: str, pattern: str, kept: int = KEPT) -> Column:
     """The bytes that packed ids stand for; null gives none."""
 
     @F.arrow_udf(BinaryType())
     def decoded(ids: pa.Array) -> pa.Array:
-        codec = _codec(path, pattern)
+        codec = _codec(path, pattern, kept)
         return pa.array([codec.decode(i or b"") for i in ids.to_pylist()], pa.binary())
 
     return decoded(packed)

@@ -49,9 +49,8 @@ def test_texts_longer_than_a_block(pair, monkeypatch):
     assert ids(packed) == exact.encode_ordinary(text) and codec.decode(packed) == text.encode()
 
 
-def test_pieces_are_forgotten_but_not_lost(monkeypatch):
-    monkeypatch.setattr(bpe, "KEPT", 3)
-    codec = bpe.Codec(vocabularies.path("byte_bpe_50k.tiktoken"), PATTERN)
+def test_pieces_are_forgotten_but_not_lost():
+    codec = bpe.Codec(vocabularies.path("byte_bpe_50k.tiktoken"), PATTERN, kept=3)
     text = " ".join(f"qwx{i % 7}zzk" for i in range(60))
     assert codec.decode(codec.encode(text)) == text.encode()
     assert len(codec.pieces) <= 3
