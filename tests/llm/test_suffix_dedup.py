@@ -5,6 +5,7 @@ import pytest
 
 from castlist.llm import suffix_dedup as dedup
 from castlist.llm.suffix_array import suffix_arrays
+from castlist.session import drop_stored
 
 
 def by_hand(rows, length=dedup.LENGTH):
@@ -79,3 +80,45 @@ def test_suffix_arrays_of_random_sequences():
             base += len(s)
         lengths = np.array([len(s) for s in sequences])
         assert suffix_arrays(np.concatenate(sequences), lengths).tolist() == expected
+
+
+def test_nothing_is_left_behind(spark, table):
+    before = {t.name for t in spark.catalog.listTables()}
+    dedup.remove_repeats(table([(1, "z" * 60), (2, "z" * 60)])).collect()
+    made = {t.name for t in spark.catalog.listTables()} - before
+    assert len(made) == 1
+    drop_stored(spark)
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("texts_")]
+
+
+def test_runs_of_contents_equal_brute_force(monkeypatch):
+    rng = random.Random(8)
+    monkeypatch.setattr(dedup, "BATCH_SYMBOLS", 900)
+    groups = []
+    for _ in range(60):
+        pieces = ["".join(rng.choices("ab", k=rng.randint(20, 60))).encode() for _ in range(3)]
+        contents = {b"".join(rng.choices(pieces, k=rng.randint(2, 4))) + b"x" * 30 for _ in range(rng.randint(1, 5))}
+        groups.append([(c, rng.randrange(100)) for c in sorted(contents)])
+    for group, found in zip(groups, dedup.first_documents(groups), strict=True):
+        least = {}
+        for content, doc in group:
+            for i in range(len(content) - dedup.LENGTH + 1):
+                window = content[i : i + dedup.LENGTH]
+                least[window] = min(doc, least.get(window, doc))
+        for (content, _), runs in zip(group, found, strict=True):
+            told = [doc for a, b, doc in runs for _ in range(a, b)]
+            assert told == [least[content[i : i + dedup.LENGTH]] for i in range(len(content) - dedup.LENGTH + 1)]
+            assert [a for a, _, _ in runs] == [0, *(b for _, b, _ in runs[:-1])]
+
+
+def test_a_very_long_text_and_ties(table):
+    long = "".join(chr(97 + i % 23) + str(i) for i in range(400_000))
+    found = dedup.remove_repeats(table([(1, long), (2, long), (2, "x" + long[:70])])).collect()
+    assert sorted((r.doc_id, r.n_bytes - len(r.kept)) for r in found) == [(1, 0), (2, 70), (2, len(long))]
+
+
+def test_packed_columns_come_back():
+    rng = np.random.default_rng(5)
+    columns = [rng.integers(0, 2**31 - 1, 50), np.sort(rng.integers(0, 9, 50)), np.arange(50)]
+    assert np.array_equal(dedup._unpacked(dedup._packed(*columns), 3), np.stack(columns))
+    assert dedup._unpacked(dedup._packed(*[np.zeros(0, np.int64)] * 3), 3).shape == (3, 0)
