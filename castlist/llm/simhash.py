@@ -20,7 +20,8 @@ row from then on. Fingerprints that differ in at most ``radius`` bits are found
   no more than the rows. A value with more than ``CROWD`` rows is dealt out in blocks, and
   each pair of blocks is compared by itself; the forest of the whole is within their forests.
 
-Near copies (``drop_near_duplicates``) are not found by fingerprints but exactly, by their shingles.
+``drop_near_duplicates`` takes documents whose fingerprints link so, if a radius is given, together with those that share
+most of their shingles, which it finds exactly.
 
 Defined results: words are ``[^\\x20\\x09-\\x0D]+`` after A-Z become a-z; a text of fewer words than
 a shingle has one shingle of all its words; one without words, as a null text, has fingerprint zero, which is
@@ -368,14 +369,18 @@ def links(groups: DataFrame, radius: int, units: int, compared: int) -> DataFram
 # ---- Documents --------------------------------------------------------------------------
 
 
-def near_groups(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFrame:
-    """(doc_id, fp, component_id): the smallest doc_id that links of at most ``radius`` bits lead to."""
-    marks = cut_lineage(fingerprints(docs, size))
+def linked_fingerprints(marks: DataFrame, radius: int) -> DataFrame:
+    """(fp, component_id) of stored rows (doc_id, fp): the smallest doc_id that links of at most ``radius`` bits lead to."""
     groups = cut_lineage(marks.groupBy("fp").agg(F.min("doc_id").alias("id")))
     found = components(links(groups, radius, radius + 1, 8).select("a", "b"))
     named = groups.join(found, F.col("id") == F.col("node"), "left")
-    named = named.select("fp", F.coalesce("component", "id").alias("component_id"))
-    return marks.join(named, "fp").select("doc_id", "fp", "component_id")
+    return named.select("fp", F.coalesce("component", "id").alias("component_id"))
+
+
+def near_groups(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFrame:
+    """(doc_id, fp, component_id): the smallest doc_id that links of at most ``radius`` bits lead to."""
+    marks = cut_lineage(fingerprints(docs, size))
+    return marks.join(linked_fingerprints(marks, radius), "fp").select("doc_id", "fp", "component_id")
 
 
 # ---- Near copies by their shingles --------------------------------------------------------
@@ -452,8 +457,10 @@ def common_shingles(docs: DataFrame, size: int) -> np.ndarray:
     return np.array([row.token for row in reversed(most)], np.int64)
 
 
-def prefixes(docs: DataFrame, size: int, similarity: float, common: np.ndarray) -> DataFrame:
-    """(doc_id, digest, n, parity, prefix): of each shingle set, the last being n and those of its hashes that a near copy must share one of.
+def prefixes(docs: DataFrame, size: int, similarity: float, common: np.ndarray, marked: int | None = None) -> DataFrame:
+    """(doc_id, digest, n, parity, prefix, fp): of each shingle set, prefix being n and those of its hashes that a near copy must share one of.
+
+    fp is the fingerprint by shingles of ``marked`` words, if given.
 
     All sets are in one order: what is not in ``common`` by its hash, then what is, in that order.
     Two sets that share t hashes have the first of these among their first n - t + 1.
@@ -479,11 +486,12 @@ def prefixes(docs: DataFrame, size: int, similarity: float, common: np.ndarray)
                     pa.array([len(s) for s in sets], pa.int32()),
                     pa.array([_parities(s) for s in sets], pa.binary()),
                     pa.array([np.concatenate(([len(s)], head(s) & _TOKEN)) for s in sets], pa.list_(pa.int64())),
+                    pa.array([fingerprint((t.as_py() or "").encode(), marked) if marked else None for t in some.column(1)], pa.binary()),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "n", "parity", "prefix"])
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "n", "parity", "prefix", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, digest binary, n int, parity binary, prefix array<long>")
+    return rows.mapInArrow(run, "doc_id long, digest binary, n int, parity binary, prefix array<long>, fp binary")
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -641,18 +649,22 @@ def _listed(ids: DataFrame, most: int) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= most else ids
 
 
-def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+def drop_near_duplicates(
+    docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int | None = None, marked: int = 3
+) -> DataFrame:
     """The documents, all columns, without those that have a near copy with a smaller doc_id.
 
-    Near copies share ``similarity`` of their distinct shingles of ``size`` words, and chains of
-    them are one group. Documents of one shingle set are one row. Every pair of near copies shares one of its rarest
+    Near copies share ``similarity`` of their distinct shingles of ``size`` words or, with a ``radius``, have fingerprints, by
+    shingles of ``marked`` words, that differ in at most so many bits (``near_groups``). Chains of
+    both kinds are one group. Documents of one shingle set are one row. Every pair of near copies shares one of its rarest
     shingles (``prefixes``); pairs that do are compared by all their shingles, one by one where at most
     ``FEW`` rows share it and otherwise in blocks. The sample of ``common_shingles`` decides which
     shingles are tried, and so the cost, but any order finds every pair. Rows without a doc_id stay; rows of one doc_id are one
     document, and stay or go together.
     """
     docs_named = docs.where(F.col("doc_id").isNotNull())
-    marks = cut_lineage(prefixes(docs_named, size, similarity, common_shingles(docs_named, size)))
+    common = common_shingles(docs_named, size)
+    marks = cut_lineage(prefixes(docs_named, size, similarity, common, None if radius is None else marked))
     groups = cut_lineage(marks.groupBy("digest").agg(F.min("doc_id").alias("id")))
     later = marks.select("doc_id", "digest").join(groups, "digest").where("doc_id <> id").select(F.col("doc_id").alias("id"))
     later = cut_lineage(later)
@@ -683,6 +695,11 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8
     texts = docs_named.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = cut_lineage(shingle_sets(texts.join(ids, F.col("doc_id") == F.col("id"), "left_semi"), size))
     near = similar(pairs, sets, similarity).unionAll(crowd_links(hopes, sets, similarity))
+    if radius is not None:
+        # A shingle set belongs with the fingerprints of its documents.
+        both = marks.select("digest", "fp").distinct().join(groups, "digest")
+        both = both.join(linked_fingerprints(marks.select("doc_id", "fp"), radius), "fp")
+        near = near.unionAll(both.select(F.col("id").alias("a"), F.col("component_id").alias("b")).where("a <> b"))
     found = components(near)
     named = groups.join(found, F.col("id") == F.col("node"), "left")
     named = named.select("digest", F.coalesce("component", "id").alias("_first"))

@@ -2,8 +2,8 @@
 
 1. ``language``: documents whose language the network of ``language_id`` cannot tell go.
 2. ``line_dedup``: lines that 10 documents share go from all of them.
-3. ``near_dedup``: of documents that share four fifths of their shingles of five words, the one with the
-   smallest doc_id stays.
+3. ``near_dedup``: of documents whose SimHash fingerprints differ in at most three bits, or that share four fifths
+   of their shingles of five words, the one with the smallest doc_id stays.
 4. ``decontamination``: documents that hold ten consecutive words of a benchmark item (or a whole shorter item) go.
 5. ``encode``: the ids of every text, checked by decoding them.
 
@@ -44,7 +44,7 @@ def shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
     bounded_batches(spark)
-    return simhash.drop_near_duplicates(docs, size=5, similarity=0.8)
+    return simhash.drop_near_duplicates(docs, size=5, similarity=0.8, radius=3)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

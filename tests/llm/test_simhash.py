@@ -173,3 +173,29 @@ def test_near_copies_equal_brute_force_whatever_the_plan(table, few, block, spre
     assert len(near) > 40
     expected = [i for i, root in enumerate(roots(len(sets), near)) if root == i]
     assert sorted(r.doc_id for r in simhash.drop_near_duplicates(table(list(enumerate(texts)))).collect()) == expected
+
+
+def test_the_pipeline_follows_links_of_fingerprints(spark, table):
+    import corpus_pipeline
+
+    # Few shingles of five words are shared, but the repeated ones decide the fingerprint: only its links find these.
+    hum = " ".join(["x y z"] * 60)
+    tail = " ".join(f"n{i}" for i in range(25))
+    rows = [(4, hum), (7, f"{hum} {tail}"), (9, f"{tail} other words stand here and there at last"), (2, None)]
+    linked = {r.doc_id: r.component_id for r in simhash.near_groups(table(rows)).collect()}
+    assert linked == {4: 4, 7: 4, 9: 9, 2: 2}
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(table(rows)).collect()) == [2, 4, 7, 9]
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, table(rows), "").collect()) == [2, 4, 9]
+
+
+def test_chains_of_both_kinds_of_links_are_one_group(table):
+    hum = " ".join(["x y z"] * 60)
+    tail = [f"n{i}" for i in range(25)]
+    # 9 links with 5 by its fingerprint, 3 with 5 by shingles alone: its own repeats turn the fingerprint.
+    many = " ".join([*tail, *tail, *tail])
+    rows = [(9, hum), (5, f"{hum} {' '.join(tail)}"), (3, f"{' '.join(['x y z'] * 2)} {many}"), (1, "quite another text")]
+    near = {r.doc_id: r.component_id for r in simhash.near_groups(table(rows)).collect()}
+    assert near[9] == near[5] == 5 and near[3] == 3
+    plain = sorted(r.doc_id for r in simhash.drop_near_duplicates(table(rows), similarity=0.7).collect())
+    assert plain == [1, 3, 9]
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(table(rows), similarity=0.7, radius=3).collect()) == [1, 3]
