@@ -9,8 +9,9 @@ from castlist.functions.text import strip
 from castlist.operators.skew import ROWS_PER_TASK, HeavyKeys, heavy_keys
 from castlist.session import cut_lineage
 
-# A range of a heavy document's rows has at least as many: fewer are not worth a task and a file.
-LEAST_RANGE = 1000
+# A range of a heavy document's rows has at least as many: fewer are not worth a task and a file, and for every range Spark
+# collects a hundred rows to place the bounds by.
+LEAST_RANGE = 100_000
 
 
 def label(name: Column, occurrences: Column) -> Column:

@@ -112,3 +112,15 @@ def test_last_row_of_an_original_wins(spark):
     rows = [(1, "A", "B", 1, 1), (1, "A", "C ", 1, 2), (1, "A", "A", 1, 3), (2, "A", "D", 1, 1), (1, "E", "", 1, 4)]
     found = mapping.edited_mappings(spark.createDataFrame(rows, ROWS)).collect()
     assert sorted(tuple(row) for row in found) == [(1, "A", "C", 1), (2, "A", "D", 1)]
+
+
+def test_few_ranges_for_many_rows_and_ranks_over_several(spark, monkeypatch):
+    counts = spark.range(4000).select(F.lit(1).alias("doc_id"), F.format_string("n%05d", "id").alias("name"), (F.col("id") % 7).alias("occurrences"))
+    made, in_ranges = [], mapping.in_ranges
+    monkeypatch.setattr(mapping, "in_ranges", lambda rows, n: made.append(n) or in_ranges(rows, n))
+    plain = sorted((-(i % 7), f"n{i:05d}") for i in range(4000))
+    for least, n in ((mapping.LEAST_RANGE, 1), (500, 8)):
+        monkeypatch.setattr(mapping, "LEAST_RANGE", least)
+        ranked = mapping.rank_names(counts, rows_per_task=10).orderBy("rank").collect()
+        assert made.pop() == n
+        assert [(-r.occurrences, r.name, r.rank) for r in ranked] == [(c, name, i + 1) for i, (c, name) in enumerate(plain)]
