@@ -5,7 +5,8 @@ in batches of a bounded size. Other than Spark's binary source it has empty file
 
 Writing is in two phases. Every task writes its files under names that no reader takes up, next to where they belong,
 each batch after it has noted them in a list in the ``staging`` folder; only the names of the lists go to the driver. When all
-tasks have succeeded, the driver goes through their lists and gives the files their names. If one fails, or a path is in
+tasks have succeeded, the driver writes these names down, and tasks of a second job (``castlist.sources.files``) go through the
+lists and give the files their names. If one fails, or a path is in
 a file system that cannot be reached, it leaves a mark at which tasks still running give up, and removes what any list names, so
 nothing appears.
 
@@ -22,7 +23,6 @@ import posixpath
 import re
 import uuid
 from collections.abc import Callable, Iterator, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -36,7 +36,6 @@ from castlist.sources.paths import locate, split_path
 FORMAT = "castlist_files"
 TASK_BYTES, TASK_FILES = 128 << 20, 10_000
 BATCH_BYTES, BATCH_FILES = 16 << 20, 1000
-MOVERS = 32
 _GLOB = re.compile(r"[*?\[]")
 FILES = pa.schema([("path", pa.string()), ("length", pa.int64()), ("content", pa.binary())])
 
@@ -246,6 +245,7 @@ class Aborted(Exception):
 class FileWriter(DataSourceArrowWriter):
     def __init__(self, staging: str, segments: bool = False):
         self.staging, self.segments = staging, segments
+        self.folders: set[str] = set()
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         if self.segments:
@@ -258,9 +258,7 @@ class FileWriter(DataSourceArrowWriter):
             shared.put(lists[-1], "\n".join(map(json.dumps, pairs)).encode())
             self._go_on(lists)
             for (unfinished, _), content in zip(pairs, batch.column("content")):
-                system, name = locate(unfinished)
-                system.create_dir(posixpath.dirname(name) or ".")
-                with system.open_output_stream(name, compression=None) as stream:
+                with self._open(unfinished) as stream:
                     stream.write(content.as_buffer() if content.is_valid else b"")
             files += len(pairs)
         self._go_on(lists)
@@ -268,26 +266,39 @@ class FileWriter(DataSourceArrowWriter):
 
     def _write_segments(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         """Rows of one path, which follow each other, into one file."""
-        mark, lists, now, stream = uuid.uuid4().hex, [], None, None
+        mark, lists, files, now, stream = uuid.uuid4().hex, [], 0, object(), None
         try:
             for batch in iterator:
                 self._go_on(lists)
-                for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
-                    if stream is None or path != now:
+                paths = batch.column("path").to_pylist()
+                # The files that begin in a batch share a list.
+                begun = [path for before, path in zip([now, *paths], paths) if path != before]
+                pairs = [(f"{_hidden(path)}.{mark}.{files + k}", path) for k, path in enumerate(begun)]
+                if pairs:
+                    lists.append(f"{self.staging}/{mark}-{len(lists)}.json")
+                    shared.put(lists[-1], "\n".join(map(json.dumps, pairs)).encode())
+                waiting = iter(pairs)
+                for path, content in zip(paths, batch.column("content")):
+                    if path != now:
                         if stream is not None:
                             stream.close()
-                        now, unfinished = path, f"{_hidden(path)}.{mark}.{len(lists)}"
-                        lists.append(f"{self.staging}/{mark}-{len(lists)}.json")
-                        shared.put(lists[-1], json.dumps((unfinished, path)).encode())
-                        system, name = locate(unfinished)
-                        system.create_dir(posixpath.dirname(name) or ".")
-                        stream = system.open_output_stream(name, compression=None)
+                        now, stream = path, self._open(next(waiting)[0])
                     stream.write(content.as_buffer() if content.is_valid else b"")
+                files += len(pairs)
         finally:
             if stream is not None:
                 stream.close()
         self._go_on(lists)
-        return Staged(lists, len(lists))
+        return Staged(lists, files)
+
+    def _open(self, path: str) -> pa.NativeFile:
+        """A new file, in a folder that is made if need be."""
+        system, name = locate(path)
+        folder = f"{path.removesuffix(name)}\0{posixpath.dirname(name) or '.'}"
+        if folder not in self.folders:
+            system.create_dir(posixpath.dirname(name) or ".")
+            self.folders.add(folder)
+        return system.open_output_stream(name, compression=None)
 
     def _go_on(self, lists: list[str]) -> None:
         if shared.exists(f"{self.staging}/aborted"):
@@ -297,10 +308,9 @@ class FileWriter(DataSourceArrowWriter):
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         staged = [message for message in messages if message is not None]
-        with ThreadPoolExecutor(MOVERS) as movers:
-            for _ in movers.map(_move, (name for message in staged for name in message.lists)):
-                pass
-        shared.put(f"{self.staging}/total", str(sum(message.files for message in staged)).encode())
+        lists = [name for message in staged for name in message.lists]
+        total = sum(message.files for message in staged)
+        shared.put(f"{self.staging}/total", json.dumps({"files": total, "lists": lists}).encode())
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
         shared.put(f"{self.staging}/aborted", b"")
@@ -318,10 +328,15 @@ def _pairs(listed: str) -> list[tuple[str, str]]:
     return [tuple(json.loads(line)) for line in (shared.read(listed) or b"").decode().split("\n") if line]
 
 
-def _move(listed: str) -> None:
+def finish(listed: str) -> None:
+    """Give the files of a list their names; those that have them already, from a task that was lost, stay."""
     for unfinished, path in _pairs(listed):
         system, name = locate(unfinished)
-        system.move(name, locate(path)[1])
+        try:
+            system.move(name, locate(path)[1])
+        except FileNotFoundError:
+            if not shared.exists(path):
+                raise
 
 
 def _remove(listed: str) -> None:

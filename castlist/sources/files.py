@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from castlist.functions.text import line_count, profile_label, size_kb
 from castlist.session import new_table
 from castlist.sources import shared
-from castlist.sources.datasource import Files, Segments, read_batches
+from castlist.sources.datasource import Files, FileWriter, Segments, finish, read_batches
 
 # Byte order marks with their labels, in the order they are
 # tested, and the encodings tried in turn on files without one.
@@ -176,7 +176,7 @@ def save_files(texts: DataFrame) -> int:
     """Write every text to its own file and return their number.
 
     Runs in the tasks, on any file system Arrow knows, and runs the plan of the texts once. The files appear together
-    after the last task (see ``castlist.sources.datasource``); if any cannot be written, none appears. Of several
+    after the last task that writes (see ``castlist.sources.datasource``); if any cannot be written, none appears. Of several
     texts for one path one is kept.
     """
     return _save(encoded(texts).select("path", "content"))
@@ -187,7 +187,28 @@ def _save(rows: DataFrame, **options: str) -> int:
     spark.dataSource.register(Files)
     staging = new_table(spark, "staging")
     rows.write.format(Files.name()).options(staging=staging, **options).mode("append").save()
-    return int(shared.read(f"{staging}/total"))
+    written = json.loads(shared.read(f"{staging}/total"))
+    try:
+        _finish(spark, written["lists"])
+    except Exception:
+        FileWriter(staging).abort([])
+        raise
+    return written["files"]
+
+
+def _finish(spark: SparkSession, lists: list[str]) -> None:
+    """Name the files of all lists, dealt out to tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for listed in batch.column(0).to_pylist():
+                finish(listed)
+            yield batch.slice(0, 0)
+
+    if lists:
+        parts = min(len(lists), int(spark.conf.get("spark.sql.shuffle.partitions")))
+        named = spark.createDataFrame([(name,) for name in lists], "list string").repartition(parts)
+        named.mapInArrow(run, "list string").collect()
 
 
 def _has_mark(content: Column, mark: str) -> Column:

@@ -1,6 +1,7 @@
 import os
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -325,3 +326,21 @@ def test_manifest_is_read_once_and_in_many_tasks(spark, folder):
     manifest = manifest.withColumn("path", counted.asNondeterministic()("path"))
     found = files.scan_files(spark, str(folder), manifest)
     assert names_read(found) == ["empty.txt", "plain.txt"] and seen.value == 4
+
+
+@pytest.mark.parametrize("segments", [False, True])
+def test_files_of_a_batch_share_a_list_and_appear_when_it_is_finished(tmp_path, segments):
+    names = [f"file:{tmp_path}/out/{i}.txt" for i in (0, 0, 1, 2, 2)] if segments else [f"file:{tmp_path}/out/{i}.txt" for i in (0, 1, 2)]
+    batch = pa.RecordBatch.from_pydict({"path": names, "content": [b"x"] * len(names)})
+    more = pa.RecordBatch.from_pydict({"path": names[-1:] if segments else [f"file:{tmp_path}/out/3.txt"], "content": [b"y"]})
+    writer = datasource.FileWriter(f"file:{tmp_path}/staging", segments)
+    staged = writer.write(iter([batch, more]))
+    assert (staged.files, len(staged.lists)) == ((3, 1) if segments else (4, 2))
+    writer.commit([staged])
+    # The driver moves none; a list that is gone through a second time, after a lost task, changes nothing.
+    assert all(p.name.startswith("_") for p in (tmp_path / "out").iterdir())
+    for listed in [*staged.lists, *staged.lists]:
+        datasource.finish(listed)
+    found = {p.name: p.read_bytes() for p in (tmp_path / "out").iterdir()}
+    wanted = {"0.txt": b"xx", "1.txt": b"x", "2.txt": b"xxy"} if segments else {f"{i}.txt": b"xxxy"[i : i + 1] for i in range(4)}
+    assert found == wanted

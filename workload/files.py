@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from castlist.functions import text as texts
 from castlist.operators import segments
 from castlist.plans import normalize
-from castlist.session import new_table
+from castlist.session import cut_lineage, new_table
 from castlist.sources import files
 from castlist.sources.tables import read_table
 
@@ -230,7 +230,7 @@ def segment_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files.save_segments(cut.select(name.alias("path"), "seg_idx", "text"))
     read = files.read_segments(spark, folder, 1000)
     number = F.regexp_extract("path", r"(\d+)\.txt$", 1).cast("bigint")
-    rows = read.select(number.alias("doc_id"), "seg_idx", "text")
+    rows = cut_lineage(read.select(number.alias("doc_id"), "seg_idx", "text"))
     counts = rows.groupBy("doc_id").agg(F.count("*").alias("n_segments"))
     texts = segments.joined_segments(rows).select("doc_id", F.md5("text").alias("text_md5"))
     return counts.join(texts, "doc_id")
