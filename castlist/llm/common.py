@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from castlist.session import bounded_batches as bounded_batches
+
 # The white space and the letters that the contracts of the queries name.
 SPACES = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -17,19 +19,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-# What goes to Python workers at once: texts are long rows, so the number of rows alone is no bound.
-BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
-
-
-def bounded_batches(spark: SparkSession) -> SparkSession:
-    """The session with ``BATCHES``, where it does not say otherwise."""
-    chosen = spark.conf.getAll
-    for name, value in BATCHES.items():
-        if name not in chosen:
-            spark.conf.set(name, value)
-    return spark
-
-
 def lowered(text: Column) -> Column:
     """A-Z to a-z; every other letter stays."""
     return F.translate(text, UPPER, LOWER)

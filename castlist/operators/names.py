@@ -14,6 +14,7 @@ from castlist.operators import matching
 from castlist.operators.asking import NOT_ASKED, NOT_ASKED_MESSAGE
 from castlist.operators.rows import explode_items, inline_structs
 from castlist.operators.skew import ROWS_PER_TASK, heavy_keys
+from castlist.session import bounded_batches
 
 
 # Above this many character comparisons (names x text length) one pass of an
@@ -119,6 +120,7 @@ def count_own_names(docs: DataFrame, top: int | None = None) -> DataFrame:
     shuffle. Order and rank are those of ``castlist.operators.mapping``; with
     ``top``, only the first that many names of each document become rows.
     """
+    bounded_batches(docs.sparkSession)
     named = docs.select("doc_id", "text", distinct_names(F.col("names")).alias("names"))
     counted = named.select(
         "doc_id", "names", count_in_text(F.col("text"), F.col("names")).alias("counts")
@@ -150,6 +152,7 @@ def count_occurrences(
     kept. ``names`` is measured first and so read more than once: pass a stored
     table.
     """
+    bounded_batches(docs.sparkSession)
     items = names.select("doc_id", strip(F.col("name")).alias("name")).where(F.col("name") != "")
     small = matching.fits_broadcast(items, broadcast_bytes)
     heavy = None if small else heavy_keys(items, "doc_id", rows_per_task)

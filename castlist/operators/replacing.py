@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from castlist.operators import matching
 from castlist.operators.rows import inline_structs
 from castlist.operators.skew import ROWS_PER_TASK, heavy_keys
+from castlist.session import bounded_batches
 
 
 # From this many character comparisons on (mappings x text length) an automaton is asked first what can occur; so many
@@ -136,6 +137,7 @@ def apply_replacements(
     ``mappings`` is measured first and so read more than once: pass a stored
     table.
     """
+    bounded_batches(docs.sparkSession)
     texts = docs.select("doc_id", "text", *carry)
     items = mappings.select(
         "doc_id",

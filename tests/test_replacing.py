@@ -3,7 +3,7 @@ import time
 
 import pytest
 
-from castlist.operators import replacing
+from castlist.operators import names, replacing
 
 MAPPINGS = "doc_id bigint, original string, replacement string, rank int"
 # broadcast, joined, streamed
@@ -174,3 +174,18 @@ def test_long_chains_are_five_times_faster():
 
     (slow, wanted), (fast, found) = seconds(fold), seconds(in_turn)
     assert found == wanted and 5 * fast < slow, (fast, slow)
+
+
+@pytest.mark.parametrize("step", ["replace", "own", "listed"])
+def test_python_gets_few_texts_at_once(spark, step):
+    # A session of its own, for which nobody has set anything.
+    session = spark.newSession()
+    docs = session.createDataFrame([(1, "A B", ["A"])], "doc_id bigint, text string, names array<string>")
+    if step == "replace":
+        rows = session.createDataFrame([(1, "A", "C", 1)], "doc_id bigint, original string, replacement string, rank int")
+        assert replacing.replaced_texts(replacing.apply_replacements(docs, rows)).first().text == "C B"
+    elif step == "own":
+        assert names.count_own_names(docs).first().occurrences == 1
+    else:
+        assert names.count_occurrences(docs, session.createDataFrame([(1, "A")], "doc_id bigint, name string")).first().occurrences == 1
+    assert session.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "1000"
