@@ -21,6 +21,7 @@ from castlist.functions.splitting import cut_by_bytes
 from castlist.operators import segments
 from castlist.operators.chunks import CHUNK_MAX_BYTES, SEPARATOR, assemble, pack, units_of
 from castlist.operators.rows import inline_structs
+from castlist.session import cut_lineage
 
 GAP = len(SEPARATOR)
 CUTS = "array<struct<first:int,n:int,piece:string,chunk_idx:long,joint:boolean>>"
@@ -92,7 +93,8 @@ def pack_segment(
 def chunk_segments(rows: DataFrame, max_bytes: int = CHUNK_MAX_BYTES) -> DataFrame:
     """Rows (doc_id, chunk_idx, chunk, n_bytes) from (doc_id, seg_idx, text): the chunks of the joined segments."""
     whole = segments.whole_paragraphs(rows)
-    units = whole.select("doc_id", "seg_idx", units_of(splitting.paragraphs(F.col("text")), max_bytes).alias("units"))
+    # Stored, since the summaries and the cuts are both made from them, as are the whole and the joint chunks from the pieces.
+    units = cut_lineage(whole.select("doc_id", "seg_idx", units_of(splitting.paragraphs(F.col("text")), max_bytes).alias("units")))
     sized = units.select(
         "doc_id",
         "seg_idx",
@@ -123,7 +125,7 @@ def chunk_segments(rows: DataFrame, max_bytes: int = CHUNK_MAX_BYTES) -> DataFra
         "cuts",
         lambda c: F.struct(c["chunk_idx"].cast("int").alias("chunk_idx"), assemble(F.col("units"), c).alias("chunk"), c["joint"].alias("joint")),
     )
-    pieces = inline_structs(made, ["doc_id", "seg_idx"], parts, "chunk_idx")
+    pieces = cut_lineage(inline_structs(made, ["doc_id", "seg_idx"], parts, "chunk_idx"))
     ordered = F.array_sort(F.collect_list(F.struct("seg_idx", "chunk")))
     joints = pieces.where("joint").groupBy("doc_id", "chunk_idx").agg(ordered.alias("parts"))
     joints = joints.select("doc_id", "chunk_idx", F.array_join(F.transform("parts", lambda p: p["chunk"]), SEPARATOR).alias("chunk"))

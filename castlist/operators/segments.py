@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from castlist.functions.text import strip, unix_newlines
 from castlist.operators.rows import explode_items
+from castlist.session import cut_lineage
 
 ALL = 2_147_483_647
 
@@ -87,7 +88,7 @@ def whole_lines(segments: DataFrame) -> DataFrame:
 
 def whole_paragraphs(segments: DataFrame) -> DataFrame:
     """Rows (doc_id, seg_idx, text), each of whole paragraphs: runs of lines that are not blank."""
-    split = whole_lines(segments).withColumn("lines", F.split("text", "\n", -1))
+    split = cut_lineage(whole_lines(segments)).withColumn("lines", F.split("text", "\n", -1))
     at = F.array_position(F.transform("lines", lambda line: strip(line) == ""), True)
     # What stands before the first blank line belongs to a paragraph that may have begun earlier.
     found = split.select("doc_id", "seg_idx", "text", "lines", at.cast("int").alias("at"))

@@ -174,3 +174,11 @@ def test_layout_of_files_longer_than_a_cell_may_be(spark, tmp_path):
     saved = repaired.withColumn("path", F.concat("doc_id", F.lit(".fixed")))
     assert files.save_segments(saved) == 1
     assert (tmp_path / "long.txt.fixed").read_text() == layout.repair_layout_text(text)
+
+
+def test_chunks_of_segments_are_cut_once(spark):
+    rows = segment_rows(spark, [["a\n", "\nb", "\n\nc"], ["d"]])
+    made = long_chunks.chunk_segments(rows, 100)
+    # Neither Python's summaries nor its cuts are in the plan that is left: both have been stored.
+    assert "ArrowEvalPython" not in made._jdf.queryExecution().executedPlan().toString()
+    assert chunked(made) == {0: [(0, "a\n\nb\n\nc")], 1: [(0, "d")]}

@@ -10,6 +10,7 @@ from castlist.functions.text import byte_length
 from castlist.operators import chunks as chunking
 from castlist.operators import long_chunks, segments
 from castlist.operators.rows import explode_items
+from castlist.session import cut_lineage
 from workload import documents, query
 
 PIECE_BYTES = 1000
@@ -200,5 +201,5 @@ def small_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {chunks_sql(SMALL_CHUNK_BYTES)} {CHUNK_ROWS_SQL}")
 def segment_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The form for texts longer than a cell, on texts cut every 997 characters."""
-    cut = segments.cut_into_segments(spaced_documents(spark, sf_dir), 997)
+    cut = cut_lineage(segments.cut_into_segments(spaced_documents(spark, sf_dir), 997))
     return chunk_rows(long_chunks.chunk_segments(cut, SMALL_CHUNK_BYTES))
