@@ -38,11 +38,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from castlist.llm.components import components
-from castlist.session import cut_lineage
+from castlist.session import cut_lineage, new_table, scratch
 
 SEED = 42
 SAMPLE = 1024
@@ -50,8 +50,9 @@ CROWD = 8192
 SMALL = 8
 # Relative cost of sending a row to a value and of comparing two rows there.
 ROW_COST, PAIR_COST = 1.0, 0.02
-# Near copies: documents sampled for common shingles, and how many of these are kept.
-SPREAD, COMMON = 8192, 1 << 15
+# Near copies: documents sampled for common shingles, this share of them if that is more, and how many shingles are kept: so many,
+# or one for so many documents. With a sample of fixed size the shingles it misses would have crowds that grow with the input.
+SPREAD, SPREAD_SHARE, COMMON, COMMON_DOCS, MOST_COMMON = 8192, 1 / 32, 1 << 15, 8, 1 << 22
 # Up to FEW rows of a shingle are compared pair by pair; more in blocks of so many rows and hashes.
 FEW, BLOCK, BLOCK_HASHES, COLUMNS = 8, 256, 1 << 20, 4096
 # So many blocks are compared with one in a task; so many rows' ids are broadcast.
@@ -450,11 +451,22 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
 
 def common_shingles(docs: DataFrame, size: int) -> np.ndarray:
     """Hashes of shingles that several documents of a sample have, the rarest first."""
-    share = min(1.0, SPREAD / max(docs.count(), 1))
+    n_docs = docs.count()
+    share = min(1.0, max(SPREAD / max(n_docs, 1), SPREAD_SHARE))
     picked = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
     counts = shingle_sets(picked, size).select(F.explode("s").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    most = counts.where("n > 1").orderBy(F.desc("n"), "token").limit(COMMON).collect()
-    return np.array([row.token for row in reversed(most)], np.int64)
+    several = cut_lineage(counts.where("n > 1"))
+    left, kept = min(max(COMMON, n_docs // COMMON_DOCS), MOST_COMMON), F.lit(False)
+    for row in several.groupBy("n").agg(F.count("*").alias("tokens")).orderBy(F.desc("n")).collect():
+        # Of the last count that there is room for some are kept.
+        part = F.pmod(F.xxhash64("token"), F.lit(1 << 30)) < int(min(1.0, left / row.tokens) * (1 << 30))
+        kept = (F.col("n") > row.n) | ((F.col("n") == row.n) & part)
+        left -= row.tokens
+        if left <= 0:
+            break
+    most = several.where(kept).toArrow()
+    token, n = (most.column(c).to_numpy() for c in ("token", "n"))
+    return token[np.lexsort((token, -n))[::-1]]
 
 
 def prefixes(docs: DataFrame, size: int, similarity: float, common: np.ndarray, marked: int | None = None) -> DataFrame:
@@ -582,12 +594,17 @@ def _block_links(table: pa.Table, similarity: float) -> pa.Table:
     )
 
 
+def _enough(most_a: str, most_b: str, n_a: str, n_b: str, similarity: float) -> Column:
+    """Whether sets of n hashes can be near copies, given how many each has from their first common hash on."""
+    return F.least(most_a, most_b) >= F.lit(similarity / (1 + similarity)) * (F.col(n_a) + F.col(n_b)) - 1e-6
+
+
 def crowd_hopes(crowded: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
-    """(low, high, own, id): the rows of each pair of blocks to compare, of rows (token, crowd, id, n) of equal token.
+    """(low, high, own, id): the rows of each pair of blocks to compare, of rows (token, crowd, id, n, at) of equal token.
 
     A row's home is the most crowded of its tokens, with the magnitude of n. The rows of a home are dealt out in
-    blocks, and two blocks are compared, once, if they have a token in common and magnitudes that near copies can have.
-    Rows whose parities rule out every other row there are left out.
+    blocks, and two blocks are compared, once, if they have a token in common, at places from which on near copies can still
+    share enough, and magnitudes that near copies can have. Rows whose parities rule out every other row there are left out.
     """
     homes = crowded.groupBy("id").agg(F.max(F.struct("crowd", "token")).alias("top"), F.max("n").alias("n"))
     # Sizes of near copies differ by a factor of at most 1 / similarity.
@@ -597,11 +614,14 @@ def crowd_hopes(crowded: DataFrame, sketches: DataFrame, similarity: float) -> D
     n_blocks = F.ceil(F.greatest(F.col("rows") / BLOCK, F.col("n_all") / BLOCK_HASHES))
     block = F.xxhash64("home", "grade", F.pmod(F.xxhash64("id"), n_blocks))
     placed = cut_lineage(homes.join(width, ["home", "grade"]).select("id", "grade", block.alias("own")))
-    spread = cut_lineage(crowded.join(placed, "id").select("token", "grade", "own").distinct())
-    pairs = spread.select("token", F.col("own").alias("low"), F.col("grade").alias("g")).join(
-        spread.select("token", F.col("own").alias("high"), F.col("grade").alias("h")), "token"
+    # The most hashes that any row of a block has from the token on, and the least that any has at all.
+    ends = F.max(F.col("n") - F.col("at")).alias("most"), F.min("n").alias("least")
+    spread = cut_lineage(crowded.join(placed, "id").groupBy("token", "grade", "own").agg(*ends))
+    pairs = spread.select("token", F.col("own").alias("low"), F.col("grade").alias("g"), F.col("most").alias("most_g"), F.col("least").alias("least_g")).join(
+        spread.select("token", F.col("own").alias("high"), F.col("grade").alias("h"), F.col("most").alias("most_h"), F.col("least").alias("least_h")), "token"
     )
-    pairs = pairs.where("low <= high and abs(g - h) <= 1").select("low", "high").distinct()
+    pairs = pairs.where("low <= high and abs(g - h) <= 1").where(_enough("most_g", "most_h", "least_g", "least_h", similarity))
+    pairs = pairs.select("low", "high").distinct()
     # A block meets several others in one task, so that its rows are sent once for these.
     width = pairs.groupBy("low").agg(F.ceil(F.count("*") / TOGETHER).alias("parts"))
     dealt = cut_lineage(pairs.join(width, "low").select("low", "high", F.pmod(F.xxhash64("high"), F.col("parts")).alias("part")))
@@ -662,6 +682,18 @@ def drop_near_duplicates(
     shingles are tried, and so the cost, but any order finds every pair. Rows without a doc_id stay; rows of one doc_id are one
     document, and stay or go together.
     """
+    spark = docs.sparkSession
+    stored = new_table(spark)
+    with scratch(spark):
+        later = cut_lineage(_later_copies(docs, size, similarity, radius, marked), stored)
+    # The columns travel in one, so that no name can clash. Texts stay where they are as long as ids can be sent to them.
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    kept = rows.join(_listed(later, BROADCAST_IDS), F.col("row.doc_id") == F.col("later"), "left_anti")
+    return kept.select(*(F.col("row")[c].alias(c) for c in docs.columns))
+
+
+def _later_copies(docs: DataFrame, size: int, similarity: float, radius: int | None, marked: int) -> DataFrame:
+    """(later): the ids of the documents that have a near copy with a smaller one."""
     docs_named = docs.where(F.col("doc_id").isNotNull())
     common = common_shingles(docs_named, size)
     marks = cut_lineage(prefixes(docs_named, size, similarity, common, None if radius is None else marked))
@@ -680,20 +712,17 @@ def drop_near_duplicates(
     pairs = few.select("token", *(F.col(c).alias(f"{c}_a") for c in ("id", "n", "at"))).join(
         few.select("token", *(F.col(c).alias(f"{c}_b") for c in ("id", "n", "at"))), "token"
     )
-    # What two sets can share from their first common hash on.
-    most = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
-    pairs = pairs.where("id_a < id_b").where(
-        most >= F.lit(similarity / (1 + similarity)) * (F.col("n_a") + F.col("n_b")) - 1e-6
-    )
+    pairs = pairs.withColumns({f"most_{k}": F.col(f"n_{k}") - F.col(f"at_{k}") for k in "ab"})
+    pairs = pairs.where("id_a < id_b").where(_enough("most_a", "most_b", "n_a", "n_b", similarity))
     sketches = marks.select("doc_id", "n", "parity")
     pairs = pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
     pairs = cut_lineage(hopeful(pairs, sketches, similarity))
-    crowded = met.where(F.col("crowd") > FEW).select("token", "crowd", "id", "n")
+    crowded = met.where(F.col("crowd") > FEW).select("token", "crowd", "id", "n", "at")
     hopes = cut_lineage(crowd_hopes(crowded, sketches, similarity))
     ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).unionAll(hopes.select("id"))
     ids = cut_lineage(ids.distinct())
     texts = docs_named.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = cut_lineage(shingle_sets(texts.join(ids, F.col("doc_id") == F.col("id"), "left_semi"), size))
+    sets = cut_lineage(shingle_sets(texts.join(_listed(ids, BROADCAST_IDS), F.col("doc_id") == F.col("id"), "left_semi"), size))
     near = similar(pairs, sets, similarity).unionAll(crowd_links(hopes, sets, similarity))
     if radius is not None:
         # A shingle set belongs with the fingerprints of its documents.
@@ -703,7 +732,5 @@ def drop_near_duplicates(
     found = components(near)
     named = groups.join(found, F.col("id") == F.col("node"), "left")
     named = named.select("digest", F.coalesce("component", "id").alias("_first"))
-    later = marks.join(named, "digest").where(F.col("doc_id") != F.col("_first")).select(F.col("doc_id").alias("later"))
-    # The columns travel in one, so that no name can clash.
-    kept = docs.select(F.struct(*docs.columns).alias("row")).join(later, F.col("row.doc_id") == F.col("later"), "left_anti")
-    return kept.select(*(F.col("row")[c].alias(c) for c in docs.columns))
+    later = marks.join(named, "digest").where(F.col("doc_id") != F.col("_first"))
+    return later.select(F.col("doc_id").alias("later")).distinct()

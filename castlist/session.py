@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 from pathlib import Path
 from uuid import uuid4
@@ -63,14 +66,34 @@ def cut_lineage(df: DataFrame, path: str | None = None) -> DataFrame:
     Without a path the table goes into ``shared_folder``. Unlike an eager
     checkpoint, which runs its plan a second time to store it, this runs the
     plan once, so no request is made twice. Tables without a path of their own
-    are removed by ``drop_stored``, at the latest when the session ends.
+    are removed by ``drop_stored``, at the latest when the session ends. What the
+    plan has exchanged goes with its end.
     """
     spark = df.sparkSession
     target = path or new_table(spark)
-    df.write.mode("overwrite").parquet(target)
+    with _released(spark):
+        df.write.mode("overwrite").parquet(target)
     return spark.read.schema(df.schema).parquet(target)
 
 
+# Without it shuffle files stay until the driver happens to collect its garbage.
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _released(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the plans run within go as soon as these end; only for plans that nobody runs again."""
+    before = spark.conf.getAll.get(RELEASE)
+    spark.conf.set(RELEASE, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(RELEASE)
+        else:
+            spark.conf.set(RELEASE, before)
+
+
 # The tables in the shared folder that this process has stored, by application.
 _stored: dict[str, list[str]] = {}
 
@@ -82,9 +105,28 @@ def new_table(spark: SparkSession, prefix: str = "castlist") -> str:
     if not tables:
         atexit.register(_drop_quietly, spark)
     tables.append(target)
+    if (inner := getattr(_scratch, "tables", None)) is not None:
+        inner.append(target)
     return target
 
 
+# The tables that the innermost ``scratch`` of a thread has stored.
+_scratch = threading.local()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables in the shared folder that are begun within are removed at its end; no result may read them later."""
+    outer, _scratch.tables = getattr(_scratch, "tables", None), []
+    try:
+        yield
+    finally:
+        made, _scratch.tables = _scratch.tables, outer
+        stored = _stored.get(spark.sparkContext.applicationId, [])
+        _delete(spark, [table for table in made if table in stored])
+        stored[:] = [table for table in stored if table not in made]
+
+
 # The entries in the catalogue that go with the stored tables, by application.
 _named: dict[str, list[str]] = {}
 
@@ -99,11 +141,15 @@ def drop_stored(spark: SparkSession) -> int:
     for name in _named.pop(spark.sparkContext.applicationId, []):
         spark.sql(f"DROP TABLE IF EXISTS `{name}`")
     tables = _stored.pop(spark.sparkContext.applicationId, [])
+    _delete(spark, tables)
+    return len(tables)
+
+
+def _delete(spark: SparkSession, tables: list[str]) -> None:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for table in tables:
         path = jvm.org.apache.hadoop.fs.Path(table)
         path.getFileSystem(conf).delete(path, True)
-    return len(tables)
 
 
 def _drop_quietly(spark: SparkSession) -> None:

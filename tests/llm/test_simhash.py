@@ -199,3 +199,46 @@ def test_chains_of_both_kinds_of_links_are_one_group(table):
     plain = sorted(r.doc_id for r in simhash.drop_near_duplicates(table(rows), similarity=0.7).collect())
     assert plain == [1, 3, 9]
     assert sorted(r.doc_id for r in simhash.drop_near_duplicates(table(rows), similarity=0.7, radius=3).collect()) == [1, 3]
+
+
+def test_near_copies_leave_one_table_and_texts_where_they_are(spark, table, monkeypatch):
+    from castlist import session
+
+    rows = [(i, " ".join(f"w{i // 2}x{k}" for k in range(40))) for i in range(30)]
+    docs = table(rows)
+    session.drop_stored(spark)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = simhash.drop_near_duplicates(docs, radius=3)
+        assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 30, 2))
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
+        # More ids than are sent to the texts, or none.
+        monkeypatch.setattr(simhash, "BROADCAST_IDS", 3)
+        assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs, radius=3).collect()) == list(range(0, 30, 2))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert session.drop_stored(spark) == 2
+
+
+def test_the_sample_for_common_shingles_grows_with_the_documents(table, monkeypatch):
+    rows = [(i, f"a b c d e own{i} f{i}") for i in range(300)] + [(i, f"p q r s t new{i}") for i in range(300, 400)]
+    monkeypatch.setattr(simhash, "SPREAD", 10)
+    first, second = simhash.shingle_hashes(b"a b c d e", 5).view(np.int64)[0], simhash.shingle_hashes(b"p q r s t", 5).view(np.int64)[0]
+    monkeypatch.setattr(simhash, "SPREAD_SHARE", 1.0)
+    assert simhash.common_shingles(table(rows), 5).tolist() == [second, first]
+    # The most frequent ones fit.
+    monkeypatch.setattr(simhash, "COMMON", 1)
+    monkeypatch.setattr(simhash, "COMMON_DOCS", 1000)
+    assert simhash.common_shingles(table(rows), 5).tolist() == [first]
+
+
+def test_blocks_meet_only_where_near_copies_can_share_enough(spark):
+    # Two crowds of sets of 100 that share a token; in the second it is so late that no two of them can be near copies.
+    rows = [(t, 20, 100 * t + i, 100, 0 if t == 1 else 15) for t in (1, 2) for i in range(20)]
+    crowded = spark.createDataFrame(rows, "token long, crowd long, id long, n int, at int")
+    parity = simhash._parities(np.arange(100, dtype=np.int64))
+    sketches = spark.createDataFrame([(r[2], 100, parity) for r in rows], "doc_id long, n int, parity binary")
+    hopes = simhash.crowd_hopes(crowded, sketches, 0.8).collect()
+    assert {r.id for r in hopes} == {100 + i for i in range(20)}

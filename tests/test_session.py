@@ -82,3 +82,34 @@ def test_a_run_leaves_nothing_behind(spark):
     assert mapping.rank_names(counts, rows_per_task=5).count() == 20
     assert set(os.listdir(folder)) > before
     assert session.drop_stored(spark) >= 2 and set(os.listdir(folder)) == before
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    known = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses()
+    wanted = spark.conf.getAll.get(session.RELEASE)
+    before = set(known.keySet().mkString(",").split(","))
+    rows = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    stored = session.cut_lineage(rows)
+    assert set(known.keySet().mkString(",").split(",")) <= before
+    assert stored.count() == 7 and rows.count() == 7 and spark.conf.getAll.get(session.RELEASE) == wanted
+
+
+def test_scratch_tables_go_at_the_end(spark):
+    import os
+
+    session.drop_stored(spark)
+    folder = session.shared_folder(spark)
+    before = set(os.listdir(folder))
+    target = session.new_table(spark)
+    with session.scratch(spark):
+        first = session.cut_lineage(spark.range(5))
+        with session.scratch(spark):
+            assert session.cut_lineage(first.where("id > 2")).count() == 2
+        assert first.count() == 5 and len(set(os.listdir(folder)) - before) == 1
+        kept = session.cut_lineage(first.where("id > 1"), target)
+    assert set(os.listdir(folder)) - before == {target.rpartition("/")[2]} and kept.count() == 3
+    assert session.drop_stored(spark) == 1 and set(os.listdir(folder)) == before
