@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import threading
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import cache
+from itertools import islice
 from pathlib import Path
 from uuid import uuid4
 from zipfile import ZipFile
@@ -149,7 +151,30 @@ def _delete(spark: SparkSession, tables: list[str]) -> None:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for table in tables:
         path = jvm.org.apache.hadoop.fs.Path(table)
-        path.getFileSystem(conf).delete(path, True)
+        system = path.getFileSystem(conf)
+        uri = system.makeQualified(path).toUri()
+        if uri.getScheme() == "file":
+            _delete_local(uri.getPath())
+        else:
+            system.delete(path, True)
+
+
+def _delete_local(folder: str) -> None:
+    """Remove a folder, some entries at a time: Hadoop would hold the names of all its files."""
+    while True:
+        try:
+            with os.scandir(folder) as entries:
+                some = list(islice(entries, 10_000))
+        except FileNotFoundError:
+            return
+        for entry in some:
+            if entry.is_dir(follow_symlinks=False):
+                _delete_local(entry.path)
+            else:
+                os.unlink(entry.path)
+        if not some:
+            os.rmdir(folder)
+            return
 
 
 def _drop_quietly(spark: SparkSession) -> None:

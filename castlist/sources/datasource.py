@@ -1,7 +1,9 @@
 """Text files as a Spark data source, ``castlist_files``: every file is a row, and all files of a write appear together.
 
 Reading lists the folders on the driver, names and sizes only, and deals the files out by size; tasks read them
-in batches of a bounded size. Other than Spark's binary source it has empty files and, if asked, hidden ones.
+in batches of a bounded size. The driver holds ``RUN_FILES`` names at most: more are sorted in runs on its disk, and what a task is to
+read stands in a file of the shared folder (option ``listing``). Other file systems than local ones list a folder at once.
+Other than Spark's binary source it has empty files and, if asked, hidden ones.
 
 Writing is in two phases. Every task writes its files under names that no reader takes up, next to where they belong,
 each batch after it has noted them in a list in the ``staging`` folder; only the names of the lists go to the driver. When all
@@ -18,12 +20,17 @@ the option ``segments``: rows of one path that follow each other go to one file,
 from __future__ import annotations
 
 import fnmatch
+import heapq
 import json
+import os
 import posixpath
 import re
+import tempfile
 import uuid
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from itertools import groupby, islice
+from operator import itemgetter
 
 import pyarrow as pa
 from pyarrow import fs
@@ -36,6 +43,8 @@ from castlist.sources.paths import locate, split_path
 FORMAT = "castlist_files"
 TASK_BYTES, TASK_FILES = 128 << 20, 10_000
 BATCH_BYTES, BATCH_FILES = 16 << 20, 1000
+# Names that the driver sorts at once, and how many such runs it keeps; names that go to the tasks without a file of their own.
+RUN_FILES, RUNS, HELD_FILES = 100_000, 64, 10_000
 _GLOB = re.compile(r"[*?\[]")
 FILES = pa.schema([("path", pa.string()), ("length", pa.int64()), ("content", pa.binary())])
 
@@ -66,7 +75,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def list_files(path: str, recursive: bool = False, hidden: bool = False) -> Iterator[tuple[str, int]]:
-    """(path, size) of a file, of the files of a folder, or of those that a pattern matches, where ``*`` stays in a folder."""
+    """(path, size) of a file, of the files of a folder, or of those that a pattern matches, where ``*`` stays in a folder; in no order."""
     scheme, authority, name = split_path(path)
     prefix = f"{scheme}://{authority}" if authority else f"{scheme}:"
     system, _ = locate(path)
@@ -83,14 +92,94 @@ def list_files(path: str, recursive: bool = False, hidden: bool = False) -> Iter
         yield f"{prefix}{name}", info.size
         return
     deep = recursive or (pattern is not None and len(pattern) > 1)
-    found = system.get_file_info(fs.FileSelector(root, recursive=deep))
-    for info in sorted(found, key=lambda i: i.path):
-        below = posixpath.relpath(info.path, root).split("/")
-        if not info.is_file or (not hidden and any(part[0] in "._" for part in below)):
+    for below, size in _walk(system, root, deep):
+        parts = below.split("/")
+        if not hidden and any(part[0] in "._" for part in parts):
             continue
-        if pattern is not None and not _matches(below, pattern, recursive):
+        if pattern is not None and not _matches(parts, pattern, recursive):
             continue
-        yield f"{prefix}{local}/{'/'.join(below)}", info.size
+        yield f"{prefix}{local}/{below}", size
+
+
+def _walk(system: fs.FileSystem, root: str, deep: bool) -> Iterator[tuple[str, int]]:
+    """(name below the root, size) of the files of a folder, and of those below it."""
+    folders = [""]
+    while folders:
+        folder = folders.pop()
+        for name, is_file, is_folder, size in _entries(system, posixpath.join(root, folder)):
+            below = posixpath.join(folder, name)
+            if is_file:
+                yield below, size
+            elif deep and is_folder:
+                folders.append(below)
+
+
+def _entries(system: fs.FileSystem, folder: str) -> Iterator[tuple[str, bool, bool, int]]:
+    """(name, is file, is folder, size) of what is in a folder; from local ones one by one."""
+    if not isinstance(system, fs.LocalFileSystem):
+        for info in system.get_file_info(fs.FileSelector(folder)):
+            yield info.base_name, info.is_file, info.type == fs.FileType.Directory, info.size
+        return
+    with os.scandir(folder) as entries:
+        for entry in entries:
+            try:
+                is_file = entry.is_file()
+                yield entry.name, is_file, entry.is_dir(), entry.stat().st_size if is_file else 0
+            except FileNotFoundError:  # gone meanwhile
+                pass
+
+
+def sorted_files(paths: list[str], wanted: dict[str, bool]) -> Iterator[tuple[str, int]]:
+    """(path, size) of the files of all paths, each once, in order."""
+    found = (file for path in paths for file in list_files(path, **wanted))
+    run = sorted(islice(found, RUN_FILES))
+    if len(run) < RUN_FILES:
+        yield from _once(run)
+        return
+    with tempfile.TemporaryDirectory(prefix="castlist-listing-") as folder:
+        runs = []
+        while run:
+            runs.append(_write_run(folder, run))
+            if len(runs) == RUNS:
+                runs = [_write_run(folder, heapq.merge(*map(_read_run, runs)))]
+            run = sorted(islice(found, RUN_FILES))
+        yield from _once(heapq.merge(*map(_read_run, runs)))
+
+
+def _once(files: Iterable[tuple[str, int]]) -> Iterator[tuple[str, int]]:
+    for _, same in groupby(files, key=itemgetter(0)):
+        yield next(same)
+
+
+def _write_run(folder: str, run: Iterable[tuple[str, int]]) -> str:
+    name = f"{folder}/{uuid.uuid4().hex}"
+    with open(name, "w") as out:
+        out.writelines(json.dumps(file) + "\n" for file in run)
+    return name
+
+
+def _read_run(name: str) -> Iterator[tuple[str, int]]:
+    with open(name) as lines:
+        for line in lines:
+            yield tuple(json.loads(line))
+
+
+def _noted(names: list, listing: str | None, before: int) -> tuple[list, str | None]:
+    """What a task is to read, or the file that has it, given how much other tasks have been told."""
+    if listing is None or before + len(names) <= HELD_FILES:
+        return names, None
+    target = f"{listing}/{uuid.uuid4().hex}.json"
+    shared.put(target, "\n".join(map(json.dumps, names)).encode())
+    return [], target
+
+
+def _told(names: list, listed: str | None) -> list:
+    if listed is None:
+        return names
+    content = shared.read(listed)
+    if content is None:
+        raise FileNotFoundError(f"the list of files {listed} is gone")
+    return [json.loads(line) for line in content.decode().split("\n")]
 
 
 def _matches(parts: list[str], pattern: list[str], recursive: bool) -> bool:
@@ -100,7 +189,7 @@ def _matches(parts: list[str], pattern: list[str], recursive: bool) -> bool:
 
 
 class Files(DataSource):
-    """Options for reading: paths (a JSON list), recursive, hidden, content; for writing: staging, segments."""
+    """Options for reading: paths (a JSON list), recursive, hidden, content, listing; for writing: staging, segments."""
 
     @classmethod
     def name(cls) -> str:
@@ -118,9 +207,10 @@ class Files(DataSource):
 
 @dataclass
 class Share(InputPartition):
-    """The files of a task."""
+    """The files of a task, or the list that names them."""
 
     paths: list[str]
+    listed: str | None = None
 
 
 class FileReader(DataSourceReader):
@@ -128,24 +218,31 @@ class FileReader(DataSourceReader):
         wanted = {name: options.get(name, "false") == "true" for name in ("recursive", "hidden")}
         self.paths, self.wanted = json.loads(options["paths"]), wanted
         self.content = options.get("content", "true") == "true"
+        self.listing = options.get("listing")
 
     def partitions(self) -> Sequence[InputPartition]:
-        shares, size = [Share([])], 0
-        for path, n in sorted({file for path in self.paths for file in list_files(path, **self.wanted)}):
-            last = shares[-1].paths
-            if last and (size + n > TASK_BYTES or len(last) >= TASK_FILES):
-                shares.append(Share([]))
-                size = 0
-            shares[-1].paths.append(path)
-            size += n
+        shares, told = [], 0
+        for paths in self._shares():
+            shares.append(Share(*_noted(paths, self.listing, told)))
+            told += len(paths)
         return shares
 
+    def _shares(self) -> Iterator[list[str]]:
+        paths, size = [], 0
+        for path, n in sorted_files(self.paths, self.wanted):
+            if paths and (size + n > TASK_BYTES or len(paths) >= TASK_FILES):
+                yield paths
+                paths, size = [], 0
+            paths.append(path)
+            size += n
+        yield paths
+
     def read(self, partition: Share) -> Iterator[pa.RecordBatch]:
-        return read_batches(iter(partition.paths), self.content)
+        return read_batches(iter(_told(partition.paths, partition.listed)), self.content)
 
 
 class Segments(DataSource):
-    """Options: paths (a JSON list), recursive, hidden, size."""
+    """Options: paths (a JSON list), recursive, hidden, size, listing."""
 
     @classmethod
     def name(cls) -> str:
@@ -160,9 +257,10 @@ class Segments(DataSource):
 
 @dataclass
 class Stretches(InputPartition):
-    """The segments of a task: (path, length of the file, first segment, end)."""
+    """The segments of a task, (path, length of the file, first segment, end), or the list that names them."""
 
     parts: list[tuple[str, int, int, int]]
+    listed: str | None = None
 
 
 # The bytes of the mark that files may begin with, and the most that a character has after its first byte.
@@ -175,24 +273,31 @@ class SegmentReader(DataSourceReader):
         self.size = int(options["size"])
 
     def partitions(self) -> Sequence[InputPartition]:
+        shares, told = [], 0
+        for parts in self._shares():
+            shares.append(Stretches(*_noted(parts, self.listed.listing, told)))
+            told += len(parts)
+        return shares
+
+    def _shares(self) -> Iterator[list[tuple[str, int, int, int]]]:
         step = max(1, TASK_BYTES // self.size)
-        shares, held = [Stretches([])], 0
-        for path, length in sorted({f for path in self.listed.paths for f in list_files(path, **self.listed.wanted)}):
+        parts, held = [], 0
+        for path, length in sorted_files(self.listed.paths, self.listed.wanted):
             count = max(1, -(-length // self.size))
             for first in range(0, count, step):
                 end = min(first + step, count)
                 n = min(end * self.size, length) - first * self.size
-                if shares[-1].parts and (held + n > TASK_BYTES or len(shares[-1].parts) >= TASK_FILES):
-                    shares.append(Stretches([]))
-                    held = 0
-                shares[-1].parts.append((path, length, first, end))
+                if parts and (held + n > TASK_BYTES or len(parts) >= TASK_FILES):
+                    yield parts
+                    parts, held = [], 0
+                parts.append((path, length, first, end))
                 held += n
-        return shares
+        yield parts
 
     def read(self, partition: Stretches) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         held = 0
-        for path, length, first, end in partition.parts:
+        for path, length, first, end in _told(partition.parts, partition.listed):
             system, name = locate(path)
             with system.open_input_file(name) as file:
                 for k in range(first, end):

@@ -56,7 +56,7 @@ def read_files(
     spark.dataSource.register(Files)
     paths = [path] if isinstance(path, str) else path
     wanted = {"recursive": recursive, "hidden": hidden, "content": content}
-    options = {name: str(value).lower() for name, value in wanted.items()}
+    options = {name: str(value).lower() for name, value in wanted.items()} | {"listing": new_table(spark, "listing")}
     return spark.read.format(Files.name()).options(paths=json.dumps([qualified(spark, p) for p in paths]), **options).load()
 
 
@@ -69,7 +69,7 @@ def read_segments(
     """
     spark.dataSource.register(Segments)
     paths = [path] if isinstance(path, str) else path
-    options = {"recursive": str(recursive).lower(), "hidden": str(hidden).lower(), "size": str(size)}
+    options = {"recursive": str(recursive).lower(), "hidden": str(hidden).lower(), "size": str(size), "listing": new_table(spark, "listing")}
     return spark.read.format(Segments.name()).options(paths=json.dumps([qualified(spark, p) for p in paths]), **options).load()
 
 

@@ -344,3 +344,41 @@ def test_files_of_a_batch_share_a_list_and_appear_when_it_is_finished(tmp_path,
     found = {p.name: p.read_bytes() for p in (tmp_path / "out").iterdir()}
     wanted = {"0.txt": b"xx", "1.txt": b"x", "2.txt": b"xxy"} if segments else {f"{i}.txt": b"xxxy"[i : i + 1] for i in range(4)}
     assert found == wanted
+
+
+def test_the_driver_holds_a_bounded_number_of_names(tmp_path, monkeypatch):
+    import json
+    import tracemalloc
+
+    names = {f"{i:03}{'n' * 100}.txt" for i in range(900)}
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    for name in names:
+        (tmp_path / "in" / ("deep" if name < "3" else ".") / name).write_bytes(b"x")
+    (tmp_path / "in" / "deep" / ".hidden").write_bytes(b"x")
+    (tmp_path / "in" / "gone.txt").symlink_to(tmp_path / "none")
+    folder = f"file:{tmp_path}/in"
+    wanted = {"paths": json.dumps([folder, f"{folder}/deep", f"{folder}/{max(names)}"]), "recursive": "true"}
+    every = datasource.FileReader(wanted).partitions()
+    assert [len(s.paths) for s in every] == [900] and every[0].paths == sorted(every[0].paths)
+    for name, value in (("RUN_FILES", 50), ("RUNS", 4), ("HELD_FILES", 20), ("TASK_FILES", 20)):
+        monkeypatch.setattr(datasource, name, value)
+    reader = datasource.FileReader(wanted | {"listing": f"file:{tmp_path}/listing"})
+    tracemalloc.start()
+    shares = reader.partitions()
+    used = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(shares) == 45 and sum(len(s.paths) for s in shares) == 20 and used < 300_000
+    found = [r["path"] for s in shares for b in reader.read(s) for r in b.to_pylist()]
+    assert found == every[0].paths and {p.rpartition("/")[2] for p in found} == names
+    segments = datasource.SegmentReader(wanted | {"listing": f"file:{tmp_path}/listing", "size": "10"})
+    parts = segments.partitions()
+    assert sum(len(p.parts) for p in parts) == 20 and sum(b.num_rows for p in parts for b in segments.read(p)) == 900
+
+
+def test_more_files_than_the_driver_tells_tasks_itself(spark, tmp_path, monkeypatch):
+    # The planner of Spark runs in a process of its own: what it lists in files is read by the tasks.
+    (tmp_path / "in").mkdir()
+    for i in range(datasource.HELD_FILES + 50):
+        (tmp_path / "in" / f"{i}.txt").touch()
+    found = files.read_files(spark, str(tmp_path / "in"))
+    assert found.count() == found.select("path").distinct().count() == datasource.HELD_FILES + 50

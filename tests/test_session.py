@@ -113,3 +113,18 @@ def test_scratch_tables_go_at_the_end(spark):
         kept = session.cut_lineage(first.where("id > 1"), target)
     assert set(os.listdir(folder)) - before == {target.rpartition("/")[2]} and kept.count() == 3
     assert session.drop_stored(spark) == 1 and set(os.listdir(folder)) == before
+
+
+def test_folders_with_many_files_go_some_at_a_time(spark):
+    import os
+
+    session.drop_stored(spark)
+    local = session.new_table(spark).removeprefix("file:")
+    os.makedirs(f"{local}/a/b")
+    for i in range(10_050):
+        open(f"{local}/a/{i}", "w").close()
+    os.symlink("/none", f"{local}/a/b/link")
+    os.symlink(session.shared_folder(spark).removeprefix("file:"), f"{local}/a/folder")
+    session.new_table(spark)  # nothing was ever written there
+    assert session.drop_stored(spark) == 2
+    assert not os.path.lexists(local) and os.path.isdir(session.shared_folder(spark).removeprefix("file:"))
